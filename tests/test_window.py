@@ -96,11 +96,11 @@ def test_save_load_advance(spark, tmp_path):
 
 @pytest.mark.parametrize("config", [WindowConfig(40_000_000), WindowConfig(60_000_000, 2, "last")])
 def test_stream_equals_batch(spark, tmp_path, config):
-    rows = [("abc"[i * 7 % 3], i * 9_000_000, i) for i in range(24)]
+    rows = [("abc"[i * 7 % 3], 10**9 + i * 9_000_000, i) for i in range(24)]
     for n in range(3):  # out of order over the batches
         part = [(k, t, i) for k, t, i in rows if i % 3 == n]
         spark.createDataFrame(part, SCHEMA).select("key", F.timestamp_micros("t").alias("ts"), "tie").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
-    last = [("z", 10**10, 99)]
+    last = [("z", 10**11, 99)]
     spark.createDataFrame(last, SCHEMA).select("key", F.timestamp_micros("t").alias("ts"), "tie").coalesce(1).write.parquet(str(tmp_path / "in3"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     src = spark.readStream.schema("key string, ts timestamp, tie long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
