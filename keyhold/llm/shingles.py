@@ -64,9 +64,10 @@ def _sets(raw: list[bytes]) -> Iterator[np.ndarray]:
     start, h = word_hashes(np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8))
     cut = np.searchsorted(start, ends)
     n = len(h)
-    full = np.zeros(max(0, n - WIDTH + 1), dtype=U)
+    m = max(0, n - WIDTH + 1)
+    full = np.zeros(m, dtype=U)
     for k in range(WIDTH):
-        full += h[k : n - WIDTH + 1 + k] * _PLACE[k]
+        full += h[k : k + m] * _PLACE[k]
     full = mix(full)
     lo = 0
     for hi in cut.tolist():
