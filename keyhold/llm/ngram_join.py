@@ -143,25 +143,26 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(mix(two).view(np.int64).tolist())
 
 
-BITS = [f"m{i}" for i in range(8)]
+PARITY = 2048  # bits of a bitmap
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """512 parity bits: two sets differ in at least as many elements as their bitmaps do in bits."""
-    odd = np.bincount((s & U(511)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity bits of a set: two sets differ in at least as many elements as their bitmaps do in bits."""
+    odd = np.bincount((s & U(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k0, k1, m0..m7) of each row: size, name and bitmap of its shingle set."""
+    """(doc_id, n, k0, k1, bits) of each row: size, name and bitmap of its shingle set."""
+    names = ["doc_id", "n", "k0", "k1", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(len(s), *(set_key(s) if len(s) else (0, 0)), *bitmap(s).tolist()) for s in shingle_sets(b["text"].to_pylist())]
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * (3 + len(BITS))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", "n", "k0", "k1", *BITS])
+            rows = [(len(s), *(set_key(s) if len(s) else (0, 0)), bitmap(s)) for s in shingle_sets(b["text"].to_pylist())]
+            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k0 long, k1 long, " + ", ".join(f"{m} long" for m in BITS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k0 long, k1 long, bits binary")
 
 
 def _indexed(docs: DataFrame, plans: dict[int, Band], parts: int) -> DataFrame:
@@ -266,15 +267,28 @@ def _stars(index: DataFrame) -> DataFrame:
     return index.groupBy("p").applyInPandas(run, "sig long, a long, b long")
 
 
-def _apart() -> F.Column:
-    """Whether sizes (na, nb) or bitmaps (am*, bm*) rule a link out; exact, as neither ever rules out a pair that links."""
-    bits = sum((F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in BITS[1:]), F.bit_count(F.col("am0").bitwiseXOR(F.col("bm0"))))
-    sizes = F.least("an", "bn") * DEN < F.greatest("an", "bn") * NUM
-    return sizes | (bits * (DEN + NUM) > (F.col("an") + F.col("bn")) * (DEN - NUM))
+def _may_link(na: np.ndarray, nb: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
+    """False where sizes or bitmaps rule a link out; exact, as neither ever rules out a pair that links."""
+    ok = np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM
+    apart = np.bitwise_count(bits_a[ok] ^ bits_b[ok]).sum(axis=1, dtype=np.int64)
+    ok[ok] = apart * (DEN + NUM) <= (na[ok] + nb[ok]) * (DEN - NUM)
+    return ok
 
 
-def _as(nodes: DataFrame, side: str) -> DataFrame:
-    return nodes.select([F.col(c).alias(f"{side}{c}") for c in ("rep", "n", "k0", *BITS)])
+def _unpacked(bits: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), dtype=U).reshape(len(bits), PARITY // 64)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of document ids that sizes and bitmaps don't rule out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[_may_link(b["na"].to_numpy(), b["nb"].to_numpy(), _unpacked(b["xa"]), _unpacked(b["xb"])), ["a", "b"]]
+
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"x{side}")), side)
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInPandas(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -303,43 +317,55 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInPandas(test, "a long, b long")
 
 
-def _rest(stars: DataFrame, nodes: DataFrame, group: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a signature, weren't a star's, and whose components differ so far.
+def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a signature with further members, may link, and whose components differ.
 
-    Members of a signature are dealt out in blocks, and each pair of blocks meets in one task.
+    where: (k0, rep, component). Signatures whose members are all joined are dropped first. Members of the others are
+    dealt out in blocks, and each two blocks meet in one task.
     """
     several = stars.groupBy("sig").count().filter("count > 1").select("sig")
     kept = stars.join(several, "sig", "left_semi")
-    members = kept.select("sig", F.col("a").alias("k0")).union(kept.select("sig", F.col("b").alias("k0"))).distinct()
-    placed = members.join(nodes.join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "k0")
-    size = placed.groupBy("sig").agg(F.count("*").alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+    members = kept.select("sig", F.col("a").alias("k0")).union(kept.select("sig", F.col("b").alias("k0"))).distinct().join(where, "k0").select("sig", "rep", "component")
+    size = members.groupBy("sig").agg(F.count("*").alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+    open_ = members.join(size.select("sig", "members", "c0"), "sig").join(nodes.select("rep", "n", "bits"), "rep")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    cols = ["sig", "rep", "n", "component", *BITS]
-    dealt = placed.join(size.select("sig", "members"), "sig").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*cols, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    # signatures of one neighbourhood mostly hold the same members: some of them share a task, where a pair is met once
+    deal = F.xxhash64("c0", F.pmod("sig", F.lit(8)), "lo", "hi")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf.drop_duplicates("rep").sort_values("rep")
+        rep, n, bits = known["rep"].to_numpy(), known["n"].to_numpy(), _unpacked(known["bits"])
+        rows = np.stack([pdf[c].to_numpy() for c in ("sig", "lo", "hi", "component", "block")] + [np.searchsorted(rep, pdf["rep"].to_numpy())])
+        rows = rows[:, np.lexsort((rows[5], rows[2], rows[1], rows[0]))]
+        cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
+        met, held, seen = [], 0, set()
+        for g in np.split(rows, cuts, axis=1):
+            if (name := g[1:].tobytes()) in seen:  # the same members as under another signature
+                continue
+            seen.add(name)
+            i, j = np.triu_indices(g.shape[1], 1)
+            ok = g[3, i] != g[3, j]
+            if g[1, 0] != g[2, 0]:
+                ok &= g[4, i] != g[4, j]
+            met.append(g[5, i[ok]] * len(rep) + g[5, j[ok]])
+            held += len(met[-1])
+            if held > 4_000_000:
+                met = [np.unique(np.concatenate(met))]
+                held = len(met[0]) // 2
+        met = np.unique(np.concatenate(met))
         out = []
-        for (_, lo, hi), g in pdf.groupby(["sig", "lo", "hi"], sort=False):
-            rep, comp, n, block = (g[c].to_numpy() for c in ("rep", "component", "n", "block"))
-            bits = g[BITS].to_numpy()
-            for i in range(len(g) - 1):
-                j = slice(i + 1, None)
-                ok = comp[j] != comp[i]
-                if lo != hi:
-                    ok &= block[j] != block[i]
-                ok &= np.minimum(n[j], n[i]) * DEN >= np.maximum(n[j], n[i]) * NUM
-                if ok.any():
-                    at = np.flatnonzero(ok) + i + 1
-                    d = np.bitwise_count((bits[at] ^ bits[i]).view(U)).sum(axis=1, dtype=np.int64)
-                    at = at[d * (DEN + NUM) <= (n[at] + n[i]) * (DEN - NUM)]
-                    out.append(np.stack((np.minimum(rep[at], rep[i]), np.maximum(rep[at], rep[i])), axis=1))
-        ab = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+        for k in range(0, len(met), 20_000):
+            x, y = np.divmod(met[k : k + 20_000], len(rep))
+            ok = _may_link(n[x], n[y], bits[x], bits[y])
+            out.append(np.stack((rep[x[ok]], rep[y[ok]]), axis=1))
+        ab = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
         return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
-    spread = partitions(stars.sparkSession) * 4
-    return dealt.withColumn("deal", F.pmod(F.xxhash64("sig", "lo", "hi"), F.lit(spread))).groupBy("deal").applyInPandas(pairs, "a long, b long").distinct()
+    cols = ["sig", "rep", "component", "block", "lo", "hi", "n", "bits"]
+    return dealt.select(*cols, deal.alias("deal")).groupBy("deal").applyInPandas(pairs, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -350,31 +376,48 @@ def near_components(docs: DataFrame) -> DataFrame:
     texts, or texts without words, have no shingles and link with nothing. A null doc_id links with nothing either
     (component_id null). Ids that repeat count as one document each time. An empty table gives no rows.
 
-    Links are found in two rounds. In the first, every set is verified against the smallest key that shares a signature
-    with it. In the second, so are all other pairs that share one and aren't joined yet. Nothing is lost by skipping
-    joined pairs, as only the components are asked for.
+    Links are verified in two rounds. In the first, each set meets the one set with which it shares most signatures; in
+    the second, all other pairs that share one and aren't joined yet. Nothing is lost by skipping joined pairs, as only
+    the components are asked for.
     """
     spark = docs.sparkSession
     found = written(described(docs), "sets")
-    nodes = written(found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("rep"), *[F.min(m).alias(m) for m in BITS]), "nodes")
+    nodes = written(found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "nodes")
     edge = F.array([F.lit(int(e)) for e in EDGES])
     bands = nodes.filter("n >= 4").groupBy((F.array_size(F.filter(edge, lambda e: e <= F.col("n"))) - 1).alias("band")).count().collect()  # a row a band
     plans = {r.band: allocate(int(EDGES[r.band]), int(EDGES[r.band + 1]), r["count"]) for r in bands}
     stars = written(_stars(_indexed(docs, plans, partitions(spark) * 4)), "stars")
-    near = stars.select("a", "b").distinct().join(_as(nodes, "a"), F.col("a") == F.col("ak0")).join(_as(nodes, "b"), F.col("b") == F.col("bk0"))
-    same = nodes.groupBy("k0").agg(F.count("*").alias("c")).filter("c > 1").select("k0")  # sets whose short keys clash
-    clash = nodes.join(F.broadcast(same), "k0", "left_semi").select("k0", "rep")
-    clash = clash.join(clash.select("k0", F.col("rep").alias("other")), "k0").filter("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    first = near.filter(~_apart() & (F.col("arep") != F.col("brep"))).select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b"))
-    links = written(verified(written(first.union(clash).distinct(), "pairs"), docs), "links")
-    group = components(links)
-    more = written(_rest(stars, nodes, group), "pairs")
-    if not more.isEmpty():
-        again = verified(more, docs)
-        if not (again := written(again, "links")).isEmpty():
-            group = components(links.union(again))
-    member = nodes.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k0", "k1", F.coalesce("component", "rep").alias("component_id"))
-    return _members(found, member)
+    shared = written(_named(stars.groupBy("a", "b").count(), nodes).groupBy("a", "b").agg(F.sum("count").alias("count")), "shared")
+    best = shared.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    first = written(plausible(best.union(_clashes(nodes)).distinct(), nodes), "pairs")
+    links = written(verified(first, docs), "links")
+    where = written(nodes.select("k0", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "components")
+    open_ = shared.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for side in "ab":
+        open_ = open_.join(where.select(F.col("rep").alias(side), F.col("component").alias(f"c{side}")), side)
+    second = plausible(open_.filter("ca <> cb").select("a", "b"), nodes).union(_rest(stars, nodes, where)).distinct()
+    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    if not second.isEmpty():
+        again = written(verified(second, docs), "links")
+        if not again.isEmpty():
+            group = components(links.union(again)).withColumnRenamed("node", "rep")
+            where = where.drop("component").join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    member = nodes.drop("bits").join(where.select("rep", F.col("component").alias("component_id")), "rep").drop("rep")
+    return _members(found.drop("bits"), member)
+
+
+def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, count) of keys as pairs of document ids, the smaller first."""
+    for side in "ab":
+        pairs = pairs.withColumnRenamed(side, "k0").join(nodes.select("k0", F.col("rep").alias(side)), "k0").drop("k0")
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "count")
+
+
+def _clashes(nodes: DataFrame) -> DataFrame:
+    """Pairs of different sets whose short keys are equal, which signatures can't tell apart."""
+    same = nodes.groupBy("k0").agg(F.count("*").alias("c")).filter("c > 1").select("k0")
+    clash = nodes.join(same, "k0", "left_semi").select("k0", "rep")
+    return clash.join(clash.withColumnRenamed("rep", "other"), "k0").filter("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
 
 def _members(found: DataFrame, member: DataFrame) -> DataFrame:
