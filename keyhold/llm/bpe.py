@@ -20,9 +20,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyhold.llm.tokens import BYTE_LEVEL
+from keyhold.llm.tokens import _PLAIN, BYTE_LEVEL, Held, runs
 
-HELD_WORDS = 500_000  # words, and pairs of tokens, that a task remembers before it starts anew
+HELD_PAIRS = 500_000  # pairs of tokens that a task remembers before it starts anew
 
 
 def byte_chars() -> list[str]:
@@ -86,7 +86,7 @@ class Transducer:
         """
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > HELD_WORDS:
+            if len(self._fits) > HELD_PAIRS:
                 self._fits.clear()
             if self.twofold:
                 known = self.merged(self._symbols(left) + self._symbols(right)) == [left, right]
@@ -177,7 +177,7 @@ class Codec:
         self.bytes = spec["decoder"] is not None
         self.chars = byte_chars()
         self.byte_of = {c: b for b, c in enumerate(self.chars)}
-        self.held: dict[str, tuple[bytes, str]] = {}
+        self.words, self.runs = Held(lambda ws: map(self._word, ws)), Held(self._of_runs)
 
     def _plain(self, text: str) -> str:
         if not self.lower:
@@ -186,32 +186,40 @@ class Codec:
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # one by one: a final sigma is like any other
 
-    def _word(self, word: str) -> tuple[bytes, str]:
+    def _word(self, word: str) -> bytes:
         symbols = word if word.isascii() and word.isprintable() and " " not in word else (self.chars[b] for b in word.encode("utf-8", "surrogatepass"))
-        tokens = list(self.transducer.tokens(symbols))
-        ids = np.array([self.transducer.vocab[t] for t in tokens], dtype="<u4").tobytes()
-        if len(self.held) > HELD_WORDS:
-            self.held.clear()
-        self.held[word] = found = (ids, " ".join(tokens))
-        return found
-
-    def pieces(self, text: str | None) -> Iterator[tuple[bytes, str]]:
-        """(ids, joined token strings) of each word and special token."""
-        for i, part in enumerate(self.at_special.split(text or "") if self.at_special and text else [text or ""]):
+        return np.array([self.transducer.vocab[t] for t in self.transducer.tokens(symbols)], dtype="<u4").tobytes()
+
+    def _of_runs(self, found: list[str]) -> Iterator[bytes]:
+        space = "" if self.lower else " "
+        return (b"".join(self.words.all(self.cut.findall(space + r))) for r in found)
+
+    def _parts(self, text: str) -> Iterator[bytes]:
+        for i, part in enumerate(self.at_special.split(text) if self.at_special else [text]):
             if i % 2:
-                yield np.array([self.special[part]], dtype="<u4").tobytes(), part
+                yield np.array([self.special[part]], dtype="<u4").tobytes()
             elif part:
-                held = self.held
-                for w in self.cut.findall(self._plain(part)):
-                    yield held[w] if w in held else self._word(w)
+                plain = _PLAIN.fullmatch(part)
+                part = self._plain(part)
+                found = runs(part, not self.lower) if plain else None
+                if found is None:
+                    yield from self.words.all(self.cut.findall(part))
+                elif self.lower:
+                    yield from self.runs.all(found)
+                else:
+                    yield from self.words.all(self.cut.findall(found[0]))
+                    yield from self.runs.all(found[1:])
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids (uint32); a null text counts as empty."""
-        return np.frombuffer(b"".join(ids for ids, _ in self.pieces(text)), dtype="<u4")
+        return np.frombuffer(b"".join(self._parts(text or "")), dtype="<u4")
 
     def decode(self, ids: Iterable[int]) -> str:
+        """What the state machine gives for these ids, all fed to it. Without a decoder, its state is but the space between."""
+        if not self.bytes:
+            return " ".join([s for i in ids if (s := self.strings.get(i)) is not None])
         machine = Decoder(self)
-        return "".join(machine.feed(int(i)) for i in ids) + machine.end()
+        return "".join([machine.feed(i) for i in ids]) + machine.end()
 
 
 class Decoder:
@@ -281,9 +289,8 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     def of(text: str | None) -> tuple[int, str, str]:
         c = codec(path)
-        parts = list(c.pieces(text))
-        ids = b"".join(p[0] for p in parts)
-        out = c.decode(np.frombuffer(ids, "<u4")) if c.bytes else " ".join(p[1] for p in parts)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest()
+        ids = c.encode(text)
+        out = c.decode(ids.tolist())
+        return len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest()
 
     return _rows(docs, ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"], of, [pa.int64(), pa.string(), pa.string()], text_col)

@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer file, through the tokenizers library.
 
 Both supported kinds cut a text into words before they merge, so a word's ids don't depend on its neighbours: the
-library encodes each different word once a task, and texts are put together from that.
+library encodes each word once, texts are put together from that, and what a run without spaces came to is remembered.
 """
 
 from __future__ import annotations
@@ -9,20 +9,58 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-HELD_WORDS = 500_000  # words whose ids a task remembers before it starts anew
+HELD = 300_000  # entries of a young generation; see Held
 #: Fixed value: how the byte-level kind cuts a text into words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone are cut here; they are their own NFC, and lower-case one by one. Others go whole to the library.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u02FF\u0390-\u03A1\u03A4-\u03FF\u0400-\u0482\u048A-\u052F\u2010-\u2027\u2030-\u205E\u3001-\u3003\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]*+")
 
 
+class Held:
+    """A memory of bounded size for what words come to: entries move on to an old generation once it is full, and what
+    hasn't been used again when the next one is full is forgotten."""
+
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = HELD) -> None:
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def all(self, words: list[str]) -> list[bytes]:
+        """What each word comes to; ``make`` gives it for those that aren't held."""
+        parts = list(map(self.young.get, words))
+        if None in parts:
+            found = self._found({w for w, p in zip(words, parts) if p is None})
+            parts = [found[w] if p is None else p for w, p in zip(words, parts)]
+        return parts
+
+    def _found(self, missing: set[str]) -> dict[str, bytes]:
+        found = {w: self.old[w] for w in missing if w in self.old}
+        new = [w for w in missing if w not in found]
+        for i in range(0, len(new), 10_000):
+            found.update(zip(new[i : i + 10_000], self.make(new[i : i + 10_000])))
+        if len(self.young) + len(found) > self.most:
+            self.young, self.old = {}, self.young
+        if len(found) <= self.most:
+            self.young.update(found)
+        return found
+
+
+def runs(text: str, byte_level: bool) -> list[str] | None:
+    """A plain text cut at its spaces, so that no word lies in two runs; None where that can't be done: in a byte-level
+    text, a space beside other white space belongs to it or to the next word by what follows."""
+    if not byte_level:
+        return text.split()
+    if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[:1] == " " or text[-1:] == " ":
+        return None
+    return text.split(" ")
+
+
 class Encoder:
     """Ids as the library's encode(text, add_special_tokens=False) gives them."""
 
@@ -36,26 +74,32 @@ class Encoder:
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         kind, self.cut = _words(spec)
         self.lower = kind == "lower"
-        self.held: dict[str, array] = {}
+        self.words = Held(self._of_words)
+        self.runs = Held(self._of_runs)  # byte-level: of runs after a space
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _of_runs(self, found: list[str]) -> Iterator[bytes]:
+        space = "" if self.lower else " "
+        cut = [self.cut.findall(space + r) for r in found]
+        each = iter(self.words.all([w for ws in cut for w in ws]))
+        return (b"".join(islice(each, len(ws))) for ws in cut)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """uint32 ids; a null text counts as empty."""
         text = text or ""
         if self.cut is None or self.special.search(text) or not _PLAIN.fullmatch(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        words = self.cut.findall(text.lower() if self.lower else text)
-        held = self.held
-        try:
-            parts = [held[w] for w in words]
-        except KeyError:
-            new = list({w for w in words if w not in held})
-            if len(held) + len(new) > HELD_WORDS:
-                held.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 10_000):
-                for w, e in zip(new[i : i + 10_000], self.library.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)):
-                    held[w] = array("I", e.ids).tobytes()
-            parts = [held[w] for w in words]
+        if self.lower:
+            text = text.lower()
+        found = runs(text, not self.lower)
+        if found is None:
+            parts = self.words.all(self.cut.findall(text))
+        elif self.lower:
+            parts = self.runs.all(found)
+        else:
+            parts = self.words.all(self.cut.findall(found[0])) + self.runs.all(found[1:])
         return np.frombuffer(b"".join(parts), dtype=np.uint32)
 
 
