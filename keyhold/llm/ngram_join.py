@@ -143,15 +143,53 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(mix(two).view(np.int64).tolist())
 
 
-PARITY = 2048  # bits of a bitmap
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n elements: a power of two, and enough that few elements share a bit."""
+    return max(512, 1 << (4 * n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray) -> bytes:
     """Parity bits of a set: two sets differ in at least as many elements as their bitmaps do in bits."""
-    odd = np.bincount((s & U(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    m = width(len(s))
+    odd = np.bincount((s & U(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+class Bitmaps:
+    """Bitmaps by position; one of twice the width is folded, half onto half, to compare it with a smaller one."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.width = np.array([8 * len(r) for r in raw], dtype=np.int64)
+        self.rows, self.at = {}, {}
+        for w in np.unique(self.width).tolist():
+            own, twice = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            rows = np.frombuffer(b"".join(raw[i] for i in own), dtype=U).reshape(len(own), -1)
+            if len(twice):
+                wide = np.frombuffer(b"".join(raw[i] for i in twice), dtype=U).reshape(len(twice), 2, -1)
+                rows = np.concatenate((rows, wide[:, 0] ^ wide[:, 1]))
+            self.rows[w], self.at[w] = rows, np.zeros(len(raw), dtype=np.int64)
+            self.at[w][np.concatenate((own, twice))] = np.arange(len(rows))
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits those at x and y differ; widths differ by a factor of two at most."""
+        out, less = np.zeros(len(x), dtype=np.int64), np.minimum(self.width[x], self.width[y])
+        for w in np.unique(less).tolist():
+            at, rows, k = self.at[w], self.rows[w], np.flatnonzero(less == w)
+            for i in range(0, len(k), step := max(1, 1 << 27 - w.bit_length())):
+                j = k[i : i + step]
+                out[j] = np.bitwise_count(rows[at[x[j]]] ^ rows[at[y[j]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def may_link(n: np.ndarray, bits: Bitmaps, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs at x and y sizes and bitmaps don't rule out, and how far apart these are at least, as a share of
+    their sizes; exact, as neither ever rules out a pair that links."""
+    ok = np.flatnonzero(np.minimum(n[x], n[y]) * DEN >= np.maximum(n[x], n[y]) * NUM)
+    apart, both = bits.apart(x[ok], y[ok]), n[x[ok]] + n[y[ok]]
+    keep = apart * (DEN + NUM) <= both * (DEN - NUM)
+    return ok[keep], apart[keep] / both[keep]
+
+
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, n, k0, k1, bits) of each row: size, name and bitmap of its shingle set."""
     names = ["doc_id", "n", "k0", "k1", "bits"]
@@ -267,28 +305,18 @@ def _stars(index: DataFrame) -> DataFrame:
     return index.groupBy("p").applyInPandas(run, "sig long, a long, b long")
 
 
-def _may_link(na: np.ndarray, nb: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
-    """False where sizes or bitmaps rule a link out; exact, as neither ever rules out a pair that links."""
-    ok = np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM
-    apart = np.bitwise_count(bits_a[ok] ^ bits_b[ok]).sum(axis=1, dtype=np.int64)
-    ok[ok] = apart * (DEN + NUM) <= (na[ok] + nb[ok]) * (DEN - NUM)
-    return ok
-
-
-def _unpacked(bits: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), dtype=U).reshape(len(bits), PARITY // 64)
-
-
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids that sizes and bitmaps don't rule out."""
+    """(a, b, apart) of the pairs (a, b) of document ids that sizes and bitmaps don't rule out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[_may_link(b["na"].to_numpy(), b["nb"].to_numpy(), _unpacked(b["xa"]), _unpacked(b["xb"])), ["a", "b"]]
+            n, bits, k = np.concatenate((b["na"], b["nb"])), Bitmaps([*b["xa"], *b["xb"]]), np.arange(len(b))
+            at, apart = may_link(n, bits, k, k + len(b))
+            yield b[["a", "b"]].iloc[at].assign(apart=apart)
 
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"x{side}")), side)
-    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInPandas(run, "a long, b long, apart double")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -318,7 +346,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a signature with further members, may link, and whose components differ.
+    """(a, b, apart) of pairs that share a signature with further members, may link, and whose components differ.
 
     where: (k0, rep, component). Signatures whose members are all joined are dropped first. Members of the others are
     dealt out in blocks, and each two blocks meet in one task.
@@ -337,7 +365,7 @@ def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf.drop_duplicates("rep").sort_values("rep")
-        rep, n, bits = known["rep"].to_numpy(), known["n"].to_numpy(), _unpacked(known["bits"])
+        rep, n, bits = known["rep"].to_numpy(), known["n"].to_numpy(), Bitmaps(known["bits"].tolist())
         rows = np.stack([pdf[c].to_numpy() for c in ("sig", "lo", "hi", "component", "block")] + [np.searchsorted(rep, pdf["rep"].to_numpy())])
         rows = rows[:, np.lexsort((rows[5], rows[2], rows[1], rows[0]))]
         cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
@@ -356,16 +384,12 @@ def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
                 met = [np.unique(np.concatenate(met))]
                 held = len(met[0]) // 2
         met = np.unique(np.concatenate(met))
-        out = []
-        for k in range(0, len(met), 20_000):
-            x, y = np.divmod(met[k : k + 20_000], len(rep))
-            ok = _may_link(n[x], n[y], bits[x], bits[y])
-            out.append(np.stack((rep[x[ok]], rep[y[ok]]), axis=1))
-        ab = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
+        x, y = np.divmod(met, len(rep))
+        at, apart = may_link(n, bits, x, y)
+        return pd.DataFrame({"a": rep[x[at]], "b": rep[y[at]], "apart": apart})
 
     cols = ["sig", "rep", "component", "block", "lo", "hi", "n", "bits"]
-    return dealt.select(*cols, deal.alias("deal")).groupBy("deal").applyInPandas(pairs, "a long, b long").distinct()
+    return dealt.select(*cols, deal.alias("deal")).groupBy("deal").applyInPandas(pairs, "a long, b long, apart double")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -376,9 +400,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     texts, or texts without words, have no shingles and link with nothing. A null doc_id links with nothing either
     (component_id null). Ids that repeat count as one document each time. An empty table gives no rows.
 
-    Links are verified in two rounds. In the first, each set meets the one set with which it shares most signatures; in
-    the second, all other pairs that share one and aren't joined yet. Nothing is lost by skipping joined pairs, as only
-    the components are asked for.
+    Links are verified in three rounds. In the first, each set meets the one set with which it shares most signatures; in
+    the second, of two components whose sets share signatures, the two closest meet; in the third, all other pairs that
+    share one and aren't joined yet. Nothing is lost by skipping joined pairs, as only the components are asked for.
     """
     spark = docs.sparkSession
     found = written(described(docs), "sets")
@@ -389,23 +413,42 @@ def near_components(docs: DataFrame) -> DataFrame:
     stars = written(_stars(_indexed(docs, plans, partitions(spark) * 4)), "stars")
     shared = written(_named(stars.groupBy("a", "b").count(), nodes).groupBy("a", "b").agg(F.sum("count").alias("count")), "shared")
     best = shared.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first = written(plausible(best.union(_clashes(nodes)).distinct(), nodes), "pairs")
+    first = written(plausible(best.union(_clashes(nodes)).distinct(), nodes).select("a", "b"), "pairs")
     links = written(verified(first, docs), "links")
-    where = written(nodes.select("k0", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "components")
-    open_ = shared.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for side in "ab":
-        open_ = open_.join(where.select(F.col("rep").alias(side), F.col("component").alias(f"c{side}")), side)
-    second = plausible(open_.filter("ca <> cb").select("a", "b"), nodes).union(_rest(stars, nodes, where)).distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        again = written(verified(second, docs), "links")
+    where = _where(nodes, links)
+    open_ = _apart(shared.select("a", "b").join(first, ["a", "b"], "left_anti"), where)
+    found_ = plausible(open_.select("a", "b"), nodes).union(_rest(stars, nodes, where)).groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    second = written(found_.join(first, ["a", "b"], "left_anti"), "pairs")
+    for last in (False, True):
+        some = _apart(second, where)
+        if not last:
+            near = some.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("apart", "a", "b")).alias("best"))
+            some = near.select("best.a", "best.b")
+        some = written(some.select("a", "b"), "pairs")
+        if some.isEmpty():
+            break
+        again = written(verified(some, docs), "links")
+        second = second.join(some, ["a", "b"], "left_anti")
         if not again.isEmpty():
-            group = components(links.union(again)).withColumnRenamed("node", "rep")
-            where = where.drop("component").join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            links = links.union(again)
+            where = _where(nodes, links)
     member = nodes.drop("bits").join(where.select("rep", F.col("component").alias("component_id")), "rep").drop("rep")
     return _members(found.drop("bits"), member)
 
 
+def _where(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(k0, rep, component) of each node."""
+    group = components(links).withColumnRenamed("node", "rep")
+    return written(nodes.select("k0", "rep").join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "components")
+
+
+def _apart(pairs: DataFrame, where: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components (ca, cb) differ."""
+    for side in "ab":
+        pairs = pairs.join(where.select(F.col("rep").alias(side), F.col("component").alias(f"c{side}")), side)
+    return pairs.filter("ca <> cb")
+
+
 def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b, count) of keys as pairs of document ids, the smaller first."""
     for side in "ab":
