@@ -345,9 +345,26 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInPandas(test, "a long, b long")
 
 
-def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
+def spanning(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Positions of edges (a, b) of a spanning forest of least cost: each part takes its cheapest edge, until none is left."""
+    both, label = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, edge, out = label[: len(a)], label[len(a) :], np.argsort(cost, kind="stable"), [np.zeros(0, dtype=np.int64)]
+    part = np.arange(len(both))
+    while len(edge := edge[part[a[edge]] != part[b[edge]]]):
+        end = np.stack((part[a[edge]], part[b[edge]]), axis=1).ravel()
+        took = np.unique(edge[np.unique(end, return_index=True)[1] // 2])
+        for i, j in zip(a[took].tolist(), b[took].tolist()):
+            x, y = part[i], part[j]
+            if x != y:
+                part[part == max(x, y)] = min(x, y)
+        out.append(took)
+    return np.concatenate(out)
+
+
+def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame, forest: bool) -> DataFrame:
     """(a, b, apart) of pairs that share a signature with further members, may link, and whose components differ.
 
+    forest: of the pairs that meet in a task, only so many that they would join all its components, the closest ones.
     where: (k0, rep, component). Signatures whose members are all joined are dropped first. Members of the others are
     dealt out in blocks, and each two blocks meet in one task.
     """
@@ -386,6 +403,10 @@ def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
         met = np.unique(np.concatenate(met))
         x, y = np.divmod(met, len(rep))
         at, apart = may_link(n, bits, x, y)
+        if forest:
+            component = known["component"].to_numpy()
+            keep = spanning(component[x[at]], component[y[at]], apart)
+            at, apart = at[keep], apart[keep]
         return pd.DataFrame({"a": rep[x[at]], "b": rep[y[at]], "apart": apart})
 
     cols = ["sig", "rep", "component", "block", "lo", "hi", "n", "bits"]
@@ -401,8 +422,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     (component_id null). Ids that repeat count as one document each time. An empty table gives no rows.
 
     Links are verified in three rounds. In the first, each set meets the one set with which it shares most signatures; in
-    the second, of two components whose sets share signatures, the two closest meet; in the third, all other pairs that
-    share one and aren't joined yet. Nothing is lost by skipping joined pairs, as only the components are asked for.
+    the second, the closest pairs that would join the components whose sets share signatures; in the third, all other
+    pairs that share one and aren't joined yet. Nothing is lost by skipping joined pairs, as only the components are asked for.
     """
     spark = docs.sparkSession
     found = written(described(docs), "sets")
@@ -416,19 +437,15 @@ def near_components(docs: DataFrame) -> DataFrame:
     first = written(plausible(best.union(_clashes(nodes)).distinct(), nodes).select("a", "b"), "pairs")
     links = written(verified(first, docs), "links")
     where = _where(nodes, links)
-    open_ = _apart(shared.select("a", "b").join(first, ["a", "b"], "left_anti"), where)
-    found_ = plausible(open_.select("a", "b"), nodes).union(_rest(stars, nodes, where)).groupBy("a", "b").agg(F.min("apart").alias("apart"))
-    second = written(found_.join(first, ["a", "b"], "left_anti"), "pairs")
-    for last in (False, True):
-        some = _apart(second, where)
-        if not last:
-            near = some.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("apart", "a", "b")).alias("best"))
-            some = near.select("best.a", "best.b")
-        some = written(some.select("a", "b"), "pairs")
+    tested = first
+    for forest in (True, False):
+        open_ = _apart(shared.select("a", "b").join(tested, ["a", "b"], "left_anti"), where).select("a", "b")
+        some = plausible(open_, nodes).union(_rest(stars, nodes, where, forest)).select("a", "b").distinct()
+        some = written(some.join(tested, ["a", "b"], "left_anti"), "pairs")
         if some.isEmpty():
-            break
+            continue
         again = written(verified(some, docs), "links")
-        second = second.join(some, ["a", "b"], "left_anti")
+        tested = tested.union(some)
         if not again.isEmpty():
             links = links.union(again)
             where = _where(nodes, links)
