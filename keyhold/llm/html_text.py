@@ -163,13 +163,15 @@ def select(lines: list[Line]) -> list[str]:
         return []
     ratios = np.array([x.ratio for x in lines])
     smooth = smoothed(ratios)
-    chosen = [x.content and s >= t for x, s, t in zip(lines, smooth, np.full(len(lines), smooth.std()))]
+    least = smooth.std()
+    chosen = [x.content and s >= least for x, s in zip(lines, smooth)]
     articles = {x.article for x, c in zip(lines, chosen) if c and x.article}
     if articles:
         return [x.text for x in lines if x.content and x.article in articles]
+    own = {x.region for x, r in zip(lines, ratios) if x.content and r >= least}  # not by their neighbours alone
     spans: dict[int, list[int]] = {}
     for i, (x, c) in enumerate(zip(lines, chosen)):
-        if c:
+        if c and x.region in own:
             spans.setdefault(x.region, [i, i])[1] = i
     for region, span in spans.items():  # the headings right above
         while span[0] and lines[span[0] - 1].heading and lines[span[0] - 1].region == region:
