@@ -24,6 +24,7 @@ from keyhold.llm.shared import new_path, partitions, written
 from keyhold.llm.tokens import encoder
 
 AT_ONCE = 16  # blocks that a task codes side by side
+SEND = 1 << 23  # bytes of ids that a task holds before it sends them on
 MAX_VOCAB = 1 << rans.SCALE
 
 
@@ -48,18 +49,14 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = encoder(tokenizer), np.array([end_id], dtype=np.uint32)
         for b in batches:
-            raw, lo = [], 0
-            for text in b["text"].to_pylist():
-                raw.append(np.concatenate((ids_of(text), end)).astype("<u4").tobytes())
-            while lo < len(raw):
-                hi, size = lo, 0
-                while hi < len(raw) and (hi == lo or size + len(raw[hi]) < 1 << 26):
-                    size += len(raw[hi])
-                    hi += 1
-                part = raw[lo:hi]
-                cols = [pa.array([zlib.crc32(r) for r in part], pa.int64()), pa.array([len(r) // 4 for r in part], pa.int64()), pa.array(part, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), *cols], ["doc_id", "tie", "n", "ids"])
-                lo = hi
+            raw, at, size = [], 0, 0
+            for i, text in enumerate(b["text"]):
+                raw.append(np.concatenate((ids_of(text.as_py()), end)).astype("<u4").tobytes())
+                size += len(raw[-1])
+                if size > SEND or i == len(b) - 1:
+                    cols = [pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(raw, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(raw)), *cols], ["doc_id", "tie", "n", "ids"])
+                    raw, at, size = [], i + 1, 0
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, tie long, n long, ids binary")
