@@ -8,7 +8,7 @@ profile for one that isn't there. The nearest language wins.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +22,27 @@ RANKS = 300  # n-grams of a profile, and at most of a document
 MAX_N = 3  # characters of the longest n-gram; three code points fit a 63-bit code
 UNKNOWN = "und"
 MAX_LANGUAGES = 2_000  # more labels than this aren't languages; training raises ValueError
-HELD_WORDS = 300_000  # words that a task counts, or remembers the n-grams of, before it starts anew
+WORDS = 100_000  # words of a text whose n-grams are counted at a time
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def grams(word: str) -> list[int]:
-    """Codes of the n-grams of a word, which a space opens and closes; the lone space isn't one."""
-    p = [32, *map(ord, word), 32]
-    n = len(p)
-    return p[1:-1] + [p[i] << 21 | p[i + 1] for i in range(n - 1)] + [p[i] << 42 | p[i + 1] << 21 | p[i + 2] for i in range(n - 2)]
+def grams(words: list[str]) -> np.ndarray:
+    """Codes of the n-grams of all words; a space opens and closes each, and the lone space isn't one."""
+    p = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    two = p[:-1] << 21 | p[1:]
+    three = (two[:-1] << 21 | p[2:])[p[1:-1] != 32]
+    return np.concatenate((p[p != 32], two, three))
+
+
+def counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-gram codes of the words, in order, and how often each occurs."""
+    parts = [np.unique(grams(words[i : i + WORDS]), return_counts=True) for i in range(0, len(words), WORDS)]
+    return summed(parts) if len(parts) != 1 else parts[0]
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return codes, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(codes)).astype(np.int64)
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -50,10 +62,6 @@ class Profiles:
     langs: list[str]
     ranks: dict[int, tuple[int, ...]]
 
-    @property
-    def size(self) -> int:
-        return len(self.langs)
-
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of every row with a text and a label. N-grams are counted over all of them, in each task and then overall.
@@ -62,26 +70,19 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = defaultdict(Counter)
-
-        def out() -> pa.RecordBatch:
-            rows = []
-            for lang, seen in words.items():
-                total: Counter = Counter()
-                for w, n in seen.items():
-                    for g in grams(w):
-                        total[g] += n
-                rows.append((np.full(len(total), lang, dtype=object), np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), np.int64, len(total))))
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows]), k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], ["lang", "gram", "n"])
-
         for b in batches:
+            words: dict[str, list[str]] = defaultdict(list)
+            parts: dict[str, list] = defaultdict(list)
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
-                words[lang].update(_WORD.findall(text.lower()))
-            if sum(map(len, words.values())) > HELD_WORDS:
-                yield out()
-        if words:
-            yield out()
+                words[lang] += _WORD.findall(text.lower())
+                if len(words[lang]) > WORDS:
+                    parts[lang].append(counted(words.pop(lang)))
+            for lang, rest in words.items():
+                if rest:
+                    parts[lang].append(counted(rest))
+            for lang, some in parts.items():
+                codes, n = summed(some)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), lang, dtype=object), pa.string()), pa.array(codes), pa.array(n)], ["lang", "gram", "n"])
 
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).dropna()
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -97,50 +98,28 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 
 class Judge:
-    """Judges texts; remembers the n-grams of words, of at most HELD_WORDS at a time."""
+    """Judges texts."""
 
     def __init__(self, profiles: Profiles) -> None:
-        self.profiles = profiles
-        self.none = (RANKS,) * profiles.size
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-        self.ids: dict[int, int] = {}
-        self.codes = np.zeros(1 << 12, dtype=np.int64)
-        self.ranks = np.full((1 << 12, self.profiles.size), RANKS, dtype=np.int64)
-
-    def _of(self, word: str) -> np.ndarray:
-        out = []
-        for g in grams(word):
-            i = self.ids.setdefault(g, len(self.ids))
-            if i == len(self.codes):
-                self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)))
-                self.ranks = np.concatenate((self.ranks, np.full_like(self.ranks, RANKS)))
-            self.codes[i] = g
-            self.ranks[i] = self.profiles.ranks.get(g, self.none)
-            out.append(i)
-        self.words[word] = found = np.array(out, dtype=np.int64)
-        return found
+        self.langs = profiles.langs
+        self.codes = np.array(sorted(profiles.ranks), dtype=np.int64)
+        none = [(RANKS,) * len(self.langs)]
+        self.ranks = np.array([profiles.ranks[c] for c in self.codes.tolist()] + none, dtype=np.int64)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language, and 1 less the distance as a share of the greatest there can be."""
-        words = Counter(_WORD.findall((text or "").lower()))
-        if not words or not self.profiles.size:
+        words = _WORD.findall((text or "").lower())
+        if not words or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.words) + len(words) > HELD_WORDS:
-            self._forget()
-        known = self.words
-        each = [known[w] if w in known else self._of(w) for w in words]
-        ids = np.concatenate(each)
-        counts = np.bincount(ids, weights=np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(x) for x in each]))
-        seen = np.flatnonzero(counts)
-        order = seen[ranked(self.codes[seen], counts[seen], RANKS)]
-        away = np.abs(self.ranks[order] - np.arange(len(order))[:, None])
-        away[self.ranks[order] == RANKS] = RANKS
+        codes, counts = counted(words)
+        top = codes[ranked(codes, counts, RANKS)]
+        at = np.searchsorted(self.codes, top)
+        at[at < len(self.codes)] = np.where(self.codes[at[at < len(self.codes)]] == top[at < len(self.codes)], at[at < len(self.codes)], len(self.codes))
+        ranks = self.ranks[at]
+        away = np.where(ranks == RANKS, RANKS, np.abs(ranks - np.arange(len(top))[:, None]))
         total = away.sum(axis=0)
         best = int(np.argmin(total))
-        return self.profiles.langs[best], float(1 - total[best] / (RANKS * len(order)))
+        return self.langs[best], float(1 - total[best] / (RANKS * len(top)))
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
