@@ -12,7 +12,9 @@ import codecs
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,13 @@ class Transducer:
         self.made = {a + b: (i, (a, b)) for i, (a, b) in enumerate(merges)}
         self.twofold = len(self.made) < len(merges)
         self.lookahead = max(self.size.values(), default=1)
+        lengths: dict[str, set[int]] = {}
+        for t in vocab:
+            end = suffix if suffix and t.endswith(suffix) and len(t) > len(suffix) else ""
+            body = t[: len(t) - len(end)]
+            if len(body) > 1:
+                lengths.setdefault(body[-2:] + end, set()).add(len(body))
+        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in lengths.items()}  # of tokens, by their last two symbols
         self._fits: dict[tuple[str, str], bool] = {}
         self._own: dict[str, bool] = {}
 
@@ -112,17 +121,23 @@ class Transducer:
         """The tokens of one word that comes in character by character; what is held doesn't grow with the word."""
         held, last, ahead = "", [""], iter(chars)  # last[i]: last token of the first i held symbols
         left = ""  # what was emitted before them
+        vocab, lengths, own, fits = self.vocab, self.lengths, self._own, self._fits
         now = next(ahead, None)
         while now is not None:
             nxt = next(ahead, None)
             held += now
             end = self.suffix if nxt is None else ""
             i = len(held)
-            for n in range(min(i, self.lookahead), 0, -1):
-                t = held[i - n : i] + end
-                if t in self.vocab and self.own(t):
-                    before = last[i - n] or left
-                    if last[i - n] is not None and (not before or self.fits(before, t)):
+            for n in lengths.get(held[-2:] + end, (1,)):
+                if n > i or (before := last[i - n]) is None:
+                    continue
+                t = held[i - n :] + end
+                good = own.get(t)
+                if good or good is None and t in vocab and self.own(t):
+                    before = before or left
+                    if before and (apart := fits.get((before, t))) is None:
+                        apart = self.fits(before, t)
+                    if not before or apart:
                         last.append(t)
                         break
             else:
@@ -188,11 +203,13 @@ class Codec:
 
     def _word(self, word: str) -> bytes:
         symbols = word if word.isascii() and word.isprintable() and " " not in word else (self.chars[b] for b in word.encode("utf-8", "surrogatepass"))
-        return np.array([self.transducer.vocab[t] for t in self.transducer.tokens(symbols)], dtype="<u4").tobytes()
+        return array("I", map(self.transducer.vocab.__getitem__, self.transducer.tokens(symbols))).tobytes()
 
     def _of_runs(self, found: list[str]) -> Iterator[bytes]:
         space = "" if self.lower else " "
-        return (b"".join(self.words.all(self.cut.findall(space + r))) for r in found)
+        cut = [[space + r] if r.isalpha() else self.cut.findall(space + r) for r in found]
+        each = iter(self.words.all([w for ws in cut for w in ws]))
+        return (b"".join(islice(each, len(ws))) for ws in cut)
 
     def _parts(self, text: str) -> Iterator[bytes]:
         for i, part in enumerate(self.at_special.split(text) if self.at_special else [text]):
