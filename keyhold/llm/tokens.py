@@ -33,22 +33,20 @@ class Held:
 
     def all(self, words: list[str]) -> list[bytes]:
         """What each word comes to; ``make`` gives it for those that aren't held."""
-        parts = list(map(self.young.get, words))
-        if None in parts:
-            found = self._found({w for w, p in zip(words, parts) if p is None})
-            parts = [found[w] if p is None else p for w, p in zip(words, parts)]
-        return parts
-
-    def _found(self, missing: set[str]) -> dict[str, bytes]:
-        found = {w: self.old[w] for w in missing if w in self.old}
-        new = [w for w in missing if w not in found]
+        missing = set(words).difference(self.young)
+        if missing:
+            if len(self.young) + len(missing) > self.most:
+                self.young, self.old = {}, self.young
+                missing = set(words)
+            self._find(missing)
+        return list(map(self.young.__getitem__, words))
+
+    def _find(self, missing: set[str]) -> None:
+        found = {w: self.old[w] for w in missing if w in self.old} if self.old else {}
+        new = [w for w in missing if w not in found] if found else list(missing)
+        self.young.update(found)
         for i in range(0, len(new), 10_000):
-            found.update(zip(new[i : i + 10_000], self.make(new[i : i + 10_000])))
-        if len(self.young) + len(found) > self.most:
-            self.young, self.old = {}, self.young
-        if len(found) <= self.most:
-            self.young.update(found)
-        return found
+            self.young.update(zip(new[i : i + 10_000], self.make(new[i : i + 10_000])))
 
 
 def runs(text: str, byte_level: bool) -> list[str] | None:
@@ -74,15 +72,47 @@ class Encoder:
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         kind, self.cut = _words(spec)
         self.lower = kind == "lower"
+        vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        most = 1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
+        self.size, self.closes = np.zeros(most, dtype=np.int64), np.zeros(most, dtype=bool)  # bytes of a token; whether it ends a word
+        for t, i in vocab.items():
+            self.size[i], self.closes[i] = len(t), bool(suffix) and t.endswith(suffix)
         self.words = Held(self._of_words)
         self.runs = Held(self._of_runs)  # byte-level: of runs after a space
 
     def _of_words(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        """Words in one text cost the library far less than words by themselves; those that such a text would cut
+        otherwise, or whose ids don't end where the word does, are encoded by themselves."""
+        joint = [self.lower or (w[0] == " " and len(w) > 1 and not w[1].isspace()) for w in words]
+        together = [w for w, ok in zip(words, joint) if ok]
+        parts = self._together(together) if together else []
+        if parts is None:
+            joint, parts = [False] * len(words), []
+        alone = [w for w, ok in zip(words, joint) if not ok]
+        each = [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(alone, add_special_tokens=False)] if alone else []
+        one, other = iter(parts), iter(each)
+        return [next(one) if ok else next(other) for ok in joint]
+
+    def _together(self, words: list[str]) -> list[bytes] | None:
+        text = (" " if self.lower else "").join(words)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        if self.lower:
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(words) or ends[-1] != len(ids):
+                return None
+        else:
+            size = np.cumsum(self.size[ids])
+            want = np.cumsum([len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in words])
+            ends = np.searchsorted(size, want)
+            if size[-1] != want[-1] or (size[ends] != want).any():
+                return None
+            ends += 1
+        raw, ends = ids.tobytes(), (ends * 4).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
     def _of_runs(self, found: list[str]) -> Iterator[bytes]:
         space = "" if self.lower else " "
-        cut = [self.cut.findall(space + r) for r in found]
+        cut = [[space + r] if r.isalpha() else self.cut.findall(space + r) for r in found]
         each = iter(self.words.all([w for ws in cut for w in ws]))
         return (b"".join(islice(each, len(ws))) for ws in cut)
 
