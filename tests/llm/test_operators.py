@@ -211,6 +211,19 @@ def test_transducer(first, word, data):
     assert list(t.tokens(word)) == t.merged(list(word))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab'sRé0.- \n\tßЖ", max_size=30), max_size=6))
+def test_joined_words(texts):
+    """Words that are encoded in one text come out as by themselves, in the transducer as in the library."""
+    for path in (queries.WORD_TOKENIZER, queries.BYTE_TOKENIZER):
+        fast, own = tokens.Encoder.__new__(tokens.Encoder), bpe.codec(path)
+        fast.__dict__.update(tokens.encoder(path).__dict__)
+        fast.words, fast.runs = tokens.Held(fast._of_words, 5), tokens.Held(fast._of_runs, 5)  # forgets soon
+        for t in texts:
+            ids = fast.library.encode(t, add_special_tokens=False).ids
+            assert fast(t).tolist() == ids == own.encode(t).tolist(), t
+
+
 def test_bpe_rows(spark):
     library = Tokenizer.from_file(queries.WORD_TOKENIZER)
     for r in bpe.round_trip(odd(spark).filter("doc_id <> 3"), queries.WORD_TOKENIZER).collect():
