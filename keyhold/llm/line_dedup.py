@@ -1,16 +1,17 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by passages, or by content-defined chunks.
 
-A text's lines are cut into chunks where a rolling hash over the last lines says so: what stands before a passage doesn't
-move the boundaries inside it. Chunks of several lines that occur again anywhere are compared as bytes, and only the
-first one stays.
+Passages: each two successive lines with text, and each line of many words, is looked for everywhere, so a repeated run
+is found whole wherever it begins and ends, whatever stands around it. Chunks: a text's lines are cut where a rolling
+hash over the last lines says so; fewer pieces, but a run shorter than a chunk isn't seen, and its edges stay. Pieces
+that occur again anywhere are compared as bytes, and only the first one stays.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from keyhold.llm.shared import written
 
 ROLL = 2  # lines under the rolling hash, and the fewest of a chunk that ends at a boundary
 EVERY = 2  # one place in so many is a boundary
+WORDS = 50  # a line of more words than these is a passage of its own
+HOT_SHARE = 1000  # pieces with more than this share of all places are joined by broadcast: fewer than so many, none fills a task
 _ODD = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
@@ -40,93 +43,121 @@ def chunks(lines: list[str], roll: int = ROLL, every: int = EVERY) -> list[tuple
     return out
 
 
-def _digest(content: str) -> bytes:
-    return hashlib.sha256(content.encode("utf-8", "surrogatepass")).digest()
+def long_chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """(first, end) of each chunk of several lines."""
+    return [(lo, hi) for lo, hi in chunks(lines) if hi - lo > 1]
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """(digest, owner) of each chunk of several lines that occurs more than once: the smallest id that has it.
+def passages(lines: list[str], words: int = WORDS) -> list[tuple[int, int]]:
+    """(first, end) of each two successive lines with text, with the blank ones between, and of each line of more than
+    ``words`` words. Every run of two or more lines with text is made of these; they overlap."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return [*((i, j + 1) for i, j in zip(full, full[1:])), *((i, i + 1) for i in full if len(lines[i]) > words and len(lines[i].split()) > words)]
 
-    Copies are combined in the map task, by digest and whole content, so a chunk that many rows share moves once a task;
-    digest and content decide together, so equal means equal byte by byte. A digest that stands for two contents is left
-    out, and neither is ever removed.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, content = [], []
-            for i, text in enumerate(b["text"].to_pylist()):
-                lines = (text or "").split("\n")
-                for lo, hi in chunks(lines):
-                    if hi - lo > 1:
-                        doc.append(i)
-                        content.append("\n".join(lines[lo:hi]))
-            for lo in range(0, len(doc), 5_000):
-                part = content[lo : lo + 5_000]
-                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(doc[lo : lo + 5_000])), pa.array([_digest(c) for c in part], pa.binary()), pa.array(part, pa.string())], ["id", "digest", "content"])
+Cut = Callable[[list[str]], list[tuple[int, int]]]
+
+
+def _digest(content: str) -> bytes:
+    return hashlib.sha256(content.encode("utf-8", "surrogatepass")).digest()
 
-    found = rows.select("id", "text").mapInArrow(run, "id long, digest binary, content string")
-    same = found.groupBy("digest", "content").agg(F.min("id").alias("owner"), F.count("*").alias("copies"))
-    return same.groupBy("digest").agg(F.first("owner").alias("owner"), F.sum("copies").alias("copies"), F.count("*").alias("contents")).filter("copies > 1 AND contents = 1").select("digest", "owner")
 
+def _pieces(text: str | None, cut: Cut) -> list[tuple[bytes, int, int]]:
+    lines = (text or "").split("\n")
+    return [(_digest("\n".join(lines[lo:hi])), lo, hi) for lo, hi in cut(lines)]
 
-def _places(rows: DataFrame) -> DataFrame:
-    """(row, id, digest) of each chunk of several lines, once a row."""
+
+def _places(rows: DataFrame, cut: Cut) -> DataFrame:
+    """(id, digest, copies) of each piece, once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, digest = [], []
+            doc, digest, copies = [], [], []
             for i, text in enumerate(b["text"].to_pylist()):
-                lines = (text or "").split("\n")
-                own = {_digest("\n".join(lines[lo:hi])) for lo, hi in chunks(lines) if hi - lo > 1}
+                own = Counter(d for d, _, _ in _pieces(text, cut))
                 doc += [i] * len(own)
-                digest += own
+                digest += own.keys()
+                copies += own.values()
             at = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["id"].take(at), pa.array(digest, pa.binary())], ["id", "digest"])
+            yield pa.RecordBatch.from_arrays([b["id"].take(at), pa.array(digest, pa.binary()), pa.array(copies, pa.int64())], ["id", "digest", "copies"])
+
+    return rows.select("id", "text").mapInArrow(run, "id long, digest binary, copies long")
 
-    return rows.select("id", "text").mapInArrow(run, "id long, digest binary")
 
+def _hits(places: DataFrame) -> DataFrame:
+    """(id, digest, other) of each place of a piece that occurs more than once; other: the smallest id that has it isn't this."""
+    shared = written(places.groupBy("digest").agg(F.min("id").alias("owner"), F.sum("copies").alias("copies"), F.count("*").alias("places")).filter("copies > 1"), "shared")
+    most = max(1, (shared.agg(F.sum("places")).first()[0] or 0) // HOT_SHARE)
+    hot, cold = (shared.filter(x).select("digest", "owner") for x in (f"places > {most}", f"places <= {most}"))
+    near = places.join(F.broadcast(hot), "digest")
+    far = places.join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest")
+    return near.unionByName(far).select("id", "digest", (~F.coalesce(F.col("id") == F.col("owner"), F.col("owner").isNull())).alias("other"))
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with the text without repeated chunks, n_lines (as it was), n_removed (lines) and
+
+def _clashes(joined: DataFrame, text_col: str, cut: Cut) -> list[bytes]:
+    """The digests of repeated pieces that stand for two contents. Digest and content decide together, so equal means equal
+    byte by byte; copies are combined in the map task, so a piece that many rows share moves once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digest, content = [], []
+            for text, shared in zip(b["text"].to_pylist(), b["_shared"].to_pylist()):
+                shared, lines = set(shared), text.split("\n")
+                own = {d: "\n".join(lines[lo:hi]) for d, lo, hi in _pieces(text, cut) if d in shared} if shared else {}
+                digest += own.keys()
+                content += own.values()
+            for lo in range(0, len(digest), 5_000):
+                yield pa.RecordBatch.from_arrays([pa.array(digest[lo : lo + 5_000], pa.binary()), pa.array(content[lo : lo + 5_000], pa.string())], ["digest", "content"])
+
+    rows = joined.filter("_shared IS NOT NULL").select(F.col(f"`{text_col}`").alias("text"), "_shared").filter("text IS NOT NULL")
+    same = rows.mapInArrow(run, "digest binary, content string").distinct()
+    return [bytes(r.digest) for r in same.groupBy("digest").count().filter("count > 1").collect()]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: Cut = long_chunks) -> DataFrame:
+    """The rows of ``docs``, all columns, with the text without repeated pieces, n_lines (as it was), n_removed (lines) and
     spans (of the removed lines: first, end).
 
-    Of equal chunks of at least two lines, the one in the row with the smallest id stays, there the first. Lines outside
-    of such chunks stay even if they repeat. A null text stays null and has no lines; an empty one has one empty line. A
+    cut: ``passages`` or ``long_chunks``. Of equal pieces, the one in the row with the smallest id stays, there the first,
+    except for lines of it that repeat with others that stand before it; each line stays where it occurs first. Lines
+    outside of such pieces stay even if they repeat. A null text stays null and has no lines; an empty one has one empty line. A
     row with a null id gives way to any other, and where all are such, or an id repeats, each of these rows keeps its first copy.
     Columns named n_lines, n_removed and spans are replaced. An empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "spans")]
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    shared = written(_shared(rows), "chunks")
     # copies in other rows than the owner's; within a row, repeats are seen when its text is cut
-    hits = _places(rows).join(shared, "digest").select("id", "digest", (~F.coalesce(F.col("id") == F.col("owner"), F.col("owner").isNull())).alias("other"))
-    lost = hits.groupBy("id").agg(F.collect_set("digest").alias("_shared"), F.collect_set(F.when(F.col("other"), F.col("digest"))).alias("_other"))
+    hits = _hits(written(_places(rows, cut), "places"))
+    lost = written(hits.groupBy("id").agg(F.collect_set("digest").alias("_shared"), F.collect_set(F.when(F.col("other"), F.col("digest"))).alias("_other")), "lost")
     joined = docs.select(*own).join(lost.withColumnRenamed("id", "_id"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    clash = set(_clashes(joined, text_col, cut))  # neither is ever removed
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
         for b in batches:
-            out = [_cut(t, set(s or ()), set(o or ())) for t, s, o in zip(b[text_col].to_pylist(), b["_shared"].to_pylist(), b["_other"].to_pylist())]
+            out = [_cut(t, set(s or ()) - clash, set(o or ()), cut) for t, s, o in zip(b[text_col].to_pylist(), b["_shared"].to_pylist(), b["_other"].to_pylist())]
             text, *rest = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*[text if c == text_col else b[c] for c in own], *rest], [*own, "n_lines", "n_removed", "spans"])
 
     return joined.mapInArrow(run, schema)
 
 
-def _cut(text: str | None, shared: set[bytes], other: set[bytes]) -> tuple[str | None, int, int, list[tuple[int, int]]]:
+def _cut(text: str | None, shared: set[bytes], other: set[bytes], cut: Cut) -> tuple[str | None, int, int, list[tuple[int, int]]]:
     if text is None:
         return None, 0, 0, []
-    lines, kept, spans, seen = text.split("\n"), [], [], set()
+    lines, seen, gone = text.split("\n"), {}, set()
     if not shared:
         return text, len(lines), 0, []
-    for lo, hi in chunks(lines):
-        if hi - lo > 1 and (d := _digest("\n".join(lines[lo:hi]))) in shared:
-            if d in other or d in seen:
-                spans.append((lo, hi))
-                continue
-            seen.add(d)
-        kept += lines[lo:hi]
-    return "\n".join(kept), len(lines), len(lines) - len(kept), spans
+    for d, lo, hi in _pieces(text, cut):
+        # a piece that overlaps its own first copy isn't another one
+        if d in shared and (d in other or seen.setdefault(d, hi) <= lo):
+            gone.update(range(lo, hi))
+    spans: list[tuple[int, int]] = []
+    for i in sorted(gone):
+        if spans and spans[-1][1] == i:
+            spans[-1] = spans[-1][0], i + 1
+        else:
+            spans.append((i, i + 1))
+    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone), spans

@@ -34,7 +34,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), cut=line_dedup.passages)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", F.char_length(text).cast("long").alias("n_chars"), F.sha2(F.encode(text, "utf-8"), 256).alias("text_sha256"))
 

@@ -105,6 +105,25 @@ def test_lines_odd(spark):
     assert line_dedup.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_passages(spark, n):
+    """Short passages go whole from all documents but the first, whatever stands around them; single short lines stay."""
+    rng = random.Random(n)
+    line = lambda k=9: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(10**6)) for _ in range(k))
+    passage = [line(51 if n == 1 else 9) for _ in range(n)]
+    if n == 4:
+        passage.insert(2, "")
+    rows, want = [], []
+    for i in range(24):
+        before, after = ([line() for _ in range(rng.randint(0, 6))] for _ in range(2))
+        before = ["A short line", "", line(), *before]
+        rows.append((i, "\n".join([*before, *passage, *after, *(passage if i == 0 else [])])))
+        want.append("\n".join([*before, *(passage if i == 0 else []), *after]))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cut=line_dedup.passages).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == want
+    assert all(r.n_removed == sum(s.end - s.first for s in r.spans) for r in got)
+
+
 # 4: packing
 
 
