@@ -2,7 +2,8 @@
 
 A pass gives each vector a key, the signs of its products with random directions in a row, and sorts by it: vectors at a
 small angle mostly agree in their first signs and so come to lie close together. Each is compared with a bounded number
-of neighbours, in double precision, and the pairs found in all passes are joined to components. Links within a component
+of neighbours, in double precision. Where more vectors share their first signs than that, as in a cluster, all of them
+are compared with each other, in blocks. The pairs found in all passes are joined to components. Links within a component
 are then counted exactly, in blocks.
 """
 
@@ -29,17 +30,24 @@ BITS = 64  # signs of a key
 NEIGHBOURS = 32  # that follow a vector in the order and are compared with it
 MISS = 0.001  # share of pairs at the threshold itself that may be met in no pass
 AT_ONCE = 4  # passes in one shuffle
+CROWD_BLOCK = 1024  # vectors of a crowded prefix that are compared with each other at a time
+HOT_SHARE = 1000  # prefixes with more than this share of a pass are joined by broadcast
 BLOCK = 128  # vectors of a component that are counted against each other at a time
 
 
+def prefix_bits(vectors: int, neighbours: int = NEIGHBOURS) -> int:
+    """The first signs whose agreement makes a pair meet: as many as leave ``neighbours`` vectors each, were they even."""
+    return min(BITS, max(0, math.ceil(math.log2(max(1, vectors) / neighbours))))
+
+
 def passes(vectors: int, cosine: float = COSINE, neighbours: int = NEIGHBOURS, miss: float = MISS) -> int:
     """So many that a pair at the threshold is missed by all with probability ``miss``, whatever the number of vectors.
 
-    A pass meets a pair if the signs agree until no more than ``neighbours`` vectors share them.
+    A pass meets each pair that shares its prefix, wherever the other vectors lie: in the window, or where the prefix is
+    crowded, in blocks.
     """
     agree = 1 - math.acos(cosine) / math.pi
-    depth = max(0.0, math.log2(max(1, vectors) / neighbours))
-    met = agree**depth
+    met = agree ** prefix_bits(vectors, neighbours)
     return 1 if met >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-met)))
 
 
@@ -183,6 +191,64 @@ def _across(found: DataFrame, kind: str, cosine: float, neighbours: int) -> Data
     return border.groupBy("border").applyInPandas(run, "node long, other long")
 
 
+def _prefixes(nodes: DataFrame, numbers: list[int], bits: int, kind: str) -> DataFrame:
+    """(pass, dim, prefix, node): the first ``bits`` signs of each vector's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b["vec"].to_pylist()
+            size = np.array([len(r) for r in raw])
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                unit, node = units([raw[i] for i in at], kind), b["node"].take(pa.array(at))
+                for p in numbers:
+                    cut = [(int.from_bytes(k, "big") >> BITS - bits).to_bytes(BITS // 8, "big") for k in keys(unit, p)]
+                    cols = [pa.array(np.full(len(at), v)) for v in (p, n)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.binary()), node], ["pass", "dim", "prefix", "node"])
+
+    return nodes.select("node", "vec").mapInArrow(run, "pass long, dim long, prefix binary, node long")
+
+
+def _crowded(nodes: DataFrame, numbers: list[int], bits: int, kind: str, cosine: float, neighbours: int) -> DataFrame | None:
+    """Links (node, other) of vectors that share a prefix with more others than the window has places, thinned in each task.
+
+    The vectors of a prefix are dealt out in blocks, and each two blocks meet in one task.
+    """
+    key = ["pass", "dim", "prefix"]
+    placed = written(_prefixes(nodes, numbers, bits, kind), "prefixes")
+    counts = placed.groupBy(*key).agg(F.count("*").alias("size")).filter(F.col("size") > neighbours + 1)
+    counts = written(counts.withColumn("blocks", F.ceil(F.col("size") / CROWD_BLOCK).cast("int")).withColumn("crowd", F.monotonically_increasing_id()), "crowds")
+    total, moved = counts.agg(F.sum("size"), F.sum(F.col("size") * F.col("blocks"))).first()
+    if not total:
+        return None
+    most = max(neighbours + 1, total // len(numbers) // HOT_SHARE)
+    hot, cold = counts.filter(F.col("size") > most), counts.filter(F.col("size") <= most)
+    near = placed.join(F.broadcast(hot), key)
+    far = placed.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key)
+    dealt = near.unionByName(far).select("crowd", "blocks", "node").join(nodes.select("node", "vec"), "node")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "crowd"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
+    tasks = max(64 * partitions(nodes.sparkSession), moved // (4 * CROWD_BLOCK))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        stars, found = _Stars(), []
+        for (_, lo, hi), g in pdf.groupby(["crowd", "lo", "hi"], sort=False):
+            node, first = g["node"].to_numpy(), (g["block"] == lo).to_numpy()
+            x = units(g["vec"].tolist(), kind)
+            i, j = np.flatnonzero(first), np.flatnonzero(first if lo == hi else ~first)
+            # the matrix product differs from the product by product in its last digits only
+            a, b = np.nonzero(x[i] @ x[j].T >= cosine - 1e-9)
+            a, b = i[a], j[b]
+            for at in range(0, len(a), 1 << 16):
+                p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                ok = (p != q) & (np.einsum("ij,ij->i", x[p], x[q]) >= cosine)
+                found += [(s, t) for s, t in zip(node[p[ok]].tolist(), node[q[ok]].tolist()) if stars.join(s, t)]
+        return pd.DataFrame(found, columns=["node", "other"], dtype="int64")
+
+    deal = F.pmod(F.xxhash64("crowd", "lo", "hi"), F.lit(tasks))
+    return dealt.select("crowd", "lo", "hi", "block", "node", "vec", deal.alias("deal")).groupBy("deal").applyInPandas(run, "node long, other long")
+
+
 def _counted(members: DataFrame, kind: str, cosine: float) -> DataFrame:
     """(node, links): rows linked to each node of a component (component, dim, node, n, vec), exactly, its own copies left out.
 
@@ -238,6 +304,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         found = written(_swept(_keyed(nodes, numbers[i : i + AT_ONCE], kind), parts, kind, cosine, neighbours), "pass")
         new = found.filter("side = 0").select("node", "other").union(_across(found, kind, cosine, neighbours))
         links = new if links is None else links.union(new)
+    if (crowded := _crowded(nodes, numbers, prefix_bits(total, neighbours), kind, cosine, neighbours)) is not None:
+        links = links.union(written(crowded, "crowded"))
     group = written(components(links.select(F.col("node").alias("a"), F.col("other").alias("b"))), "components")
     members = written(nodes.join(group, "node").select("component", "node", "rep", "n", "vec"), "members")
     least = members.groupBy("component").agg(F.min("rep").alias("component_id"))

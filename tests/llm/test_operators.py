@@ -279,6 +279,26 @@ def test_vectors(spark, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def clustered(seed, size, pairs, dim=64, mutual=0.88, cosine=0.955):
+    """Vectors around one centre, and others close to the first of them: pairs (i, size + i)."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(dim))
+    x = unit(np.sqrt(mutual) * centre + np.sqrt(1 - mutual) * unit(rng.standard_normal((size, dim))))
+    noise = rng.standard_normal((pairs, dim))
+    noise = unit(noise - (noise * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    return np.concatenate((x, cosine * x[:pairs] + np.sqrt(1 - cosine**2) * noise))
+
+
+def test_vectors_clustered(spark, monkeypatch):
+    """Pairs in a crowd of like vectors are met as well."""
+    monkeypatch.setattr(embedding_dedup, "CROWD_BLOCK", 700)
+    x = np.concatenate((clustered(3, 3000, 300), np.random.default_rng(9).standard_normal((3000, 64))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(df).collect()}
+    assert sum(got[i] == got[3000 + i] for i in range(300)) >= 297
+
+
 # 9: pages
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="wide-menu"><header><h1>Site</h1></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
