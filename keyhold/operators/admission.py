@@ -74,17 +74,28 @@ def _first_span(sighted: DataFrame, span: int | None) -> DataFrame:
     return dealt.mapInPandas(fold, schema)
 
 
-def _ordered_fold(sighted: DataFrame, config: WindowConfig) -> DataFrame:
+def departures(sighted: DataFrame, config: WindowConfig) -> DataFrame:
+    """The sightings with ``admitted``, and how many keys each makes leave: ``expired`` by age, ``evicted`` for want of room.
+
+    Needs a capacity. Columns of these names are replaced.
+    """
+    return _ordered_fold(sighted.drop("expired", "evicted"), config, True)
+
+
+def _ordered_fold(sighted: DataFrame, config: WindowConfig, leave: bool = False) -> DataFrame:
     span, capacity, policy = config.span_us, config.capacity, config.policy
-    schema = T.StructType([*sighted.schema.fields, T.StructField("admitted", T.BooleanType())])
+    gone = [T.StructField(c, T.LongType()) for c in ("expired", "evicted")] if leave else []
+    schema = T.StructType([*sighted.schema.fields, T.StructField("admitted", T.BooleanType()), *gone])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: OrderedDict[str, int] = OrderedDict()  # anchors, oldest first
         for b in batches:
             out = np.zeros(len(b), dtype=bool)
+            expired, evicted = np.zeros((2, len(b)), dtype=np.int64)
             for i, (key, t) in enumerate(zip(b["key"].to_numpy(), b["t"].to_numpy().tolist())):
                 while span is not None and held and t - next(iter(held.values())) > span:
                     held.popitem(last=False)
+                    expired[i] += 1
                 if key in held:
                     if policy == "last":
                         held[key] = t
@@ -94,8 +105,9 @@ def _ordered_fold(sighted: DataFrame, config: WindowConfig) -> DataFrame:
                     if policy == "refuse":
                         continue
                     held.popitem(last=False)
+                    evicted[i] = 1
                 held[key], out[i] = t, True
-            yield b.assign(admitted=out)
+            yield b.assign(admitted=out, **({"expired": expired, "evicted": evicted} if leave else {}))
 
     return sighted.repartition(1).sortWithinPartitions("t", "tie").mapInPandas(fold, schema)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyhold.config import WindowConfig
-from keyhold.operators.admission import admit
+from keyhold.operators.admission import admit, departures
 
 
 def snapshot(sighted: DataFrame, config: WindowConfig, now: int | None = None) -> DataFrame:
@@ -60,18 +60,30 @@ def retained_keys(held: DataFrame) -> DataFrame:
     return held.orderBy("anchor", "tie").select("key")
 
 
-def stats(sighted: DataFrame, config: WindowConfig) -> DataFrame:
-    """One row: span, capacity, retained, admitted, expired (by age), evicted (for want of room), repeats.
+def counted(sighted: DataFrame, config: WindowConfig, new: Column | None = None) -> DataFrame:
+    """One row: retained, admitted, expired (by age), evicted (for want of room), repeats; admitted and repeats of rows that are ``new``.
 
-    Without a capacity nothing is evicted, so what was admitted and isn't retained has expired. With one, the two are
-    told apart by the number of later admissions that the key outlived.
+    With one bound, what was admitted and isn't retained has left by that. With both, the fold tells why each key leaves.
     """
-    marked = admit(sighted, config)
-    seen = marked.agg(F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("repeats"))
-    kept = snapshot(sighted, config).agg(F.count("*").alias("retained"))
-    out = seen.crossJoin(kept).withColumn("gone", F.col("admitted") - F.col("retained"))
-    if config.capacity is None or config.policy == "refuse":
-        return out.select(F.lit(config.span_us).cast("long").alias("span"), F.lit(config.capacity).cast("long").alias("capacity"), "retained", "admitted", F.col("gone").alias("expired"), F.lit(0).cast("long").alias("evicted"), "repeats")
-    if config.span_us is None:
-        return out.select(F.lit(None).cast("long").alias("span"), F.lit(config.capacity).cast("long").alias("capacity"), "retained", "admitted", F.lit(0).cast("long").alias("expired"), F.col("gone").alias("evicted"), "repeats")
-    raise ValueError("with both a span and a capacity, count what goes with the streaming window, which sees each key leave")
+    new = F.lit(True) if new is None else new
+    own = [F.count_if(F.col("admitted") & new).alias("admitted"), F.count_if(~F.col("admitted") & new).alias("repeats"), F.count_if("admitted").alias("all")]
+    if config.capacity is not None and config.span_us is not None and config.policy != "refuse":
+        left = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expired", "evicted")]
+        out = departures(sighted, config).agg(*own, *left).withColumn("retained", F.col("all") - F.col("expired") - F.col("evicted"))
+    else:
+        out = admit(sighted, config).agg(*own).crossJoin(snapshot(sighted, config).agg(F.count("*").alias("retained")))
+        by_room = config.span_us is None and config.policy != "refuse"
+        gone, none = F.col("all") - F.col("retained"), F.lit(0).cast("long")
+        out = out.withColumns({"expired": none if by_room else gone, "evicted": gone if by_room else none})
+    return out.select("retained", "admitted", "expired", "evicted", "repeats")
+
+
+def stats(sighted: DataFrame, config: WindowConfig) -> DataFrame:
+    """One row: span, capacity, retained, admitted, expired (by age), evicted (for want of room), repeats."""
+    return described(counted(sighted, config), config)
+
+
+def described(counts: DataFrame, config: WindowConfig) -> DataFrame:
+    """The counts with the window's bounds before them."""
+    bounds = [F.lit(config.span_us).cast("long").alias("span"), F.lit(config.capacity).cast("long").alias("capacity")]
+    return counts.select(*bounds, "retained", "admitted", "expired", "evicted", "repeats")

@@ -68,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "keys_snapshot": _keys,
     "stats_span": _stats("first", HOUR, None),
     "stats_capacity": _stats("last", None, 120),
+    "stats_span_capacity": _stats("first", DAY, 120),
 }
 
 EV = "ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) i, event_id row_id, epoch_us(ts) t, user_id::VARCHAR k FROM events)"
@@ -103,6 +104,18 @@ def capped_sql(table: str, span: int, cap: int, refuse: bool) -> str:
  adm AS (SELECT i FROM r WHERE adm) {MARK}"""
 
 
+def stats_capped_sql(table: str, span: int, cap: int) -> str:
+    """``first`` with both bounds; x: keys too old at this sighting, v: keys dropped for want of room."""
+    kept = lambda x: f"{x}[greatest(1, len({x}) - {cap} + 2):]"
+    return f"""WITH RECURSIVE {table}, r AS (SELECT i, k, true adm, [k] ks, [t] tt, 0 x, 0 v FROM ev WHERE i = 1 UNION ALL
+ SELECT i, k, adm, CASE WHEN adm THEN list_append({kept('ks2')}, k) ELSE ks2 END, CASE WHEN adm THEN list_append({kept('tt2')}, t) ELSE tt2 END,
+  x, CASE WHEN adm AND len(ks2) >= {cap} THEN 1 ELSE 0 END
+ FROM (SELECT e.i, e.k, e.t, NOT list_contains(r.ks[p:], e.k) adm, r.ks[p:] ks2, r.tt[p:] tt2, p - 1 x
+  FROM (SELECT r.*, 1 + len(list_filter(r.tt, lambda x: e.t - x > {span})) p FROM r JOIN ev e ON e.i = r.i + 1) r JOIN ev e ON e.i = r.i + 1))
+ SELECT {span}::BIGINT AS span, {cap}::BIGINT AS capacity, (SELECT len(ks) FROM r ORDER BY i DESC LIMIT 1)::BIGINT AS retained, count(*) FILTER (adm)::BIGINT AS admitted,
+ sum(x)::BIGINT AS expired, sum(v)::BIGINT AS evicted, count(*) FILTER (NOT adm)::BIGINT AS repeats FROM r"""
+
+
 _ALL_HELD = "l AS (SELECT user_id::VARCHAR AS key, max(epoch_us(ts)) anchor, max_by(event_id, ts) tie FROM events GROUP BY 1)"
 _NOW_HELD = f"{_ALL_HELD}, held AS (SELECT * FROM l WHERE (SELECT max(epoch_us(ts)) FROM events) - anchor <= {DAY})"
 _ADM1 = first_sql(EV, HOUR)
@@ -128,4 +141,5 @@ ORACLE: dict[str, str] = {
     "stats_capacity": f"""WITH m AS ({last_cap_sql(EV, 10**18, 120)}), k AS (SELECT least(120, count(DISTINCT key)) n FROM m)
  SELECT NULL::BIGINT AS span, 120::BIGINT AS capacity, (SELECT n FROM k)::BIGINT AS retained, count(*) FILTER (admitted)::BIGINT AS admitted, 0::BIGINT AS expired,
  (count(*) FILTER (admitted) - (SELECT n FROM k))::BIGINT AS evicted, count(*) FILTER (NOT admitted)::BIGINT AS repeats FROM m""",
+    "stats_span_capacity": stats_capped_sql(EV, DAY, 120),
 }

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyhold import operators as ops
 from keyhold.config import WindowConfig
 from keyhold.functions import sightings
 from keyhold.sources import load_state, save_state
+from keyhold.sources.state import COUNTS, load_counts
 
 
 class KeyWindow:
@@ -15,22 +17,28 @@ class KeyWindow:
 
     def __init__(self, config: WindowConfig, held: DataFrame | None = None) -> None:
         self.config, self.held = config, held
+        self.counts: list[DataFrame] = []  # one row each, of what was counted since the window was made or loaded
+        self.before = (0, 0, 0, 0)  # and until it was saved
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: WindowConfig | None = None) -> KeyWindow:
         """The saved window. A new config replaces the saved one and holds from the next observe or advance on."""
         held, saved = load_state(spark, path)
-        return cls(config or saved, held)
+        out = cls(config or saved, held)
+        out.before = load_counts(spark, path)
+        return out
 
     def observe(self, df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
         """The table's sightings with ``admitted``; what is held before counts as sighted at its anchor."""
         new = sightings(df, key, time, tie)
         if self.held is None:
+            self.counts.append(ops.counted(new, self.config).select(*COUNTS))
             self.held = ops.snapshot(new, self.config)
             return ops.admit(new, self.config)
         old = self.held.selectExpr("key", "anchor AS t", "tie", "true AS _held")
         both = old.unionByName(new.selectExpr("*", "false AS _held"))
         marked = ops.admit(both, self.config).filter("NOT _held").drop("_held")
+        self.counts.append(ops.counted(both, self.config, ~F.col("_held")).select(*COUNTS))
         self.held = ops.snapshot(both.drop("_held"), self.config)
         return marked
 
@@ -40,14 +48,25 @@ class KeyWindow:
     def advance(self, now: int) -> DataFrame:
         """Drop what is too old at ``now``; a row with ``dropped``."""
         self.held, dropped = ops.advance(self.held, self.config, now)
+        self.counts.append(dropped.selectExpr("0L AS admitted", "dropped AS expired", "0L AS evicted", "0L AS repeats"))
         return dropped
 
     def keys(self) -> DataFrame:
         return ops.retained_keys(self.held)
 
+    def _counted(self) -> tuple[int, ...]:
+        rows = [self.before, *(tuple(c.first()) for c in self.counts)]
+        return tuple(map(sum, zip(*rows)))
+
+    def stats(self, spark: SparkSession) -> DataFrame:
+        """One row: span, capacity, retained, and since the window began admitted, expired, evicted and repeats."""
+        retained = 0 if self.held is None else self.held.count()
+        return ops.described(spark.createDataFrame([(retained, *self._counted())], ", ".join(f"{c} long" for c in ("retained", *COUNTS))), self.config)
+
     def save(self, path: str) -> int:
-        return save_state(self.held, self.config, path)
+        return save_state(self.held, self.config, path, self._counted())
 
     def load(self, spark: SparkSession, path: str) -> None:
         """Read and check the saved window, then replace this one."""
-        self.held, self.config = load_state(spark, path)
+        (held, config), before = load_state(spark, path), load_counts(spark, path)
+        self.held, self.config, self.before, self.counts = held, config, before, []

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from keyhold.config import WindowConfig
 
-MANIFEST = "version long, span_us long, capacity long, policy string, retained long"
+MANIFEST = "version long, span_us long, capacity long, policy string, retained long, admitted long, expired long, evicted long, repeats long"
+COUNTS = ("admitted", "expired", "evicted", "repeats")
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
-def save_state(held: DataFrame, config: WindowConfig, path: str) -> int:
-    """Write a new version; returns its number."""
+def save_state(held: DataFrame, config: WindowConfig, path: str, counts: tuple[int, ...] = (0, 0, 0, 0)) -> int:
+    """Write a new version, with what was counted so far (``COUNTS``); returns its number."""
     spark = held.sparkSession
     try:
         version = (_manifest(spark, path).agg(F.max("version")).first()[0] or 0) + 1
@@ -29,7 +30,7 @@ def save_state(held: DataFrame, config: WindowConfig, path: str) -> int:
     at = f"{path}/contents/version={version}"
     held.write.mode("overwrite").parquet(at)
     retained = spark.read.parquet(at).count()
-    spark.createDataFrame([(version, config.span_us, config.capacity, config.policy, retained)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    spark.createDataFrame([(version, config.span_us, config.capacity, config.policy, retained, *counts)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return version
 
 
@@ -42,3 +43,9 @@ def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, WindowConfig]
     if not {"key", "anchor", "tie"} <= set(held.columns) or held.count() != row.retained:
         raise ValueError(f"version {row.version} in {path} is damaged")
     return held, WindowConfig(row.span_us, row.capacity, row.policy)
+
+
+def load_counts(spark: SparkSession, path: str) -> tuple[int, ...]:
+    """``COUNTS`` of the newest saved version; 0 where it was saved without them."""
+    row = _manifest(spark, path).orderBy(F.desc("version")).first()
+    return tuple(row[c] or 0 for c in COUNTS)

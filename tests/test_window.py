@@ -94,6 +94,25 @@ def test_save_load_advance(spark, tmp_path):
     assert [r.key for r in w.keys().collect()] == ["a", "b", "c"]  # as before the failed load
 
 
+@pytest.mark.parametrize("policy", ["first", "last"])
+def test_stats_span_and_capacity(spark, tmp_path, policy):
+    """a is evicted by c, b and c expire at 20; d stays."""
+    rows = [("a", 1, 1), ("b", 2, 2), ("c", 3, 3), ("c", 3, 4), ("d", 20, 5)]
+    c, want = WindowConfig(5, 2, policy), (5, 2, 1, 4, 2, 1, 1)
+    assert tuple(ops.stats(spark.createDataFrame(rows, SCHEMA), c).first()) == want
+    assert tuple(ops.stats(spark.createDataFrame([], SCHEMA), c).first()) == (5, 2, 0, 0, 0, 0, 0)
+    w, path = KeyWindow(c), str(tmp_path / "state")
+    assert tuple(w.stats(spark).first()) == (5, 2, 0, 0, 0, 0, 0)
+    w.observe(spark.createDataFrame(rows[:3], SCHEMA), "key", "t", "tie")
+    assert tuple(w.stats(spark).first()) == (5, 2, 2, 3, 0, 1, 0)
+    w.save(path)
+    v = KeyWindow.open(spark, path)
+    v.observe(spark.createDataFrame(rows[3:], SCHEMA), "key", "t", "tie")
+    assert tuple(v.stats(spark).first()) == want
+    v.advance(30)
+    assert tuple(v.stats(spark).first()) == (5, 2, 0, 4, 3, 1, 1)
+
+
 @pytest.mark.parametrize("config", [WindowConfig(40_000_000), WindowConfig(60_000_000, 2, "last")])
 def test_stream_equals_batch(spark, tmp_path, config):
     rows = [("abc"[i * 7 % 3], 10**9 + i * 9_000_000, i) for i in range(24)]
