@@ -2,7 +2,7 @@
 
 The parser's events make lines, one for each block of the page. Each line has a ratio of text to tags, 0 where its
 element is known not to be content; the ratios are smoothed with a Gaussian and compared with their spread. Lines above
-it form clusters, and the regions of the page that hold a cluster are its content.
+it form clusters, and the regions of the page that hold a cluster are its content, with all their lines, short ones too.
 """
 
 from __future__ import annotations
@@ -47,8 +47,10 @@ class Line:
     tags: int
     content: bool  # not in an element that is known to be something else
     article: int  # number of the outermost article or main element; 0: none
-    region: int  # number of the innermost element that can be a region
+    region: int  # number of the innermost element that can be a region; 0: the body
     heading: bool
+    path: tuple[int, ...] = ()  # the regions around it below the body, outermost first
+    linked: int = 0  # characters in links, white space left out
 
     @property
     def ratio(self) -> float:
@@ -61,23 +63,23 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, bool, int, int]] = []  # element, content, article, region
+        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, content, article, regions
         self.open: Counter = Counter()
         self.parts: list[str] = []
-        self.tags = self.number = 0
+        self.tags = self.number = self.linked = 0
         self.tag = ""
 
-    def _state(self) -> tuple[bool, int, int]:
-        return self.stack[-1][1:] if self.stack else (True, 0, 0)
+    def _state(self) -> tuple[bool, int, tuple[int, ...]]:
+        return self.stack[-1][1:] if self.stack else (True, 0, ())
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            content, article, region = self._state()
-            self.lines.append(Line(text, self.tags, content, article, region, self.tag in HEADINGS))
+            content, article, path = self._state()
+            self.lines.append(Line(text, self.tags, content, article, path[-1] if path else 0, self.tag in HEADINGS, path, self.linked))
         if text or len(self.parts):
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def _pop_to(self, names: tuple[str, ...], within: frozenset[str]) -> None:
         """Close the innermost open element of these, if no element of ``within`` lies further in."""
@@ -105,17 +107,18 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        content, article, region = self._state()
+        content, article, path = self._state()
         if tag in MAIN and not self._hinted(tag, attrs, False):
             content = True  # what was left open before it ends here
         elif content:
             content = not (tag in NEVER or (tag == "header" and not article) or self._hinted(tag, attrs, bool(article)))
         if tag in REGION:
             self.number += 1
-            region = self.number
+            if tag != "body":
+                path = (*path, self.number)
             if tag in MAIN and content and not article:
                 article = self.number
-        self.stack.append((tag, content, article, region))
+        self.stack.append((tag, content, article, path))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -143,6 +146,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.open["a"]:
+            self.linked += len("".join(data.split()))
 
     def finish(self) -> list[Line]:
         self.close()
@@ -169,14 +174,39 @@ def select(lines: list[Line]) -> list[str]:
     if articles:
         return [x.text for x in lines if x.content and x.article in articles]
     own = {x.region for x, r in zip(lines, ratios) if x.content and r >= least}  # not by their neighbours alone
-    spans: dict[int, list[int]] = {}
-    for i, (x, c) in enumerate(zip(lines, chosen)):
-        if c and x.region in own:
-            spans.setdefault(x.region, [i, i])[1] = i
-    for region, span in spans.items():  # the headings right above
-        while span[0] and lines[span[0] - 1].heading and lines[span[0] - 1].region == region:
-            span[0] -= 1
-    return [x.text for i, x in enumerate(lines) if x.content and x.region in spans and spans[x.region][0] <= i <= spans[x.region][1]]
+    regions = {x.region for x, c in zip(lines, chosen) if c and x.region in own}
+    return [lines[i].text for i in sorted(_kept(lines, regions, [i for i, (x, c) in enumerate(zip(lines, chosen)) if c and x.region in regions]))]
+
+
+def _kept(lines: list[Line], regions: set[int], seeds: list[int]) -> set[int]:
+    """Positions of the content lines that belong to the chosen regions; the threshold has no say any more.
+
+    A region below the body stays whole, with the regions in it. So does all content between the first and the last line
+    that stay, and what lies in the same element (below the body) as a chosen region or, in the body, beside a chosen
+    line, unless most of it is links.
+    """
+    if not seeds:
+        return set()
+    lines_of: dict[tuple[int, ...], list[int]] = {}  # what stands beside chosen regions, by the outermost region that isn't around them
+    parents = {x.path[-2] for x in (lines[i] for i in seeds) if len(x.path) > 1}
+    out = set(seeds)
+    for i, x in enumerate(lines):
+        if not x.content:
+            continue
+        if any(r in regions for r in x.path):
+            out.add(i)
+        elif not x.path:
+            if 0 in regions:
+                lines_of.setdefault((0, i), []).append(i)
+        elif (beside := [k for k, r in enumerate(x.path) if r in parents]):
+            lines_of.setdefault((*x.path[: beside[0] + 2], *([-i - 1] if len(x.path) == beside[0] + 1 else [])), []).append(i)
+    for at in lines_of.values():
+        if 2 * sum(lines[i].linked for i in at) < sum(len("".join(lines[i].text.split())) for i in at):
+            out.update(at)
+    first, last = min(out), max(out)
+    while first and lines[first - 1].heading and lines[first - 1].content and lines[first - 1].region == lines[first].region:
+        first -= 1  # the headings right above
+    return {i for i in range(first, last + 1) if lines[i].content}
 
 
 def main_text(html: str | None) -> str:

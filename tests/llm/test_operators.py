@@ -317,6 +317,23 @@ def test_page():
     assert html_text.main_text("just text") == "just text"
 
 
+def test_page_short_lines():
+    """Short lines that open or close the content stay on pages without article or main."""
+    long, nav = [f"<p>{'long text ' * 20}{i}</p>" for i in range(5)], "<div><a>Home</a><p><a>News</a><p><a>Shop</a></div>"
+    want = [f"{'long text ' * 20}{i}" for i in range(5)]
+    items = [f"item {i} abc" for i in range(6)]
+    ul = "<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>"
+    foot = "<div><a>About</a><p><a>Terms</a><p><a>Help</a></div>"
+    got = lambda x: html_text.main_text(f"<body>{x}</body>").split("\n\n")
+    assert got(f"{nav}<div>{''.join(long)}{ul}</div>{foot}") == want + items
+    assert got(f"{nav}<div>{ul}{''.join(long)}</div>{foot}") == items + want
+    table = "<table>" + "".join(f"<tr><td>{i}</td></tr>" for i in items) + "</table>"
+    assert got(f"{nav}<div>{''.join(long)}{table}</div>{foot}") == want + items
+    assert got(f"{nav}<div>{long[0]}{long[1]}</div><div>{ul}</div><div>{long[2]}{long[3]}{long[4]}</div>{foot}") == want[:2] + items + want[2:]
+    assert got(f"{nav}<div><div>{''.join(long)}</div><div>{ul}</div></div>{foot}") == want + items
+    assert got(f"<ul><li><a>Home</a><li><a>News</a></ul>{''.join(long)}{ul}<p><a>Terms</a>") == want + items
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (None, None, None, None), (2, "v", "<p>" + "word " * 60_000, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
