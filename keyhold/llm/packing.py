@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keyhold.llm.shared import written
-from keyhold.llm.tokens import encoder
+from keyhold.llm.tokens import Encoder, closed, encoder, slices
 
 CAPACITY = 4096
-SALTS = 16  # ranks of one length are counted in so many parts
+TOGETHER = 1 << 20  # pieces of one length that are ranked in one task
 Pattern = tuple[int, int, list[tuple[int, int]]]
 
 
@@ -88,83 +88,86 @@ def slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "each", "first", "offset"), cols.T))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, together: int = TOGETHER) -> DataFrame:
     """The pieces with sequence_id and offset (longs): where each lies. Windows count from 0, and are gapless.
 
-    pieces: doc_id, start, length (1 to capacity) and any other columns; it is read more than once, so give a table and
-    not a costly plan. Pieces that are equal in all columns get a place each. An empty table gives no rows.
+    pieces: doc_id, start, length (1 to capacity, else ValueError) and any other columns, of which sequence_id and offset
+    are replaced. Pieces that are equal in all columns get a place each; nulls in other columns are kept. An empty table
+    gives no rows. together: about how many pieces of one length are ranked in one task.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
-    # at most capacity * SALTS rows
-    counted = pieces.groupBy(F.col("length").alias("k"), salt.alias("s")).count().collect()
-    table = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for k, s, n in counted:
-        if not 1 <= k <= capacity:
-            raise ValueError(f"a piece of {k}; lengths of 1 to {capacity} can be packed")
-        table[k, s] = n
-    before = np.cumsum(table, axis=1) - table
-    total = table.sum(axis=1)
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_at")]
+    pieces = written(pieces.select(*[F.col(f"`{c}`") for c in own]).withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    total = np.zeros(capacity + 1, dtype=np.int64)
+    for k, n in pieces.groupBy("length").count().filter(f"length BETWEEN 1 AND {capacity}").collect():  # at most capacity rows
+        total[k] = n
+    if not (odd := pieces.filter(f"length IS NULL OR length NOT BETWEEN 1 AND {capacity}").select("length").limit(1)).isEmpty():
+        raise ValueError(f"a piece of {odd.first()[0]}; lengths of 1 to {capacity} can be packed")
+    # each length has as many salts as it has portions of ``together`` pieces: full windows are most of a corpus
+    salts = np.maximum(1, -(-total // together))
+    base = np.cumsum(salts) - salts
+    many = F.element_at(F.lit(salts.tolist()), (F.col("length") + 1).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_at"), many))
+    before = np.zeros(int(salts.sum()) + 1, dtype=np.int64)
+    for k, s, n in salted.groupBy("length", "_salt").count().collect():  # at most capacity rows, and one for each ``together`` pieces
+        before[base[k] + s + 1] = n
+    before = np.cumsum(before)
+    before = before[:-1] - before[np.repeat(base, salts)]
     at = slots(plan({int(k): int(total[k]) for k in np.flatnonzero(total)}, capacity))
     key = at["length"] << 44 | at["rank"]
-    own = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_salt", "_rank")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length = b["length"].to_numpy(zero_copy_only=False)
-            rank = b["_rank"].to_numpy(zero_copy_only=False) - 1 + before[length, b["_salt"].to_numpy(zero_copy_only=False)]
+            length, salt, rank = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_salt", "_rank"))
+            rank = rank - 1 + before[base[length] + salt]
             i = np.searchsorted(key, length << 44 | rank, side="right") - 1
             nth = rank - at["rank"][i]
             sequence = at["first"][i] + nth // at["each"][i]
             offset = at["offset"][i] + nth % at["each"][i] * length
             yield pa.RecordBatch.from_arrays([*[b[c] for c in own], pa.array(sequence), pa.array(offset)], [*own, "sequence_id", "offset"])
 
-    window = Window.partitionBy("length", "_salt").orderBy(*own)
-    ranked = pieces.select(*own).withColumn("_salt", salt).withColumn("_rank", F.row_number().over(window).cast("long"))
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_at")).cast("long"))
     places = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]
-    return ranked.mapInArrow(place, T.StructType([*[pieces.schema[c] for c in own], *places]))
+    return ranked.drop("_at").mapInArrow(place, T.StructType([*[pieces.schema[c] for c in own], *places]))
 
 
-def cut(docs: DataFrame, tokenize: Callable[[], Callable[[str | None], np.ndarray]], end_id: int, capacity: int = CAPACITY, text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenize: Callable[[], Encoder], end_id: int, capacity: int = CAPACITY, text_col: str = "text", ids: bool = True) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids_crc32, ids (binary, little-endian uint32): whole windows and a rest of each row.
 
-    tokenize makes the function from text to ids in a worker. A null text counts as empty: its end id is its one piece.
+    tokenize makes the encoder in a worker. ids: whether the ids go along. A null text counts as empty: its end id is its
+    one piece. A null or repeated doc_id stays as it is. An empty table gives no rows.
     """
+    names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", *(["ids"] if ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = tokenize(), np.array([end_id], dtype="<u4")
+        enc = tokenize()
         for b in batches:
-            doc, rows = [], []
-            for i, text in enumerate(b["text"].to_pylist()):
-                ids = np.concatenate((ids_of(text).astype("<u4", copy=False), end))
-                for start in range(0, len(ids), capacity):
-                    part = ids[start : start + capacity].tobytes()
-                    doc.append(i)
-                    rows.append((start, len(part) // 4, len(ids), zlib.crc32(part), part))
-                if len(rows) >= 2_000:
-                    yield _batch(b, doc, rows)
-                    doc, rows = [], []
-            if rows:
-                yield _batch(b, doc, rows)
+            for lo, hi in slices(b["text"]):
+                tokens, ends = closed(*enc.batch(b["text"].slice(lo, hi - lo).to_pylist()), end_id)
+                raw, size = memoryview(tokens.astype("<u4", copy=False).tobytes()), np.diff(ends, prepend=0)
+                pieces = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(size[doc] - start, capacity)
+                first = 4 * ((ends - size)[doc] + start)
+                parts = [raw[i:j] for i, j in zip(first.tolist(), (first + 4 * length).tolist())]
+                cols = [b["doc_id"].slice(lo, hi - lo).take(pa.array(doc)), *map(pa.array, (start, length, size[doc])), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(list(map(bytes, parts)), pa.binary())] if ids else [])], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids_crc32 long, ids binary")
-
-
-def _batch(b: pa.RecordBatch, doc: list[int], rows: list[tuple]) -> pa.RecordBatch:
-    cols = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])]
-    return pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc)), *cols], ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"])
+    return docs.select("doc_id", F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids_crc32 long" + (", ids binary" if ids else ""))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece. Ids are made once and not moved."""
-    pieces = written(cut(docs, lambda: encoder(tokenizer), end_id, capacity).drop("ids"), "pieces")
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece of every row; see :func:`cut` for null
+    texts, null or repeated ids and empty tables. Ids are made once and not moved."""
+    pieces = cut(docs, lambda: encoder(tokenizer), end_id, capacity, ids=False)
     return pack(pieces, capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def windows(placed: DataFrame, pad_id: int, capacity: int = CAPACITY) -> DataFrame:
     """sequence_id, ids (array of long): the windows themselves, from pieces with ids, sequence_id and offset.
 
-    A window shorter than ``capacity`` is padded to it, unless its length is a power of two.
+    A window shorter than ``capacity`` is padded to it, unless its length is a power of two. No pieces: no rows.
     """
     schema = "sequence_id long, ids array<long>"
 

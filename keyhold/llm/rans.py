@@ -47,20 +47,22 @@ class Coder:
         self.below = (np.cumsum(freq) - freq).astype(U)
         self.of_slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
-    def encode(self, ids: np.ndarray) -> list[bytes]:
-        """The blocks of these ids."""
-        ids = np.asarray(ids, dtype=np.int64)
-        if len(ids) and (ids.max() >= len(self.freq) or not self.freq[ids].all()):
-            raise ValueError("an id that the table hasn't")
-        whole = len(ids) // BLOCK
-        out = []
-        for i in range(0, whole, 32):  # so many side by side
-            part = ids[i * BLOCK : min(whole, i + 32) * BLOCK].reshape(-1, BLOCK // LANES, LANES)
-            out += self._blocks(part, BLOCK)
-        rest = ids[whole * BLOCK :]
-        if len(rest):
-            fill = np.full(-len(rest) % LANES, rest[0])  # the last step's idle lanes code an id that costs little
-            out += self._blocks(np.concatenate((rest, fill)).reshape(1, -1, LANES), len(rest))
+    def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
+        """Each of these arrays of 1 to BLOCK ids as a block; those of BLOCK ids are coded side by side."""
+        out: list[bytes] = [b""] * len(blocks)
+        for ids in blocks:
+            if not 0 < len(ids) <= BLOCK:
+                raise ValueError(f"a block of {len(ids)} ids; 1 to {BLOCK} can be coded")
+            if int(ids.max()) >= len(self.freq) or not self.freq[ids].all():
+                raise ValueError("an id that the table hasn't")
+        full = [i for i, ids in enumerate(blocks) if len(ids) == BLOCK]
+        if full:
+            for i, data in zip(full, self._blocks(np.stack([blocks[i] for i in full]).astype(np.int64).reshape(len(full), -1, LANES), BLOCK)):
+                out[i] = data
+        for i, ids in enumerate(blocks):
+            if len(ids) < BLOCK:
+                fill = np.full(-len(ids) % LANES, ids[0])  # the last step's idle lanes code an id that costs little
+                out[i] = self._blocks(np.concatenate((ids, fill)).astype(np.int64).reshape(1, -1, LANES), len(ids))[0]
         return out
 
     def _blocks(self, ids: np.ndarray, size: int) -> list[bytes]:

@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyhold.llm import rans
-from keyhold.llm.shared import new_path, partitions, written
-from keyhold.llm.tokens import encoder
+from keyhold.llm.shared import Scratch, delete, new_path, partitions, written
+from keyhold.llm.tokens import closed, encoder, slices
 
-AT_ONCE = 16  # blocks that a task codes side by side
-SEND = 1 << 23  # bytes of ids that a task holds before it sends them on
+AT_ONCE = 32  # blocks that a task codes side by side
 MAX_VOCAB = 1 << rans.SCALE
+PIECE = [("ord", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("last", pa.bool_()), ("start", pa.int64()), ("n", pa.int64())]
+_DOCS = "docs array<struct<ord:bigint,doc_id:bigint,part:bigint,last:boolean,start:bigint,n:bigint>>"
 
 
 @dataclass(frozen=True)
@@ -43,23 +44,80 @@ class TokenFiles:
         return np.frombuffer(rows[0].freq, dtype="<i8")
 
 
+class _Blocks:
+    """A shard's stream of ids, cut into blocks, and the pieces of documents that lie in each."""
+
+    def __init__(self, shard: int) -> None:
+        self.shard, self.block, self.ids, self.pieces = shard, 0, np.zeros(0, dtype=np.uint32), np.zeros((len(PIECE), 0), dtype=np.int64)
+        self.null = np.zeros(0, dtype=bool)  # whether a piece's doc_id is null
+        self.start = self.ordinal = 0
+
+    def add(self, doc_id: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
+        """Take up these documents; the blocks that are full go out."""
+        # a document is cut where a block ends
+        base = self.start - len(self.ids)  # of the first id that is held
+        size = np.diff(ends, prepend=0)
+        first = self.start + ends - size
+        parts = (first + size - 1) // rans.BLOCK - first // rans.BLOCK + 1
+        of = np.repeat(np.arange(len(size)), parts)
+        part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        lo = np.maximum(first[of], (first[of] // rans.BLOCK + part) * rans.BLOCK)
+        hi = np.minimum((first + size)[of], (first[of] // rans.BLOCK + part + 1) * rans.BLOCK)
+        name = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+        new = np.stack((self.ordinal + of, name[of], part, (part == parts[of] - 1).astype(np.int64), first[of], hi - lo))
+        self.pieces = np.concatenate((self.pieces, new), axis=1)
+        self.null = np.concatenate((self.null, doc_id.is_null().to_numpy(zero_copy_only=False)[of]))
+        self.ids = np.concatenate((self.ids, ids.astype(np.uint32, copy=False)))
+        self.start, self.ordinal = self.start + len(ids), self.ordinal + len(size)
+        assert base % rans.BLOCK == 0
+        return self._out(len(self.ids) // rans.BLOCK)
+
+    def end(self) -> pa.RecordBatch | None:
+        return self._out(-(-len(self.ids) // rans.BLOCK))
+
+    def _out(self, blocks: int) -> pa.RecordBatch | None:
+        if not blocks:
+            return None
+        n = min(blocks * rans.BLOCK, len(self.ids))
+        ends = np.minimum(np.arange(1, blocks + 1) * rans.BLOCK, n)
+        count = np.searchsorted(np.cumsum(self.pieces[5]), ends) + 1
+        own, null = self.pieces[:, : count[-1]], self.null[: count[-1]]
+        cols = [pa.array(c, mask=null) if k == "doc_id" else pa.array(c.astype(bool) if k == "last" else c) for (k, _), c in zip(PIECE, own)]
+        docs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], count)), pa.int32()), pa.StructArray.from_arrays(cols, [k for k, _ in PIECE]))
+        raw = []
+        for x in np.split(self.ids[:n], ends[:-1]):
+            raw.append(x.astype("<u2" if int(x.max()) < 1 << 16 else "<u4").tobytes())
+        out = pa.RecordBatch.from_arrays([pa.array(np.full(blocks, self.shard)), pa.array(np.arange(self.block, self.block + blocks)), docs, pa.array(ends - np.concatenate(([0], ends[:-1]))), pa.array(raw, pa.binary())], ["shard", "block", "docs", "n", "ids"])
+        self.block, self.ids, self.pieces, self.null = self.block + blocks, self.ids[n:], self.pieces[:, count[-1] :], self.null[count[-1] :]
+        return out
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "text") -> DataFrame:
-    """(doc_id, tie, n, ids): every row's ids with the end id; a null text counts as empty. tie: crc32 of the ids."""
+    """(shard, block, docs, n, ids): blocks of ids, with each text's end id, in ascending order of doc_id; a null text counts
+    as empty. ids: little-endian, of 2 bytes where all of a block's fit, else of 4. start counts from the shard's first id.
+
+    The texts are dealt out and sorted, so that ids never move.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    order = ["doc_id", "tie"]  # rows with one id, or none, may be many: they are dealt out by their texts
+    dealt = rows.withColumn("tie", F.crc32(F.encode("text", "utf-8"))).repartitionByRange(partitions(docs.sparkSession) * 2, *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(tokenizer), np.array([end_id], dtype=np.uint32)
+        enc, blocks = encoder(tokenizer), _Blocks(TaskContext.get().partitionId())
         for b in batches:
-            raw, at, size = [], 0, 0
-            for i, text in enumerate(b["text"]):
-                raw.append(np.concatenate((ids_of(text.as_py()), end)).astype("<u4").tobytes())
-                size += len(raw[-1])
-                if size > SEND or i == len(b) - 1:
-                    cols = [pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(raw, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(raw)), *cols], ["doc_id", "tie", "n", "ids"])
-                    raw, at, size = [], i + 1, 0
+            for lo, hi in slices(b["text"]):
+                out = blocks.add(b["doc_id"].slice(lo, hi - lo), *closed(*enc.batch(b["text"].slice(lo, hi - lo).to_pylist()), end_id))
+                if out is not None:
+                    yield out
+        if (out := blocks.end()) is not None:
+            yield out
+
+    return dealt.select("doc_id", "text").mapInArrow(run, f"shard long, block long, {_DOCS}, n long, ids binary")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie long, n long, ids binary")
+
+def _numbers(n: int, raw: pa.BinaryScalar) -> np.ndarray:
+    data = raw.as_buffer()
+    return np.frombuffer(data, "<u2" if data.size == 2 * n else "<u4")
 
 
 def counted(tokens: DataFrame) -> np.ndarray:
@@ -68,15 +126,15 @@ def counted(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for b in batches:
-            for raw in b["ids"]:
-                new = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
+            for n, raw in zip(b["n"].to_pylist(), b["ids"]):
+                new = np.bincount(_numbers(n, raw))
                 if len(new) > len(total):
                     total = np.concatenate((total, np.zeros(len(new) - len(total), dtype=np.int64)))
                 total[: len(new)] += new
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).take(MAX_VOCAB + 1)
+    rows = tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).take(MAX_VOCAB + 1)
     if len(rows) > MAX_VOCAB:
         raise ValueError("more different ids than a table has room for")
     out = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
@@ -85,104 +143,71 @@ def counted(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-_BLOCKS = "shard long, block long, docs array<struct<ord:long,doc_id:long,part:long,last:boolean,start:long,n:long>>, data binary"
-
-
-def _blocks(tokens: DataFrame, freq: np.ndarray, parts: int) -> DataFrame:
-    """(shard, block, docs, data); docs: the pieces of documents in the block. start counts from the shard's first id."""
-    order = ["doc_id", "tie"]
-    dealt = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
-    kind = pa.list_(pa.struct([("ord", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("last", pa.bool_()), ("start", pa.int64()), ("n", pa.int64())]))
+def _coded(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
+    """(shard, block, docs, data): the blocks in their own format."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, coder = TaskContext.get().partitionId(), rans.Coder(freq)
-        number, ids, docs, held, inside, start, ordinal = 0, [], [[]], 0, 0, 0, 0
-
-        def out(whole: bool) -> pa.RecordBatch:
-            nonlocal number, ids, docs, held
-            x = np.concatenate(ids)
-            n = len(x) if whole else len(x) // rans.BLOCK * rans.BLOCK
-            data = coder.encode(x[:n])
-            rows = [pa.array(np.full(len(data), shard)), pa.array(np.arange(number, number + len(data))), pa.array(docs[: len(data)], kind), pa.array(data, pa.binary())]
-            number += len(data)
-            ids, docs, held = [x[n:]], docs[len(data) :] or [[]], len(x) - n
-            return pa.RecordBatch.from_arrays(rows, ["shard", "block", "docs", "data"])
-
+        coder = rans.Coder(freq)
         for b in batches:
-            for doc_id, raw in zip(b["doc_id"].to_pylist(), b["ids"]):
-                x = np.frombuffer(raw.as_buffer(), "<u4")
-                at, part = 0, 0
-                while at < len(x):
-                    n = min(len(x) - at, rans.BLOCK - inside)
-                    docs[-1].append((ordinal, doc_id, part, at + n == len(x), start, n))
-                    ids.append(x[at : at + n])
-                    at, part, inside, held = at + n, part + 1, inside + n, held + n
-                    if inside == rans.BLOCK:
-                        docs.append([])
-                        inside = 0
-                    if held >= AT_ONCE * rans.BLOCK:
-                        yield out(False)
-                start, ordinal = start + len(x), ordinal + 1
-        if held:
-            yield out(True)
-
-    return dealt.mapInArrow(run, _BLOCKS)
+            for lo in range(0, len(b), AT_ONCE):
+                some = b.slice(lo, AT_ONCE)
+                data = coder.encode([_numbers(n, raw) for n, raw in zip(some["n"].to_pylist(), some["ids"])])
+                yield pa.RecordBatch.from_arrays([some["shard"], some["block"], some["docs"], pa.array(data, pa.binary())], ["shard", "block", "docs", "data"])
+
+    return tokens.mapInArrow(run, f"shard long, block long, {_DOCS}, data binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text_col: str = "text") -> TokenFiles:
     """Write every row of ``docs`` (doc_id, a text) as ids to ``path``, in ascending order of doc_id; null ids come first.
 
-    A null text counts as empty. Rows with equal ids follow each other by crc32 and then bytes of their tokens. Other
-    columns are not looked at. An empty table gives a dataset without blocks.
+    A null text counts as empty. Rows with equal ids follow each other by crc32 of their text and then the text itself.
+    Other columns are not looked at. An empty table gives a dataset without blocks. A row of ``ids`` is a block: its place
+    is told by shard and block.
     """
-    spark = docs.sparkSession
-    tokens = written(tokenized(docs, tokenizer, end_id, text_col), "tokens")
-    freq = rans.table(counted(tokens))
-    spark.createDataFrame([(bytearray(freq.astype("<i8").tobytes()),)], "freq binary").write.parquet(f"{path}/table")
-    _blocks(tokens, freq, partitions(spark) * 2).write.parquet(f"{path}/ids")
-    files = TokenFiles(path)
-    piece = F.aggregate("docs", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    size = files.ids(spark).groupBy("shard").agg(F.sum(piece).alias("ids"))  # a row a shard
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    size.select("shard", "ids", before.alias("before")).coalesce(1).write.parquet(f"{path}/shards")
+    spark, files = docs.sparkSession, TokenFiles(path)
+    with Scratch(spark):
+        tokens = written(tokenized(docs, tokenizer, end_id, text_col), "tokens")
+        freq = rans.table(counted(tokens))
+        spark.createDataFrame([(bytearray(freq.astype("<i8").tobytes()),)], "freq binary").write.parquet(f"{path}/table")
+        _coded(tokens, freq).write.parquet(f"{path}/ids")
+        size = tokens.groupBy("shard").agg(F.sum("n").alias("ids"))  # a row a shard
+        before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        size.select("shard", "ids", before.alias("before")).coalesce(1).write.parquet(f"{path}/shards")
     return files
 
 
-def decoded(spark: SparkSession, files: TokenFiles) -> DataFrame:
-    """(shard, ord, doc_id, part, last, start, ids) of every piece in the files; ids: little-endian uint32. A document is
-    one piece for each block that it lies in."""
-    freq, fields = files.frequencies(spark), ["ord", "doc_id", "part", "last", "start"]
+def _read(spark: SparkSession, files: TokenFiles, of: pa.DataType, take) -> DataFrame:
+    """(shard, ord, doc_id, part, last, start, n, ids) of every piece in the files; ids: what ``take`` makes of its bytes
+    (little-endian, of 4 each)."""
+    freq, names = files.frequencies(spark), [k for k, _ in PIECE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = rans.Coder(freq)
         for b in batches:
             for lo in range(0, len(b), AT_ONCE):
                 some = b.slice(lo, AT_ONCE)
-                shard, docs, raw = [], [], []
-                for s, pieces, ids in zip(some["shard"].to_pylist(), some["docs"].to_pylist(), coder.decode(some["data"].to_pylist())):
-                    at = 0
-                    for d in pieces:
-                        shard.append(s)
-                        docs.append(d)
-                        raw.append(ids[at : at + d["n"]].astype("<u4").tobytes())
-                        at += d["n"]
-                cols = [pa.array([d[f] for d in docs], pa.bool_() if f == "last" else pa.int64()) for f in fields]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *cols, pa.array(raw, pa.binary())], ["shard", *fields, "ids"])
+                pieces = pa.array(some["docs"]).flatten()
+                number = some["docs"].value_lengths().to_numpy(zero_copy_only=False)
+                raw = memoryview(np.concatenate(coder.decode(some["data"].to_pylist())).astype("<u4").tobytes())
+                end = 4 * np.cumsum(pieces.field("n").to_numpy(zero_copy_only=False))
+                found = [take(raw[i:j]) for i, j in zip([0, *end[:-1].tolist()], end.tolist())]
+                shard = pa.array(np.repeat(some["shard"].to_numpy(zero_copy_only=False), number))
+                yield pa.RecordBatch.from_arrays([shard, *[pieces.field(k) for k in names], pa.array(found, of)], ["shard", *names, "ids"])
 
-    return files.ids(spark).select("shard", "docs", "data").mapInArrow(run, "shard long, ord long, doc_id long, part long, last boolean, start long, ids binary")
+    kind = "long" if of == pa.int64() else "binary"
+    return files.ids(spark).select("shard", "docs", "data").mapInArrow(run, f"shard long, ord long, doc_id long, part long, last boolean, start long, n long, ids {kind}")
 
 
-def summary(spark: SparkSession, files: TokenFiles) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, as read back from the files."""
+def decoded(spark: SparkSession, files: TokenFiles) -> DataFrame:
+    """(shard, ord, doc_id, part, last, start, n, ids) of every piece in the files; ids: little-endian uint32. A document is
+    one piece for each block that it lies in. A dataset without blocks gives no rows."""
+    return _read(spark, files, pa.binary(), bytes)
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b["ids"].to_pylist()
-            cols = [pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in names], *cols], [*names, "n", "crc"])
 
-    names = ["shard", "ord", "doc_id", "part", "last", "start"]
-    pieces = written(decoded(spark, files).mapInArrow(crc, "shard long, ord long, doc_id long, part long, last boolean, start long, n long, crc long"), "pieces")
+def summary(spark: SparkSession, files: TokenFiles) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, as read back from the files. Repeated and null ids are
+    documents of their own, as they are in the files. A dataset without blocks gives no rows."""
+    pieces = written(_read(spark, files, pa.int64(), zlib.crc32).withColumnRenamed("ids", "crc"), "pieces")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, whole = pdf.sort_values("part"), 0
@@ -191,6 +216,7 @@ def summary(spark: SparkSession, files: TokenFiles) -> DataFrame:
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "doc_id": pdf["doc_id"].iloc[:1].astype("Int64"), "start": pdf["start"].iloc[:1], "n": int(pdf["n"].sum()), "crc": whole})
 
     one = (F.col("part") == 0) & F.col("last")
+    # a document over several blocks: a row a block
     cut = pieces.filter(~one).groupBy("shard", "ord").applyInPandas(join, "shard long, doc_id long, start long, n long, crc long")
     out = pieces.filter(one).select("shard", "doc_id", "start", "n", "crc").union(cut)
     before = F.broadcast(files.shards(spark).select("shard", "before"))  # a row a shard
@@ -198,6 +224,10 @@ def summary(spark: SparkSession, files: TokenFiles) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """The summary of a dataset written for the purpose, in the shared folder."""
+    """The summary of a dataset written for the purpose, in the shared folder, and deleted once it has been read back."""
     spark = docs.sparkSession
-    return summary(spark, write_tokens(docs, new_path(spark, "token-files"), tokenizer, end_id))
+    path = new_path(spark, "token-files")
+    with Scratch(spark) as scratch:
+        out = scratch.keep(summary(spark, write_tokens(docs, path, tokenizer, end_id)), "summary")
+    delete(spark, path)
+    return out

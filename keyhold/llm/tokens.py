@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer file, through the tokenizers library.
 
-Both supported kinds cut a text into words before they merge, so a word's ids don't depend on its neighbours: the
-library encodes each word once, texts are put together from that, and what a run without spaces came to is remembered.
+Both supported kinds cut a text into words before they merge, so a word's ids don't depend on its neighbours: of all the
+texts at hand, the library encodes each different word once, and texts are put together from that.
 """
 
 from __future__ import annotations
@@ -10,14 +10,17 @@ import json
 import os
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-HELD = 120_000  # entries of a young generation; see Held
+HELD = 200_000  # entries of a young generation; see Held
+HELD_BYTES = 1 << 25  # characters and bytes of them
+SLICE = 1 << 23  # bytes of texts that are encoded at a time; a longer text is a slice of its own
 #: Fixed value: how the byte-level kind cuts a text into words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone are cut here; they are their own NFC, and lower-case one by one. Others go whole to the library.
@@ -25,38 +28,57 @@ _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u02FF\u0390-\u03A1\u
 
 
 class Held:
-    """A memory of bounded size for what words come to: entries move on to an old generation once it is full, and what
-    hasn't been used again when the next one is full is forgotten."""
+    """A memory of bounded size for what words come to: entries move on to an old generation once it is full, in number or
+    in bytes, and what hasn't been used again when the next one is full is forgotten."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = HELD) -> None:
-        self.make, self.most, self.young, self.old = make, most, {}, {}
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = HELD, most_bytes: int = HELD_BYTES) -> None:
+        self.make, self.most, self.most_bytes = make, most, most_bytes
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0  # of the young
 
     def all(self, words: list[str]) -> list[bytes]:
         """What each word comes to; ``make`` gives it for those that aren't held."""
         missing = set(words).difference(self.young)
         if missing:
             if len(self.young) + len(missing) > self.most:
-                self.young, self.old = {}, self.young
+                self._age()
                 missing = set(words)
             self._find(missing)
-        return list(map(self.young.__getitem__, words))
+        out = list(map(self.young.__getitem__, words))
+        if self.bytes > self.most_bytes:
+            self._age()
+            if self.bytes > 2 * self.most_bytes:  # these words alone are more than may be held
+                self.old = {}
+            self.bytes = 0
+        return out
+
+    def _age(self) -> None:
+        self.young, self.old = {}, self.young
 
     def _find(self, missing: set[str]) -> None:
+        if not self.young:
+            self.bytes = 0
         found = {w: self.old[w] for w in missing if w in self.old} if self.old else {}
         new = [w for w in missing if w not in found] if found else list(missing)
         self.young.update(found)
         for i in range(0, len(new), 10_000):
-            self.young.update(zip(new[i : i + 10_000], self.make(new[i : i + 10_000])))
+            found.update(zip(new[i : i + 10_000], self.make(new[i : i + 10_000])))
+        self.young.update(found)
+        self.bytes += sum(map(len, found)) + sum(map(len, found.values()))
+
+
+def spaced(text: str) -> bool:
+    """Whether a plain byte-level text can be cut at its spaces so that no word lies in two runs: a space beside other white
+    space belongs to it or to the next word by what follows."""
+    return not ("  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[:1] == " " or text[-1:] == " ")
 
 
 def runs(text: str, byte_level: bool) -> list[str] | None:
-    """A plain text cut at its spaces, so that no word lies in two runs; None where that can't be done: in a byte-level
-    text, a space beside other white space belongs to it or to the next word by what follows."""
+    """A plain text cut at its spaces, so that no word lies in two runs; None where that can't be done."""
     if not byte_level:
         return text.split()
-    if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[:1] == " " or text[-1:] == " ":
-        return None
-    return text.split(" ")
+    return text.split(" ") if spaced(text) else None
 
 
 class Encoder:
@@ -78,18 +100,19 @@ class Encoder:
         for t, i in vocab.items():
             self.size[i], self.closes[i] = len(t), bool(suffix) and t.endswith(suffix)
         self.words = Held(self._of_words)
-        self.runs = Held(self._of_runs)  # byte-level: of runs after a space
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Words in one text cost the library far less than words by themselves; those that such a text would cut
         otherwise, or whose ids don't end where the word does, are encoded by themselves."""
-        joint = [self.lower or (w[0] == " " and len(w) > 1 and not w[1].isspace()) for w in words]
-        together = [w for w, ok in zip(words, joint) if ok]
+        joint = [True] * len(words) if self.lower else [len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words]
+        together = words if all(joint) else [w for w, ok in zip(words, joint) if ok]
         parts = self._together(together) if together else []
         if parts is None:
             joint, parts = [False] * len(words), []
+        if len(parts) == len(words):
+            return parts
         alone = [w for w, ok in zip(words, joint) if not ok]
-        each = [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(alone, add_special_tokens=False)] if alone else []
+        each = [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
         one, other = iter(parts), iter(each)
         return [next(one) if ok else next(other) for ok in joint]
 
@@ -110,27 +133,102 @@ class Encoder:
         raw, ends = ids.tobytes(), (ends * 4).tolist()
         return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
-    def _of_runs(self, found: list[str]) -> Iterator[bytes]:
-        space = "" if self.lower else " "
-        cut = [[space + r] if r.isalpha() else self.cut.findall(space + r) for r in found]
-        each = iter(self.words.all([w for ws in cut for w in ws]))
-        return (b"".join(islice(each, len(ws))) for ws in cut)
+    def _of_runs(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each run begin and end."""
+        words, first, end = self._cut(found)
+        each = pa.array(words, pa.large_string()).dictionary_encode()
+        raw = self.words.all(each.dictionary.to_pylist())
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+        ids, stop = taken(np.frombuffer(b"".join(raw), dtype=np.uint32), np.cumsum(size) - size, size, each.indices.to_numpy())
+        at = np.concatenate(([0], stop))
+        return ids, at[first], at[end]
+
+    def _cut(self, found: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words, and which of them are each run's: from first to end. Runs are cut together where that can't join words of
+        two: if a space is between, or if each begins with its own one, and no other white space is at either end."""
+        safe = np.array([True if self.lower else len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() for x in found], dtype=bool)
+        joint = found if safe.all() else [x for x, ok in zip(found, safe.tolist()) if ok]
+        words = self.cut.findall((" " if self.lower else "").join(joint))
+        length = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+        number = np.zeros(len(found), dtype=np.int64)
+        ends = np.searchsorted(length, np.cumsum(np.fromiter(map(len, joint), np.int64, len(joint))))
+        number[safe] = np.diff(ends, prepend=0)
+        for i in np.flatnonzero(~safe).tolist():
+            own = self.cut.findall(found[i])
+            words += own
+            number[i] = len(own)
+        end = np.empty(len(found), dtype=np.int64)
+        order = np.concatenate((np.flatnonzero(safe), np.flatnonzero(~safe)))
+        end[order] = np.cumsum(number[order])
+        return words, end - number, end
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of all texts in a row, and where those of each end; a null text counts as empty."""
+        alone: dict[int, bytes] = {}
+        plain: list[int] = []
+        for i, t in enumerate(texts):
+            t = t or ""
+            if self.cut is None or self.special.search(t) or not _PLAIN.fullmatch(t):
+                alone[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+            elif self.lower or spaced(t):
+                plain.append(i)
+            else:
+                alone[i] = b"".join(self.words.all(self.cut.findall(t)))
+        ids, ends = self._plain([texts[i] or "" for i in plain])
+        if not alone:
+            return ids, ends
+        # put the others between them
+        own = dict(zip(plain, np.split(ids, ends[:-1])))
+        parts = [own[i] if i in own else np.frombuffer(alone[i], dtype=np.uint32) for i in range(len(texts))]
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As batch, of plain texts that can be cut at their spaces: each different run between spaces is encoded once."""
+        if not texts:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        col = pa.array(texts, pa.large_string())
+        cut = pc.ascii_split_whitespace(col) if self.lower else pc.split_pattern(col, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        each = cut.flatten().dictionary_encode()
+        run, found = each.indices.to_numpy().astype(np.int64), each.dictionary.to_pylist()
+        if self.lower:
+            found = [x.lower() for x in found]
+        else:  # a run has the space before it, but for a text's first one
+            first, back = np.unique(run[bounds[:-1]], return_inverse=True)
+            run[bounds[:-1]] = len(found) + back
+            found = [*(" " + x for x in found), *(found[i] for i in first.tolist())]
+        ids, lo, hi = self._of_runs(found)
+        ids, end = taken(ids, lo, hi - lo, run)
+        return ids, np.concatenate(([0], end))[bounds[1:]]
 
     def __call__(self, text: str | None) -> np.ndarray:
         """uint32 ids; a null text counts as empty."""
-        text = text or ""
-        if self.cut is None or self.special.search(text) or not _PLAIN.fullmatch(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if self.lower:
-            text = text.lower()
-        found = runs(text, not self.lower)
-        if found is None:
-            parts = self.words.all(self.cut.findall(text))
-        elif self.lower:
-            parts = self.runs.all(found)
-        else:
-            parts = self.words.all(self.cut.findall(found[0])) + self.runs.all(found[1:])
-        return np.frombuffer(b"".join(parts), dtype=np.uint32)
+        return self.batch([text])[0]
+
+
+def taken(ids: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of these parts, one after the other, and where those of each end."""
+    n = size[which]
+    end = np.cumsum(n)
+    return ids[np.repeat(start[which] - end + n, n) + np.arange(int(n.sum()))], end
+
+
+def closed(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and ends of a batch with the end id after each text."""
+    return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, end) of the rows that are encoded at a time."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > first and held + n > SLICE:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if len(size):
+        yield first, len(size)
 
 
 def _words(spec: dict) -> tuple[str, regex.Pattern | None]:

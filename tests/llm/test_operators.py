@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from keyhold.llm import bpe, embedding_dedup, html_text, language_id, line_dedup, packing, queries, rans, registry, token_files, tokens, url_filter
+from keyhold.llm import bpe, embedding_dedup, html_text, language_id, line_dedup, packing, queries, rans, registry, shared, token_files, tokens, url_filter
 from tests.llm.test_dedup import brute
 from tests.oracle import same
 
@@ -237,7 +237,7 @@ def test_joined_words(texts):
     for path in (queries.WORD_TOKENIZER, queries.BYTE_TOKENIZER):
         fast, own = tokens.Encoder.__new__(tokens.Encoder), bpe.codec(path)
         fast.__dict__.update(tokens.encoder(path).__dict__)
-        fast.words, fast.runs = tokens.Held(fast._of_words, 5), tokens.Held(fast._of_runs, 5)  # forgets soon
+        fast.words = tokens.Held(fast._of_words, 5)  # forgets soon
         for t in texts:
             ids = fast.library.encode(t, add_special_tokens=False).ids
             assert fast(t).tolist() == ids == own.encode(t).tolist(), t
@@ -349,8 +349,9 @@ def test_pages(spark):
 def test_rans(ids, often):
     ids = np.array(ids + [3] * (often * 40_000), dtype=np.int64)
     coder = rans.Coder(rans.table(np.bincount(ids, minlength=9)))
-    blocks = coder.encode(ids)
-    assert np.array_equal(np.concatenate([*coder.decode(blocks), np.zeros(0)]), ids)
+    cut = [ids[i : i + rans.BLOCK] for i in range(0, len(ids), rans.BLOCK)]
+    blocks = coder.encode(cut)
+    assert all(map(np.array_equal, coder.decode(blocks), cut))
     for b in blocks:
         with pytest.raises(ValueError):
             coder.decode([b[:-9] + bytes([b[-9] ^ 1]) + b[-8:]])
@@ -373,6 +374,72 @@ def test_token_files(spark, tmp_path):
     assert token_files.round_trip(df.limit(0), queries.BYTE_TOKENIZER, 0).count() == 0
 
 
+def test_token_files_blocks(spark, tmp_path, documents):
+    """Documents over several blocks, repeated and null ids, and more than one shard."""
+    rows = [(i, t) for i, t in documents[:40]] + [(7, "the of and a " * 70_000), (None, "b " * 150_000), (None, None), (7, "x"), (7, "x"), (-3, "")]
+    files = token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "t"), queries.BYTE_TOKENIZER, 0)
+    library = Tokenizer.from_file(queries.BYTE_TOKENIZER)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), r[1] or ""))
+    want, start, every = [], 0, []
+    for i, t in order:
+        raw = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want.append((i, start, len(raw), zlib.crc32(raw.tobytes())))
+        start += len(raw)
+        every.append(raw)
+    assert sorted(map(tuple, token_files.summary(spark, files).collect()), key=lambda r: r[1]) == want
+    shards = {r.shard: r.before for r in files.shards(spark).collect()}
+    pieces = sorted((shards[r.shard] + r.start, r.part, r.ids) for r in token_files.decoded(spark, files).collect())
+    assert b"".join(p[2] for p in pieces) == np.concatenate(every).tobytes() and len(shards) > 1
+    assert max(r.part for r in token_files.decoded(spark, files).collect()) >= 2
+
+
+# shared tables
+
+
+def test_scratch(spark):
+    from pathlib import Path
+
+    root = Path(spark.conf.get("spark.checkpoint.dir")) / spark.sparkContext.applicationId
+    before = set(root.glob("*")) if root.exists() else set()
+    with shared.Scratch(spark) as outer:
+        with shared.Scratch(spark) as inner:
+            one, two = (shared.written(spark.range(9).repartition(2, "id"), n) for n in ("one", "two"))
+            inner.drop(one)
+            kept = inner.keep(two.filter("id > 3"), "kept")
+        assert kept.count() == 5 and len(set(root.glob("*")) - before) == 1
+        with pytest.raises(ZeroDivisionError), shared.Scratch(spark):
+            shared.written(spark.range(1), "three")
+            1 / 0
+        last = outer.keep(kept, "last")
+    assert last.count() == 5 and [p.name[:4] for p in set(root.glob("*")) - before] == ["last"]
+
+
+def test_unset_folder(tmp_path):
+    """Without spark.checkpoint.dir, one machine takes a folder of its own; a cluster says what is missing."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+from keyhold.llm import exact_dedup, shared
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print(exact_dedup.exact_dedup(s.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")).filter("kept").count())
+class Context:
+    master, applicationId = "spark://somewhere", "x"
+    def getConf(self): return s.sparkContext.getConf()
+    def getCheckpointDir(self): return None
+class Session:
+    conf, sparkContext = s.conf, Context()
+try:
+    shared.shared_dir(Session())
+except RuntimeError as e:
+    print("spark.checkpoint.dir" in str(e))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)})
+    assert out.stdout.split() == ["1", "True"], out.stderr[-2000:]
+
+
 # the pipeline
 
 
