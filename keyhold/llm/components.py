@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyhold.llm.shared import written
+from keyhold.llm.shared import Scratch, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,20 +15,33 @@ def components(links: DataFrame) -> DataFrame:
     paths; the number of rounds grows with the logarithm of the longest one. A node's neighbours are only ever
     aggregated to their minimum and joined, never gathered. Nulls and self links are left out; no links: no rows.
     """
+    with Scratch(links.sparkSession) as scratch:
+        return _contracted(links, scratch)
+
+
+def _contracted(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = written(_down(links.select("a", "b")).distinct(), "links")
+    before = _sum(edges)
     while True:
         large = _hang(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), F.col("b") > F.col("a"))
         small = written(_hang(_down(large), F.lit(True)), "stars")
         # done when every node hangs on a root, and no root hangs on anything
-        after = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        before = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        after = _sum(small)
+        scratch.drop(edges)
         edges = small
-        if tuple(after) == tuple(before):
+        if after == before:
             break
+        before = after
+    edges = scratch.keep(edges, "stars")
     roots = edges.groupBy("b").count().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
+def _sum(edges: DataFrame) -> tuple:
+    """What tells whether a round has changed anything."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def _down(links: DataFrame) -> DataFrame:
     """Each link from the larger node (a) to the smaller (b)."""
     return links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

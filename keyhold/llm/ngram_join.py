@@ -3,11 +3,12 @@
 Two sets with Jaccard of at least 4/5 differ in at most (a + b) / 9 elements. The hash space is cut into segments so
 many that, by the pigeonhole principle, two such sets agree on a segment: wholly, or up to one element where one-deletion
 neighbourhoods are indexed too. Sizes are handled in bands, as the number of segments depends on the size. What agrees
-becomes a candidate; candidates are verified on the whole sets.
+becomes a candidate; candidates are verified on the whole sets, and links word by word.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,16 +18,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from keyhold.llm.components import components
-from keyhold.llm.shared import partitions, written
-from keyhold.llm.shingles import U, mix, shingle_sets
+from keyhold.llm.shared import Scratch, partitions, written
+from keyhold.llm.shingles import WIDTH, U, link, mix, shingle_sets, words
 
 NUM, DEN = 80, 100  # the similarity that links: 100 * intersection >= 80 * union
 GROWTH = 1.25  # of a band's sizes: DEN / NUM, so partners are at most one band apart
 FLUSH = 2_000_000  # signatures that a task holds before it sends them on
 STEP = 250_000  # elements that are cut into segments at a time
 BLOCK = 1_000  # members of a signature that are compared at a time
+TOGETHER = 8_000  # members, over all signatures, that are compared in a task
+PART = 2_000_000  # signatures that are grouped in a task
 
 
 def limit(size: int) -> int:
@@ -137,10 +142,13 @@ def signatures(sets: list[np.ndarray], band_of: np.ndarray, plans: dict[int, Ban
     return np.array(use)[np.concatenate(out_doc)], np.concatenate(out_sig)
 
 
-def set_key(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set."""
+def set_key(s: np.ndarray, text: str | None) -> tuple[int, int]:
+    """128 bits that name a set; of a single shingle, the second half comes from its words."""
     two = np.concatenate((mix(s + U(1)).sum(dtype=U, keepdims=True), mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U, keepdims=True))) + U(len(s))
-    return tuple(mix(two).view(np.int64).tolist())
+    k0, k1 = mix(two).view(np.int64).tolist()
+    if len(s) == 1:
+        k1 = int.from_bytes(hashlib.blake2b(b" ".join(words(text)[:WIDTH]), digest_size=8).digest(), "little", signed=True)
+    return k0, k1
 
 
 def width(n: int) -> int:
@@ -190,13 +198,19 @@ def may_link(n: np.ndarray, bits: Bitmaps, x: np.ndarray, y: np.ndarray) -> tupl
     return ok[keep], apart[keep] / both[keep]
 
 
+def _named_sets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
+    """The shingle set of each text, and its name; (0, 0) for an empty one."""
+    for text, s in zip(texts, shingle_sets(texts)):
+        yield s, set_key(s, text) if len(s) else (0, 0)
+
+
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, n, k0, k1, bits) of each row: size, name and bitmap of its shingle set."""
     names = ["doc_id", "n", "k0", "k1", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(len(s), *(set_key(s) if len(s) else (0, 0)), bitmap(s)) for s in shingle_sets(b["text"].to_pylist())]
+            rows = [(len(s), *key, bitmap(s)) for s, key in _named_sets(b["text"].to_pylist())]
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], names)
 
@@ -211,9 +225,8 @@ def _indexed(docs: DataFrame, plans: dict[int, Band], parts: int) -> DataFrame:
     """
     def send(sigs: list[np.ndarray], keys: list[np.ndarray]) -> pd.DataFrame:
         sig, key = np.concatenate(sigs), np.concatenate(keys)
-        p = (sig >> U(32)) * U(parts) >> U(32)
-        sig, low, star = combine(p << U(32) | sig * U(0x9E3779B97F4A7C15) >> U(32), key)
-        entries = _packed((sig >> U(32)).astype(np.int64), (sig & U(0xFFFFFFFF)).astype(np.uint32), low)
+        sig, low, star = combine(sig, key)
+        entries = _packed(((sig >> U(32)) * U(parts) >> U(32)).astype(np.int64), sig, low)
         stars = _packed((mix(star[2].view(U)) % U(parts)).astype(np.int64), *star)
         at = sorted(entries.keys() | stars.keys())
         return pd.DataFrame({"p": at, "entries": [entries.get(x, b"") for x in at], "stars": [stars.get(x, b"") for x in at]})
@@ -232,8 +245,8 @@ def _indexed(docs: DataFrame, plans: dict[int, Band], parts: int) -> DataFrame:
 
         for b in batches:
             sets, names, size = [], [], 0
-            for s in shingle_sets(b["text"].tolist()):
-                if len(s) < 4 or (name := set_key(s)) in seen:  # copies within a task are indexed once
+            for s, name in _named_sets(b["text"].tolist()):
+                if len(s) < 4 or name in seen:  # copies within a task are indexed once
                     continue
                 seen.add(name)
                 sets.append(s)
@@ -289,11 +302,10 @@ def _stars(index: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         raw = [x for x in pdf["entries"] if x]
-        n = [len(x) // 12 for x in raw]
+        n = [len(x) // 16 for x in raw]
         if raw:
-            p = U(int(pdf["p"].iloc[0]))
-            sig = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(raw, n)]).astype(U) | p << U(32)
-            key = np.concatenate([np.frombuffer(x, np.int64, k, 4 * k) for x, k in zip(raw, n)])
+            sig = np.concatenate([np.frombuffer(x, U, k) for x, k in zip(raw, n)])
+            key = np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in zip(raw, n)])
             out.append(combine(sig, key)[2])
         for x in pdf["stars"]:
             if x:
@@ -306,42 +318,54 @@ def _stars(index: DataFrame) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, apart) of the pairs (a, b) of document ids that sizes and bitmaps don't rule out."""
+    """(a, b) of the pairs (a, b) of nodes that sizes and bitmaps don't rule out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n, bits, k = np.concatenate((b["na"], b["nb"])), Bitmaps([*b["xa"], *b["xb"]]), np.arange(len(b))
-            at, apart = may_link(n, bits, k, k + len(b))
-            yield b[["a", "b"]].iloc[at].assign(apart=apart)
+            yield b[["a", "b"]].iloc[may_link(n, bits, k, k + len(b))[0]]
 
     for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"x{side}")), side)
-    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInPandas(run, "a long, b long, apart double")
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"x{side}")), side)
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids whose whole shingle sets link."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link: hashed sets sort out those that don't, and words decide the others."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ask = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("id"), "n", "k0", "k1")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ask, "id")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "set": [s.tobytes() for s in shingle_sets(b["text"].tolist())]})
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # where an id repeats, several rows come for a node
+            keys = zip(b["n"].to_pylist(), b["k0"].to_pylist(), b["k1"].to_pylist())
+            ok = pa.array([(len(s), *name) == key for (s, name), key in zip(_named_sets(b["text"].to_pylist()), keys)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["node"], b["text"]], ["node", "text"]).filter(ok)
 
-    known = written(texts.mapInPandas(sets, "id long, set binary"), "sets")
+    known = written(texts.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = []
-            for x, y in zip(b["x"], b["y"]):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                z = np.sort(np.concatenate((x, y)), kind="stable")
-                both = int((z[1:] == z[:-1]).sum())
-                ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            for lo in range(0, len(b), 500):
+                some = b.iloc[lo : lo + 500]
+                text = dict(zip(some["a"], some["x"])) | dict(zip(some["b"], some["y"]))
+                sets = dict(zip(text, shingle_sets(list(text.values()))))
+                word: dict[int, list[bytes]] = {}
+                for x, y in zip(some["a"].tolist(), some["b"].tolist()):
+                    z = np.sort(np.concatenate((sets[x], sets[y])), kind="stable")
+                    both = int((z[1:] == z[:-1]).sum())
+                    good = DEN * both >= NUM * (len(z) - both)
+                    if good:
+                        for k in (x, y):
+                            if k not in word:
+                                word[k] = words(text[k])
+                        good = link(word[x], word[y], NUM, DEN)
+                    ok.append(good)
             yield b.loc[ok, ["a", "b"]]
 
-    one = pairs.join(known.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    two = one.join(known.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    one = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    two = one.join(known.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     return two.select("a", "b", "x", "y").mapInPandas(test, "a long, b long")
 
 
@@ -362,28 +386,36 @@ def spanning(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 
 def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame, forest: bool) -> DataFrame:
-    """(a, b, apart) of pairs that share a signature with further members, may link, and whose components differ.
+    """(a, b) of pairs of nodes that share a signature with further members, may link, and whose components differ.
 
     forest: of the pairs that meet in a task, only so many that they would join all its components, the closest ones.
-    where: (k0, rep, component). Signatures whose members are all joined are dropped first. Members of the others are
-    dealt out in blocks, and each two blocks meet in one task.
+    where: (k0, node, component). Signatures whose members are all joined are dropped first. Members of the others are
+    dealt out in blocks, and each two blocks meet in one task. Signatures of one neighbourhood mostly hold the same
+    members, so several of them share a task, as many as hold TOGETHER members; the bitmaps come to it once.
     """
     several = stars.groupBy("sig").count().filter("count > 1").select("sig")
     kept = stars.join(several, "sig", "left_semi")
-    members = kept.select("sig", F.col("a").alias("k0")).union(kept.select("sig", F.col("b").alias("k0"))).distinct().join(where, "k0").select("sig", "rep", "component")
+    members = written(kept.select("sig", F.col("a").alias("k0")).union(kept.select("sig", F.col("b").alias("k0"))).distinct().join(where, "k0").select("sig", "node", "component"), "members")
     size = members.groupBy("sig").agg(F.count("*").alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-    open_ = members.join(size.select("sig", "members", "c0"), "sig").join(nodes.select("rep", "n", "bits"), "rep")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    size = written(size.select("sig", "c0", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), "members"), "open")
+    salts = size.groupBy("c0").agg(F.ceil(F.sum(F.col("members") * F.col("blocks")) / F.sum("blocks") * F.count("*") / TOGETHER).alias("salts"))
+    dealt = members.join(size.join(salts, "c0"), "sig")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    # signatures of one neighbourhood mostly hold the same members: some of them share a task, where a pair is met once
-    deal = F.xxhash64("c0", F.pmod("sig", F.lit(8)), "lo", "hi")
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf.drop_duplicates("rep").sort_values("rep")
-        rep, n, bits = known["rep"].to_numpy(), known["n"].to_numpy(), Bitmaps(known["bits"].tolist())
-        rows = np.stack([pdf[c].to_numpy() for c in ("sig", "lo", "hi", "component", "block")] + [np.searchsorted(rep, pdf["rep"].to_numpy())])
+    dealt = dealt.withColumn("deal", F.xxhash64("c0", F.pmod(F.xxhash64("sig"), F.col("salts")), "lo", "hi"))
+    dealt = written(dealt.select("deal", "sig", "lo", "hi", "block", "node", "component"), "dealt")
+    known = dealt.select(F.col("deal").alias("at"), "node").distinct().join(nodes.select("node", "n", "bits"), "node")
+    known = known.select("at", F.col("node").alias("member"), F.col("n").alias("size"), F.col("bits").alias("map"))
+
+    def pairs(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        known = known.sort_values("member")
+        node, n, bits = known["member"].to_numpy(), known["size"].to_numpy(), Bitmaps(known["map"].tolist())
+        place = np.searchsorted(node, pdf["node"].to_numpy())
+        component = np.zeros(len(node), dtype=np.int64)
+        component[place] = pdf["component"].to_numpy()
+        rows = np.stack([*(pdf[c].to_numpy() for c in ("sig", "lo", "hi", "component", "block")), place])
         rows = rows[:, np.lexsort((rows[5], rows[2], rows[1], rows[0]))]
         cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
         met, held, seen = [], 0, set()
@@ -395,89 +427,105 @@ def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame, forest: bool) ->
             ok = g[3, i] != g[3, j]
             if g[1, 0] != g[2, 0]:
                 ok &= g[4, i] != g[4, j]
-            met.append(g[5, i[ok]] * len(rep) + g[5, j[ok]])
+            met.append(g[5, i[ok]] * len(node) + g[5, j[ok]])
             held += len(met[-1])
             if held > 4_000_000:
                 met = [np.unique(np.concatenate(met))]
                 held = len(met[0]) // 2
-        met = np.unique(np.concatenate(met))
-        x, y = np.divmod(met, len(rep))
+        x, y = np.divmod(np.unique(np.concatenate(met)), len(node))
         at, apart = may_link(n, bits, x, y)
         if forest:
-            component = known["component"].to_numpy()
-            keep = spanning(component[x[at]], component[y[at]], apart)
-            at, apart = at[keep], apart[keep]
-        return pd.DataFrame({"a": rep[x[at]], "b": rep[y[at]], "apart": apart})
-
-    cols = ["sig", "rep", "component", "block", "lo", "hi", "n", "bits"]
-    return dealt.select(*cols, deal.alias("deal")).groupBy("deal").applyInPandas(pairs, "a long, b long, apart double")
+            at = at[spanning(component[x[at]], component[y[at]], apart)]
+        return pd.DataFrame({"a": node[x[at]], "b": node[y[at]]})
 
+    return dealt.groupBy("deal").cogroup(known.groupBy("at")).applyInPandas(pairs, "a long, b long")
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs`` (doc_id, text; other columns are not looked at).
-
-    Two documents link when 100 * intersection >= 80 * union of their sets of distinct five-word shingles; component_id
-    is the smallest doc_id that links reach. Documents with equal sets are one node, and count as linked. Null or empty
-    texts, or texts without words, have no shingles and link with nothing. A null doc_id links with nothing either
-    (component_id null). Ids that repeat count as one document each time. An empty table gives no rows.
 
-    Links are verified in three rounds. In the first, each set meets the one set with which it shares most signatures; in
-    the second, the closest pairs that would join the components whose sets share signatures; in the third, all other
-    pairs that share one and aren't joined yet. Nothing is lost by skipping joined pairs, as only the components are asked for.
-    """
+def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, k0, k1) of each row, and (n, k0, k1, cluster, component_id) of each set; cluster: a component's own number."""
     spark = docs.sparkSession
-    found = written(described(docs), "sets")
-    nodes = written(found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "nodes")
+    found = scratch.keep(described(docs), "sets")
+    nodes = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     edge = F.array([F.lit(int(e)) for e in EDGES])
     bands = nodes.filter("n >= 4").groupBy((F.array_size(F.filter(edge, lambda e: e <= F.col("n"))) - 1).alias("band")).count().collect()  # a row a band
     plans = {r.band: allocate(int(EDGES[r.band]), int(EDGES[r.band + 1]), r["count"]) for r in bands}
-    stars = written(_stars(_indexed(docs, plans, partitions(spark) * 4)), "stars")
+    # about as many signatures as sets have, under their own band's cut and the next lower one's
+    total = sum(2 * r["count"] * (plans[r.band].units + plans[r.band].wide * (r.band and (plans[r.band].low + plans[r.band].high) / plans[r.band].units)) for r in bands)
+    parts = max(4 * partitions(spark), int(total / PART))
+    stars = written(_stars(_indexed(docs, plans, parts)), "stars")
     shared = written(_named(stars.groupBy("a", "b").count(), nodes).groupBy("a", "b").agg(F.sum("count").alias("count")), "shared")
     best = shared.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first = written(plausible(best.union(_clashes(nodes)).distinct(), nodes).select("a", "b"), "pairs")
-    links = written(verified(first, docs), "links")
+    tested = written(plausible(best.union(_clashes(nodes)).distinct(), nodes), "pairs")
+    links = _confirmed(tested, nodes, docs)
     where = _where(nodes, links)
-    tested = first
     for forest in (True, False):
-        open_ = _apart(shared.select("a", "b").join(tested, ["a", "b"], "left_anti"), where).select("a", "b")
-        some = plausible(open_, nodes).union(_rest(stars, nodes, where, forest)).select("a", "b").distinct()
-        some = written(some.join(tested, ["a", "b"], "left_anti"), "pairs")
+        with Scratch(spark) as inner:
+            open_ = _apart(shared.select("a", "b").join(tested, ["a", "b"], "left_anti"), where).select("a", "b")
+            some = plausible(open_, nodes).union(_rest(stars, nodes, where, forest)).distinct()
+            some = inner.keep(some.join(tested, ["a", "b"], "left_anti"), "pairs")
         if some.isEmpty():
             continue
-        again = written(verified(some, docs), "links")
+        again = _confirmed(some, nodes, docs)
         tested = tested.union(some)
         if not again.isEmpty():
             links = links.union(again)
+            scratch.drop(where)
             where = _where(nodes, links)
-    member = nodes.drop("bits").join(where.select("rep", F.col("component").alias("component_id")), "rep").drop("rep")
-    return _members(found.drop("bits"), member)
+    least = where.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    member = nodes.select("n", "k0", "k1", "node").join(where.select("node", F.col("component")), "node").join(least, "component")
+    return found, member.select("n", "k0", "k1", F.col("component").alias("cluster"), "component_id")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(verified(pairs, nodes, docs), "links")
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``docs`` (doc_id, text; other columns are not looked at).
+
+    Two documents link when 100 * intersection >= 80 * union of their sets of distinct five-word shingles; component_id
+    is the smallest doc_id that links reach. Documents with equal sets are one node, and count as linked. Null or empty
+    texts, or texts without words, have no shingles and link with nothing. A null doc_id links with nothing either
+    (component_id null). Rows whose ids repeat are documents of their own. An empty table gives no rows.
+
+    Sets are named, and candidates sought, by 64-bit hashes of words; a link is taken after its words have been compared.
+    Links are verified in three rounds. In the first, each set meets the one set with which it shares most signatures; in
+    the second, the closest pairs that would join the components whose sets share signatures; in the third, all other
+    pairs that share one and aren't joined yet. Nothing is lost by skipping joined pairs, as only the components are asked for.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        found, member = _components(docs, scratch)
+        return scratch.keep(_members(found, member), "near")
 
 
 def _where(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(k0, rep, component) of each node."""
-    group = components(links).withColumnRenamed("node", "rep")
-    return written(nodes.select("k0", "rep").join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "components")
+    """(k0, node, component) of each node."""
+    with Scratch(nodes.sparkSession) as scratch:
+        found = nodes.select("k0", "node").join(components(links), "node", "left")
+        return scratch.keep(found.select("k0", "node", F.coalesce("component", "node").alias("component")), "components")
 
 
 def _apart(pairs: DataFrame, where: DataFrame) -> DataFrame:
     """The pairs (a, b) whose components (ca, cb) differ."""
     for side in "ab":
-        pairs = pairs.join(where.select(F.col("rep").alias(side), F.col("component").alias(f"c{side}")), side)
+        pairs = pairs.join(where.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
     return pairs.filter("ca <> cb")
 
 
 def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, count) of keys as pairs of document ids, the smaller first."""
+    """Pairs (a, b, count) of keys as pairs of nodes, the smaller first."""
     for side in "ab":
-        pairs = pairs.withColumnRenamed(side, "k0").join(nodes.select("k0", F.col("rep").alias(side)), "k0").drop("k0")
+        pairs = pairs.withColumnRenamed(side, "k0").join(nodes.select("k0", F.col("node").alias(side)), "k0").drop("k0")
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "count")
 
 
 def _clashes(nodes: DataFrame) -> DataFrame:
     """Pairs of different sets whose short keys are equal, which signatures can't tell apart."""
     same = nodes.groupBy("k0").agg(F.count("*").alias("c")).filter("c > 1").select("k0")
-    clash = nodes.join(same, "k0", "left_semi").select("k0", "rep")
-    return clash.join(clash.withColumnRenamed("rep", "other"), "k0").filter("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    clash = nodes.join(same, "k0", "left_semi").select("k0", "node")
+    return clash.join(clash.withColumnRenamed("node", "other"), "k0").filter("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
 def _members(found: DataFrame, member: DataFrame) -> DataFrame:
@@ -488,6 +536,39 @@ def _members(found: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of which each component's smallest doc_id and those that link with nothing stay."""
-    gone = near_components(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, all columns, that stay: of each component exactly one, the row with its smallest doc_id.
+
+    Rows without words, and those with a null doc_id, link with nothing and stay. Where ids repeat, rows are told apart by
+    their texts, so that each goes with its own component only; of rows that repeat the smallest id of a component, one
+    stays. An empty table gives no rows.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        found, member = _components(docs, scratch)
+        member = scratch.keep(member, "member")
+        near = scratch.keep(_members(found, member), "near")
+        twice = scratch.keep(near.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+        repeats = not twice.isEmpty()
+    gone = near.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
+    if not repeats:
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = twice.select(F.col("doc_id").alias("_gone"))
+    single = docs.join(gone.union(again).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return single.unionByName(_keep_repeated(docs.join(again, F.col("doc_id") == F.col("_gone"), "left_semi"), member))
+
+
+def _keep_repeated(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """Of rows whose ids repeat, those that stay."""
+    names = [*docs.columns, "_n", "_k0", "_k1"]
+    extra = [T.StructField(c, T.LongType()) for c in ("_n", "_k0", "_k1")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [(len(s), *key) for s, key in _named_sets(b["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))], names)
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+    of = member.select(F.col("n").alias("_n"), F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), F.col("cluster").alias("_cluster"), F.col("component_id").alias("_least"))
+    rows = rows.join(of, ["_n", "_k0", "_k1"], "left")
+    empty, full = rows.filter("_n = 0"), rows.filter("_n > 0 AND doc_id = _least")
+    first = full.withColumn("_rank", F.row_number().over(Window.partitionBy("_cluster").orderBy("_n", "_k0", "_k1"))).filter("_rank <= 1")
+    return empty.select(docs.columns).unionByName(first.select(docs.columns))

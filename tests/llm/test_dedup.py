@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keyhold.llm import exact_dedup, ngram_join, registry
+from keyhold.llm import shingles as shingle_words
 from keyhold.llm.components import components
 from tests.oracle import same
 
@@ -113,3 +114,47 @@ def test_components(spark):
     df = spark.createDataFrame(pairs, "a long, b long")
     assert {r.node: r.component for r in components(df).collect()} == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_near_words(spark):
+    """Different texts never link by their hashes: a word that a polynomial modulo 2^64 can't tell from its complement."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = word.translate({97: 98, 98: 97})
+    df = spark.createDataFrame([(1, word), (2, other), (3, f"q w e {word} r t"), (4, f"q w e {other} r t")], "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in ngram_join.near_components(df).collect())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30), st.integers(0, 6))
+def test_link_words(x, y, cut):
+    y = x[cut:] + y[:3] if cut < 5 else y
+    f, g = shingles(" ".join(x)), shingles(" ".join(y))
+    to = lambda w: [c.encode() for c in w]
+    assert shingle_words.link(to(x), to(y), 80, 100) == bool(f and g and 100 * len(f & g) >= 80 * len(f | g))
+
+
+def test_near_repeated_ids(spark):
+    """Rows with one id are told apart by their texts; of each component one row stays."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, "quite another text of some words", "b"), (2, long + " x", "c"), (2, "a third text that is like no other one", "d"), (1, long, "e"), (3, None, "f"), (3, "", "g"), (None, long, "h"), (4, "quite another text of some words", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string")
+    kept = sorted(r.n_shingles for r in ngram_join.keep_one(df).collect())
+    assert kept in (["a", "b", "d", "f", "g", "h"], ["b", "d", "e", "f", "g", "h"])
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df.filter("n_shingles IN ('b', 'd', 'i')")).collect()) == [1, 2]
+
+
+def test_near_hot_signature(spark, monkeypatch):
+    """A large family and its near misses, more members than a block and a task take."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "TOGETHER", 60)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(0, 120, 6), rng.choice([1, 2, 4, 5, 6])):
+            w[at] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = {tuple(r) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows) and len({c for _, _, c in got}) > 5
