@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from keyhold.llm.tokens import _PLAIN, BYTE_LEVEL, Held, runs
 
+PORTION = 4096  # ids that go through the decoder at a time
 HELD_PAIRS = 500_000  # pairs of tokens that a task remembers before it starts anew
 
 
@@ -191,7 +192,8 @@ class Codec:
         self.cut = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if pre["type"] == "Sequence" else BYTE_LEVEL)
         self.bytes = spec["decoder"] is not None
         self.chars = byte_chars()
-        self.byte_of = {c: b for b, c in enumerate(self.chars)}
+        byte_of, special = {c: b for b, c in enumerate(self.chars)}, set(self.special.values())
+        self.raw = {i: bytes(byte_of[c] for c in s) if i not in special and all(c in byte_of for c in s) else s.encode() for i, s in self.strings.items()} if self.bytes else {}
         self.words, self.runs = Held(lambda ws: map(self._word, ws)), Held(self._of_runs)
 
     def _plain(self, text: str) -> str:
@@ -232,30 +234,36 @@ class Codec:
         return np.frombuffer(b"".join(self._parts(text or "")), dtype="<u4")
 
     def decode(self, ids: Iterable[int]) -> str:
-        """What the state machine gives for these ids, all fed to it. Without a decoder, its state is but the space between."""
-        if not self.bytes:
-            return " ".join([s for i in ids if (s := self.strings.get(i)) is not None])
-        machine = Decoder(self)
-        return "".join([machine.feed(i) for i in ids]) + machine.end()
+        """What the state machine gives for these ids, fed to it in portions."""
+        return "".join(self.texts(ids))
+
+    def texts(self, ids: Iterable[int]) -> Iterator[str]:
+        """The decoded text in portions, as the state machine gives it out; what is held doesn't grow with the ids."""
+        machine, ahead = Decoder(self), iter(ids)
+        while portion := list(islice(ahead, PORTION)):
+            yield machine.feed(*portion)
+        yield machine.end()
 
 
 class Decoder:
-    """Ids to text, one at a time. Byte-level files: bytes that don't yet make a character wait; what can't make one
-    becomes U+FFFD. Files without a decoder: token strings with a space between, as the library does."""
+    """Ids to text, one at a time or some. Byte-level files: bytes that don't yet make a character wait; what can't make one
+    becomes U+FFFD. Files without a decoder: token strings with a space between, as the library does; the state is whether
+    one has come before."""
 
     def __init__(self, codec: Codec) -> None:
         self.codec, self.first = codec, True
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, i: int) -> str:
-        s = self.codec.strings.get(i)
-        if s is None:
-            return ""
+    def feed(self, *ids: int) -> str:
+        """The text that is certain once these ids have come; ids that the vocabulary hasn't give nothing."""
         if self.codec.bytes:
-            byte_of = self.codec.byte_of
-            raw = bytes(byte_of[c] for c in s) if i not in self.codec.special.values() and all(c in byte_of for c in s) else s.encode()
-            return self.state.decode(raw)
-        out, self.first = s if self.first else " " + s, False
+            raw = self.codec.raw
+            return self.state.decode(b"".join([raw.get(i, b"") for i in ids]))
+        strings = self.codec.strings
+        out = " ".join([s for i in ids if (s := strings.get(i)) is not None])
+        if not any(i in strings for i in ids):
+            return ""
+        out, self.first = out if self.first else " " + out, False
         return out
 
     def end(self) -> str:
@@ -302,12 +310,17 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: digests of the ids and of what they decode to."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: digests of the ids and of what they decode to.
+
+    A null text counts as empty; null and repeated ids stay as they are. Other columns are not looked at. An empty table
+    gives no rows.
+    """
 
     def of(text: str | None) -> tuple[int, str, str]:
         c = codec(path)
-        ids = c.encode(text)
-        out = c.decode(ids.tolist())
-        return len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest()
+        ids, back = c.encode(text), hashlib.sha256()
+        for part in c.texts(ids.tolist()):
+            back.update(part.encode("utf-8", "surrogatepass"))
+        return len(ids), hashlib.sha256(ids).hexdigest(), back.hexdigest()
 
     return _rows(docs, ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"], of, [pa.int64(), pa.string(), pa.string()], text_col)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from keyhold.llm.shared import written
+from keyhold.llm.shared import Scratch, written
 
 SALTS = 16
 
@@ -55,6 +56,18 @@ def _attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns."""
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of ``docs``, all columns, that stay: of each text exactly one row, one with its largest doc_id.
+
+    A null text counts as empty. A null doc_id loses to any other. Of rows that repeat both the text and its largest
+    doc_id (or where all are null), one stays. Columns may have any names but _content and _rank. An empty table gives no rows.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        marked = scratch.keep(exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).count(), "kept")
+    content = F.coalesce("text", F.lit(""))
+    rows = docs.withColumn("_content", F.sha2(F.encode(content, "utf-8"), 256))
+    stay = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_sha")))
+    single, repeated = stay.filter("count = 1").select(docs.columns), stay.filter("count > 1")
+    if marked.filter("count > 1").isEmpty():
+        return single
+    order = Window.partitionBy("_content", content, "doc_id").orderBy(F.lit(1))
+    return single.unionByName(repeated.withColumn("_rank", F.row_number().over(order)).filter("_rank <= 1").select(docs.columns))

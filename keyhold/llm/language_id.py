@@ -7,23 +7,24 @@ profile for one that isn't there. The nearest language wins.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 RANKS = 300  # n-grams of a profile, and at most of a document
 MAX_N = 3  # characters of the longest n-gram; three code points fit a 63-bit code
 UNKNOWN = "und"
-MAX_LANGUAGES = 2_000  # more labels than this aren't languages; training raises ValueError
+LEAST = 0.2  # score below which the pipeline takes no language for known
 WORDS = 100_000  # words of a text whose n-grams are counted at a time
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def grams(words: list[str]) -> np.ndarray:
@@ -57,16 +58,17 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Profiles:
-    """langs in order; ranks: for each n-gram code of any profile, its rank in each language (RANKS where it has none)."""
+    """langs in order; entries: a row (n-gram code, position of its language, rank there) for each n-gram of each profile."""
 
     langs: list[str]
-    ranks: dict[int, tuple[int, ...]]
+    entries: np.ndarray
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of every row with a text and a label. N-grams are counted over all of them, in each task and then overall.
 
-    What comes to the driver is RANKS n-grams a language.
+    What comes to the driver is RANKS n-grams a language. Rows with a null text or label, and texts without letters, don't
+    count; repeated rows count each time. An empty table gives profiles of no language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,15 +88,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).dropna()
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).filter(F.col("rank") < RANKS)
-    found = top.select("lang", "gram", "rank").take(MAX_LANGUAGES * RANKS + 1)
-    if len(found) > MAX_LANGUAGES * RANKS:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= RANKS)
+    found = top.select("lang", "gram", (F.col("place") - 1).alias("rank")).collect()  # RANKS rows a language
     langs = sorted({r.lang for r in found})
-    ranks: dict[int, list[int]] = defaultdict(lambda: [RANKS] * len(langs))
-    for r in found:
-        ranks[r.gram][langs.index(r.lang)] = r.rank
-    return Profiles(langs, {g: tuple(v) for g, v in ranks.items()})
+    place = {x: i for i, x in enumerate(langs)}
+    return Profiles(langs, np.array([(r.gram, place[r.lang], r.rank) for r in found], dtype=np.int64).reshape(-1, 3))
 
 
 class Judge:
@@ -102,9 +100,9 @@ class Judge:
 
     def __init__(self, profiles: Profiles) -> None:
         self.langs = profiles.langs
-        self.codes = np.array(sorted(profiles.ranks), dtype=np.int64)
-        none = [(RANKS,) * len(self.langs)]
-        self.ranks = np.array([profiles.ranks[c] for c in self.codes.tolist()] + none, dtype=np.int64)
+        code, self.lang, self.rank = profiles.entries[np.lexsort((profiles.entries[:, 1], profiles.entries[:, 0]))].T
+        self.codes, self.first = np.unique(code, return_index=True)
+        self.number = np.diff(np.append(self.first, len(code)))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language, and 1 less the distance as a share of the greatest there can be."""
@@ -113,11 +111,12 @@ class Judge:
             return UNKNOWN, 0.0
         codes, counts = counted(words)
         top = codes[ranked(codes, counts, RANKS)]
-        at = np.searchsorted(self.codes, top)
-        at[at < len(self.codes)] = np.where(self.codes[at[at < len(self.codes)]] == top[at < len(self.codes)], at[at < len(self.codes)], len(self.codes))
-        ranks = self.ranks[at]
-        away = np.where(ranks == RANKS, RANKS, np.abs(ranks - np.arange(len(top))[:, None]))
-        total = away.sum(axis=0)
+        at = np.minimum(np.searchsorted(self.codes, top), len(self.codes) - 1)
+        own = np.flatnonzero(self.codes[at] == top)  # ranks of n-grams that any profile has
+        n = self.number[at[own]]
+        entry = np.repeat(self.first[at[own]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        nearer = RANKS - np.abs(self.rank[entry] - np.repeat(own, n))
+        total = RANKS * len(top) - np.bincount(self.lang[entry], weights=nearer, minlength=len(self.langs)).astype(np.int64)
         best = int(np.argmin(total))
         return self.langs[best], float(1 - total[best] / (RANKS * len(top)))
 
@@ -129,19 +128,19 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep:
     language that sorts first.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
-    fields = [docs.schema[c] for c in keep]
+    fields, judged = [docs.schema[c] for c in keep], "judged"
+    while judged in keep:
+        judged += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles)
         for b in batches:
-            found = [judge(t) for t in b["_text"].to_pylist()]
+            found = [judge(t) for t in b[judged].to_pylist()]
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], *cols], [*keep, "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(judged)).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -149,7 +148,16 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known; profiles from the rows that aren't held out."""
-    profiles = train(docs.filter(~held_out()))
-    return identify(docs, profiles).filter(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known; profiles from the rows with a label that aren't held out.
+
+    Rejected are texts that are null or have no letters, and those whose score is below ``least``: too far from every
+    profile, as texts of a language that has none. Repeated rows are kept or go together. Without any label all go. An
+    empty table gives no rows.
+    """
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    if len(own) < len(docs.columns):
+        kept = identify(docs.select(*[F.col(f"`{c}`").alias(f"own {c}") for c in docs.columns], "text"), train(docs.filter(~held_out())))
+        return kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"`own {c}`").alias(c) for c in docs.columns])
+    found = identify(docs, train(docs.filter(~held_out())))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(docs.columns)

@@ -8,6 +8,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keyhold.llm import exact_dedup, ngram_join, registry
 from keyhold.llm import shingles as shingle_words
@@ -31,7 +32,12 @@ def test_exact_odd_rows(spark):
     want = [(1, 4, 4, False), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 4, True), (4, 4, 4, True), (5, 5, 1, True), (6, 6, 1, True), (7, 8, 2, False), (8, 8, 2, True), (None, 4, 4, False)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in exact_dedup.keep_one(df).collect()) == [3, 4, 4, 5, 6, 8]
+    assert sorted(r.doc_id for r in exact_dedup.keep_one(df).collect()) == [3, 4, 5, 6, 8]
+    again = spark.createDataFrame([(4, "a"), (4, "b"), (5, "b"), (4, "a"), (None, "c"), (None, "c"), (7, None), (7, "")], "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in exact_dedup.keep_one(again).fillna("").collect()))) == ["(4, 'a')", "(5, 'b')", "(7, '')", "(None, 'c')"]
+    assert exact_dedup.keep_one(df.limit(0)).count() == 0
+    low = exact_dedup.exact_dedup(df, normalize=F.lower("text")).collect()
+    assert {(r.doc_id, r.keep_id) for r in low if r.doc_id in (1, 5)} == {(1, 5), (5, 5)}
 
 
 def shingles(text):

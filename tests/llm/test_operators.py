@@ -163,23 +163,27 @@ def test_packing(spark):
 # 5: language ID
 
 
-def brute_language(train, text):
+def brute_top(texts):
     from collections import Counter
 
-    def top(texts):
-        c = Counter()
-        for t in texts:
-            for w in language_id._WORD.findall(t.lower()):
-                p = f" {w} "
-                c.update(p[i : i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i : i + n] != " ")
-        code = lambda g: sum(ord(x) << 21 * (len(g) - 1 - i) for i, x in enumerate(g))
-        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))][: language_id.RANKS]
+    c = Counter()
+    for t in texts:
+        letters = "".join(x if x.isalpha() else " " for x in t.lower())
+        for w in letters.split():
+            p = f" {w} "
+            c.update(p[i : i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i : i + n] != " ")
+    code = lambda g: sum(ord(x) << 21 * (len(g) - 1 - i) for i, x in enumerate(g))
+    return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))][: language_id.RANKS]
+
+
+def brute_profiles(train):
+    return {lang: {g: i for i, g in enumerate(brute_top([t for t, x in train if x == lang]))} for lang in {g for _, g in train}}
 
-    own, best = top([text]), []
-    for lang in sorted({g for _, g in train}):
-        rank = {g: i for i, g in enumerate(top([t for t, x in train if x == lang]))}
-        best.append((sum(abs(rank[g] - i) if g in rank else language_id.RANKS for i, g in enumerate(own)), lang))
-    return min(best)[1] if own else "und"
+
+def brute_language(profiles, text):
+    own = brute_top([text or ""])
+    away = [(sum(abs(rank[g] - i) if g in rank else language_id.RANKS for i, g in enumerate(own)), lang) for lang, rank in profiles.items()]
+    return min(away)[1] if own else "und"
 
 
 def test_language(spark):
@@ -188,7 +192,8 @@ def test_language(spark):
     rows = docs.collect()
     train = [(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5]
     assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
-    assert all(got[r.doc_id].lang_pred == brute_language(train, r.text) for r in rows[:12])
+    rank = brute_profiles(train)
+    assert all(got[r.doc_id].lang_pred == brute_language(rank, r.text) for r in rows)
     held = [got[r.doc_id].lang_pred == r.lang for r in rows if got[r.doc_id].held_out]
     assert sum(held) >= 0.95 * len(held)
 
@@ -203,6 +208,26 @@ def test_language_odd(spark):
     assert language_id.identify(df.limit(0), profiles).count() == 0
 
 
+def test_language_letters(spark):
+    """Numbers and signs that a regex takes for word characters are no letters; letters beyond the profiles are."""
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["the of and", "½ ② ³ Ⅷ ௰ 12 _", "𝟘 ٣", "ℵ", "日本"])], "doc_id long, text string, lang string")
+    profiles = language_id.train(df.filter("doc_id = 0"))
+    got = [(r.lang_pred, r.score > 0) for r in sorted(language_id.identify(df, profiles).collect(), key=lambda r: r.doc_id)]
+    assert got == [("en", True), ("und", False), ("und", False), ("en", False), ("en", False)]
+
+
+def test_keep_known(spark):
+    """Texts of a language without a profile go, and so do those without letters; clashing columns stay."""
+    words = {"en": "the of and to in that is was for with", "fr": "le la de et que les des une pour dans"}
+    rows = [(i, " ".join(random.Random(i).choices(words[lang].split(), k=30)), lang, 0.5, None) for i in range(40) for lang in [("en", "fr")[i % 2]]]
+    rows += [(100, "это совсем другой язык и буквы другие", None, 0.1, 7), (101, "123 !!", None, 0.1, 7), (102, None, "en", None, None), (None, "the of and", None, 0.2, 1), (1, rows[1][1], "fr", 0.5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, _score int")
+    got = language_id.keep_known(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in rows if r[0] not in (100, 101, 102))
+    assert language_id.keep_known(df.limit(0)).count() == 0
+
+
 # 6: BPE
 
 
@@ -214,6 +239,17 @@ def test_bpe_library(documents, path):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert own.encode(t).tolist() == ids == fast(t).tolist(), t
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        machine = bpe.Decoder(own)
+        assert "".join([machine.feed(i) for i in ids[:500]]) + machine.end() == library.decode(ids[:500], skip_special_tokens=False)
+
+
+def test_held_bytes():
+    """What is remembered stays below a number of bytes, however long the words are."""
+    held = tokens.Held(lambda ws: [w.encode() for w in ws], most=10**6, most_bytes=10_000)
+    for i in range(300):
+        words = [f"{i}-{k}" + "x" * (3 * i) for k in range(5)]
+        assert held.all(words) == [w.encode() for w in words]
+        assert sum(len(w) + len(v) for d in (held.young, held.old) for w, v in d.items()) <= 4 * 10_000
 
 
 @settings(max_examples=200, deadline=None)
