@@ -1,8 +1,10 @@
 """The main text of a web page, from the standard library's streaming parser.
 
-The parser's events make lines, one for each block of the page. Each line has a ratio of text to tags, 0 where its
-element is known not to be content; the ratios are smoothed with a Gaussian and compared with their spread. Lines above
-it form clusters, and the regions of the page that hold a cluster are its content, with all their lines, short ones too.
+The parser's events make lines, one for each block of the page. Each line has a ratio of text outside of links to tags,
+weighed by where it stands: elements that are made for something else (navigation, forms) count for nothing, names of
+class and id that speak for it for little. The ratios are smoothed with a Gaussian and compared with their spread. Lines
+above it form clusters, and the regions of the page that hold a cluster are its content, with all their lines, short ones
+too. A region that its names speak against is content only if it holds a cluster of its own.
 """
 
 from __future__ import annotations
@@ -33,19 +35,21 @@ HINTS = frozenset(
     "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer comment comments disqus respond replies share sharing social "
     "related recommended newsletter subscribe signup login toolbar skip widget masthead".split()
 )
-#: Words of class and id that speak for a header; inside an article that holds its title.
-HEADER = frozenset("header topbar".split())
+#: Words that say nothing by themselves, beside those of HINTS.
+NEUTRAL = frozenset("site page main top bottom left right box bar list block area section container wrapper wrap inner item items global the post article entry content js col row".split())
+HEADER = frozenset("header topbar".split())  # speaks for a header; inside an article that holds its title
+STRONG, WEAK = 0.1, 0.5  # weights of an element with a name made of hints alone, or of one with a hint in it
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a like one, or its parent's next child, ends.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
 class Line:
     text: str
     tags: int
-    content: bool  # not in an element that is known to be something else
+    weight: float  # 0: in an element that is made for something else
     article: int  # number of the outermost article or main element; 0: none
     region: int  # number of the innermost element that can be a region; 0: the body
     heading: bool
@@ -54,7 +58,7 @@ class Line:
 
     @property
     def ratio(self) -> float:
-        return len(self.text) / max(1, self.tags) if self.content else 0.0
+        return self.weight * max(0, len(self.text) - self.linked) / max(1, self.tags)
 
 
 class Lines(HTMLParser):
@@ -63,20 +67,21 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, content, article, regions
+        self.stack: list[tuple[str, float, int, tuple[int, ...]]] = []  # element, weight, article, regions
+        self.doubted: set[int] = set()  # regions that their names speak against
         self.open: Counter = Counter()
         self.parts: list[str] = []
         self.tags = self.number = self.linked = 0
         self.tag = ""
 
-    def _state(self) -> tuple[bool, int, tuple[int, ...]]:
-        return self.stack[-1][1:] if self.stack else (True, 0, ())
+    def _state(self) -> tuple[float, int, tuple[int, ...]]:
+        return self.stack[-1][1:] if self.stack else (1.0, 0, ())
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            content, article, path = self._state()
-            self.lines.append(Line(text, self.tags, content, article, path[-1] if path else 0, self.tag in HEADINGS, path, self.linked))
+            weight, article, path = self._state()
+            self.lines.append(Line(text, self.tags, weight, article, path[-1] if path else 0, self.tag in HEADINGS, path, self.linked))
         if text or len(self.parts):
             self.tags = 0
         self.parts, self.linked = [], 0
@@ -107,35 +112,43 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        content, article, path = self._state()
-        if tag in MAIN and not self._hinted(tag, attrs, False):
-            content = True  # what was left open before it ends here
-        elif content:
-            content = not (tag in NEVER or (tag == "header" and not article) or self._hinted(tag, attrs, bool(article)))
-        if tag in REGION:
+        weight, article, path = self._state()
+        named = self._named(tag, attrs, bool(article)) if block else 1.0
+        if tag in MAIN and named:
+            weight = 1.0  # what was left open before it ends here
+        elif weight:
+            weight *= 0.0 if tag in NEVER or (tag == "header" and not article) else named
+        doubted = weight and named == STRONG and tag not in MAIN
+        if tag in REGION or doubted:
             self.number += 1
             if tag != "body":
                 path = (*path, self.number)
-            if tag in MAIN and content and not article:
+            if doubted:
+                self.doubted.add(self.number)
+            if tag in MAIN and weight and not article:
                 article = self.number
-        self.stack.append((tag, content, article, path))
+        self.stack.append((tag, weight, article, path))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash ends only what is void anyway
 
     @staticmethod
-    def _hinted(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    def _named(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> float:
+        """The weight that attributes give an element: 0 if it is hidden or has another role, else by its names."""
+        out = 1.0
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return 0.0
             if name == "role" and (value or "").lower() in ROLES:
-                return True
+                return 0.0
             if name in ("class", "id") and tag not in ("body", "html"):
-                words = set(_WORDS.findall((value or "").lower()))
-                if words & HINTS or not inside and words & HEADER:
-                    return True
-        return False
+                for one in (value or "").split():
+                    words = {w.lower() for w in _WORDS.findall(one)}
+                    speaks = words & HINTS or (not inside and words & HEADER)
+                    if speaks:
+                        out = min(out, STRONG if words <= HINTS | HEADER | NEUTRAL else WEAK)
+        return out
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -162,24 +175,26 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) ->
     return full(ratios) / full(np.ones(len(ratios)))
 
 
-def select(lines: list[Line]) -> list[str]:
+def select(lines: list[Line], doubted: set[int] | frozenset[int] = frozenset()) -> list[str]:
     """The texts of the lines in content regions, in page order."""
     if not lines:
         return []
     ratios = np.array([x.ratio for x in lines])
     smooth = smoothed(ratios)
     least = smooth.std()
-    chosen = [x.content and s >= least for x, s in zip(lines, smooth)]
-    articles = {x.article for x, c in zip(lines, chosen) if c and x.article}
-    if articles:
-        return [x.text for x in lines if x.content and x.article in articles]
-    own = {x.region for x, r in zip(lines, ratios) if x.content and r >= least}  # not by their neighbours alone
-    regions = {x.region for x, c in zip(lines, chosen) if c and x.region in own}
-    return [lines[i].text for i in sorted(_kept(lines, regions, [i for i, (x, c) in enumerate(zip(lines, chosen)) if c and x.region in regions]))]
+    # a cluster's lines; a region is chosen by a line that reaches the threshold by itself, not by its neighbours alone
+    seeds = [i for i, x in enumerate(lines) if x.weight and ratios[i] > 0 and ratios[i] >= least and smooth[i] >= least]
+    holds = {r for i in seeds for r in lines[i].path}
+    fit = [x.weight > 0 and all(r in holds for r in x.path if r in doubted) for x in lines]
+    inside = sum(lines[i].weight * len(lines[i].text) for i in seeds if lines[i].article)
+    if inside and 2 * inside >= sum(lines[i].weight * len(lines[i].text) for i in seeds):
+        articles = {lines[i].article for i in seeds}
+        return [x.text for x, ok in zip(lines, fit) if ok and x.article and x.article in articles]
+    return [lines[i].text for i in sorted(_kept(lines, fit, {lines[i].region for i in seeds}, seeds))]
 
 
-def _kept(lines: list[Line], regions: set[int], seeds: list[int]) -> set[int]:
-    """Positions of the content lines that belong to the chosen regions; the threshold has no say any more.
+def _kept(lines: list[Line], fit: list[bool], regions: set[int], seeds: list[int]) -> set[int]:
+    """Positions of the lines that fit and belong to the chosen regions; the threshold has no say any more.
 
     A region below the body stays whole, with the regions in it. So does all content between the first and the last line
     that stay, and what lies in the same element (below the body) as a chosen region or, in the body, beside a chosen
@@ -191,7 +206,7 @@ def _kept(lines: list[Line], regions: set[int], seeds: list[int]) -> set[int]:
     parents = {x.path[-2] for x in (lines[i] for i in seeds) if len(x.path) > 1}
     out = set(seeds)
     for i, x in enumerate(lines):
-        if not x.content:
+        if not fit[i]:
             continue
         if any(r in regions for r in x.path):
             out.add(i)
@@ -204,16 +219,16 @@ def _kept(lines: list[Line], regions: set[int], seeds: list[int]) -> set[int]:
         if 2 * sum(lines[i].linked for i in at) < sum(len("".join(lines[i].text.split())) for i in at):
             out.update(at)
     first, last = min(out), max(out)
-    while first and lines[first - 1].heading and lines[first - 1].content and lines[first - 1].region == lines[first].region:
+    while first and lines[first - 1].heading and fit[first - 1] and lines[first - 1].region == lines[first].region:
         first -= 1  # the headings right above
-    return {i for i in range(first, last + 1) if lines[i].content}
+    return {i for i in range(first, last + 1) if fit[i]}
 
 
 def main_text(html: str | None) -> str:
     """The page's main text, blocks apart by an empty line; empty for null, empty or contentless pages."""
     parser = Lines()
     parser.feed(html or "")
-    return "\n\n".join(select(parser.finish()))
+    return "\n\n".join(select(parser.finish(), parser.doubted))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from keyhold.llm import bpe, embedding_dedup, html_text, language_id, line_dedup, packing, queries, rans, registry, shared, token_files, tokens, url_filter
+from tests.llm.pages import page
 from tests.llm.test_dedup import brute
 from tests.oracle import same
 
@@ -370,6 +371,36 @@ def test_page_short_lines():
     assert got(f"<ul><li><a>Home</a><li><a>News</a></ul>{''.join(long)}{ul}<p><a>Terms</a>") == want + items
 
 
+def test_page_names():
+    """Names in class and id weigh, but take nothing away by themselves."""
+    long = "long text " * 30
+    got = lambda x: html_text.main_text(f"<body>{x}</body>").split("\n\n")
+    assert got(f"<main class='has-banner'><p>{long}</p><p>Short.</p></main>") == [long.strip(), "Short."]
+    assert got(f"<article><p>{long}</p><div class='share-story'><p>A line.</p></div></article>") == [long.strip(), "A line."]
+    assert got(f"<article><p>{long}</p><table><tr><td>Soup<td class='menu-price'>9.50</table></article>") == [long.strip(), "Soup", "9.50"]
+    assert got(f"<div class='widget'><p>{long}</p><p>Short.</p></div>") == [long.strip(), "Short."]
+    assert got(f"<article><p>{long}</p><div class='ad'>Buy this now</div></article>") == [long.strip()]
+
+
+def test_pages_known():
+    """Words of the main text found and taken, over pages that mostly have neither article nor main."""
+    from collections import Counter
+
+    hit = found = wanted = changed = 0
+    for seed in range(400):
+        html, blocks = page(seed)
+        got, want = (Counter(" ".join(x).split()) for x in ([html_text.main_text(html)], blocks))
+        hit, found, wanted = hit + (got & want).total(), found + got.total(), wanted + want.total()
+        parser = html_text.Lines()
+        parser.feed(html)
+        lines = parser.finish()
+        structure = [x.text for x in lines if x.weight == 1 and (x.article or not any(y.article for y in lines))]
+        changed += structure != html_text.main_text(html).split("\n\n")
+    precision, recall = hit / found, hit / wanted
+    print(f"precision {precision:.4f}, recall {recall:.4f}, pages that ratios change {changed / 400:.2f}")
+    assert precision >= 0.98 and recall >= 0.98 and changed >= 100
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (None, None, None, None), (2, "v", "<p>" + "word " * 60_000, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
