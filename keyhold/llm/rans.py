@@ -156,11 +156,20 @@ def _times(a: int, b: int) -> int:
     return out
 
 
+def _squares() -> list[int]:
+    """The powers of x that 1, 2, 4 and so on zero bytes are worth."""
+    out = [1 << 23]
+    for _ in range(63):
+        out.append(_times(out[-1], out[-1]))
+    return out
+
+
+_SQUARES = _squares()
+
+
 def crc32_joined(a: int, b: int, size: int) -> int:
     """crc32 of two byte strings in a row from that of each; size: bytes of the second."""
-    power, square, n = 1 << 31, 1 << 23, size  # 1, and the power of x that one byte is worth
-    while n:
-        if n & 1:
-            power = _times(power, square)
-        square, n = _times(square, square), n >> 1
-    return _times(power, a) ^ b
+    for i in range(size.bit_length()):
+        if size >> i & 1:
+            a = _times(a, _SQUARES[i])
+    return a ^ b

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -100,7 +99,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "tex
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     order = ["doc_id", "tie"]  # rows with one id, or none, may be many: they are dealt out by their texts
-    dealt = rows.withColumn("tie", F.crc32(F.encode("text", "utf-8"))).repartitionByRange(partitions(docs.sparkSession) * 2, *order).sortWithinPartitions(*order, "text")
+    dealt = rows.withColumn("tie", F.crc32(F.encode("text", "utf-8"))).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, blocks = encoder(tokenizer), _Blocks(TaskContext.get().partitionId())
@@ -209,15 +208,21 @@ def summary(spark: SparkSession, files: TokenFiles) -> DataFrame:
     documents of their own, as they are in the files. A dataset without blocks gives no rows."""
     pieces = written(_read(spark, files, pa.int64(), zlib.crc32).withColumnRenamed("ids", "crc"), "pieces")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, whole = pdf.sort_values("part"), 0
-        for c, n in zip(pdf["crc"].tolist(), pdf["n"].tolist()):
-            whole = rans.crc32_joined(whole, c, 4 * n)
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "doc_id": pdf["doc_id"].iloc[:1].astype("Int64"), "start": pdf["start"].iloc[:1], "n": int(pdf["n"].sum()), "crc": whole})
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = []
+            for parts in b["parts"].to_pylist():
+                crc = 0
+                for p in parts:
+                    crc = rans.crc32_joined(crc, p["crc"], 4 * p["n"])
+                whole.append(crc)
+            yield pa.RecordBatch.from_arrays([b["shard"], b["doc_id"], b["start"], b["n"], pa.array(whole, pa.int64())], ["shard", "doc_id", "start", "n", "crc"])
 
     one = (F.col("part") == 0) & F.col("last")
     # a document over several blocks: a row a block
-    cut = pieces.filter(~one).groupBy("shard", "ord").applyInPandas(join, "shard long, doc_id long, start long, n long, crc long")
+    parts = F.sort_array(F.collect_list(F.struct("part", "n", "crc"))).alias("parts")
+    cut = pieces.filter(~one).groupBy("shard", "ord").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sum("n").alias("n"), parts)
+    cut = cut.drop("ord").mapInArrow(join, "shard long, doc_id long, start long, n long, crc long")
     out = pieces.filter(one).select("shard", "doc_id", "start", "n", "crc").union(cut)
     before = F.broadcast(files.shards(spark).select("shard", "before"))  # a row a shard
     return out.join(before, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
