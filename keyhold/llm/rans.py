@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 
-SCALE = 22  # bits: frequencies sum up to 2 ** SCALE
+SCALE = 20  # bits: frequencies sum up to 2 ** SCALE
 BLOCK = 1 << 16
 LANES = 32
 EVERY = 512  # steps between two checkpoints; a step codes one id a lane

@@ -22,7 +22,7 @@ from keyhold.llm import rans
 from keyhold.llm.shared import Scratch, delete, new_path, partitions, written
 from keyhold.llm.tokens import closed, encoder, slices
 
-AT_ONCE = 32  # blocks that a task codes side by side
+AT_ONCE = 64  # blocks that a task codes side by side
 MAX_VOCAB = 1 << rans.SCALE
 PIECE = [("ord", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("last", pa.bool_()), ("start", pa.int64()), ("n", pa.int64())]
 _DOCS = "docs array<struct<ord:bigint,doc_id:bigint,part:bigint,last:boolean,start:bigint,n:bigint>>"

@@ -18,9 +18,9 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-HELD = 300_000  # entries of a young generation; see Held
+HELD = 500_000  # entries of a young generation; see Held
 HELD_BYTES = 1 << 25  # characters and bytes of them
-SLICE = 1 << 24  # bytes of texts that are encoded at a time; a longer text is a slice of its own
+SLICE = 1 << 23  # bytes of texts that are encoded at a time; a longer text is a slice of its own
 #: Fixed value: how the byte-level kind cuts a text into words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone are cut here; they are their own NFC, and lower-case one by one. Others go whole to the library.
@@ -133,7 +133,7 @@ class Encoder:
         raw, ends = ids.tobytes(), (ends * 4).tolist()
         return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
-    def _of_runs(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _of_runs(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and where in them those of each run begin and end."""
         words, first, end = self._cut(found)
         each = pa.array(words, pa.large_string()).dictionary_encode()
@@ -143,18 +143,21 @@ class Encoder:
         at = np.concatenate(([0], stop))
         return ids, at[first], at[end]
 
-    def _cut(self, found: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def _cut(self, found: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Words, and which of them are each run's: from first to end. Runs are cut together where that can't join words of
         two: if a space is between, or if each begins with its own one, and no other white space is at either end."""
-        safe = np.array([True if self.lower else len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() for x in found], dtype=bool)
-        joint = found if safe.all() else [x for x, ok in zip(found, safe.tolist()) if ok]
-        words = self.cut.findall((" " if self.lower else "").join(joint))
+        if self.lower:  # a space after each
+            joint, safe = _around("", found, " "), np.ones(len(found), dtype=bool)
+        else:
+            safe = _apart(found)
+            joint = found if safe.all() else found.filter(pa.array(safe))
+        words = self.cut.findall(_content(joint))
         length = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
         number = np.zeros(len(found), dtype=np.int64)
-        ends = np.searchsorted(length, np.cumsum(np.fromiter(map(len, joint), np.int64, len(joint))))
-        number[safe] = np.diff(ends, prepend=0)
+        size = pc.utf8_length(joint).to_numpy() - (1 if self.lower else 0)
+        number[safe] = np.diff(np.searchsorted(length, np.cumsum(size)), prepend=0)
         for i in np.flatnonzero(~safe).tolist():
-            own = self.cut.findall(found[i])
+            own = self.cut.findall(found[i].as_py())
             words += own
             number[i] = len(own)
         end = np.empty(len(found), dtype=np.int64)
@@ -190,13 +193,13 @@ class Encoder:
         cut = pc.ascii_split_whitespace(col) if self.lower else pc.split_pattern(col, " ")
         bounds = cut.offsets.to_numpy().astype(np.int64)
         each = cut.flatten().dictionary_encode()
-        run, found = each.indices.to_numpy().astype(np.int64), each.dictionary.to_pylist()
+        run, found = each.indices.to_numpy().astype(np.int64), each.dictionary
         if self.lower:
-            found = [x.lower() for x in found]
+            found = pa.array([x.lower() for x in found.to_pylist()], pa.large_string())
         else:  # a run has the space before it, but for a text's first one
             first, back = np.unique(run[bounds[:-1]], return_inverse=True)
             run[bounds[:-1]] = len(found) + back
-            found = [*(" " + x for x in found), *(found[i] for i in first.tolist())]
+            found = pa.concat_arrays([_around(" ", found, ""), found.take(pa.array(first))])
         ids, lo, hi = self._of_runs(found)
         ids, end = taken(ids, lo, hi - lo, run)
         return ids, np.concatenate(([0], end))[bounds[1:]]
@@ -206,6 +209,33 @@ class Encoder:
         return self.batch([text])[0]
 
 
+def _around(before: str, runs: pa.Array, after: str) -> pa.Array:
+    kind = pa.large_string()
+    return pc.binary_join_element_wise(pa.scalar(before, kind), runs, pa.scalar(after, kind), pa.scalar("", kind))
+
+
+def _bytes(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all runs in a row, and where each ends (with a 0 in front)."""
+    ends = np.frombuffer(runs.buffers()[1], dtype=np.int64)[runs.offset : runs.offset + len(runs) + 1]
+    data = runs.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, dtype=np.uint8), ends - ends[0]
+
+
+def _content(runs: pa.Array) -> str:
+    return _bytes(runs)[0].tobytes().decode()
+
+
+def _apart(runs: pa.Array) -> np.ndarray:
+    """Which runs are a space and more, with no white space behind it or at the end. Plain texts have but that of ASCII."""
+    data, ends = _bytes(runs)
+    white = np.zeros(256, dtype=bool)
+    white[[9, 10, 13, 32]] = True
+    ok = np.diff(ends) > 1
+    first = ends[:-1][ok]
+    ok[ok] = (data[first] == 32) & ~white[data[first + 1]] & ~white[data[ends[1:][ok] - 1]]
+    return ok
+
+
 def taken(ids: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of these parts, one after the other, and where those of each end."""
     n = size[which]
