@@ -22,7 +22,7 @@ from keyhold.llm import rans
 from keyhold.llm.shared import Scratch, delete, new_path, partitions, written
 from keyhold.llm.tokens import closed, encoder, slices
 
-AT_ONCE = 64  # blocks that a task codes side by side
+AT_ONCE = 32  # blocks that a task codes side by side
 MAX_VOCAB = 1 << rans.SCALE
 PIECE = [("ord", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("last", pa.bool_()), ("start", pa.int64()), ("n", pa.int64())]
 _DOCS = "docs array<struct<ord:bigint,doc_id:bigint,part:bigint,last:boolean,start:bigint,n:bigint>>"
@@ -49,12 +49,12 @@ class _Blocks:
     def __init__(self, shard: int) -> None:
         self.shard, self.block, self.ids, self.pieces = shard, 0, np.zeros(0, dtype=np.uint32), np.zeros((len(PIECE), 0), dtype=np.int64)
         self.null = np.zeros(0, dtype=bool)  # whether a piece's doc_id is null
+        self.counts = np.zeros(1, dtype=np.int64)  # of each id
         self.start = self.ordinal = 0
 
     def add(self, doc_id: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
         """Take up these documents; the blocks that are full go out."""
         # a document is cut where a block ends
-        base = self.start - len(self.ids)  # of the first id that is held
         size = np.diff(ends, prepend=0)
         first = self.start + ends - size
         parts = (first + size - 1) // rans.BLOCK - first // rans.BLOCK + 1
@@ -68,32 +68,38 @@ class _Blocks:
         self.null = np.concatenate((self.null, doc_id.is_null().to_numpy(zero_copy_only=False)[of]))
         self.ids = np.concatenate((self.ids, ids.astype(np.uint32, copy=False)))
         self.start, self.ordinal = self.start + len(ids), self.ordinal + len(size)
-        assert base % rans.BLOCK == 0
+        new = np.bincount(ids)
+        if len(new) > len(self.counts):
+            self.counts = np.concatenate((self.counts, np.zeros(len(new) - len(self.counts), dtype=np.int64)))
+        self.counts[: len(new)] += new
         return self._out(len(self.ids) // rans.BLOCK)
 
     def end(self) -> pa.RecordBatch | None:
-        return self._out(-(-len(self.ids) // rans.BLOCK))
+        """The last block, with the counts of all."""
+        return self._out(max(1, -(-len(self.ids) // rans.BLOCK)), self.counts) if self.start else None
 
-    def _out(self, blocks: int) -> pa.RecordBatch | None:
+    def _out(self, blocks: int, counts: np.ndarray | None = None) -> pa.RecordBatch | None:
         if not blocks:
             return None
         n = min(blocks * rans.BLOCK, len(self.ids))
         ends = np.minimum(np.arange(1, blocks + 1) * rans.BLOCK, n)
-        count = np.searchsorted(np.cumsum(self.pieces[5]), ends) + 1
+        count = np.searchsorted(np.cumsum(self.pieces[5]), ends) + 1 if n else np.zeros(1, dtype=np.int64)  # nothing may be left
         own, null = self.pieces[:, : count[-1]], self.null[: count[-1]]
         cols = [pa.array(c, mask=null) if k == "doc_id" else pa.array(c.astype(bool) if k == "last" else c) for (k, _), c in zip(PIECE, own)]
         docs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], count)), pa.int32()), pa.StructArray.from_arrays(cols, [k for k, _ in PIECE]))
         raw = []
         for x in np.split(self.ids[:n], ends[:-1]):
-            raw.append(x.astype("<u2" if int(x.max()) < 1 << 16 else "<u4").tobytes())
-        out = pa.RecordBatch.from_arrays([pa.array(np.full(blocks, self.shard)), pa.array(np.arange(self.block, self.block + blocks)), docs, pa.array(ends - np.concatenate(([0], ends[:-1]))), pa.array(raw, pa.binary())], ["shard", "block", "docs", "n", "ids"])
+            raw.append(x.astype("<u2" if int(x.max(initial=0)) < 1 << 16 else "<u4").tobytes())
+        counts = [None] * (blocks - 1) + [None if counts is None else counts.astype("<i8").tobytes()]
+        out = pa.RecordBatch.from_arrays([pa.array(np.full(blocks, self.shard)), pa.array(np.arange(self.block, self.block + blocks)), docs, pa.array(ends - np.concatenate(([0], ends[:-1]))), pa.array(raw, pa.binary()), pa.array(counts, pa.binary())], ["shard", "block", "docs", "n", "ids", "counts"])
         self.block, self.ids, self.pieces, self.null = self.block + blocks, self.ids[n:], self.pieces[:, count[-1] :], self.null[count[-1] :]
         return out
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "text") -> DataFrame:
-    """(shard, block, docs, n, ids): blocks of ids, with each text's end id, in ascending order of doc_id; a null text counts
-    as empty. ids: little-endian, of 2 bytes where all of a block's fit, else of 4. start counts from the shard's first id.
+    """(shard, block, docs, n, ids, counts): blocks of ids, with each text's end id, in ascending order of doc_id; a null text
+    counts as empty. ids: little-endian, of 2 bytes where all of a block's fit, else of 4. start counts from the shard's
+    first id. counts: in a shard's last block (which may be empty), how often each id occurs in it, else null.
 
     The texts are dealt out and sorted, so that ids never move.
     """
@@ -111,7 +117,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "tex
         if (out := blocks.end()) is not None:
             yield out
 
-    return dealt.select("doc_id", "text").mapInArrow(run, f"shard long, block long, {_DOCS}, n long, ids binary")
+    return dealt.select("doc_id", "text").mapInArrow(run, f"shard long, block long, {_DOCS}, n long, ids binary, counts binary")
 
 
 def _numbers(n: int, raw: pa.BinaryScalar) -> np.ndarray:
@@ -123,17 +129,13 @@ def counted(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs in all documents. The driver gets a row for each different id, at most MAX_VOCAB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, dtype=np.int64)
         for b in batches:
-            for n, raw in zip(b["n"].to_pylist(), b["ids"]):
-                new = np.bincount(_numbers(n, raw))
-                if len(new) > len(total):
-                    total = np.concatenate((total, np.zeros(len(new) - len(total), dtype=np.int64)))
-                total[: len(new)] += new
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    rows = tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).take(MAX_VOCAB + 1)
+            for raw in b["counts"]:
+                total = np.frombuffer(raw.as_buffer(), "<i8")
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    rows = tokens.select("counts").filter("counts IS NOT NULL").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).take(MAX_VOCAB + 1)
     if len(rows) > MAX_VOCAB:
         raise ValueError("more different ids than a table has room for")
     out = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
@@ -168,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text_c
         tokens = written(tokenized(docs, tokenizer, end_id, text_col), "tokens")
         freq = rans.table(counted(tokens))
         spark.createDataFrame([(bytearray(freq.astype("<i8").tobytes()),)], "freq binary").write.parquet(f"{path}/table")
-        _coded(tokens, freq).write.parquet(f"{path}/ids")
+        _coded(tokens.filter("n > 0"), freq).write.parquet(f"{path}/ids")
         size = tokens.groupBy("shard").agg(F.sum("n").alias("ids"))  # a row a shard
         before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         size.select("shard", "ids", before.alias("before")).coalesce(1).write.parquet(f"{path}/shards")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,13 +19,16 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-HELD = 500_000  # entries of a young generation; see Held
+HELD = 300_000  # entries of a young generation; see Held
 HELD_BYTES = 1 << 25  # characters and bytes of them
 SLICE = 1 << 23  # bytes of texts that are encoded at a time; a longer text is a slice of its own
 #: Fixed value: how the byte-level kind cuts a text into words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone are cut here; they are their own NFC, and lower-case one by one. Others go whole to the library.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u02FF\u0390-\u03A1\u03A4-\u03FF\u0400-\u0482\u048A-\u052F\u2010-\u2027\u2030-\u205E\u3001-\u3003\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]*+")
+#: The same for RE2: a character of another kind; and white space at which a byte-level text can't be cut.
+_ODD = r"[^\t\n\r\x20-\x7E\xA1-\x{012F}\x{0131}-\x{02FF}\x{0390}-\x{03A1}\x{03A4}-\x{03FF}\x{0400}-\x{0482}\x{048A}-\x{052F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{3001}-\x{3003}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
+_LOOSE = r"  | \n|\n |[\t\r]|\A | \z"
 
 
 class Held:
@@ -68,6 +72,11 @@ class Held:
         self.bytes += sum(map(len, found)) + sum(map(len, found.values()))
 
 
+def _matches(texts: pa.Array, pattern: str) -> np.ndarray:
+    """Which texts the pattern is found in; an empty one is found nowhere."""
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False) if pattern else np.zeros(len(texts), dtype=bool)
+
+
 def spaced(text: str) -> bool:
     """Whether a plain byte-level text can be cut at its spaces so that no word lies in two runs: a space beside other white
     space belongs to it or to the next word by what follows."""
@@ -91,7 +100,7 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         spec = json.loads(self.library.to_str())
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
         kind, self.cut = _words(spec)
         self.lower = kind == "lower"
         vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
@@ -104,28 +113,28 @@ class Encoder:
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Words in one text cost the library far less than words by themselves; those that such a text would cut
         otherwise, or whose ids don't end where the word does, are encoded by themselves."""
-        joint = [True] * len(words) if self.lower else [len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words]
-        together = words if all(joint) else [w for w, ok in zip(words, joint) if ok]
-        parts = self._together(together) if together else []
+        column = pa.array(words, pa.large_string())
+        joint = np.ones(len(words), dtype=bool) if self.lower else _apart(column)
+        together = column if joint.all() else column.filter(pa.array(joint))
+        parts = self._together(together) if len(together) else []
         if parts is None:
-            joint, parts = [False] * len(words), []
+            joint, parts = np.zeros(len(words), dtype=bool), []
         if len(parts) == len(words):
             return parts
-        alone = [w for w, ok in zip(words, joint) if not ok]
+        alone = column.filter(pa.array(~joint)).to_pylist()
         each = [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
         one, other = iter(parts), iter(each)
-        return [next(one) if ok else next(other) for ok in joint]
+        return [next(one) if ok else next(other) for ok in joint.tolist()]
 
-    def _together(self, words: list[str]) -> list[bytes] | None:
-        text = (" " if self.lower else "").join(words)
+    def _together(self, words: pa.Array) -> list[bytes] | None:
+        text = _content(_around("", words, " ") if self.lower else words)
         ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
         if self.lower:
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(words) or ends[-1] != len(ids):
                 return None
         else:
-            size = np.cumsum(self.size[ids])
-            want = np.cumsum([len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in words])
+            size, want = np.cumsum(self.size[ids]), _bytes(words)[1][1:]
             ends = np.searchsorted(size, want)
             if size[-1] != want[-1] or (size[ends] != want).any():
                 return None
@@ -167,17 +176,15 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of all texts in a row, and where those of each end; a null text counts as empty."""
-        alone: dict[int, bytes] = {}
-        plain: list[int] = []
-        for i, t in enumerate(texts):
-            t = t or ""
-            if self.cut is None or self.special.search(t) or not _PLAIN.fullmatch(t):
-                alone[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-            elif self.lower or spaced(t):
-                plain.append(i)
-            else:
-                alone[i] = b"".join(self.words.all(self.cut.findall(t)))
-        ids, ends = self._plain([texts[i] or "" for i in plain])
+        column = pa.array(["" if t is None else t for t in texts], pa.large_string())
+        # whole texts of other characters, or of an unknown kind, go to the library
+        odd = np.ones(len(texts), dtype=bool) if self.cut is None else _matches(column, _ODD) | _matches(column, self.special)
+        loose = np.zeros(len(texts), dtype=bool) if self.lower else _matches(column, _LOOSE) & ~odd
+        alone: dict[int, bytes] = {i: np.array(self.library.encode(texts[i] or "", add_special_tokens=False).ids, dtype=np.uint32).tobytes() for i in np.flatnonzero(odd).tolist()}
+        alone |= {i: b"".join(self.words.all(self.cut.findall(texts[i]))) for i in np.flatnonzero(loose).tolist()}
+        rest = ~(odd | loose)
+        plain = np.flatnonzero(rest).tolist()
+        ids, ends = self._plain(column if rest.all() else column.filter(pa.array(rest)))
         if not alone:
             return ids, ends
         # put the others between them
@@ -185,11 +192,10 @@ class Encoder:
         parts = [own[i] if i in own else np.frombuffer(alone[i], dtype=np.uint32) for i in range(len(texts))]
         return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As batch, of plain texts that can be cut at their spaces: each different run between spaces is encoded once."""
-        if not texts:
+        if not len(col):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        col = pa.array(texts, pa.large_string())
         cut = pc.ascii_split_whitespace(col) if self.lower else pc.split_pattern(col, " ")
         bounds = cut.offsets.to_numpy().astype(np.int64)
         each = cut.flatten().dictionary_encode()
