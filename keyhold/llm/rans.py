@@ -73,13 +73,14 @@ class Coder:
         states = [x]  # when decoding has come to steps, and then to each checkpoint
         bits = U(63 - SCALE)
         for k in range(steps - 1, -1, -1):
-            f, b = self.freq[ids[:, k]], self.below[ids[:, k]]
+            now = ids[:, k]
+            f = self.freq[now]
             full = x >= f << bits
             sent[:, k] = full
-            out[:, k] = x & U(0xFFFFFFFF)
-            x = np.where(full, x >> U(32), x)
+            out[:, k] = x  # the lower half
+            x = x >> (full.astype(U) << U(5))
             q = x // f
-            x = (q << U(SCALE)) + (x - q * f) + b
+            x = x + q * (U(1 << SCALE) - f) + self.below[now]
             if k % EVERY == 0:
                 states.append(x)
         states = np.stack(states[:0:-1], axis=1)
@@ -123,14 +124,15 @@ class Coder:
                 live -= 1
             y = x[:live]
             slot = y & mask
-            s = self.of_slot[slot.astype(np.int64)]
+            s = self.of_slot[slot.view(np.int64)]
             out[:live, k] = s
             y = self.freq[s] * (y >> U(SCALE)) + slot - self.below[s]
             need = y < LOW
-            if need.any():
-                place = at[:live, None] + np.cumsum(need, axis=1) - 1
-                y = np.where(need, y << U(32) | words[np.where(need, place, 0)], y)
-                at[:live] += need.sum(axis=1)
+            number = np.count_nonzero(need, axis=1)
+            lanes = np.flatnonzero(need)  # by part, and then by lane, as the words are
+            flat, end = y.ravel(), np.cumsum(number)
+            flat[lanes] = flat[lanes] << U(32) | words[np.repeat(at[:live] - end + number, number) + np.arange(len(lanes))]
+            at[:live] += number
             x[:live] = y
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
