@@ -19,9 +19,9 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-HELD = 500_000  # entries of a young generation; see Held
+HELD = 150_000  # entries of a young generation; see Held
 HELD_BYTES = 1 << 25  # characters and bytes of them
-SLICE = 1 << 23  # bytes of texts that are encoded at a time; a longer text is a slice of its own
+SLICE = 1 << 22  # bytes of texts that are encoded at a time; a longer text is a slice of its own
 #: Fixed value: how the byte-level kind cuts a text into words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone are cut here; they are their own NFC, and lower-case one by one. Others go whole to the library.
