@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyhold.llm.components import components
-from keyhold.llm.shared import partitions, written
+from keyhold.llm.shared import Scratch, partitions, written
 
 COSINE = 0.95
 BITS = 64  # signs of a key
@@ -294,6 +294,11 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     finite link with nothing, and so does a row with a null id (component_id and kept null). Ids that repeat are rows of
     their own. An empty table gives no rows.
     """
+    with Scratch(table.sparkSession) as scratch:
+        return scratch.keep(_near(table, id_col, vector_col, cosine, neighbours), "near")
+
+
+def _near(table: DataFrame, id_col: str, vector_col: str, cosine: float, neighbours: int) -> DataFrame:
     spark, kind = table.sparkSession, "<f8" if isinstance(table.schema[vector_col].dataType.elementType, T.DoubleType) else "<f4"
     rows = described(table, id_col, vector_col)
     distinct = rows.filter("digest IS NOT NULL AND vec_id IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyhold.llm.shared import written
+from keyhold.llm.shared import Scratch, written
 
 ROLL = 2  # lines under the rolling hash, and the fewest of a chunk that ends at a boundary
 EVERY = 2  # one place in so many is a boundary
@@ -68,7 +68,7 @@ def _pieces(text: str | None, cut: Cut) -> list[tuple[bytes, int, int]]:
 
 
 def _places(rows: DataFrame, cut: Cut) -> DataFrame:
-    """(id, digest, copies) of each piece, once a row."""
+    """(id, key, digest, copies) of each piece, once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,19 +79,22 @@ def _places(rows: DataFrame, cut: Cut) -> DataFrame:
                 digest += own.keys()
                 copies += own.values()
             at = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["id"].take(at), pa.array(digest, pa.binary()), pa.array(copies, pa.int64())], ["id", "digest", "copies"])
+            yield pa.RecordBatch.from_arrays([b["id"].take(at), b["key"].take(at), pa.array(digest, pa.binary()), pa.array(copies, pa.int64())], ["id", "key", "digest", "copies"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, digest binary, copies long")
+    return rows.select("id", "key", "text").mapInArrow(run, "id long, key long, digest binary, copies long")
 
 
 def _hits(places: DataFrame) -> DataFrame:
-    """(id, digest, other) of each place of a piece that occurs more than once; other: the smallest id that has it isn't this."""
-    shared = written(places.groupBy("digest").agg(F.min("id").alias("owner"), F.sum("copies").alias("copies"), F.count("*").alias("places")).filter("copies > 1"), "shared")
+    """(id, key, digest, other) of each place of a piece that occurs more than once; other: this isn't the row that owns it,
+    the one with the smallest id (nulls last) and then key that has it."""
+    owner = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("owner")
+    shared = written(places.groupBy("digest").agg(owner, F.sum("copies").alias("copies"), F.count("*").alias("places")).filter("copies > 1"), "shared")
     most = max(1, (shared.agg(F.sum("places")).first()[0] or 0) // HOT_SHARE)
     hot, cold = (shared.filter(x).select("digest", "owner") for x in (f"places > {most}", f"places <= {most}"))
     near = places.join(F.broadcast(hot), "digest")
     far = places.join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest")
-    return near.unionByName(far).select("id", "digest", (~F.coalesce(F.col("id") == F.col("owner"), F.col("owner").isNull())).alias("other"))
+    own = F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("key") == F.col("owner.key"))
+    return near.unionByName(far).select("id", "key", "digest", (~own).alias("other"))
 
 
 def _clashes(joined: DataFrame, text_col: str, cut: Cut) -> list[bytes]:
@@ -120,16 +123,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     cut: ``passages`` or ``long_chunks``. Of equal pieces, the one in the row with the smallest id stays, there the first,
     except for lines of it that repeat with others that stand before it; each line stays where it occurs first. Lines
-    outside of such pieces stay even if they repeat. A null text stays null and has no lines; an empty one has one empty line. A
-    row with a null id gives way to any other, and where all are such, or an id repeats, each of these rows keeps its first copy.
+    outside of such pieces stay even if they repeat. A null text stays null and has no lines; an empty one has one empty line.
+    A row with a null id gives way to any other. Rows with one id, or none, are told apart by a hash of their texts, whose
+    smallest stays; those that repeat both id and text are one row here, and keep or lose the same lines.
     Columns named n_lines, n_removed and spans are replaced. An empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "spans")]
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    name, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    key = F.xxhash64(name, text)
+    rows = docs.select(name.alias("id"), key.alias("key"), text.alias("text"))
     # copies in other rows than the owner's; within a row, repeats are seen when its text is cut
-    hits = _hits(written(_places(rows, cut), "places"))
-    lost = written(hits.groupBy("id").agg(F.collect_set("digest").alias("_shared"), F.collect_set(F.when(F.col("other"), F.col("digest"))).alias("_other")), "lost")
-    joined = docs.select(*own).join(lost.withColumnRenamed("id", "_id"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    with Scratch(docs.sparkSession) as scratch:
+        hits = _hits(written(_places(rows, cut), "places"))
+        lost = scratch.keep(hits.groupBy("id", "key").agg(F.collect_set("digest").alias("_shared"), F.collect_set(F.when(F.col("other"), F.col("digest"))).alias("_other")), "lost")
+    lost = lost.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_shared", "_other")
+    joined = docs.select(*own).join(lost, (key == F.col("_key")) & name.eqNullSafe(F.col("_id")), "left").drop("_id", "_key")
     clash = set(_clashes(joined, text_col, cut))  # neither is ever removed
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])

@@ -106,6 +106,17 @@ def test_lines_odd(spark):
     assert line_dedup.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_lines_ids(spark):
+    """Rows with one id, or without any, are rows of their own: of a passage in all of them one copy stays."""
+    passage = "one line of some words\nand another line of them"
+    rows = [(None, f"{passage}\nx{i} y") for i in range(6)] + [(5, f"z{i} q\n{passage}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup_lines(df, cut=line_dedup.passages).collect()
+    assert sorted(r.n_removed for r in got) == [0] + [2] * 9 and next(r for r in got if not r.n_removed).doc_id == 5
+    none = line_dedup.dedup_lines(df.filter("doc_id IS NULL"), cut=line_dedup.passages).collect()
+    assert sorted(r.n_removed for r in none) == [0] + [2] * 5
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
 def test_passages(spark, n):
     """Short passages go whole from all documents but the first, whatever stands around them; single short lines stay."""
@@ -336,6 +347,23 @@ def test_vectors_clustered(spark, monkeypatch):
     assert sum(got[i] == got[3000 + i] for i in range(300)) >= 297
 
 
+def test_vectors_common_mean(spark):
+    """Vectors with a large common part, as trained ones have: links found against brute force."""
+    size, pairs, rng = 20_000, 1_000, np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = clustered(8, size - pairs, 0, mutual=0.86)
+    noise = rng.standard_normal((pairs, 64))
+    noise = unit(noise - (noise * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    cosine = rng.uniform(0.951, 0.96, (pairs, 1))
+    x = np.concatenate((x, cosine * x[:pairs] + np.sqrt(1 - cosine**2) * noise))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    links = [(i + k, int(j)) for i in range(0, size, 2_000) for k, j in zip(*np.nonzero(x[i : i + 2_000] @ x.T >= 0.95)) if j > i + k]
+    found = sum(got[a][1] == got[b][1] for a, b in links)
+    print(f"{len(links)} links, {found} within a component, {sum(n for n, _ in got.values()) / 2:.0f} counted")
+    assert len(links) >= pairs and found >= 0.99 * len(links)
+
+
 # 9: pages
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="wide-menu"><header><h1>Site</h1></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
