@@ -1,6 +1,6 @@
 """Batch operators of the key window."""
 
-from keyhold.operators.admission import admit, departures, last_with_capacity_join
+from keyhold.operators.admission import admit, departures
 from keyhold.operators.snapshot import advance, counted, described, flag_seen, retained_keys, seen_only, snapshot, stats, unseen_only
 
-__all__ = ["admit", "advance", "counted", "departures", "described", "flag_seen", "last_with_capacity_join", "retained_keys", "seen_only", "snapshot", "stats", "unseen_only"]
+__all__ = ["admit", "advance", "counted", "departures", "described", "flag_seen", "retained_keys", "seen_only", "snapshot", "stats", "unseen_only"]

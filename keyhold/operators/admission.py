@@ -110,19 +110,3 @@ def _ordered_fold(sighted: DataFrame, config: WindowConfig, leave: bool = False)
             yield b.assign(admitted=out, **({"expired": expired, "evicted": evicted} if leave else {}))
 
     return sighted.repartition(1).sortWithinPartitions("t", "tie").mapInPandas(fold, schema)
-
-
-def last_with_capacity_join(sighted: DataFrame, span: int | None, capacity: int) -> DataFrame:
-    """``last`` with a capacity as a range self-join; for checks at small scale.
-
-    A key is lost by its own age, or by ``capacity`` other keys that were seen since: with refreshing, what is dropped
-    is always what was seen longest ago.
-    """
-    numbered = sighted.withColumn("i", F.row_number().over(Window.orderBy("t", "tie")))
-    w = Window.partitionBy("key").orderBy("i")
-    o = numbered.withColumns({"p": F.lag("i").over(w), "pt": F.lag("t").over(w)})
-    other = o.select(F.col("i").alias("bi"), F.coalesce("p", F.lit(0)).alias("bp"))
-    between = (F.col("bi") > F.col("p")) & (F.col("bi") < F.col("i")) & (F.col("bp") <= F.col("p"))
-    lost = F.count("bi") >= capacity
-    old = F.lit(False) if span is None else F.first(F.col("t") - F.col("pt")) > span
-    return o.join(other, between, "left").groupBy("key", "t", "tie").agg((F.first("p").isNull() | old | lost).alias("admitted"))

@@ -1,18 +1,21 @@
 """save and load: a window's contents as versioned Parquet.
 
-A save writes ``contents/version=N`` and then appends one row to ``manifest``. Readers only follow the manifest, so a
-save that breaks off half-way leaves the last good version in force; a load checks what it read before it returns it.
+A save writes a folder of its own below ``contents`` and then appends one row to ``manifest``. Readers only follow the
+manifest, so a save that breaks off half-way leaves the last good version in force, and two savers never write to one
+folder; a load checks what it read before it returns it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from keyhold.config import WindowConfig
 
-MANIFEST = "version long, span_us long, capacity long, policy string, retained long, admitted long, expired long, evicted long, repeats long"
+MANIFEST = "version long, span_us long, capacity long, policy string, retained long, admitted long, expired long, evicted long, repeats long, folder string"
 COUNTS = ("admitted", "expired", "evicted", "repeats")
 
 
@@ -20,6 +23,10 @@ def _manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
+def _newest(spark: SparkSession, path: str) -> Row | None:
+    return _manifest(spark, path).orderBy(F.desc("version"), F.desc("folder")).first()
+
+
 def save_state(held: DataFrame, config: WindowConfig, path: str, counts: tuple[int, ...] = (0, 0, 0, 0)) -> int:
     """Write a new version, with what was counted so far (``COUNTS``); returns its number."""
     spark = held.sparkSession
@@ -27,19 +34,20 @@ def save_state(held: DataFrame, config: WindowConfig, path: str, counts: tuple[i
         version = (_manifest(spark, path).agg(F.max("version")).first()[0] or 0) + 1
     except AnalysisException:
         version = 1
-    at = f"{path}/contents/version={version}"
-    held.write.mode("overwrite").parquet(at)
+    folder = f"version={version}-{uuid.uuid4().hex[:12]}"
+    at = f"{path}/contents/{folder}"
+    held.write.parquet(at)
     retained = spark.read.parquet(at).count()
-    spark.createDataFrame([(version, config.span_us, config.capacity, config.policy, retained, *counts)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    spark.createDataFrame([(version, config.span_us, config.capacity, config.policy, retained, *counts, folder)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return version
 
 
 def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, WindowConfig]:
     """The newest saved version; raises ValueError if its rows aren't all there."""
-    row = _manifest(spark, path).orderBy(F.desc("version")).first()
+    row = _newest(spark, path)
     if row is None:
         raise ValueError(f"no saved window in {path}")
-    held = spark.read.parquet(f"{path}/contents/version={row.version}")
+    held = spark.read.parquet(f"{path}/contents/{row.folder or f'version={row.version}'}")
     if not {"key", "anchor", "tie"} <= set(held.columns) or held.count() != row.retained:
         raise ValueError(f"version {row.version} in {path} is damaged")
     return held, WindowConfig(row.span_us, row.capacity, row.policy)
@@ -47,5 +55,5 @@ def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, WindowConfig]
 
 def load_counts(spark: SparkSession, path: str) -> tuple[int, ...]:
     """``COUNTS`` of the newest saved version; 0 where it was saved without them."""
-    row = _manifest(spark, path).orderBy(F.desc("version")).first()
+    row = _newest(spark, path)
     return tuple(row[c] or 0 for c in COUNTS)
