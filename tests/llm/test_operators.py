@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -59,6 +60,17 @@ def test_urls(spark, monkeypatch):
     assert url_filter.judge(df.limit(0), rules).count() == 0 and url_filter.judge(df, []).filter("rule IS NOT NULL").count() == 0
 
 
+def test_urls_not_nested(spark):
+    """The longest host decides before the longest path, in the operator as in the SQL."""
+    rules = [("block", "com", "/en/very/long"), ("allow", "example.com", "/e")]
+    df = spark.createDataFrame([(1, "http://example.com/en/very/long/x"), (2, "http://b.com/en/very/long")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in url_filter.judge(df, rules).collect()] == [("example.com/e", "allow"), ("com/en/very/long", "block")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT * FROM (VALUES (1, 'http://example.com/en/very/long/x'), (2, 'http://b.com/en/very/long')) t(page_id, url)")
+    sql = registry.OP1.replace(", ".join(map(str, queries.RULES)), ", ".join(map(str, rules)))
+    assert sorted(con.execute(f"SELECT page_id, rule, verdict FROM ({sql})").fetchall()) == [(1, "example.com/e", "allow"), (2, "com/en/very/long", "block")]
+
+
 # 3: line dedup
 
 
