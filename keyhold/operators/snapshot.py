@@ -15,10 +15,9 @@ def snapshot(sighted: DataFrame, config: WindowConfig, now: int | None = None) -
     now: microseconds; None: the time of the last sighting. The anchor of a key is the time its age counts from.
     """
     upto = sighted if now is None else sighted.filter(F.col("t") <= F.lit(now))
-    marked = admit(upto, config)
-    if config.policy != "last":
-        marked = marked.filter("admitted")
-    latest = marked.groupBy("key").agg(F.max(F.struct("t", "tie")).alias("at")).select("key", F.col("at.t").alias("anchor"), F.col("at.tie").alias("tie"))
+    # with refreshing, every sighting counts, admitted or not
+    counts = upto if config.policy == "last" else admit(upto, config).filter("admitted")
+    latest = counts.groupBy("key").agg(F.max(F.struct("t", "tie")).alias("at")).select("key", F.col("at.t").alias("anchor"), F.col("at.tie").alias("tie"))
     if config.capacity is not None and config.policy != "refuse":
         # what was dropped for want of room is older than all that is held
         latest = latest.orderBy(F.desc("anchor"), F.desc("tie")).limit(config.capacity)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from keyhold import operators as ops
 from keyhold.config import WindowConfig
-from keyhold.functions import sightings
+from keyhold.functions import epoch_micros, sightings
+from keyhold.plans.window import KeyWindow
+from keyhold.sources.state import shared_folder
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+PAUSE = 1_706_400_000_000_000
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -45,13 +49,35 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     held = ops.snapshot(rows, WindowConfig(None, None, "last"))
-    return ops.advance(held, HELD, 1_706_400_000_000_000)[1]
+    return ops.advance(held, HELD, PAUSE)[1]
 
 
 def _stats(policy: str, span: int | None, capacity: int | None) -> Query:
     return lambda spark, sf_dir: ops.stats(events(spark, sf_dir), WindowConfig(span, capacity, policy))
 
 
+
+def _resumed(spark: SparkSession, sf_dir: str) -> tuple[KeyWindow, DataFrame]:
+    """Observe the events up to a moment, save, open what was saved, and observe the rest: the window and all marks."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    late = epoch_micros(rows, "ts") > PAUSE
+    path = f"{shared_folder(spark)}/window-{uuid.uuid4().hex}"
+    one = KeyWindow(WindowConfig(HOUR))
+    before = one.observe(rows.filter(~late), "user_id", "ts", "event_id")
+    one.save(path)
+    two = KeyWindow.open(spark, path)
+    after = two.observe(rows.filter(late), "user_id", "ts", "event_id")
+    return two, before.unionByName(after)
+
+
+def _resumed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resumed(spark, sf_dir)[1].select(F.col("tie").alias("row_id"), "key", "admitted")
+
+
+def _resumed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resumed(spark, sf_dir)[0].stats(spark)
+
+
 QUERIES: dict[str, Query] = {
     "observe_first": _marked(events, WindowConfig(HOUR)),
     "observe_last": _marked(events, WindowConfig(HOUR, None, "last")),
@@ -69,6 +95,9 @@ QUERIES: dict[str, Query] = {
     "stats_span": _stats("first", HOUR, None),
     "stats_capacity": _stats("last", None, 120),
     "stats_span_capacity": _stats("first", DAY, 120),
+    "stats_last_span_capacity": _stats("last", DAY, 120),
+    "window_resumed": _resumed_marks,
+    "window_resumed_stats": _resumed_stats,
 }
 
 EV = "ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) i, event_id row_id, epoch_us(ts) t, user_id::VARCHAR k FROM events)"
@@ -116,6 +145,17 @@ def stats_capped_sql(table: str, span: int, cap: int) -> str:
  sum(x)::BIGINT AS expired, sum(v)::BIGINT AS evicted, count(*) FILTER (NOT adm)::BIGINT AS repeats FROM r"""
 
 
+def stats_last_capped_sql(table: str, span: int, cap: int) -> str:
+    """``last`` with both bounds; e: sightings after which so many other keys came within the span that their key was dropped."""
+    return f"""WITH m AS ({last_cap_sql(table, span, cap)}), {table},
+ o AS (SELECT i, t, k, lag(i) OVER w p, lead(i) OVER w nx FROM ev WINDOW w AS (PARTITION BY k ORDER BY i)),
+ e AS (SELECT a.i FROM o a JOIN o b ON b.i > a.i AND b.t <= a.t + {span} AND b.i < coalesce(a.nx, 9e15) AND coalesce(b.p, 0) <= a.i GROUP BY 1 HAVING count(*) >= {cap}),
+ l AS (SELECT t FROM o WHERE nx IS NULL ORDER BY i DESC LIMIT {cap}),
+ c AS (SELECT (SELECT count(*) FROM l WHERE (SELECT max(t) FROM ev) - t <= {span})::BIGINT AS retained, (SELECT count(*) FROM e)::BIGINT AS evicted,
+  count(*) FILTER (admitted)::BIGINT AS admitted, count(*) FILTER (NOT admitted)::BIGINT AS repeats FROM m)
+ SELECT {span}::BIGINT AS span, {cap}::BIGINT AS capacity, retained, admitted, admitted - retained - evicted AS expired, evicted, repeats FROM c"""
+
+
 _ALL_HELD = "l AS (SELECT user_id::VARCHAR AS key, max(epoch_us(ts)) anchor, max_by(event_id, ts) tie FROM events GROUP BY 1)"
 _NOW_HELD = f"{_ALL_HELD}, held AS (SELECT * FROM l WHERE (SELECT max(epoch_us(ts)) FROM events) - anchor <= {DAY})"
 _ADM1 = first_sql(EV, HOUR)
@@ -142,4 +182,7 @@ ORACLE: dict[str, str] = {
  SELECT NULL::BIGINT AS span, 120::BIGINT AS capacity, (SELECT n FROM k)::BIGINT AS retained, count(*) FILTER (admitted)::BIGINT AS admitted, 0::BIGINT AS expired,
  (count(*) FILTER (admitted) - (SELECT n FROM k))::BIGINT AS evicted, count(*) FILTER (NOT admitted)::BIGINT AS repeats FROM m""",
     "stats_span_capacity": stats_capped_sql(EV, DAY, 120),
+    "stats_last_span_capacity": stats_last_capped_sql(EV, DAY, 120),
+    "window_resumed": _ADM1,
 }
+ORACLE["window_resumed_stats"] = ORACLE["stats_span"]

@@ -9,11 +9,14 @@ from keyhold import operators as ops
 from keyhold.config import WindowConfig
 from keyhold.functions import sightings
 from keyhold.sources import load_state, save_state
-from keyhold.sources.state import COUNTS, load_counts
+from keyhold.sources.state import COUNTS, load_counts, settled
 
 
 class KeyWindow:
-    """A window over a table of sightings; ``held`` is a DataFrame (key, anchor, tie)."""
+    """A window over a table of sightings; ``held`` is a DataFrame (key, anchor, tie).
+
+    ``observe`` and ``advance`` settle what is held, so plans don't grow with the number of calls.
+    """
 
     def __init__(self, config: WindowConfig, held: DataFrame | None = None) -> None:
         self.config, self.held = config, held
@@ -33,13 +36,13 @@ class KeyWindow:
         new = sightings(df, key, time, tie)
         if self.held is None:
             self.counts.append(ops.counted(new, self.config).select(*COUNTS))
-            self.held = ops.snapshot(new, self.config)
+            self.held = settled(ops.snapshot(new, self.config))
             return ops.admit(new, self.config)
         old = self.held.selectExpr("key", "anchor AS t", "tie", "true AS _held")
         both = old.unionByName(new.selectExpr("*", "false AS _held"))
         marked = ops.admit(both, self.config).filter("NOT _held").drop("_held")
         self.counts.append(ops.counted(both, self.config, ~F.col("_held")).select(*COUNTS))
-        self.held = ops.snapshot(both.drop("_held"), self.config)
+        self.held = settled(ops.snapshot(both.drop("_held"), self.config))
         return marked
 
     def seen(self, probe: DataFrame, key: str) -> DataFrame:
@@ -47,7 +50,8 @@ class KeyWindow:
 
     def advance(self, now: int) -> DataFrame:
         """Drop what is too old at ``now``; a row with ``dropped``."""
-        self.held, dropped = ops.advance(self.held, self.config, now)
+        held, dropped = ops.advance(self.held, self.config, now)
+        self.held = settled(held)
         self.counts.append(dropped.selectExpr("0L AS admitted", "dropped AS expired", "0L AS evicted", "0L AS repeats"))
         return dropped
 

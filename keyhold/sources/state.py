@@ -7,6 +7,7 @@ folder; a load checks what it read before it returns it.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -19,6 +20,29 @@ MANIFEST = "version long, span_us long, capacity long, policy string, retained l
 COUNTS = ("admitted", "expired", "evicted", "repeats")
 
 
+SHARED = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that ``spark.checkpoint.dir`` names.
+
+    Where nothing is set, a local folder serves a master that is one process; RuntimeError on a cluster.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        wanted = spark.conf.get(SHARED, None)
+        if wanted is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError(f"{SHARED} must name a folder that all machines of the cluster share")
+        context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="keyhold-window-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, computed now and kept in the shared folder, without the plan behind them."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 

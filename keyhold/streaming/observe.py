@@ -1,7 +1,12 @@
 """observe over a stream, with sightings put in order first.
 
 Rows wait in state until the watermark has passed them and are then handled in order of (time, tie), so the result
-doesn't depend on how the stream was cut into batches. Rows later than the watermark are dropped by Spark.
+doesn't depend on how the stream was cut into batches. A group has one timer, for the first row that waits; when it
+fires, all rows that the watermark has passed are handled at once.
+
+Rows that come after the watermark has passed them are dropped by Spark, which counts them in
+``numRowsDroppedByWatermark`` of the query's progress. The first watermark is 1970, so rows of then or before count as
+late.
 """
 
 from __future__ import annotations
@@ -30,20 +35,27 @@ class _Observe(StatefulProcessor):
         self.held = handle.getListState("held", "key string, anchor long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        due = set()
-        new = []
-        for r in rows:
-            new.append((r.key, r.t, r.tie))
-            due.add(r.t // 1000)
-        self.waiting.appendList(new)
-        for ms in due:
-            self.handle.registerTimer(ms)
+        new = [(r.key, r.t, r.tie) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(t for _, t, _ in new) // 1000)
         return iter([])
 
+    def _wake(self, ms: int) -> None:
+        """Have the timer fire at ms, unless it does so earlier."""
+        set_to = list(self.handle.listTimers())
+        if not set_to or ms < min(set_to):
+            for old in set_to:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(ms)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1) * 1000 + 999
         rows = [tuple(r) for r in self.waiting.get()]
         ready, rest = sorted((r for r in rows if r[1] <= upto), key=lambda r: r[1:]), [r for r in rows if r[1] > upto]
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        if rest:
+            self._wake(min(t for _, t, _ in rest) // 1000)
         if not ready:
             return iter([])
         self.waiting.put(rest) if rest else self.waiting.clear()

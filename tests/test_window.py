@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from keyhold import WindowConfig
 from keyhold import operators as ops
 from keyhold.functions import sightings
+from keyhold.operators import admission
 from keyhold.plans import KeyWindow
 from keyhold.plans import queries as q
 from keyhold.streaming import admit_stream
@@ -63,6 +64,38 @@ CONFIGS = [WindowConfig(s, c, p) for p in ("first", "last", "refuse") for s, c i
 rows_of = st.lists(st.tuples(st.sampled_from(["", "a", "ä", "b", "c"]), st.integers(0, 30)), max_size=40).map(lambda x: [(k, t, i) for i, (k, t) in enumerate(x)])
 
 
+@pytest.fixture
+def small_chunks(monkeypatch):
+    monkeypatch.setattr(admission, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(admission, "CHUNK_SHARE", 1)
+
+
+@pytest.mark.parametrize("span,capacity", [(4, 2), (None, 1), (50, 3), (2, 9)])
+def test_chunks_of_time(spark, small_chunks, span, capacity):
+    """``last`` with a capacity, folded by chunks: marks, and why keys leave; one key has two thirds of the rows."""
+    c = WindowConfig(span, capacity, "last")
+    rows = [("a" if i % 3 else "bcdefg"[i * 5 % 6], i * i % 61, i) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert len(admission._bounds(df, capacity)) > 3
+    want, held = simulate(rows, c)
+    got = admission.departures(df, c).collect()
+    assert {r.tie: r.admitted for r in got} == want and len(got) == len(rows)
+    one = admission._ordered_fold(df, c, True)
+    assert sorted((r.tie, r.expired, r.evicted) for r in got) == sorted((r.tie, r.expired, r.evicted) for r in one.collect())
+    same_time = df.withColumn("t", F.lit(7).cast("long"))
+    assert {r.tie: r.admitted for r in ops.admit(same_time, c).collect()} == simulate([(k, 7, i) for k, _, i in rows], c)[0]
+
+
+@pytest.mark.parametrize("config", [WindowConfig(s, None, p) for s in (0, 5, 700, None) for p in ("first", "last")])
+def test_hot_key_over_slots(spark, config):
+    """One key has nine rows of ten, over many slots; rows repeat, and times lie on both sides of 1970."""
+    rows = [("hot" if i % 10 else f"k{i % 30}", (i * i * 37) % 4001 - 2000, i) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {r.tie: r.admitted for r in ops.admit(df, config).collect()} == simulate(rows, config)[0]
+    twice = ops.admit(df.unionByName(df), config).filter("admitted")
+    assert sorted(r.tie for r in twice.collect()) == sorted(i for i, a in simulate(rows, config)[0].items() if a)
+
+
 @settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
 @given(rows=rows_of)
 def test_policies(spark, rows):
@@ -130,17 +163,24 @@ def test_stats_span_and_capacity(spark, tmp_path, policy):
     assert tuple(v.stats(spark).first()) == (5, 2, 0, 4, 3, 1, 1)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
 @pytest.mark.parametrize("config", [WindowConfig(40_000_000), WindowConfig(60_000_000, 2, "last")])
-def test_stream_equals_batch(spark, tmp_path, config):
+def test_stream_equals_batch(spark, tmp_path, config, parts):
+    """However the rows are cut into batches. The stream is stopped before its last batch and starts again from its checkpoint."""
     rows = [("abc"[i * 7 % 3], 10**9 + i * 9_000_000, i) for i in range(24)]
-    for n in range(3):  # out of order over the batches
-        part = [(k, t, i) for k, t, i in rows if i % 3 == n]
+    for n in range(parts):  # out of order over the batches
+        part = [(k, t, i) for k, t, i in rows if i % parts == n]
         spark.createDataFrame(part, SCHEMA).select("key", F.timestamp_micros("t").alias("ts"), "tie").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    schema = "key string, ts timestamp, tie long"
+
+    def run():
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+        sink = admit_stream(src, config, "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        sink.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+
+    run()
     last = [("z", 10**11, 99)]
     spark.createDataFrame(last, SCHEMA).select("key", F.timestamp_micros("t").alias("ts"), "tie").coalesce(1).write.parquet(str(tmp_path / "in3"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    src = spark.readStream.schema("key string, ts timestamp, tie long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
-    run = admit_stream(src, config, "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run()
     got = {r.tie: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert {k: v for k, v in got.items() if k != 99} == simulate(rows, config)[0]
