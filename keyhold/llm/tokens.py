@@ -21,7 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 HELD = 150_000  # entries of a young generation; see Held
 HELD_BYTES = 1 << 25  # characters and bytes of them
-SLICE = 1 << 22  # bytes of texts that are encoded at a time; a longer text is a slice of its own
+KNOWN = 500_000  # the same for the encoder; see Known
+SLICE = 1 << 23  # bytes of texts that are encoded at a time; a longer text is a slice of its own
 #: Fixed value: how the byte-level kind cuts a text into words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone are cut here; they are their own NFC, and lower-case one by one. Others go whole to the library.
@@ -72,6 +73,54 @@ class Held:
         self.bytes += sum(map(len, found)) + sum(map(len, found.values()))
 
 
+class Known:
+    """As :class:`Held`, for the encoder: strings and their ids lie in Arrow and numpy, a fifth of the memory that a dict takes."""
+
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = KNOWN, most_bytes: int = HELD_BYTES) -> None:
+        self.make, self.most, self.most_bytes = make, most, most_bytes
+        self.young = self.old = _NOTHING  # strings, their ids in a row, how many each has
+
+    def all(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each string begin and how many they are; ``make`` gives (ids, sizes) of what isn't held."""
+        pool, start, size = [], np.zeros(len(found), dtype=np.int64), np.zeros(len(found), dtype=np.int64)
+        left, fresh = np.arange(len(found)), np.arange(len(found))  # places not yet found; those not found among the young
+        at = 0
+        for held in (self.young, self.old, None):
+            if held is None:
+                own = found if len(left) == len(found) else found.take(pa.array(left))
+                held = (own, *(self.make(own) if len(own) else _NOTHING[1:]))
+                which, hit = np.arange(len(left)), np.ones(len(left), dtype=bool)
+            else:
+                own = found if len(left) == len(found) else found.take(pa.array(left))
+                which = pc.index_in(own, value_set=held[0]).fill_null(-1).to_numpy()
+                hit = which >= 0
+            _, ids, sizes = held
+            begin = np.cumsum(sizes) - sizes
+            start[left[hit]], size[left[hit]] = begin[which[hit]] + at, sizes[which[hit]]
+            pool.append(ids)
+            at += len(ids)
+            left = left[~hit]
+            if len(pool) == 1:
+                fresh = left
+        ids = np.concatenate(pool)
+        self._keep(found, fresh, ids, start, size)
+        return ids, start, size
+
+    def _keep(self, found: pa.Array, fresh: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        words, known, sizes = self.young
+        if len(words) + len(fresh) > self.most or words.nbytes + known.nbytes > self.most_bytes:
+            self.young, self.old = _NOTHING, self.young
+            words, known, sizes = _NOTHING
+            fresh = np.arange(len(found))
+        if len(fresh):
+            more, own = found.take(pa.array(fresh)), taken(ids, start, size, fresh)[0]
+            if more.nbytes + own.nbytes <= self.most_bytes:
+                self.young = pa.concat_arrays([words, more]), np.concatenate((known, own)), np.concatenate((sizes, size[fresh]))
+
+
+_NOTHING = pa.array([], pa.large_string()), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+
 def _matches(texts: pa.Array, pattern: str) -> np.ndarray:
     """Which texts the pattern is found in; an empty one is found nowhere."""
     return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False) if pattern else np.zeros(len(texts), dtype=bool)
@@ -108,25 +157,33 @@ class Encoder:
         self.size, self.closes = np.zeros(most, dtype=np.int64), np.zeros(most, dtype=bool)  # bytes of a token; whether it ends a word
         for t, i in vocab.items():
             self.size[i], self.closes[i] = len(t), bool(suffix) and t.endswith(suffix)
-        self.words = Held(self._of_words)
+        self.words, self.runs = Known(self._of_words), Known(self._of_runs)
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
+    def _of_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has; some thousands are encoded at a time."""
+        parts = [self._of_some(column.slice(i, 10_000)) for i in range(0, len(column), 10_000)]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([size for _, size in parts])
+
+    def _of_some(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Words in one text cost the library far less than words by themselves; those that such a text would cut
         otherwise, or whose ids don't end where the word does, are encoded by themselves."""
-        column = pa.array(words, pa.large_string())
-        joint = np.ones(len(words), dtype=bool) if self.lower else _apart(column)
+        joint = np.ones(len(column), dtype=bool) if self.lower else _apart(column)
         together = column if joint.all() else column.filter(pa.array(joint))
-        parts = self._together(together) if len(together) else []
-        if parts is None:
-            joint, parts = np.zeros(len(words), dtype=bool), []
-        if len(parts) == len(words):
-            return parts
-        alone = column.filter(pa.array(~joint)).to_pylist()
-        each = [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
-        one, other = iter(parts), iter(each)
-        return [next(one) if ok else next(other) for ok in joint.tolist()]
-
-    def _together(self, words: pa.Array) -> list[bytes] | None:
+        found = self._together(together) if len(together) else None
+        if found is None:
+            joint, found = np.zeros(len(column), dtype=bool), _NOTHING[1:]
+        if joint.all():
+            return found
+        each = [e.ids for e in self.library.encode_batch_fast(column.filter(pa.array(~joint)).to_pylist(), add_special_tokens=False)]
+        size = np.zeros(len(column), dtype=np.int64)
+        size[joint], size[~joint] = found[1], [len(x) for x in each]
+        ids = np.concatenate((found[0], np.fromiter((i for x in each for i in x), np.uint32)))
+        order = np.concatenate((np.flatnonzero(joint), np.flatnonzero(~joint)))
+        start = np.empty(len(column), dtype=np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return taken(ids, start, size, np.arange(len(column)))[0], size
+
+    def _together(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
         text = _content(_around("", words, " ") if self.lower else words)
         ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
         if self.lower:
@@ -139,18 +196,20 @@ class Encoder:
             if size[-1] != want[-1] or (size[ends] != want).any():
                 return None
             ends += 1
-        raw, ends = ids.tobytes(), (ends * 4).tolist()
-        return [raw[i:j] for i, j in zip([0, *ends], ends)]
+        return ids, np.diff(ends, prepend=0)
 
-    def _of_runs(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and where in them those of each run begin and end."""
-        words, first, end = self._cut(found)
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words in a row, and where those of each end."""
         each = pa.array(words, pa.large_string()).dictionary_encode()
-        raw = self.words.all(each.dictionary.to_pylist())
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
-        ids, stop = taken(np.frombuffer(b"".join(raw), dtype=np.uint32), np.cumsum(size) - size, size, each.indices.to_numpy())
+        return taken(*self.words.all(each.dictionary), each.indices.to_numpy())
+
+    def _of_runs(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs, and how many each has."""
+        words, first, end = self._cut(found)
+        ids, stop = self._joined(words)
         at = np.concatenate(([0], stop))
-        return ids, at[first], at[end]
+        size = at[end] - at[first]
+        return taken(ids, at[first], size, np.arange(len(found)))[0], size
 
     def _cut(self, found: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Words, and which of them are each run's: from first to end. Runs are cut together where that can't join words of
@@ -181,7 +240,11 @@ class Encoder:
         odd = np.ones(len(texts), dtype=bool) if self.cut is None else _matches(column, _ODD) | _matches(column, self.special)
         loose = np.zeros(len(texts), dtype=bool) if self.lower else _matches(column, _LOOSE) & ~odd
         alone: dict[int, bytes] = {i: np.array(self.library.encode(texts[i] or "", add_special_tokens=False).ids, dtype=np.uint32).tobytes() for i in np.flatnonzero(odd).tolist()}
-        alone |= {i: b"".join(self.words.all(self.cut.findall(texts[i]))) for i in np.flatnonzero(loose).tolist()}
+        cut = [self.cut.findall(texts[i]) for i in np.flatnonzero(loose).tolist()]
+        if cut:
+            own, stop = self._joined([w for words in cut for w in words])
+            at = np.concatenate(([0], stop))[np.cumsum([0, *map(len, cut)])].tolist()
+            alone |= {i: own[lo:hi].tobytes() for i, lo, hi in zip(np.flatnonzero(loose).tolist(), at, at[1:])}
         rest = ~(odd | loose)
         plain = np.flatnonzero(rest).tolist()
         ids, ends = self._plain(column if rest.all() else column.filter(pa.array(rest)))
@@ -206,8 +269,7 @@ class Encoder:
             first, back = np.unique(run[bounds[:-1]], return_inverse=True)
             run[bounds[:-1]] = len(found) + back
             found = pa.concat_arrays([_around(" ", found, ""), found.take(pa.array(first))])
-        ids, lo, hi = self._of_runs(found)
-        ids, end = taken(ids, lo, hi - lo, run)
+        ids, end = taken(*self.runs.all(found), run)
         return ids, np.concatenate(([0], end))[bounds[1:]]
 
     def __call__(self, text: str | None) -> np.ndarray:

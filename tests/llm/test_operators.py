@@ -297,7 +297,7 @@ def test_joined_words(texts):
     for path in (queries.WORD_TOKENIZER, queries.BYTE_TOKENIZER):
         fast, own = tokens.Encoder.__new__(tokens.Encoder), bpe.codec(path)
         fast.__dict__.update(tokens.encoder(path).__dict__)
-        fast.words = tokens.Held(fast._of_words, 5)  # forgets soon
+        fast.words, fast.runs = tokens.Known(fast._of_words, 5), tokens.Known(fast._of_runs, 5)  # forget soon
         for t in texts:
             ids = fast.library.encode(t, add_special_tokens=False).ids
             assert fast(t).tolist() == ids == own.encode(t).tolist(), t
