@@ -162,12 +162,10 @@ def _bounds(sighted: DataFrame, capacity: int) -> list[int]:
     A chunk has about ``CHUNK_SHARE`` times as many rows as keys may be carried into it, so what is carried stays a
     fraction of the rows. Rows of one time are in one chunk.
     """
-    rows = sighted.count()
+    shares = [i / MOST_CHUNKS for i in range(1, MOST_CHUNKS)]
+    rows, times = sighted.agg(F.count("*"), F.percentile_approx("t", shares, 10 * MOST_CHUNKS)).first()
     chunks = min(rows // max(CHUNK_ROWS, CHUNK_SHARE * capacity), MOST_CHUNKS)
-    if chunks < 2:
-        return []
-    shares = [i / chunks for i in range(1, chunks)]
-    return sorted(set(sighted.agg(F.percentile_approx("t", shares, 10 * chunks)).first()[0]))
+    return sorted({times[i * MOST_CHUNKS // chunks - 1] for i in range(1, chunks)})
 
 
 def _chunked_fold(sighted: DataFrame, config: WindowConfig, leave: bool = False) -> DataFrame:
