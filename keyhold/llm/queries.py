@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyhold.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, token_files, url_filter
+from keyhold.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, token_files, url_filter, word_pieces
 
 #: The rules of the URL report, (verdict, host, path).
 RULES = [
@@ -18,6 +18,7 @@ RULES = [
 ]
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 PACK_END, FILE_END = 2, 0
 
 
@@ -68,3 +69,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, FILE_END)
+
+
+def op13_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_pieces.round_trip(_table(spark, sf_dir, "documents"), PIECE_MODEL)
