@@ -2,19 +2,23 @@
 
 Where no piece has a white-space marker after another character, no merge ever crosses the start of a marked word: a run
 of markers and what follows it. So each different marked word of the corpus is segmented once, and texts get their ids by
-joining the words' ids back in order. The texts are dealt out in slices of consecutive rows; a slice asks once for each of
-its different words, the requests for one word meet where it is segmented, and the answers go back to their slices.
+joining the words' ids back in order. The texts are dealt out in slices of consecutive rows. A slice asks once for each of
+its different words: they are dealt into buckets by checksum, each bucket is segmented in one place, and the answers, in
+the order of the sorted words, go back to where the slice's texts are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +27,11 @@ from keyhold.llm.shared import partitions
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
-SLICE_BYTES = 16 << 20  # of text, on average; what a slice's different words take is a fraction of that
+SLICE_BYTES = 32 << 20  # of text, on average; what a slice's different words take is a fraction of that
 PART_SLICES = 1 << 20  # slices that an input partition can have
-OUT_BYTES = 8 << 20  # of ids and text that are sent on at a time
+OUT_BYTES = 8 << 20  # of ids that are sent on at a time
+PACK_BYTES = 1 << 20  # of text that is compressed together
+REMEMBERED = 1_000_000  # words of a bucket whose ids are kept; beyond that, words of later slices are segmented anew
 
 
 @cache
@@ -50,42 +56,67 @@ def segment(path: str, words: list[str]) -> list[list[int]]:
     return [ids or [sp.piece_to_id(MARK)] for ids in sp.encode([w[1:] for w in words], num_threads=1)]
 
 
-class Words:
-    """The ids of a slice's words; a word that isn't among them is segmented when it is first looked up."""
-
-    def __init__(self, path: str) -> None:
-        self.path, self.index, self.parts, self.lengths, self.more = path, {}, [], [], {}
-        self.flat = self.starts = np.zeros(0, dtype=np.int64)
-
-    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.parts.append(ids.astype(np.int32))
-        self.lengths.append(lengths.astype(np.int64))
-
-    def _settle(self) -> None:
-        if len(self.parts) > 1 or len(self.starts) != len(self.index):
-            flat, lengths = np.concatenate(self.parts), np.concatenate(self.lengths)
-            self.parts, self.lengths, self.flat = [flat], [lengths], flat
-            self.starts = np.cumsum(lengths) - lengths
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of a text, in order."""
-        words = marked_words(text)
-        if not words:
-            return np.zeros(0, dtype=np.int32)
-        if new := [w for w in set(words) if w not in self.index]:
-            found = [w for w in new if w not in self.more]
-            self.more.update(zip(found, segment(self.path, found)))
-            return np.concatenate([self.more[w] if w in self.more else self._one(self.index[w]) for w in words]).astype(np.int32)
-        self._settle()
-        at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-        lengths = self.lengths[0][at]
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
-
-    def _one(self, at: int) -> np.ndarray:
-        self._settle()
-        return self.flat[self.starts[at] : self.starts[at] + self.lengths[0][at]]
+def bucketed(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
+    """The words by bucket, in order."""
+    out: dict[int, list[str]] = {}
+    for w in words:
+        out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+    for some in out.values():
+        some.sort()
+    return out
+
+
+def _joined(words: list[str]) -> bytes:
+    """Words hold no spaces."""
+    return " ".join(words).encode("utf-8", "surrogatepass")
+
+
+def _name(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+class Slice:
+    """Texts of a slice as numbers of its different words, and the words' ids once they have come."""
+
+    def __init__(self, path: str, buckets: int) -> None:
+        self.path, self.buckets, self.index, self.texts, self.kept = path, buckets, {}, [], []
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] | None = None  # by bucket: how many ids a word has, and the ids
+
+    def add(self, texts: Iterable[str], kept: pa.Array) -> None:
+        index = self.index
+        for t in texts:
+            self.texts.append(np.array([index.setdefault(w, len(index)) for w in marked_words(t)], dtype=np.int32))
+        self.kept.append(kept)
+
+    def answer(self, bucket: int, name: bytes, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of a bucket's words. What was asked for other words than these isn't taken."""
+        if self.found is None:
+            self.words, self.found = bucketed(self.index, self.buckets), {}
+        words = self.words.get(bucket, [])
+        if _name(_joined(words)) == name:
+            self.found[bucket] = (lengths, ids)
+
+    def ids(self) -> Iterator[np.ndarray]:
+        """The ids of each text, in order. Words without an answer are segmented here."""
+        if self.found is None:
+            self.words, self.found = bucketed(self.index, self.buckets), {}
+        places, lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for bucket, words in self.words.items():
+            n, flat = self.found[bucket] if bucket in self.found else _flat(segment(self.path, words))
+            places.append(np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words)))
+            lengths.append(n)
+            ids.append(flat)
+        place, length, flat = np.concatenate(places), np.concatenate(lengths).astype(np.int64), np.concatenate(ids)
+        starts, sizes = np.zeros((2, len(place)), dtype=np.int64)
+        starts[place], sizes[place] = np.cumsum(length) - length, length
+        for at in self.texts:
+            n = sizes[at]
+            ends = np.cumsum(n)
+            yield flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1])] if len(at) else flat[:0]
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids)), np.fromiter((i for x in ids for i in x), dtype=np.int32)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -116,17 +147,16 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", end: bool = True
     of, count = _slices(docs, text)
     kept = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names))
     rows = docs.select(of.alias("slice"), text.alias("text"), kept.alias("kept"))
-    tasks = max(partitions(docs.sparkSession), count)
+    buckets = partitions(docs.sparkSession)
+    tasks = max(buckets, count)
 
     def wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different words of each slice."""
-        now, words = None, set()
+        """The different words of each slice, by bucket."""
+        now, words, zip_ = None, set(), zstandard.ZstdCompressor()
 
         def sent() -> Iterator[pa.RecordBatch]:
-            some = list(words)
-            for i in range(0, len(some), 50_000):
-                part = some[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.int64()), pa.array(part, pa.string())], ["slice", "word"])
+            by = bucketed(words, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([now] * len(by), pa.int64()), pa.array(list(by), pa.int32()), pa.array([zip_.compress(_joined(w)) for w in by.values()], pa.binary())], ["slice", "bucket", "data"])
 
         for b in batches:
             for s, t in zip(b["slice"].to_pylist(), b["text"]):
@@ -137,53 +167,84 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", end: bool = True
         yield from sent()
 
     def answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted requests with the ids of their words; equal words are neighbours and segmented once."""
-        word, ids = None, []
+        """For each slice and bucket: the name of its words, how many ids each has, and the ids."""
+        known: dict[str, list[int]] = {}
+        zip_, unzip = zstandard.ZstdCompressor(), zstandard.ZstdDecompressor()
+        for b in batches:
+            names, data = [], []
+            for packed in b["data"]:
+                joined = unzip.decompress(packed.as_py())
+                words = joined.decode("utf-8", "surrogatepass").split(" ")
+                new = [w for w in words if w not in known]
+                if len(known) + len(new) > REMEMBERED:
+                    known, new = {}, words
+                known.update(zip(new, segment(path, new)))
+                lengths, ids = _flat([known[w] for w in words])
+                names.append(_name(joined))
+                data.append(zip_.compress(np.uint32(len(lengths)).tobytes() + lengths.tobytes() + ids.tobytes()))
+            yield pa.RecordBatch.from_arrays([b["slice"], b["bucket"], pa.array(names, pa.binary()), pa.nulls(len(data), pa.list_(pa.int32())), pa.array(data, pa.binary())], ["slice", "bucket", "name", "sizes", "data"])
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one slice together, their texts compressed."""
+        zip_ = zstandard.ZstdCompressor()
         for b in batches:
-            words = b["word"].to_pylist()
-            new = [w for w, old in zip(words, [word, *words]) if w != old]
-            found = iter(segment(path, new))
-            out = []
-            for w in words:
-                if w != word:
-                    word, ids = w, next(found)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b["slice"], b["word"], pa.array(out, pa.list_(pa.int32()))], ["slice", "word", "ids"])
-
-    asked = rows.select("slice", "text").mapInArrow(wanted, "slice long, word string")
-    asked = asked.repartition(tasks, "word").sortWithinPartitions("word")
-    answers = asked.mapInArrow(answered, "slice long, word string, ids array<int>")
-    both = answers.withColumn("text", F.lit(None).cast("string")).unionByName(rows.withColumns({"word": F.lit(None).cast("string"), "ids": F.lit(None).cast("array<int>")}), allowMissingColumns=True)
+            slices, texts = b["slice"].to_numpy(), [t.encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]
+            cuts, size = [0], 0
+            for i, t in enumerate(texts):
+                if size > PACK_BYTES or i and slices[i] != slices[i - 1]:
+                    cuts.append(i)
+                    size = 0
+                size += len(t)
+            ends = [*cuts[1:], b.num_rows]
+            if not b.num_rows:
+                continue
+            at = pa.array([*cuts, b.num_rows], pa.int32())
+            sizes = pa.ListArray.from_arrays(at, pa.array([len(t) for t in texts], pa.int32()))
+            data = [zip_.compress(b"".join(texts[lo:hi])) for lo, hi in zip(cuts, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(slices[cuts]), pa.ListArray.from_arrays(at, b["kept"]), sizes, pa.array(data, pa.binary())], ["slice", "kept", "sizes", "data"])
+
+    kinds = {"slice": T.LongType(), "bucket": T.IntegerType(), "name": T.BinaryType(), "sizes": T.ArrayType(T.IntegerType()), "data": T.BinaryType()}
+    asked = rows.select("slice", "text").mapInArrow(wanted, "slice long, bucket int, data binary")
+    answers = asked.repartitionById(buckets, "bucket").mapInArrow(answered, T.StructType([T.StructField(c, k) for c, k in kinds.items()]))
+    whole = rows.mapInArrow(packed, T.StructType([T.StructField("slice", T.LongType()), T.StructField("kept", T.ArrayType(rows.schema["kept"].dataType)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())]))
+    both = whole.unionByName(answers, allowMissingColumns=True)
     # partitions, and the slices of a partition, have consecutive numbers
     place = F.pmod(F.floor(F.col("slice") / PART_SLICES) + F.col("slice") % PART_SLICES * 40_503, F.lit(tasks)).cast("int")
-    dealt = both.repartitionById(tasks, place).select("slice", F.col("text").isNotNull().alias("whole"), "word", "ids", "text", "kept").sortWithinPartitions("slice", "whole")
-    last = [processor(path).eos_id()] if end else []
+    dealt = both.repartitionById(tasks, place).select("slice", "bucket", "name", "sizes", "data", "kept").sortWithinPartitions("slice", F.asc_nulls_first("bucket"))
+    last = np.array([processor(path).eos_id()] if end else [], dtype=np.int32)
 
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words = None, Words(path)
-        for b in batches:
-            out, at, size = [], [], 0
-            whole = b["whole"].to_numpy(zero_copy_only=False)
-            slices = b["slice"].to_numpy()
-            cuts = [0, *(np.flatnonzero((slices[1:] != slices[:-1]) | (whole[1:] != whole[:-1])) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if slices[lo] != now:
-                    now, words = slices[lo], Words(path)
-                if not whole[lo]:
-                    ids = b["ids"].slice(lo, hi - lo)
-                    words.add(b["word"].slice(lo, hi - lo).to_pylist(), ids.flatten().to_numpy(), ids.value_lengths().to_numpy())
-                    continue
-                for i in range(lo, hi):
-                    out.append(np.concatenate((words.ids(b["text"][i].as_py()), np.array(last, dtype=np.int32))))
-                    at.append(i)
+        """The texts of a slice come first, then the answers."""
+        now, of, unzip = None, None, zstandard.ZstdDecompressor()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if not of.kept:  # the rows were dealt out otherwise when they were read again
+                return
+            ids, rows, at = of.ids(), pa.concat_arrays(of.kept), 0
+            while at < len(rows):
+                out, size = [], 0
+                while at + len(out) < len(rows) and size < OUT_BYTES:
+                    out.append(np.concatenate((next(ids), last)))
                     size += 4 * len(out[-1])
-                    if size > OUT_BYTES:
-                        yield pa.RecordBatch.from_arrays([b["kept"].take(pa.array(at)), _lists(out)], ["kept", "ids"])
-                        out, at, size = [], [], 0
-            if at:
-                yield pa.RecordBatch.from_arrays([b["kept"].take(pa.array(at)), _lists(out)], ["kept", "ids"])
+                yield pa.RecordBatch.from_arrays([rows.slice(at, len(out)), _lists(out)], ["kept", "ids"])
+                at += len(out)
+
+        for b in batches:
+            for i, (s, bucket) in enumerate(zip(b["slice"].to_pylist(), b["bucket"].to_pylist())):
+                if s != now:
+                    if of:
+                        yield from told()
+                    now, of = s, Slice(path, buckets)
+                data = unzip.decompress(b["data"][i].as_py())
+                if bucket is None:
+                    ends = np.cumsum(b["sizes"][i].values.to_numpy()).tolist()
+                    of.add((data[lo:hi].decode("utf-8", "surrogatepass") for lo, hi in zip([0, *ends], ends)), b["kept"][i].values)
+                elif of.kept:
+                    numbers = np.frombuffer(data, dtype=np.uint32)
+                    n = 1 + int(numbers[0])
+                    of.answer(bucket, b["name"][i].as_py(), numbers[1:n], numbers[n:].astype(np.int32))
+        if of:
+            yield from told()
 
     done = dealt.mapInArrow(joined, T.StructType([rows.schema["kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return done.select(*(F.col(f"kept.`{c}`").alias(c) for c in names), "ids")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -54,11 +55,13 @@ def test_empty(spark):
     assert word_pieces.encoded(none, MODEL).count() == 0 and word_pieces.round_trip(none, MODEL).count() == 0
 
 
-def test_words_that_a_slice_lacks():
-    """Were rows in another order when read again, the words are segmented where they are missed."""
-    words = word_pieces.Words(MODEL)
+def test_answers_to_other_words():
+    """Were rows in another order when read again, what doesn't answer a slice's own words is segmented there."""
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    assert words.ids("one two  two").tolist() == sp.encode("one two  two")
+    of = word_pieces.Slice(MODEL, 3)
+    of.add(["one two  two", ""], None)
+    of.answer(1, b"x" * 16, np.array([1]), np.array([5]))
+    assert [x.tolist() for x in of.ids()] == [sp.encode("one two  two"), []]
 
 
 def test_refuses_pieces_across_markers(tmp_path, monkeypatch):
