@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyhold.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, token_files, url_filter, word_pieces
+from keyhold.llm import bpe, conversation_trie, embedding_dedup, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, token_files, url_filter, word_pieces
 
 #: The rules of the URL report, (verdict, host, path).
 RULES = [
@@ -71,5 +71,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, FILE_END)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_pieces.round_trip(_table(spark, sf_dir, "documents"), PIECE_MODEL)

@@ -38,4 +38,22 @@ OP8 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] x FROM embeddin
  n AS (SELECT a, count(*) n FROM l GROUP BY a)
 SELECT vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n ON n.a = vec_id GROUP BY vec_id"""
 
-ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op2_ngram_join": OP2, "op7_exact_dedup": OP7, "op8_embedding_dedup": OP8}
+#: CRC-32 of the decimal id, bit by bit.
+_BITS = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, b: {_BITS}), 4294967295)"
+
+OP11 = f"""WITH h AS (SELECT c, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id::BIGINT c FROM conversations WHERE conv_id IS NOT NULL)),
+ t AS (SELECT conv_id::BIGINT c, turn, coalesce(role, '') AS role, sha256(coalesce(text, '')) AS x, length(coalesce(text, '')) AS chars FROM conversations),
+ o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, x) - 1 AS pos FROM t),
+ r AS (SELECT h.c, 0 AS part, pos, role, x, chars FROM h JOIN o ON o.c = h.c - h.c % 100 AND pos < h UNION ALL SELECT h.c, 1, pos, role, x, chars FROM h JOIN o ON o.c = h.c AND pos >= h),
+ p AS (SELECT c, row_number() OVER w AS depth, string_agg(sha256(role) || x, '') OVER w AS path, chars FROM r WINDOW w AS (PARTITION BY c ORDER BY part, pos)
+  UNION ALL SELECT c, 0, '', 0 FROM h),
+ l AS (SELECT c, max(depth) AS depth FROM p GROUP BY c),
+ n AS (SELECT path, depth, min(c) AS c, count(*) AS n, any_value(chars) AS chars FROM p GROUP BY path, depth),
+ k AS (SELECT left(path, length(path) - 128) AS path, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+ e AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM p JOIN l USING (c, depth) GROUP BY path),
+ s AS (SELECT a.path, count(*) FILTER (k.n IS NULL) AS leaves, sum((n.n - 1) * n.chars) AS saved FROM n LEFT JOIN k USING (path) JOIN p a ON a.c = n.c AND a.depth <= n.depth GROUP BY a.path)
+SELECT n.c AS conv_id, n.depth::BIGINT AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN e USING (path) LEFT JOIN n u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.path = left(n.path, length(n.path) - 128)"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op2_ngram_join": OP2, "op7_exact_dedup": OP7, "op8_embedding_dedup": OP8, "op11_conversation_trie": OP11}

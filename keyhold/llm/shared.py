@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: With this, Spark removes the shuffle files of a query once it is over.
@@ -114,3 +115,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Keys with more than a thousandth of all rows (so fewer than 1,000) are joined by broadcast: none can fill a task.
+HOT_SHARE = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, values: list[str], total: int) -> DataFrame:
+    """``rows``, left-joined with the ``values`` of ``table``, which has each key once.
+
+    weight: a column of ``table``, at least as many as ``rows`` has with the key; total: the sum of the weights, or less.
+    Frequent keys reach the rows by broadcast, and those rows are then dealt out evenly. Both tables are read twice.
+    """
+    hot = F.col(weight) > max(1, total // HOT_SHARE)
+    found = lambda name: F.struct(*(F.col(v) for v in values)).alias(name)
+    near = rows.join(F.broadcast(table.filter(hot).select(*keys, found("_hot"))), keys, "left")
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)))
+    cold = table.filter(~hot).select(*keys, found("_cold"), F.lit(0).cast("long").alias("_salt"))
+    out = near.withColumn("_salt", salt.cast("long")).join(cold, [*keys, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return out.select(*rows.columns, *(F.col(f"_found.{v}").alias(v) for v in values))
