@@ -10,7 +10,6 @@ the order of the sorted words, go back to where the slice's texts are.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -26,8 +25,7 @@ from pyspark.sql import types as T
 from keyhold.llm.shared import partitions
 
 MARK = "▁"
-WORD = re.compile(f"{MARK}+[^{MARK}]*")
-SLICE_BYTES = 32 << 20  # of text, on average; what a slice's different words take is a fraction of that
+SLICE_BYTES = 16 << 20  # of text, on average; what a slice's different words take is a fraction of that
 PART_SLICES = 1 << 20  # slices that an input partition can have
 OUT_BYTES = 8 << 20  # of ids that are sent on at a time
 PACK_BYTES = 1 << 20  # of text that is compressed together
@@ -46,14 +44,29 @@ def processor(path: str) -> sentencepiece.SentencePieceProcessor:
 
 
 def marked_words(text: str) -> list[str]:
-    """The marked words of a text, in order; together they are the text with a marker in front and one for each space."""
-    return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+    """The marked words of a text, in order, each without its first marker and with spaces for the others.
+
+    A text has a marker in front and one for each space; a marker that it holds itself counts as a space.
+    """
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    words = text.split(" ") if text else []
+    if "" not in words:
+        return words
+    out, more = [], 0
+    for w in words:
+        if w:
+            out.append(" " * more + w)
+            more = 0
+        else:
+            more += 1
+    return [*out, " " * (more - 1)] if more else out
 
 
 def segment(path: str, words: list[str]) -> list[list[int]]:
-    """The ids of each marked word by itself. The library puts a marker in front of what it gets, so the first one goes."""
+    """The ids of each marked word by itself; the library puts the first marker in front."""
     sp = processor(path)
-    return [ids or [sp.piece_to_id(MARK)] for ids in sp.encode([w[1:] for w in words], num_threads=1)]
+    return [ids or [sp.piece_to_id(MARK)] for ids in sp.encode(words, num_threads=1)]
 
 
 def bucketed(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
@@ -67,8 +80,8 @@ def bucketed(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
 
 
 def _joined(words: list[str]) -> bytes:
-    """Words hold no spaces."""
-    return " ".join(words).encode("utf-8", "surrogatepass")
+    """Words hold no markers."""
+    return MARK.join(words).encode("utf-8", "surrogatepass")
 
 
 def _name(words: bytes) -> bytes:
@@ -174,7 +187,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", end: bool = True
             names, data = [], []
             for packed in b["data"]:
                 joined = unzip.decompress(packed.as_py())
-                words = joined.decode("utf-8", "surrogatepass").split(" ")
+                words = joined.decode("utf-8", "surrogatepass").split(MARK)
                 new = [w for w in words if w not in known]
                 if len(known) + len(new) > REMEMBERED:
                     known, new = {}, words
