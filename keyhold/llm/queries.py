@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyhold.llm import bpe, conversation_trie, embedding_dedup, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, token_files, url_filter, word_pieces
+from keyhold.llm import bpe, conversation_trie, embedding_dedup, exact_dedup, hard_negatives, html_text, language_id, line_dedup, ngram_join, packing, token_files, url_filter, word_pieces
 
 #: The rules of the URL report, (verdict, host, path).
 RULES = [
@@ -75,5 +75,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
 def op13_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_pieces.round_trip(_table(spark, sf_dir, "documents"), PIECE_MODEL)

@@ -56,4 +56,12 @@ OP11 = f"""WITH h AS (SELECT c, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id::B
 SELECT n.c AS conv_id, n.depth::BIGINT AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM n JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN e USING (path) LEFT JOIN n u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.path = left(n.path, length(n.path) - 128)"""
 
-ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op2_ngram_join": OP2, "op7_exact_dedup": OP7, "op8_embedding_dedup": OP8, "op11_conversation_trie": OP11}
+OP12 = """WITH v AS (SELECT vec_id::BIGINT id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+ s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.q) = len(b.q)),
+ p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+ n AS (SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INTEGER AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT * FROM n WHERE rank <= 5"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op2_ngram_join": OP2, "op7_exact_dedup": OP7, "op8_embedding_dedup": OP8, "op11_conversation_trie": OP11, "op12_hard_negatives": OP12}
