@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -88,6 +88,11 @@ def _name(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=16).digest()
 
 
+def decode(path: str, ids: np.ndarray) -> str:
+    """What the library makes of these ids; none: an empty text."""
+    return processor(path).decode(ids.astype(np.int64).tolist()) if len(ids) else ""
+
+
 class Slice:
     """Texts of a slice as numbers of its different words, and the words' ids once they have come."""
 
@@ -155,7 +160,13 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", end: bool = True
     end: the model's end id follows. A null text counts as empty and has the end id alone. Columns of any name may be
     kept but ``ids``, which is replaced; null and repeated rows stay as they are. An empty table gives no rows.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    made = {"ids": T.ArrayType(T.IntegerType())}
+    return _encoded(docs, path, text_col, end, keep, made, lambda ids: [_lists(ids)])
+
+
+def _encoded(docs: DataFrame, path: str, text_col: str, end: bool, keep: list[str] | None, made: dict[str, T.DataType], finish: Callable[[list[np.ndarray]], list[pa.Array]]) -> DataFrame:
+    """The columns ``keep`` but those of ``made``, which ``finish`` makes of some rows' ids."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in made]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     of, count = _slices(docs, text)
     kept = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names))
@@ -201,7 +212,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", end: bool = True
         """Rows of one slice together, their texts compressed."""
         zip_ = zstandard.ZstdCompressor()
         for b in batches:
-            slices, texts = b["slice"].to_numpy(), [t.encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]
+            slices, texts = b["slice"].to_numpy(), [memoryview(t.as_buffer()) for t in b["text"]]
             cuts, size = [0], 0
             for i, t in enumerate(texts):
                 if size > PACK_BYTES or i and slices[i] != slices[i - 1]:
@@ -239,7 +250,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", end: bool = True
                 while at + len(out) < len(rows) and size < OUT_BYTES:
                     out.append(np.concatenate((next(ids), last)))
                     size += 4 * len(out[-1])
-                yield pa.RecordBatch.from_arrays([rows.slice(at, len(out)), _lists(out)], ["kept", "ids"])
+                yield pa.RecordBatch.from_arrays([rows.slice(at, len(out)), *finish(out)], ["kept", *made])
                 at += len(out)
 
         for b in batches:
@@ -259,8 +270,8 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", end: bool = True
         if of:
             yield from told()
 
-    done = dealt.mapInArrow(joined, T.StructType([rows.schema["kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return done.select(*(F.col(f"kept.`{c}`").alias(c) for c in names), "ids")
+    done = dealt.mapInArrow(joined, T.StructType([rows.schema["kept"], *(T.StructField(c, k) for c, k in made.items())]))
+    return done.select(*(F.col(f"kept.`{c}`").alias(c) for c in names), *made)
 
 
 def decoded(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -273,13 +284,12 @@ def decoded(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     size = len(processor(path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(path)
         for b in batches:
             texts = []
             for x in b["ids"]:
                 ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0)
                 ids = ids[(ids >= 0) & (ids < size)]  # a null is NaN here
-                texts.append(sp.decode(ids.astype(np.int64).tolist()) if len(ids) else "")
+                texts.append(decode(path, ids))
             yield pa.RecordBatch.from_arrays([b["kept"], pa.array(texts, pa.string())], ["kept", "text"])
 
     out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField("text", T.StringType())]))
@@ -292,7 +302,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     A null text counts as empty; null and repeated ids stay as they are. Other columns are not looked at. An empty table
     gives no rows.
     """
-    ids = encoded(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), path, keep=["doc_id"])
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    told = ids.select(F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(listed, "utf-8"), 256).alias("ids_sha256")).alias("row"), "ids")
-    return decoded(told, path, keep=["row"]).select("row.*", F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+    made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+
+    def digests(ids: list[np.ndarray]) -> list[pa.Array]:
+        listed = [hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+        back = [hashlib.sha256(decode(path, x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+        return [pa.array(map(len, ids), pa.int64()), pa.array(listed), pa.array(back)]
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _encoded(rows, path, "text", True, ["doc_id"], made, digests)
