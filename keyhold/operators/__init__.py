@@ -1,6 +1,9 @@
 """Batch operators of the key window."""
 
-from keyhold.operators.admission import admit, departures
-from keyhold.operators.snapshot import advance, counted, described, flag_seen, retained_keys, seen_only, snapshot, stats, unseen_only
+from keyhold.operators.admission import admit, admitted_at, departures, reuse_distance, seen_asof
+from keyhold.operators.snapshot import advance, described, flag_seen, fresh, held_after, marked_for_stats, retained_keys, seen_only, snapshot, stats, tallied, unseen_only
 
-__all__ = ["admit", "advance", "counted", "departures", "described", "flag_seen", "retained_keys", "seen_only", "snapshot", "stats", "unseen_only"]
+__all__ = [
+    "admit", "admitted_at", "advance", "departures", "described", "flag_seen", "fresh", "held_after", "marked_for_stats", "retained_keys",
+    "reuse_distance", "seen_asof", "seen_only", "snapshot", "stats", "tallied", "unseen_only",
+]

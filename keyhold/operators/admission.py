@@ -6,221 +6,78 @@ All functions take the columns of :func:`keyhold.functions.sightings` and add ``
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keyhold.config import WindowConfig
-
-#: Time slots in a span. Rows are dealt out by key and slot, so that a frequent key is spread.
-SLOTS = 64
-#: Rows of a time chunk, at least, and how often they must outnumber the keys carried into it.
-CHUNK_ROWS, CHUNK_SHARE = 20_000, 8
-MOST_CHUNKS = 1_000
+from keyhold.operators.chunks import DistanceFold, WindowFold, along_time
+from keyhold.operators.pieces import AsOf, FirstSighting, LastSighting, along_keys, fits_a_task
 
 
 def admit(sighted: DataFrame, config: WindowConfig) -> DataFrame:
-    """The sightings with ``admitted``; the cheapest plan that gives the policy's exact answer.
+    """The sightings with ``admitted``.
 
-    Without a capacity, keys don't interact and the work is dealt out by key and time slot. With one, ``last`` is dealt
-    out by chunks of time. ``first`` and ``refuse`` with a capacity pass through one ordered task, which holds at most
-    ``capacity`` keys, as every admission may depend on all earlier ones.
+    Without a capacity, keys don't interact: see ``pieces``. With one, they do: see ``chunks``.
     """
     if config.capacity is not None:
-        return _chunked_fold(sighted, config) if config.policy == "last" else _ordered_fold(sighted, config)
-    if config.span_us is None:
-        return _unbounded(sighted)
-    if config.policy == "last":
-        return _last_span(sighted, config.span_us)
-    return _first_span(sighted, config.span_us)
-
-
-def _unbounded(sighted: DataFrame) -> DataFrame:
-    """The least (t, tie) of a key comes from a partial aggregate; equal rows alone meet in one task."""
-    first = sighted.groupBy(F.col("key").alias("_k")).agg(F.min(F.struct("t", "tie")).alias("_at"))
-    first = first.select("_k", F.col("_at.t").alias("_t"), F.col("_at.tie").alias("_i"))
-    met = sighted.join(first, (F.col("key") == F.col("_k")) & (F.col("t") == F.col("_t")) & (F.col("tie") == F.col("_i")), "left")
-    again = F.row_number().over(Window.partitionBy("key", "t", "tie").orderBy("t"))
-    return met.withColumn("admitted", F.col("_k").isNotNull() & (again == 1)).drop("_k", "_t", "_i")
+        return departures(sighted, config).drop("expired", "evicted")
+    order = [F.col("t"), F.col("tie")]
+    refreshed = config.policy == "last" or config.span_us is None
+    if refreshed and fits_a_task(sighted):
+        before = F.lag("t").over(Window.partitionBy("key").orderBy(*order))
+        old = F.lit(False) if config.span_us is None else F.col("t") - before > F.lit(config.span_us)
+        return sighted.withColumn("admitted", before.isNull() | old)
+    rule = LastSighting(config.span_us) if refreshed else FirstSighting(config.span_us)
+    return along_keys(sighted, order, rule, ["t"], "admitted", T.BooleanType())
 
 
-def _with_runs(sighted: DataFrame, span: int) -> DataFrame:
-    """Adds _slot, _start (nothing of the key in the span before the slot) and _run (when the latest such slot began).
+def departures(sighted: DataFrame, config: WindowConfig) -> DataFrame:
+    """The sightings with ``admitted``, and how many keys each makes leave: ``expired`` by age, ``evicted`` for want of room.
 
-    A slot is no longer than the span, so a gap of more than the span always ends at the first row of a slot. Slots are
-    summed up by a partial aggregate; only one row a slot of a key is put in order.
+    Needs a capacity. Columns of these names are replaced.
     """
-    width = F.lit(max(1, span // SLOTS)).cast("long")
-    cut = sighted.withColumn("_slot", F.col("t") - F.pmod(F.col("t"), width))
-    by_key = Window.partitionBy("_k").orderBy("_s")
-    ends = cut.groupBy(F.col("key").alias("_k"), F.col("_slot").alias("_s")).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    gap = F.coalesce(F.col("_lo") - F.lag("_hi").over(by_key) > F.lit(span), F.lit(True))
-    ends = ends.withColumn("_start", gap).withColumn("_run", F.max(F.when(F.col("_start"), F.col("_lo"))).over(by_key)).drop("_lo", "_hi")
-    return cut.join(ends, (F.col("key") == F.col("_k")) & (F.col("_slot") == F.col("_s"))).drop("_k", "_s")
-
+    return along_time(sighted, lambda: WindowFold(config), WindowFold.kinds, config.capacity, config.span_us)
 
-def _last_span(sighted: DataFrame, span: int) -> DataFrame:
-    """No row but the first of a slot can be admitted, and it is if the slot starts a run."""
-    first = F.row_number().over(Window.partitionBy("key", "_slot").orderBy("t", "tie")) == 1
-    return _with_runs(sighted, span).withColumn("admitted", F.col("_start") & first).drop("_slot", "_start", "_run")
 
+def reuse_distance(sighted: DataFrame, most: int) -> DataFrame:
+    """The sightings with ``distance`` and ``age``: how many other keys were seen since the key was, and the time since.
 
-def _first_span(sighted: DataFrame, span: int) -> DataFrame:
-    """A gap of more than the span always ends in an admission, so each run between such gaps is folded by itself.
-
-    Runs are dealt out by (key, run): a frequent key with gaps is spread. A task streams its sorted rows and keeps one
-    anchor, so the length of a run costs time but no memory.
+    Both are null where the key wasn't seen before, or ``most`` or more others were seen since; a task holds that many keys.
+    With refreshing, a window of any capacity up to ``most`` admits a sighting if its distance is null or not below the
+    capacity, or its age above the span (``admitted_at``). So one pass answers for all capacities.
     """
-    dealt = _with_runs(sighted, span).drop("_slot", "_start").repartition("key", "_run").sortWithinPartitions("key", "_run", "t", "tie")
-    schema = T.StructType([*sighted.schema.fields, T.StructField("admitted", T.BooleanType())])
-    names = sighted.columns
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, anchor = None, 0  # the run that the last batch ended in, and its anchor
-        for b in batches:
-            keys, runs, t, n = b["key"].to_numpy(), b["_run"].to_numpy(), b["t"].to_numpy(), len(b)
-            out = np.zeros(n, dtype=bool)
-            starts = np.flatnonzero((keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])) + 1
-            cuts = [0, *starts.tolist(), n] if n else []
-            for lo, hi in zip(cuts, cuts[1:]):
-                at = lo
-                if last != (keys[lo], runs[lo]):
-                    last, anchor, out[lo] = (keys[lo], runs[lo]), t[lo], True
-                while (at := at + int(np.searchsorted(t[at:hi], anchor + span, side="right"))) < hi:
-                    anchor, out[at] = t[at], True
-            yield b[names].assign(admitted=out)
-
-    return dealt.mapInPandas(fold, schema)
+    if most < 1:
+        raise ValueError("most must be at least 1")
+    return along_time(sighted, lambda: DistanceFold(most), DistanceFold.kinds, most, None)
 
 
-def departures(sighted: DataFrame, config: WindowConfig) -> DataFrame:
-    """The sightings with ``admitted``, and how many keys each makes leave: ``expired`` by age, ``evicted`` for want of room.
+def admitted_at(capacity: int, span: int | None = None) -> Column:
+    """Over ``reuse_distance``: whether a refreshing window of these bounds admits the sighting; the capacity is at most ``most``."""
+    old = F.lit(False) if span is None else F.col("age") > F.lit(span)
+    return F.col("distance").isNull() | (F.col("distance") >= capacity) | old
 
-    Needs a capacity. Columns of these names are replaced.
-    """
-    fold = _chunked_fold if config.policy == "last" else _ordered_fold
-    return fold(sighted.drop("expired", "evicted"), config, True)
-
-
-def _folded(ordered: DataFrame, schema: T.StructType, config: WindowConfig, leave: bool) -> DataFrame:
-    """Fold each _chunk of an ordered table from what is carried into it: rows whose _carried is true, which go."""
-    span, capacity, policy = config.span_us, config.capacity, config.policy
-    names = [f.name for f in schema.fields if f.name in ordered.columns]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: OrderedDict[str, int] = OrderedDict()  # anchors, oldest first
-        chunk = None
-        for b in batches:
-            out = np.zeros(len(b), dtype=bool)
-            expired, evicted = np.zeros((2, len(b)), dtype=np.int64)
-            carried = b["_carried"].to_numpy()
-            for i, (part, old, key, t) in enumerate(zip(b["_chunk"].to_numpy(), carried, b["key"].to_numpy(), b["t"].to_numpy().tolist())):
-                if part != chunk:
-                    chunk = part
-                    held.clear()
-                if old:
-                    held[key] = t
-                    continue
-                while span is not None and held and t - next(iter(held.values())) > span:
-                    held.popitem(last=False)
-                    expired[i] += 1
-                if key in held:
-                    if policy == "last":
-                        held[key] = t
-                        held.move_to_end(key)
-                    continue
-                if len(held) >= capacity:
-                    if policy == "refuse":
-                        continue
-                    held.popitem(last=False)
-                    evicted[i] = 1
-                held[key], out[i] = t, True
-            yield b[names].assign(admitted=out, **({"expired": expired, "evicted": evicted} if leave else {}))[~carried]
-
-    return ordered.mapInPandas(fold, schema)
-
-
-def _fold_schema(sighted: DataFrame, leave: bool) -> T.StructType:
-    gone = [T.StructField(c, T.LongType()) for c in ("expired", "evicted")] if leave else []
-    return T.StructType([*sighted.schema.fields, T.StructField("admitted", T.BooleanType()), *gone])
-
-
-def _ordered_fold(sighted: DataFrame, config: WindowConfig, leave: bool = False) -> DataFrame:
-    one = sighted.withColumns({"_chunk": F.lit(0), "_carried": F.lit(False)}).repartition(1).sortWithinPartitions("t", "tie")
-    return _folded(one, _fold_schema(sighted, leave), config, leave)
-
-
-def _bounds(sighted: DataFrame, capacity: int) -> list[int]:
-    """The last time of each chunk but the last one. One job; at most ``MOST_CHUNKS`` numbers come back.
-
-    A chunk has about ``CHUNK_SHARE`` times as many rows as keys may be carried into it, so what is carried stays a
-    fraction of the rows. Rows of one time are in one chunk.
-    """
-    shares = [i / MOST_CHUNKS for i in range(1, MOST_CHUNKS)]
-    rows, times = sighted.agg(F.count("*"), F.percentile_approx("t", shares, 10 * MOST_CHUNKS)).first()
-    chunks = min(rows // max(CHUNK_ROWS, CHUNK_SHARE * capacity), MOST_CHUNKS)
-    return sorted({times[i * MOST_CHUNKS // chunks - 1] for i in range(1, chunks)})
 
+def seen_asof(probe: DataFrame, sighted: DataFrame, config: WindowConfig, key: str = "key", time: str = "t") -> DataFrame:
+    """The probe's rows with ``seen``: whether the window held the key at the row's own time, sightings of that time included.
 
-def _chunked_fold(sighted: DataFrame, config: WindowConfig, leave: bool = False) -> DataFrame:
-    """``last`` with a capacity: what is held before a chunk of time are the ``capacity`` keys seen most recently before
-    it, less those too old at its eve. That merges: each chunk gives its own latest keys, one pass over these alone (at
-    most ``capacity`` rows a chunk) carries them on, and the chunks are folded side by side.
+    time: a column of microseconds. A null key or time is never seen. A column ``seen`` is replaced, others are kept whatever
+    their names. The window must have no capacity.
     """
-    bounds, schema = _bounds(sighted, config.capacity), _fold_schema(sighted, leave)
-    if not bounds:
-        return _ordered_fold(sighted, config, leave)
-    cut = sighted.withColumns({"_chunk": _chunk_of(bounds), "_carried": F.lit(False)})
-    latest = cut.groupBy("_chunk", "key").agg(F.max(F.struct("t", "tie")).alias("_at")).select("_chunk", "key", "_at.t", "_at.tie")
-    newest = F.row_number().over(Window.partitionBy("_chunk").orderBy(F.desc("t"), F.desc("tie"), "key"))
-    own = latest.withColumn("_n", newest).filter(F.col("_n") <= config.capacity).drop("_n")
-    span, capacity, last_chunk = config.span_us, config.capacity, len(bounds)
-
-    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: OrderedDict[str, tuple[int, object]] = OrderedDict()  # latest sightings, oldest first
-        chunk = 0
-
-        def eve(upto: int) -> Iterator[pd.DataFrame]:
-            """What is held before each chunk after ``chunk`` up to ``upto``."""
-            while len(held) > capacity:
-                held.popitem(last=False)
-            newest = next(reversed(held.values()))[0] if held else 0
-            keys = [k for k, (t, _) in held.items() if span is None or newest - t <= span]
-            at = [held[k] for k in keys]
-            for c in range(chunk + 1, upto + 1) if keys else ():
-                yield pd.DataFrame({"_chunk": np.full(len(keys), c), "key": keys, "t": [t for t, _ in at], "tie": [i for _, i in at]})
-
-        for b in batches:
-            for c, key, t, tie in zip(b["_chunk"].to_numpy().tolist(), b["key"], b["t"].to_numpy().tolist(), b["tie"]):
-                if c != chunk:
-                    yield from eve(c)
-                    chunk = c
-                held[key] = (t, tie)
-                held.move_to_end(key)
-        if chunk < last_chunk:
-            yield from eve(last_chunk)
-
-    carried = own.select("_chunk", "key", "t", "tie").repartition(1).sortWithinPartitions("_chunk", "t", "tie")
-    carried = carried.mapInPandas(carry, carried.schema).withColumn("_carried", F.lit(True))
-    both = cut.unionByName(carried, allowMissingColumns=True)
-    # a row that was carried is older than all of its chunk
-    dealt = both.repartition(last_chunk + 1, "_chunk").sortWithinPartitions("_chunk", "t", "tie")
-    return _folded(dealt, schema, config, leave)
-
-
-def _chunk_of(bounds: list[int]) -> Column:
-    """How many bounds lie before t; found by halving, so the expression is as deep as the logarithm of their number."""
-
-    def cut(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("t") <= bounds[mid], cut(lo, mid)).otherwise(cut(mid + 1, hi))
-
-    return cut(0, len(bounds))
+    if config.capacity is not None:
+        raise ValueError("seen_asof needs a window without a capacity")
+    own = [c for c in probe.columns if c != "seen"]
+    anchors = sighted if config.policy == "last" else admit(sighted, config).filter("admitted")
+    asks = probe.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{time}`").cast("long").alias("t"), F.lit(False).alias("anchors"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in own)).alias("row"))
+    lost = asks.filter("key IS NULL OR t IS NULL").select("row", F.lit(False).alias("seen"))
+    both = anchors.select("key", "t", F.lit(True).alias("anchors")).unionByName(asks.filter("key IS NOT NULL AND t IS NOT NULL"), allowMissingColumns=True)
+    order = [F.col("t"), F.col("anchors").desc()]
+    if fits_a_task(both):
+        last = F.last(F.when(F.col("anchors"), F.col("t")), ignorenulls=True).over(Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        told = both.withColumn("anchor", last)
+    else:
+        told = along_keys(both, order, AsOf(), ["t", "anchors"], "anchor", T.LongType())
+    fresh = F.lit(True) if config.span_us is None else F.col("t") - F.col("anchor") <= F.lit(config.span_us)
+    told = told.filter(~F.col("anchors")).select("row", (F.col("anchor").isNotNull() & fresh).alias("seen"))
+    return told.unionByName(lost).select(*(F.col(f"row.`{c}`").alias(c) for c in own), "seen")

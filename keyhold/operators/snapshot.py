@@ -16,26 +16,37 @@ def snapshot(sighted: DataFrame, config: WindowConfig, now: int | None = None) -
     """
     upto = sighted if now is None else sighted.filter(F.col("t") <= F.lit(now))
     # with refreshing, every sighting counts, admitted or not
-    counts = upto if config.policy == "last" else admit(upto, config).filter("admitted")
+    marked = upto.withColumn("admitted", F.lit(True)) if config.policy == "last" else admit(upto, config)
+    end = None if config.span_us is None or now is not None else upto.agg(F.max("t").alias("_now"))
+    return held_after(marked, config, now if end is None else end)
+
+
+def held_after(marked: DataFrame, config: WindowConfig, now: int | DataFrame | None) -> DataFrame:
+    """What is held after sightings that ``admit`` has marked, at ``now``: a time, or a row with ``_now``; needed with a span."""
+    counts = marked if config.policy == "last" else marked.filter("admitted")
     latest = counts.groupBy("key").agg(F.max(F.struct("t", "tie")).alias("at")).select("key", F.col("at.t").alias("anchor"), F.col("at.tie").alias("tie"))
     if config.capacity is not None and config.policy != "refuse":
         # what was dropped for want of room is older than all that is held
         latest = latest.orderBy(F.desc("anchor"), F.desc("tie")).limit(config.capacity)
     if config.span_us is None:
         return latest
-    if now is not None:
-        return latest.filter(F.lit(now) - F.col("anchor") <= config.span_us)
-    end = upto.agg(F.max("t").alias("_now"))
-    return latest.join(F.broadcast(end), F.col("_now") - F.col("anchor") <= config.span_us).drop("_now")
+    if isinstance(now, DataFrame):
+        return latest.join(F.broadcast(now), F.col("_now") - F.col("anchor") <= config.span_us).drop("_now")
+    return latest.filter(F.lit(now) - F.col("anchor") <= config.span_us)
 
 
-def _stale(config: WindowConfig, now: int) -> Column:
-    return F.lit(False) if config.span_us is None else F.lit(now) - F.col("anchor") > config.span_us
+def _stale(config: WindowConfig, now: int | None) -> Column:
+    return F.lit(False) if config.span_us is None or now is None else F.lit(now) - F.col("anchor") > config.span_us
 
 
 def advance(held: DataFrame, config: WindowConfig, now: int) -> tuple[DataFrame, DataFrame]:
     """What is still held at ``now``, and a row with ``dropped``: how many keys were too old."""
-    return held.filter(~_stale(config, now)), held.agg(F.count_if(_stale(config, now)).alias("dropped"))
+    return fresh(held, config, now), held.agg(F.count_if(_stale(config, now)).alias("dropped"))
+
+
+def fresh(held: DataFrame, config: WindowConfig, now: int | None) -> DataFrame:
+    """Of what is held, the keys that aren't too old at ``now``; None: all."""
+    return held.filter(~_stale(config, now))
 
 
 def flag_seen(probe: DataFrame, held: DataFrame, key: str = "key") -> DataFrame:
@@ -59,27 +70,36 @@ def retained_keys(held: DataFrame) -> DataFrame:
     return held.orderBy("anchor", "tie").select("key")
 
 
-def counted(sighted: DataFrame, config: WindowConfig, new: Column | None = None) -> DataFrame:
+def marked_for_stats(sighted: DataFrame, config: WindowConfig) -> DataFrame:
+    """The sightings as ``tallied`` needs them: with ``admitted``, and with a capacity also why keys leave."""
+    return admit(sighted, config) if config.capacity is None else departures(sighted, config)
+
+
+def tallied(marked: DataFrame, config: WindowConfig, new: Column | None = None, now: int | DataFrame | None = None) -> DataFrame:
     """One row: retained, admitted, expired (by age), evicted (for want of room), repeats; admitted and repeats of rows that are ``new``.
 
-    With one bound, what was admitted and isn't retained has left by that. With both, the fold tells why each key leaves.
+    marked: from ``marked_for_stats``. now: as in ``held_after``; needed with a span and no capacity.
     """
     new = F.lit(True) if new is None else new
-    own = [F.count_if(F.col("admitted") & new).alias("admitted"), F.count_if(~F.col("admitted") & new).alias("repeats"), F.count_if("admitted").alias("all")]
-    if config.capacity is not None and config.span_us is not None and config.policy != "refuse":
-        left = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expired", "evicted")]
-        out = departures(sighted, config).agg(*own, *left).withColumn("retained", F.col("all") - F.col("expired") - F.col("evicted"))
+    own = {"admitted": F.col("admitted") & new, "repeats": ~F.col("admitted") & new, "all": F.col("admitted")}
+    none = F.lit(0).cast("long")
+    if config.capacity is not None or config.span_us is None:
+        left = [F.coalesce(F.sum(c), none).alias(c) for c in ("expired", "evicted")] if config.capacity is not None else [none.alias("expired"), none.alias("evicted")]
+        out = marked.agg(*(F.count_if(c).alias(n) for n, c in own.items()), *left)
+        out = out.withColumn("retained", F.col("all") - F.col("expired") - F.col("evicted"))
     else:
-        out = admit(sighted, config).agg(*own).crossJoin(snapshot(sighted, config).agg(F.count("*").alias("retained")))
-        by_room = config.span_us is None and config.policy != "refuse"
-        gone, none = F.col("all") - F.col("retained"), F.lit(0).cast("long")
-        out = out.withColumns({"expired": none if by_room else gone, "evicted": gone if by_room else none})
+        anchor = F.max("t") if config.policy == "last" else F.max(F.when(F.col("admitted"), F.col("t")))
+        by_key = marked.groupBy("key").agg(*(F.count_if(c).alias(n) for n, c in own.items()), anchor.alias("anchor"), F.max("t").alias("end"))
+        by_key = by_key.join(F.broadcast(now), how="left") if isinstance(now, DataFrame) else by_key.withColumn("_now", F.lit(now))
+        held = F.count_if(F.col("_now") - F.col("anchor") <= config.span_us).alias("retained")
+        out = by_key.agg(held, *(F.coalesce(F.sum(n), none).alias(n) for n in own)).withColumns({"expired": F.col("all") - F.col("retained"), "evicted": none})
     return out.select("retained", "admitted", "expired", "evicted", "repeats")
 
 
 def stats(sighted: DataFrame, config: WindowConfig) -> DataFrame:
     """One row: span, capacity, retained, admitted, expired (by age), evicted (for want of room), repeats."""
-    return described(counted(sighted, config), config)
+    now = sighted.agg(F.max("t").alias("_now")) if config.span_us is not None and config.capacity is None else None
+    return described(tallied(marked_for_stats(sighted, config), config, now=now), config)
 
 
 def described(counts: DataFrame, config: WindowConfig) -> DataFrame:

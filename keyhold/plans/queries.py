@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from keyhold import operators as ops
 from keyhold.config import WindowConfig
 from keyhold.functions import epoch_micros, sightings
 from keyhold.plans.window import KeyWindow
-from keyhold.sources.state import shared_folder
+from keyhold.sources.state import delete, settled, shared_folder
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 PAUSE = 1_706_400_000_000_000
+CALLS = (1_704_900_000_000_000, 1_705_700_000_000_000)
+CAPACITIES = (20, 50, 120)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -57,6 +60,52 @@ def _stats(policy: str, span: int | None, capacity: int | None) -> Query:
 
 
 
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three calls by time; every fifth event is delivered a call late."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = epoch_micros(rows, "ts")
+    call = F.when(t <= CALLS[0], 0).when(t <= CALLS[1], 1).otherwise(2) + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    window, out = KeyWindow(WindowConfig(HOUR)), []
+    for n in range(4):
+        out.append(window.observe(rows.filter(call == n), "user_id", "ts", "event_id"))
+    return reduce(DataFrame.unionByName, out).select(F.col("tie").alias("row_id"), "key", "admitted", "late")
+
+
+def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window on a folder that isn't there yet, filled, saved and opened anew: its keys."""
+    path = f"{shared_folder(spark)}/window-{uuid.uuid4().hex}"
+    window = KeyWindow.open(spark, path, HELD)
+    window.observe(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_id")
+    window.save(path)
+    kept = settled(KeyWindow.open(spark, path).keys())
+    delete(spark, path)
+    return kept
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that the window holds, asked half a day after its last sighting."""
+    window = KeyWindow(HELD)
+    window.observe(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_id")
+    return window.seen(_customers(spark, sf_dir), "c_custkey", window.clock + DAY // 2)
+
+
+def _asof(policy: str) -> Query:
+    """For each event, whether the window held the next user at that time."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+        probe = rows.select("event_id", (F.col("user_id") + 1).alias("asked"), epoch_micros(rows, "ts").alias("at"))
+        return ops.seen_asof(probe, events(spark, sf_dir), WindowConfig(2 * HOUR, None, policy), "asked", "at")
+
+    return run
+
+
+def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What refreshing windows of three capacities admit, in one pass."""
+    rows = ops.reuse_distance(events(spark, sf_dir), max(CAPACITIES))
+    return rows.select(F.col("tie").alias("row_id"), "key", "distance", *(ops.admitted_at(c, DAY).alias(f"admitted_{c}") for c in CAPACITIES))
+
+
 def _resumed(spark: SparkSession, sf_dir: str) -> tuple[KeyWindow, DataFrame]:
     """Observe the events up to a moment, save, open what was saved, and observe the rest: the window and all marks."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -66,6 +115,8 @@ def _resumed(spark: SparkSession, sf_dir: str) -> tuple[KeyWindow, DataFrame]:
     before = one.observe(rows.filter(~late), "user_id", "ts", "event_id")
     one.save(path)
     two = KeyWindow.open(spark, path)
+    two.held = settled(two.held)
+    delete(spark, path)
     after = two.observe(rows.filter(late), "user_id", "ts", "event_id")
     return two, before.unionByName(after)
 
@@ -98,6 +149,12 @@ QUERIES: dict[str, Query] = {
     "stats_last_span_capacity": _stats("last", DAY, 120),
     "window_resumed": _resumed_marks,
     "window_resumed_stats": _resumed_stats,
+    "window_late": _late,
+    "window_fresh": _fresh,
+    "seen_asked": _asked,
+    "seen_asof": _asof("last"),
+    "seen_asof_first": _asof("first"),
+    "reuse_distance": _distances,
 }
 
 EV = "ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) i, event_id row_id, epoch_us(ts) t, user_id::VARCHAR k FROM events)"
@@ -133,6 +190,18 @@ def capped_sql(table: str, span: int, cap: int, refuse: bool) -> str:
  adm AS (SELECT i FROM r WHERE adm) {MARK}"""
 
 
+def distances_sql(table: str, span: int, caps: tuple[int, ...]) -> str:
+    marks = ", ".join(f"p IS NULL OR t - pt > {span} OR dist >= {c} AS admitted_{c}" for c in caps)
+    return f"""WITH {table}, o AS (SELECT i, row_id, t, k, lag(t) OVER w pt, lag(i) OVER w p FROM ev WINDOW w AS (PARTITION BY k ORDER BY i)),
+ s AS (SELECT a.i, a.row_id, a.k, a.p, a.t, a.pt, count(b.i) dist FROM o a LEFT JOIN o b ON b.i > a.p AND b.i < a.i AND coalesce(b.p, 0) <= a.p GROUP BY ALL)
+SELECT row_id, k AS key, CASE WHEN p IS NOT NULL AND dist < {max(caps)} THEN dist END AS distance, {marks} FROM s"""
+
+
+def asof_sql(span: int, anchors: str) -> str:
+    return f"""WITH {anchors} SELECT e.event_id, e.user_id + 1 AS asked, epoch_us(e.ts) AS at, coalesce(epoch_us(e.ts) - a.t <= {span}, false) AS seen
+FROM events e ASOF LEFT JOIN anchors a ON a.k = (e.user_id + 1)::VARCHAR AND epoch_us(e.ts) >= a.t"""
+
+
 def stats_capped_sql(table: str, span: int, cap: int) -> str:
     """``first`` with both bounds; x: keys too old at this sighting, v: keys dropped for want of room."""
     kept = lambda x: f"{x}[greatest(1, len({x}) - {cap} + 2):]"
@@ -185,4 +254,16 @@ ORACLE: dict[str, str] = {
     "stats_last_span_capacity": stats_last_capped_sql(EV, DAY, 120),
     "window_resumed": _ADM1,
 }
+_CALL = f"CASE WHEN epoch_us(ts) <= {CALLS[0]} THEN 0 WHEN epoch_us(ts) <= {CALLS[1]} THEN 1 ELSE 2 END + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END"
+_DELIVERED = f"""d AS (SELECT event_id, user_id, ts, c, coalesce(epoch_us(ts) < (SELECT max(epoch_us(x.ts)) FROM events x WHERE {_CALL.replace('ts', 'x.ts').replace('event_id', 'x.event_id')} < d.c), false) AS late
+ FROM (SELECT *, {_CALL} AS c FROM events) d)"""
+_ON_TIME = f"{_DELIVERED}, {EV.replace('FROM events', 'FROM d WHERE NOT late')}"
+ORACLE |= {
+    "window_late": first_sql(_ON_TIME, HOUR).replace(MARK, f"{MARK.replace(' FROM', ', false AS late FROM')} UNION ALL SELECT event_id, user_id::VARCHAR, NULL, true FROM d WHERE late"),
+    "window_fresh": ORACLE["keys_snapshot"],
+    "seen_asked": f"WITH {_ALL_HELD} SELECT c_custkey, c_name, c_custkey::VARCHAR IN (SELECT key FROM l WHERE (SELECT max(epoch_us(ts)) FROM events) + {DAY // 2} - anchor <= {DAY}) AS seen FROM customer",
+    "seen_asof": asof_sql(2 * HOUR, "anchors AS (SELECT user_id::VARCHAR AS k, epoch_us(ts) AS t FROM events)"),
+    "seen_asof_first": asof_sql(2 * HOUR, first_sql(EV, 2 * HOUR).removeprefix("WITH ").replace(MARK, "").rstrip() + ", anchors AS (SELECT ev.k, ev.t FROM ev JOIN adm USING (i))"),
+    "reuse_distance": distances_sql(EV, DAY, CAPACITIES),
+}
 ORACLE["window_resumed_stats"] = ORACLE["stats_span"]

@@ -1,5 +1,5 @@
-"""Where windows are kept."""
+"""Where window contents are kept."""
 
-from keyhold.sources.state import load_state, save_state
+from keyhold.sources.state import StaleWindowError, load_state, save_state
 
-__all__ = ["load_state", "save_state"]
+__all__ = ["StaleWindowError", "load_state", "save_state"]
