@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keyhold.llm.components import components
-from keyhold.llm.shared import Scratch, partitions, written
-from keyhold.llm.shingles import WIDTH, U, link, mix, shingle_sets, words
+from keyhold.llm.shared import Scratch, free, hot_join, partitions, written
+from keyhold.llm.shingles import WIDTH, U, link, lowered, mix, shingle_sets, words
 
 NUM, DEN = 80, 100  # the similarity that links: 100 * intersection >= 80 * union
 GROWTH = 1.25  # of a band's sizes: DEN / NUM, so partners are at most one band apart
@@ -204,17 +204,60 @@ def _named_sets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, tuple[int
         yield s, set_key(s, text) if len(s) else (0, 0)
 
 
+def exact_name(text: str | None) -> bytes:
+    """A digest of the words of a text's shingle set, so equal for equal sets only."""
+    w = words(text)
+    some = sorted({b" ".join(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))})
+    return hashlib.blake2b(b"\n".join(some), digest_size=16).digest()
+
+
+def raw_name(text: str | None) -> bytes:
+    """A digest of a text but for upper case; equal texts have equal sets."""
+    return hashlib.blake2b(lowered(text), digest_size=16).digest()
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k0, k1, bits) of each row: size, name and bitmap of its shingle set."""
-    names = ["doc_id", "n", "k0", "k1", "bits"]
+    """(doc_id, n, k0, k1, bits, raw) of each row: size, name and bitmap of its shingle set, and the name of its text."""
+    names = ["doc_id", "n", "k0", "k1", "bits", "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(len(s), *key, bitmap(s)) for s, key in _named_sets(b["text"].to_pylist())]
-            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            texts = b["text"].to_pylist()
+            rows = [(len(s), *key, bitmap(s), raw_name(x)) for x, (s, key) in zip(texts, _named_sets(texts))]
+            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k0 long, k1 long, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k0 long, k1 long, bits binary, raw binary")
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """What ``described`` gives, with ``exact``, which tells sets of one hashed name apart.
+
+    It is empty where all texts of the name are equal but for upper case, and else a digest of the set's words; only the
+    texts of such names are read again.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        found = written(described(docs), "hashed")
+        name = ["n", "k0", "k1"]
+        named = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*name).agg(F.min("raw").alias("r0"), F.max("raw").alias("r1"), F.count("*").alias("rows"))
+        several = written(named.filter("r0 <> r1").select(*name, "rows", F.lit(True).alias("several")), "several")
+        total = found.count()
+        if several.isEmpty():
+            return scratch.keep(found.select("doc_id", *name, "bits", F.lit(b"").alias("exact")), "sets")
+        marked = written(hot_join(found, several, name, "rows", ["several"], total), "marked")
+        # a text of each different name will do
+        ask = marked.filter("several AND doc_id IS NOT NULL").groupBy("raw").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ask.select("id").distinct(), "id", "left_semi")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b["text"].to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(map(f, texts), pa.binary()) for f in (raw_name, exact_name)], ["raw", "exact"])
+
+        exact = texts.select("text").mapInArrow(run, "raw binary, exact binary").groupBy("raw").agg(F.min("exact").alias("exact"))
+        exact = written(exact.join(ask.select("raw", "rows"), "raw"), "exact")
+        out = hot_join(marked.filter("several"), exact, ["raw"], "rows", ["exact"], total).unionByName(marked.filter("several IS NULL").withColumn("exact", F.lit(b"")))
+        return scratch.keep(out.select("doc_id", *name, "bits", F.coalesce("exact", F.lit(b"")).alias("exact")), "sets")
 
 
 def _indexed(docs: DataFrame, plans: dict[int, Band], parts: int) -> DataFrame:
@@ -333,13 +376,13 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link: hashed sets sort out those that don't, and words decide the others."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ask = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("id"), "n", "k0", "k1")
+    ask = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("id"), "n", "k0", "k1", "exact")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ask, "id")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # where an id repeats, several rows come for a node
-            keys = zip(b["n"].to_pylist(), b["k0"].to_pylist(), b["k1"].to_pylist())
-            ok = pa.array([(len(s), *name) == key for (s, name), key in zip(_named_sets(b["text"].to_pylist()), keys)], pa.bool_())
+            keys, texts, exact = zip(b["n"].to_pylist(), b["k0"].to_pylist(), b["k1"].to_pylist()), b["text"].to_pylist(), b["exact"].to_pylist()
+            ok = pa.array([(len(s), *name) == key and (not e or exact_name(x) == e) for x, e, (s, name), key in zip(texts, exact, _named_sets(texts), keys)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b["node"], b["text"]], ["node", "text"]).filter(ok)
 
     known = written(texts.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
@@ -442,10 +485,10 @@ def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame, forest: bool) ->
 
 
 def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, k0, k1) of each row, and (n, k0, k1, cluster, component_id) of each set; cluster: a component's own number."""
+    """(doc_id, n, k0, k1, exact) of each row, and (n, k0, k1, exact, cluster, component_id) of each set; cluster: a component's own number."""
     spark = docs.sparkSession
-    found = scratch.keep(described(docs), "sets")
-    nodes = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k0", "k1").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits"))
+    found = scratch.keep(_told_apart(docs), "sets")
+    nodes = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k0", "k1", "exact").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     edge = F.array([F.lit(int(e)) for e in EDGES])
     bands = nodes.filter("n >= 4").groupBy((F.array_size(F.filter(edge, lambda e: e <= F.col("n"))) - 1).alias("band")).count().collect()  # a row a band
@@ -473,8 +516,8 @@ def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
             scratch.drop(where)
             where = _where(nodes, links)
     least = where.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    member = nodes.select("n", "k0", "k1", "node").join(where.select("node", F.col("component")), "node").join(least, "component")
-    return found, member.select("n", "k0", "k1", F.col("component").alias("cluster"), "component_id")
+    member = nodes.select("n", "k0", "k1", "exact", "node").join(where.select("node", F.col("component")), "node").join(least, "component")
+    return found, member.select("n", "k0", "k1", "exact", F.col("component").alias("cluster"), "component_id")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -490,7 +533,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     texts, or texts without words, have no shingles and link with nothing. A null doc_id links with nothing either
     (component_id null). Rows whose ids repeat are documents of their own. An empty table gives no rows.
 
-    Sets are named, and candidates sought, by 64-bit hashes of words; a link is taken after its words have been compared.
+    Candidates are sought by 64-bit hashes of words; a link is taken after its words have been compared, and sets of one
+    hashed name but different texts are told apart by a digest of their words.
     Links are verified in three rounds. In the first, each set meets the one set with which it shares most signatures; in
     the second, the closest pairs that would join the components whose sets share signatures; in the third, all other
     pairs that share one and aren't joined yet. Nothing is lost by skipping joined pairs, as only the components are asked for.
@@ -529,8 +573,8 @@ def _clashes(nodes: DataFrame) -> DataFrame:
 
 
 def _members(found: DataFrame, member: DataFrame) -> DataFrame:
-    own = found.select("doc_id", F.col("n").alias("n_shingles"), "k0", "k1")
-    key = [own[k] == member[k] for k in ("k0", "k1")] + [own["n_shingles"] == member["n"], own["n_shingles"] > 0, own["doc_id"].isNotNull()]
+    own = found.select("doc_id", F.col("n").alias("n_shingles"), "k0", "k1", "exact")
+    key = [own[k] == member[k] for k in ("k0", "k1", "exact")] + [own["n_shingles"] == member["n"], own["n_shingles"] > 0, own["doc_id"].isNotNull()]
     out = own.join(member, key, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -548,27 +592,32 @@ def keep_one(docs: DataFrame) -> DataFrame:
         near = scratch.keep(_members(found, member), "near")
         twice = scratch.keep(near.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
         repeats = not twice.isEmpty()
-    gone = near.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
+    at = free(docs, "gone")
+    gone = near.filter("component_id < doc_id").select(F.col("doc_id").alias(at))
     if not repeats:
-        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = twice.select(F.col("doc_id").alias("_gone"))
-    single = docs.join(gone.union(again).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return single.unionByName(_keep_repeated(docs.join(again, F.col("doc_id") == F.col("_gone"), "left_semi"), member))
+        return docs.join(gone, F.col("doc_id") == F.col(at), "left_anti")
+    again = twice.select(F.col("doc_id").alias(at))
+    single = docs.join(gone.union(again).distinct(), F.col("doc_id") == F.col(at), "left_anti")
+    return single.unionByName(_keep_repeated(docs.join(again, F.col("doc_id") == F.col(at), "left_semi"), member))
 
 
 def _keep_repeated(docs: DataFrame, member: DataFrame) -> DataFrame:
     """Of rows whose ids repeat, those that stay."""
-    names = [*docs.columns, "_n", "_k0", "_k1"]
-    extra = [T.StructField(c, T.LongType()) for c in ("_n", "_k0", "_k1")]
+    n, k0, k1, exact, cluster, least, rank = (free(docs, c) for c in ("n", "k0", "k1", "exact", "cluster", "least", "rank"))
+    extra = [*(T.StructField(c, T.LongType()) for c in (n, k0, k1)), T.StructField(exact, T.BinaryType())]
+    schema = T.StructType([*docs.schema.fields, *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [(len(s), *key) for s, key in _named_sets(b["text"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))], names)
-
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
-    of = member.select(F.col("n").alias("_n"), F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), F.col("cluster").alias("_cluster"), F.col("component_id").alias("_least"))
-    rows = rows.join(of, ["_n", "_k0", "_k1"], "left")
-    empty, full = rows.filter("_n = 0"), rows.filter("_n > 0 AND doc_id = _least")
-    first = full.withColumn("_rank", F.row_number().over(Window.partitionBy("_cluster").orderBy("_n", "_k0", "_k1"))).filter("_rank <= 1")
+            texts = b["text"].to_pylist()
+            keys = [(len(s), *key) for s, key in _named_sets(texts)]
+            cols = [*(pa.array([k[i] for k in keys], pa.int64()) for i in range(3)), pa.array(map(exact_name, texts), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], schema.names)
+
+    rows = docs.mapInArrow(run, schema)
+    of = member.select(F.col("n").alias("m"), F.col("k0").alias("m0"), F.col("k1").alias("m1"), F.col("exact").alias("e"), F.struct("cluster", "component_id").alias("of"))
+    same = [rows[n] == of["m"], rows[k0] == of["m0"], rows[k1] == of["m1"], (of["e"] == F.lit(b"")) | (of["e"] == rows[exact])]
+    rows = rows.join(of, same, "left").select(*(rows[c] for c in rows.columns), of["of.cluster"].alias(cluster), of["of.component_id"].alias(least))
+    empty, full = rows.filter(F.col(n) == 0), rows.filter((F.col(n) > 0) & (F.col("doc_id") == F.col(least)))
+    first = full.withColumn(rank, F.row_number().over(Window.partitionBy(cluster).orderBy(n, k0, k1, exact))).filter(F.col(rank) <= 1)
     return empty.select(docs.columns).unionByName(first.select(docs.columns))

@@ -134,3 +134,11 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, va
     cold = table.filter(~hot).select(*keys, found("_cold"), F.lit(0).cast("long").alias("_salt"))
     out = near.withColumn("_salt", salt.cast("long")).join(cold, [*keys, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return out.select(*rows.columns, *(F.col(f"_found.{v}").alias(v) for v in values))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

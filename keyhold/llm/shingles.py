@@ -60,9 +60,14 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, h
 
 
+def lowered(text: str | None) -> bytes:
+    """A text with A-Z lower-cased; null: empty."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return lowered(text).split()
 
 
 def link(x: list[bytes], y: list[bytes], num: int, den: int) -> bool:

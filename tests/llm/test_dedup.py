@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,3 +165,36 @@ def test_near_hot_signature(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     got = {tuple(r) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == brute(rows) and len({c for _, _, c in got}) > 5
+
+
+def meeting_words(count):
+    """Pairs of different words of 16 letters and digits with one hash, made from the hash's own constants."""
+    rng, good = random.Random(1), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789-.", dtype=np.uint8)
+    fit = np.zeros(256, dtype=bool)
+    fit[good] = True
+    out = []
+    while len(out) < count:
+        p, q = (bytes(rng.choice(good.tolist()) for _ in range(8)) for _ in range(2))
+        state = [int(shingle_words.mix((shingle_words.mix(np.array([16], dtype=np.uint64) ^ shingle_words._KEY) ^ np.frombuffer(x, "<u8")) * shingle_words._STEP + shingle_words._KEY)[0]) for x in (p, q)]
+        mask = np.frombuffer((state[0] ^ state[1]).to_bytes(8, "little"), dtype=np.uint8)
+        ends = [[(c, c ^ int(m)) for c in good.tolist() if fit[c ^ int(m)]] for m in mask]
+        if all(ends):
+            a, b = (bytes(e[0][i] for e in ends) for i in (0, 1))
+            out.append(((p + a).decode(), (q + b).decode()))
+    return out
+
+
+def test_sets_with_one_hashed_name(spark):
+    """Texts without a common word whose words have equal hashes: different sets of one name. They don't link, whatever else does."""
+    pairs = meeting_words(9)
+    one, two = (" ".join(p[i] for p in pairs) for i in (0, 1))
+    hashed = list(shingle_words.shingle_sets([one, two]))
+    assert one != two and (hashed[0] == hashed[1]).all()
+    rows = [(1, one), (2, two), (3, one.upper()), (4, two), (5, two.replace(" ", "  ")), (None, one), (6, f"{one} more"), (7, "a b c"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_components(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 2, None: None, 6: 1, 7: 7, 8: 8}
+    assert {(i, n, c) for i, n, c in brute([r for r in rows if r[0]])} == {(i, n, got[i]) for i, n, c in brute([r for r in rows if r[0]])}
+    assert sorted(str(r.doc_id) for r in ngram_join.keep_one(df).collect()) == ["1", "2", "7", "8", "None"]
+    again = spark.createDataFrame([(1, one), (1, two), (1, one), (2, two)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.keep_one(again).collect()) == sorted([(1, one), (1, two)])
