@@ -75,42 +75,93 @@ def test_urls_not_nested(spark):
 
 
 def brute_lines(rows):
-    cut = {}
-    for i, t in rows:
-        lines = t.split("\n")
-        cut[i] = [lines[a:b] for a, b in line_dedup.chunks(lines)]
-    seen, out = set(), {}
-    for i in sorted(cut):
-        kept = []
-        for c in cut[i]:
-            if len(c) > 1 and tuple(c) in seen:
+    """The definition over whole texts in memory, in id order; it shares no code with the operator."""
+
+    def number(x):
+        return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=16).digest()[:8], "little")
+
+    def cut(full):
+        out, first = [], 0
+        for i in range(len(full)):
+            if len(full[i].split()) > 50:
+                out += [(first, i), (i, i + 1)]
+                first = i + 1
+            elif i - first >= 1:
+                h = (number(full[i - 1]) * 0x9E3779B97F4A7C15 + number(full[i])) % 2**64
+                if ((h ^ h >> 29) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 65536 < 32768:
+                    out.append((first, i + 1))
+                    first = i + 1
+        out.append((first, len(full)))
+        return [(lo, hi) for lo, hi in out if hi - lo > 1 or hi - lo == 1 and len(full[lo].split()) > 50]
+
+    owner, out = {}, {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip()]
+        full, gone = [lines[k] for k in at], set()
+        for lo, hi in cut(full):
+            content = "\n".join(lines[at[lo] : at[hi - 1] + 1])
+            if content not in owner:
+                owner[content] = i, full, lo, hi
                 continue
-            seen.add(tuple(c))
-            kept += c
-        out[i] = "\n".join(kept)
+            who, other, a, b = owner[content]
+            x, y = lo, hi
+            if who != i:
+                while x > 0 and a > 0 and lo - x < 12 and full[x - 1] == other[a - 1]:
+                    x, a = x - 1, a - 1
+                while y < len(full) and b < len(other) and y - hi < 12 and full[y] == other[b]:
+                    y, b = y + 1, b + 1
+            gone.update(range(at[x], at[y - 1] + 1))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
-def test_lines(spark):
-    rng = random.Random(8)
-    line = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(9))
-    passage = [line() for _ in range(12)]
-    rows = []
-    for i in range(40):
-        lines = [line() for _ in range(rng.randint(0, 30))]
-        if i % 3 == 0:
+def texts_with_runs(seed, length, texts=60, every=3, line_words=9):
+    """Texts of lines of their own; every third holds a run of ``length`` lines, somewhere."""
+    rng = random.Random(seed)
+    line = lambda: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(10**5)) for _ in range(line_words))
+    run, rows, own = [line() for _ in range(length)], [], {}
+    for i in range(texts):
+        lines = [line() for _ in range(rng.randint(0, 12))]
+        if i % 5 == 0:
+            lines.insert(0, "")
+        own[i] = "\n".join(lines)
+        if i % every == 0:
             at = rng.randint(0, len(lines))
-            lines[at:at] = passage
+            lines[at:at] = run
         rows.append((i, "\n".join(lines)))
-    rows += [(99, rows[4][1]), (98, "")]
-    want = brute_lines(rows)
+    return run, rows, own
+
+
+def test_lines(spark):
+    run, rows, _ = texts_with_runs(8, 12)
+    rows += [(99, rows[4][1]), (98, ""), (97, "\n\n \n"), (96, "\n\n \n"), (95, rows[9][1] + "\n" + rows[9][1])]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    assert {r.doc_id: r.text for r in got} == want
+    assert {r.doc_id: r.text for r in got} == brute_lines(rows)
     assert all(r.n_removed == sum(s.end - s.first for s in r.spans) for r in got)
-    assert sum("\n".join(passage[3:9]) in r.text for r in got) == 1  # shift-resistant: one copy is left
+    assert sum("\n".join(run) in r.text for r in got) == 1
     assert all(r.n_lines == t.count("\n") + 1 for r, t in zip(sorted(got, key=lambda r: r.doc_id), [t for _, t in sorted(rows)]))
 
 
+def test_lines_recall():
+    """The share of a repeated run's copies that go whole, by the run's lines; what is of its own always stays."""
+    found = {}
+    for length in (2, 3, 4, 6, 8, 12):
+        whole = copies = 0
+        for seed in range(30):
+            run, rows, own = texts_with_runs(1000 * length + seed, length, texts=9)
+            out = brute_lines(rows)
+            for i, _ in rows[1:]:
+                if i % 3 == 0:
+                    copies += 1
+                    whole += out[i] == own[i]
+                else:
+                    assert out[i] == own[i]
+        found[length] = whole / copies
+    print("recall by lines of a run", {k: round(v, 2) for k, v in found.items()})
+    assert found[8] > 0.85 and found[12] > 0.95 and found[2] < found[6]
+
+
 def test_lines_odd(spark):
     got = line_dedup.dedup_lines(odd(spark))
     assert got.columns == ["doc_id", "text", "start", "n_lines", "n_removed", "spans"] and got.count() == len(ODD_TEXTS) + 2
@@ -120,30 +171,30 @@ def test_lines_odd(spark):
 
 def test_lines_ids(spark):
     """Rows with one id, or without any, are rows of their own: of a passage in all of them one copy stays."""
-    passage = "one line of some words\nand another line of them"
+    passage = "one line of some words " * 12 + "\nand another line of them"
     rows = [(None, f"{passage}\nx{i} y") for i in range(6)] + [(5, f"z{i} q\n{passage}") for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = line_dedup.dedup_lines(df, cut=line_dedup.passages).collect()
+    got = line_dedup.dedup_lines(df).collect()
     assert sorted(r.n_removed for r in got) == [0] + [2] * 9 and next(r for r in got if not r.n_removed).doc_id == 5
-    none = line_dedup.dedup_lines(df.filter("doc_id IS NULL"), cut=line_dedup.passages).collect()
+    none = line_dedup.dedup_lines(df.filter("doc_id IS NULL")).collect()
     assert sorted(r.n_removed for r in none) == [0] + [2] * 5
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+@pytest.mark.parametrize("n", [1, 2, 5])
 def test_passages(spark, n):
-    """Short passages go whole from all documents but the first, whatever stands around them; single short lines stay."""
+    """A passage of over 50 words goes whole from all documents but the first, whatever stands around it."""
     rng = random.Random(n)
     line = lambda k=9: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(10**6)) for _ in range(k))
-    passage = [line(51 if n == 1 else 9) for _ in range(n)]
-    if n == 4:
+    passage = [line(51), *(line() for _ in range(n - 1))]
+    if n == 5:
         passage.insert(2, "")
     rows, want = [], []
     for i in range(24):
         before, after = ([line() for _ in range(rng.randint(0, 6))] for _ in range(2))
         before = ["A short line", "", line(), *before]
-        rows.append((i, "\n".join([*before, *passage, *after, *(passage if i == 0 else [])])))
+        rows.append((i, "\n".join([*before, *passage, *after])))
         want.append("\n".join([*before, *(passage if i == 0 else []), *after]))
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cut=line_dedup.passages).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == want
     assert all(r.n_removed == sum(s.end - s.first for s in r.spans) for r in got)
 
