@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyhold.llm.components import components
-from keyhold.llm.shared import Scratch, partitions, written
+from keyhold.llm.shared import Scratch, free, partitions, written
 
 COSINE = 0.95
 BITS = 64  # signs of a key
@@ -324,6 +324,11 @@ def _near(table: DataFrame, id_col: str, vector_col: str, cosine: float, neighbo
 
 
 def keep_one(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """The rows of ``table``, all columns, that stay: of each component, those with its smallest id; and rows without an id."""
-    gone = near_vectors(table, id_col, vector_col, cosine).filter("NOT kept").select(F.col("vec_id").alias("_gone")).distinct()
-    return table.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The rows of ``table``, all columns, that stay: of each component, those with its smallest id; and rows without an id.
+
+    Rows that link with nothing (null, zero or broken vectors) stay. Of rows that repeat the smallest id of a component all
+    stay. An empty table gives no rows.
+    """
+    at = free(table, "gone")
+    gone = near_vectors(table, id_col, vector_col, cosine).filter("NOT kept").select(F.col("vec_id").alias(at)).distinct()
+    return table.join(gone, F.col(f"`{id_col}`") == F.col(at), "left_anti")

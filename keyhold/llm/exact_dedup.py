@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keyhold.llm.shared import Scratch, written
+from keyhold.llm.shared import HOT_SHARE, Scratch, free, written
 
 SALTS = 16
 
@@ -38,10 +38,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-#: Groups of more than a thousandth of all rows (so fewer than 1,000) are joined by broadcast: none can fill a task.
-HOT_SHARE = 1000
-
-
 def _attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Give each row its group; a large group's rows don't move."""
     total = groups.agg(F.sum("group_size")).first()[0] or 0
@@ -59,15 +55,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each text exactly one row, one with its largest doc_id.
 
     A null text counts as empty. A null doc_id loses to any other. Of rows that repeat both the text and its largest
-    doc_id (or where all are null), one stays. Columns may have any names but _content and _rank. An empty table gives no rows.
+    doc_id (or where all are null), one stays. An empty table gives no rows.
     """
+    at, sha, count, digest, rank = (free(docs, c) for c in ("kept_id", "sha", "copies", "digest", "rank"))
     with Scratch(docs.sparkSession) as scratch:
-        marked = scratch.keep(exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).count(), "kept")
+        marked = scratch.keep(exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias(at), F.col("text_sha256").alias(sha)).agg(F.count("*").alias(count)), "kept")
     content = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_content", F.sha2(F.encode(content, "utf-8"), 256))
-    stay = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_sha")))
-    single, repeated = stay.filter("count = 1").select(docs.columns), stay.filter("count > 1")
-    if marked.filter("count > 1").isEmpty():
+    rows = docs.withColumn(digest, F.sha2(F.encode(content, "utf-8"), 256))
+    stay = rows.join(marked, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(digest) == F.col(sha)))
+    single, repeated = stay.filter(F.col(count) == 1).select(docs.columns), stay.filter(F.col(count) > 1)
+    if marked.filter(F.col(count) > 1).isEmpty():
         return single
-    order = Window.partitionBy("_content", content, "doc_id").orderBy(F.lit(1))
-    return single.unionByName(repeated.withColumn("_rank", F.row_number().over(order)).filter("_rank <= 1").select(docs.columns))
+    order = Window.partitionBy(digest, content, "doc_id").orderBy(F.lit(1))
+    return single.unionByName(repeated.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= 1).select(docs.columns))

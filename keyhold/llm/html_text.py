@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyhold.llm.shared import free
+
 SIGMA = 1.0  # of the Gaussian, in lines
 RADIUS = 2
 #: Elements, words of class and id, and roles.
@@ -237,13 +239,13 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Columns named text or n_chars are replaced. A null, empty or contentless page has an empty text. Rows that repeat are
     rows of their own. An empty table gives no rows.
     """
-    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    keep, at = [c for c in pages.columns if c not in (html_col, "text", "n_chars")], free(pages, "source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h) for h in b["_html"].to_pylist()]
+            texts = [main_text(h) for h in b[at].to_pylist()]
             cols = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], *cols], [*keep, "text", "n_chars"])
 
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("_html")).mapInArrow(run, schema)
+    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias(at)).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyhold.llm.shared import written
+from keyhold.llm.shared import free, written
 from keyhold.llm.tokens import Encoder, closed, encoder, slices
 
 CAPACITY = 4096
@@ -95,8 +95,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, together: int = TOGETHER)
     are replaced. Pieces that are equal in all columns get a place each; nulls in other columns are kept. An empty table
     gives no rows. together: about how many pieces of one length are ranked in one task.
     """
-    own = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_at")]
-    pieces = written(pieces.select(*[F.col(f"`{c}`") for c in own]).withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    place_, salt_, rank_ = (free(pieces, c) for c in ("place", "salt", "rank"))
+    pieces = written(pieces.select(*[F.col(f"`{c}`") for c in own]).withColumn(place_, F.monotonically_increasing_id()), "pieces")
     total = np.zeros(capacity + 1, dtype=np.int64)
     for k, n in pieces.groupBy("length").count().filter(f"length BETWEEN 1 AND {capacity}").collect():  # at most capacity rows
         total[k] = n
@@ -106,9 +107,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, together: int = TOGETHER)
     salts = np.maximum(1, -(-total // together))
     base = np.cumsum(salts) - salts
     many = F.element_at(F.lit(salts.tolist()), (F.col("length") + 1).cast("int"))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_at"), many))
+    salted = pieces.withColumn(salt_, F.pmod(F.xxhash64(place_), many))
     before = np.zeros(int(salts.sum()) + 1, dtype=np.int64)
-    for k, s, n in salted.groupBy("length", "_salt").count().collect():  # at most capacity rows, and one for each ``together`` pieces
+    for k, s, n in salted.groupBy("length", salt_).agg(F.count("*")).collect():  # at most capacity rows, and one for each ``together`` pieces
         before[base[k] + s + 1] = n
     before = np.cumsum(before)
     before = before[:-1] - before[np.repeat(base, salts)]
@@ -117,7 +118,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, together: int = TOGETHER)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, salt, rank = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_salt", "_rank"))
+            length, salt, rank = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", salt_, rank_))
             rank = rank - 1 + before[base[length] + salt]
             i = np.searchsorted(key, length << 44 | rank, side="right") - 1
             nth = rank - at["rank"][i]
@@ -125,9 +126,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, together: int = TOGETHER)
             offset = at["offset"][i] + nth % at["each"][i] * length
             yield pa.RecordBatch.from_arrays([*[b[c] for c in own], pa.array(sequence), pa.array(offset)], [*own, "sequence_id", "offset"])
 
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_at")).cast("long"))
+    ranked = salted.withColumn(rank_, F.row_number().over(Window.partitionBy("length", salt_).orderBy(place_)).cast("long"))
     places = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]
-    return ranked.drop("_at").mapInArrow(place, T.StructType([*[pieces.schema[c] for c in own], *places]))
+    return ranked.drop(place_).mapInArrow(place, T.StructType([*[pieces.schema[c] for c in own], *places]))
 
 
 def cut(docs: DataFrame, tokenize: Callable[[], Encoder], end_id: int, capacity: int = CAPACITY, text_col: str = "text", ids: bool = True) -> DataFrame:

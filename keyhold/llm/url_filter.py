@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyhold.llm.shared import free
+
 BLOCK = 500_000  # rules of a trie; more rules go into further tries, which each URL passes in turn
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -81,11 +83,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], otherwise: str =
     verdict ``otherwise``; so too for null or odd URLs, whose host and path are empty. An empty table gives no rows.
     """
     spark = pages.sparkSession
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_found")]
-    url = F.col(f"`{url_col}`").cast("string").alias("_url")
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    at, hit = free(pages, "url"), free(pages, "found")
+    url = F.col(f"`{url_col}`").cast("string").alias(at)
     out = pages.select(*[F.col(f"`{c}`") for c in own], url)
     state = T.StructType([T.StructField(n, k) for n, k in (("labels", T.IntegerType()), ("chars", T.IntegerType()), ("rule", T.StringType()), ("verdict", T.StringType()))])
-    last = T.StructType([*[pages.schema[c] for c in own], T.StructField("_url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("_found", state)])
+    last = T.StructType([*[pages.schema[c] for c in own], T.StructField(at, T.StringType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField(hit, state)])
     kind = pa.struct([("labels", pa.int32()), ("chars", pa.int32()), ("rule", pa.string()), ("verdict", pa.string())])
     for i in range(0, max(1, len(rules)), block):
         trie = spark.sparkContext.broadcast(Trie(rules[i : i + block]))
@@ -94,15 +97,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], otherwise: str =
         def run(batches: Iterator[pa.RecordBatch], trie=trie, first=first) -> Iterator[pa.RecordBatch]:
             find = trie.value.find
             for b in batches:
-                where = [parts(u) for u in b["_url"].to_pylist()]
+                where = [parts(u) for u in b[at].to_pylist()]
                 where = [(h.translate(_LOWER), p) for h, p in where]
                 found = [find(h, p) for h, p in where]
                 if not first:
-                    old = [f and tuple(f.values()) for f in b["_found"].to_pylist()]
+                    old = [f and tuple(f.values()) for f in b[hit].to_pylist()]
                     found = [max((x for x in (f, o) if x), key=lambda x: (*x[:2], x[3] == "block"), default=None) for f, o in zip(found, old)]
                 rows = pa.array([f and dict(zip(("labels", "chars", "rule", "verdict"), f)) for f in found], kind)
                 hosts, paths = (pa.array([w[k] for w in where], pa.string()) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([*[b[c] for c in own], b["_url"], hosts, paths, rows], [*own, "_url", "host", "path", "_found"])
+                yield pa.RecordBatch.from_arrays([*[b[c] for c in own], b[at], hosts, paths, rows], [*own, at, "host", "path", hit])
 
         out = out.mapInArrow(run, last)
-    return out.select(*own, "host", "path", F.col("_found.rule").alias("rule"), F.coalesce("_found.verdict", F.lit(otherwise)).alias("verdict"))
+    return out.select(*own, "host", "path", F.col(f"{hit}.rule").alias("rule"), F.coalesce(f"{hit}.verdict", F.lit(otherwise)).alias("verdict"))
