@@ -1,10 +1,11 @@
 """Near-duplicate vectors by sorted projection passes.
 
 A pass gives each vector a key, the signs of its products with random directions in a row, and sorts by it: vectors at a
-small angle mostly agree in their first signs and so come to lie close together. Each is compared with a bounded number
-of neighbours, in double precision. Where more vectors share their first signs than that, as in a cluster, all of them
-are compared with each other, in blocks. The pairs found in all passes are joined to components. Links within a component
-are then counted exactly, in blocks.
+small angle mostly agree in their first signs and so come to lie close together. What vectors have in common, their mean and
+the few directions in which they vary most, is taken off first, so that signs split them evenly; how many passes are
+needed follows from what is left of them. Each is compared with a bounded number of neighbours, in double precision.
+Where more vectors share their first signs than that, as in a cluster, all of them are compared with each other, in
+blocks. The pairs found in all passes are joined to components. Links within a component are then counted exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,12 @@ from keyhold.llm.shared import Scratch, free, partitions, written
 COSINE = 0.95
 BITS = 64  # signs of a key
 NEIGHBOURS = 32  # that follow a vector in the order and are compared with it
-MISS = 0.001  # share of pairs at the threshold itself that may be met in no pass
+MISS = 0.002  # share of pairs at the threshold itself that may share their first signs in no pass; windows meet most of these too
+CROWD = 8  # times the neighbours: more vectors than this with the same first signs are compared in blocks
+SAMPLE = 4_096  # vectors, those of the least hash, from which the mean and the leading directions are taken
+LEADING, ABOVE = 8, 4  # directions at most that are taken off, and how far their variance must be above the average
+LOW = 0.1  # share of the vectors of which less may be left than the number of passes is made for
+APART = 0.4  # least cosine of what is left of a pair that the number of passes is made for
 AT_ONCE = 4  # passes in one shuffle
 CROWD_BLOCK = 1024  # vectors of a crowded prefix that are compared with each other at a time
 HOT_SHARE = 1000  # prefixes with more than this share of a pass are joined by broadcast
@@ -40,11 +47,41 @@ def prefix_bits(vectors: int, neighbours: int = NEIGHBOURS) -> int:
     return min(BITS, max(0, math.ceil(math.log2(max(1, vectors) / neighbours))))
 
 
+@dataclass(frozen=True)
+class Common:
+    """What vectors of a length have in common. rest: the squared length of what is left of all but ``LOW`` of them."""
+
+    mean: np.ndarray
+    leading: np.ndarray
+    rest: float
+
+    def cosine(self, cosine: float) -> float:
+        """The cosine of what is left of two vectors of this cosine: their difference stays, if it has no part in the leading directions."""
+        return max(APART, 1 - (1 - cosine) / max(self.rest, 1e-9))
+
+
+def common(unit: np.ndarray) -> Common:
+    mean = unit.mean(axis=0)
+    left = unit - mean
+    if len(unit) < 64:  # too few to tell directions from chance
+        return Common(np.zeros_like(mean), np.zeros((0, len(mean))), 1.0)
+    variance, directions = np.linalg.eigh(left.T @ left / len(left))
+    lead = directions[:, variance > ABOVE * variance.sum() / len(mean)].T[::-1][:LEADING]
+    left = left - left @ lead.T @ lead
+    return Common(mean, lead, float(np.quantile((left**2).sum(axis=1), LOW)))
+
+
+def commons(nodes: DataFrame, kind: str) -> dict[int, Common]:
+    """By length in bytes, from ``SAMPLE`` vectors in all; lengths that none of these has aren't there."""
+    raw = [r.vec for r in nodes.select("vec").orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE).collect()]
+    return {n: common(units([r for r in raw if len(r) == n], kind)) for n in sorted({len(r) for r in raw})}
+
+
 def passes(vectors: int, cosine: float = COSINE, neighbours: int = NEIGHBOURS, miss: float = MISS) -> int:
-    """So many that a pair at the threshold is missed by all with probability ``miss``, whatever the number of vectors.
+    """So many that a pair at the threshold shares its first signs in none of them with probability ``miss``, whatever the
+    number of vectors.
 
-    A pass meets each pair that shares its prefix, wherever the other vectors lie: in the window, or where the prefix is
-    crowded, in blocks.
+    Such a pair lies close together in the pass: mostly in the window, or where the prefix is crowded, in a block.
     """
     agree = 1 - math.acos(cosine) / math.pi
     met = agree ** prefix_bits(vectors, neighbours)
@@ -81,14 +118,16 @@ def units(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def keys(unit: np.ndarray, number: int) -> list[bytes]:
-    """The key of each vector in this pass."""
+def keys(unit: np.ndarray, number: int, off: Common | None = None) -> list[bytes]:
+    """The key of each vector in this pass; off: what is taken off first."""
     directions = np.random.default_rng((number, unit.shape[1])).standard_normal((BITS, unit.shape[1]))
+    if off is not None:
+        unit, directions = unit - off.mean, directions - directions @ off.leading.T @ off.leading
     signs = np.packbits(unit @ directions.T >= 0, axis=1)
     return [s.tobytes() for s in signs]
 
 
-def _keyed(nodes: DataFrame, numbers: list[int], kind: str) -> DataFrame:
+def _keyed(nodes: DataFrame, numbers: list[int], kind: str, off: dict[int, Common]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b["vec"].to_pylist()
@@ -98,7 +137,7 @@ def _keyed(nodes: DataFrame, numbers: list[int], kind: str) -> DataFrame:
                 unit, take = units([raw[i] for i in at], kind), b.take(pa.array(at))
                 for p in numbers:
                     cols = [pa.array(np.full(len(at), v)) for v in (p, n)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(keys(unit, p), pa.binary()), take["node"], take["vec"]], ["pass", "dim", "key", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(keys(unit, p, off.get(n)), pa.binary()), take["node"], take["vec"]], ["pass", "dim", "key", "node", "vec"])
 
     return nodes.select("node", "vec").mapInArrow(run, "pass long, dim long, key binary, node long, vec binary")
 
@@ -191,7 +230,7 @@ def _across(found: DataFrame, kind: str, cosine: float, neighbours: int) -> Data
     return border.groupBy("border").applyInPandas(run, "node long, other long")
 
 
-def _prefixes(nodes: DataFrame, numbers: list[int], bits: int, kind: str) -> DataFrame:
+def _prefixes(nodes: DataFrame, numbers: list[int], bits: int, kind: str, off: dict[int, Common]) -> DataFrame:
     """(pass, dim, prefix, node): the first ``bits`` signs of each vector's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,26 +241,26 @@ def _prefixes(nodes: DataFrame, numbers: list[int], bits: int, kind: str) -> Dat
                 at = np.flatnonzero(size == n)
                 unit, node = units([raw[i] for i in at], kind), b["node"].take(pa.array(at))
                 for p in numbers:
-                    cut = [(int.from_bytes(k, "big") >> BITS - bits).to_bytes(BITS // 8, "big") for k in keys(unit, p)]
+                    cut = [(int.from_bytes(k, "big") >> BITS - bits).to_bytes(BITS // 8, "big") for k in keys(unit, p, off.get(n))]
                     cols = [pa.array(np.full(len(at), v)) for v in (p, n)]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.binary()), node], ["pass", "dim", "prefix", "node"])
 
     return nodes.select("node", "vec").mapInArrow(run, "pass long, dim long, prefix binary, node long")
 
 
-def _crowded(nodes: DataFrame, numbers: list[int], bits: int, kind: str, cosine: float, neighbours: int) -> DataFrame | None:
-    """Links (node, other) of vectors that share a prefix with more others than the window has places, thinned in each task.
+def _crowded(nodes: DataFrame, numbers: list[int], bits: int, kind: str, off: dict[int, Common], cosine: float, neighbours: int) -> DataFrame | None:
+    """Links (node, other) of vectors that share a prefix with far more others than the window has places, thinned in each task.
 
     The vectors of a prefix are dealt out in blocks, and each two blocks meet in one task.
     """
     key = ["pass", "dim", "prefix"]
-    placed = written(_prefixes(nodes, numbers, bits, kind), "prefixes")
-    counts = placed.groupBy(*key).agg(F.count("*").alias("size")).filter(F.col("size") > neighbours + 1)
+    placed = written(_prefixes(nodes, numbers, bits, kind, off), "prefixes")
+    counts = placed.groupBy(*key).agg(F.count("*").alias("size")).filter(F.col("size") > CROWD * neighbours)
     counts = written(counts.withColumn("blocks", F.ceil(F.col("size") / CROWD_BLOCK).cast("int")).withColumn("crowd", F.monotonically_increasing_id()), "crowds")
     total, moved = counts.agg(F.sum("size"), F.sum(F.col("size") * F.col("blocks"))).first()
     if not total:
         return None
-    most = max(neighbours + 1, total // len(numbers) // HOT_SHARE)
+    most = max(CROWD * neighbours, total // len(numbers) // HOT_SHARE)
     hot, cold = counts.filter(F.col("size") > most), counts.filter(F.col("size") <= most)
     near = placed.join(F.broadcast(hot), key)
     far = placed.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key)
@@ -304,12 +343,13 @@ def _near(table: DataFrame, id_col: str, vector_col: str, cosine: float, neighbo
     distinct = rows.filter("digest IS NOT NULL AND vec_id IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     total, parts, links = nodes.count(), partitions(spark), None
-    numbers = list(range(passes(total, cosine, neighbours)))
+    off = commons(nodes, kind)
+    numbers = list(range(passes(total, min([cosine, *(x.cosine(cosine) for x in off.values())]), neighbours)))
     for i in range(0, len(numbers), AT_ONCE):
-        found = written(_swept(_keyed(nodes, numbers[i : i + AT_ONCE], kind), parts, kind, cosine, neighbours), "pass")
+        found = written(_swept(_keyed(nodes, numbers[i : i + AT_ONCE], kind, off), parts, kind, cosine, neighbours), "pass")
         new = found.filter("side = 0").select("node", "other").union(_across(found, kind, cosine, neighbours))
         links = new if links is None else links.union(new)
-    if (crowded := _crowded(nodes, numbers, prefix_bits(total, neighbours), kind, cosine, neighbours)) is not None:
+    if (crowded := _crowded(nodes, numbers, prefix_bits(total, neighbours), kind, off, cosine, neighbours)) is not None:
         links = links.union(written(crowded, "crowded"))
     group = written(components(links.select(F.col("node").alias("a"), F.col("other").alias("b"))), "components")
     members = written(nodes.join(group, "node").select("component", "node", "rep", "n", "vec"), "members")

@@ -412,7 +412,7 @@ def test_vectors_clustered(spark, monkeypatch):
 
 def test_vectors_common_mean(spark):
     """Vectors with a large common part, as trained ones have: links found against brute force."""
-    size, pairs, rng = 20_000, 1_000, np.random.default_rng(21)
+    size, pairs, rng = 5_000, 500, np.random.default_rng(21)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     x = clustered(8, size - pairs, 0, mutual=0.86)
     noise = rng.standard_normal((pairs, 64))
@@ -423,8 +423,29 @@ def test_vectors_common_mean(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
     links = [(i + k, int(j)) for i in range(0, size, 2_000) for k, j in zip(*np.nonzero(x[i : i + 2_000] @ x.T >= 0.95)) if j > i + k]
     found = sum(got[a][1] == got[b][1] for a, b in links)
-    print(f"{len(links)} links, {found} within a component, {sum(n for n, _ in got.values()) / 2:.0f} counted")
+    counts = np.bincount(np.array(links).ravel(), minlength=size)
+    print(f"{len(links)} links, {found} within a component")
     assert len(links) >= pairs and found >= 0.99 * len(links)
+    assert sum(got[i][0] == counts[i] for i in range(size)) >= size - 4 * (len(links) - found)
+
+
+def test_windows_recall():
+    """Recall of the windows alone, by position in the sorted passes, where vectors share a large mean."""
+    rng, size, pairs = np.random.default_rng(2), 6_000, 300
+    x = clustered(5, size, pairs, mutual=0.86, cosine=0.952)
+    x = x[rng.permutation(len(x))]
+    links = [(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))]
+    off = embedding_dedup.common(x[:4096])
+    number = embedding_dedup.passes(len(x), off.cosine(0.95))
+    met, largest = np.zeros(len(links), dtype=bool), 0
+    for p in range(number):
+        k = np.array([int.from_bytes(b, "big") for b in embedding_dedup.keys(x, p, off)], dtype=np.uint64)
+        at = np.empty(len(x), dtype=int)
+        at[np.argsort(k, kind="stable")] = np.arange(len(x))
+        met |= np.array([abs(at[i] - at[j]) <= embedding_dedup.NEIGHBOURS for i, j in links])
+        largest = max(largest, np.unique(k >> np.uint64(64 - embedding_dedup.prefix_bits(len(x))), return_counts=True)[1].max())
+    print(f"{number} passes, {met.sum()} of {len(links)} links")
+    assert met.mean() >= 0.99 and largest <= embedding_dedup.CROWD * embedding_dedup.NEIGHBOURS
 
 
 # 9: pages
