@@ -331,24 +331,3 @@ def test_stats_span_and_capacity(spark, tmp_path, policy):
     assert tuple(v.stats(spark).first()) == (5, 2, 0, 4, 3, 1, 1)
 
 
-@pytest.mark.parametrize("parts", [1, 2, 3])
-@pytest.mark.parametrize("config", [WindowConfig(40_000_000), WindowConfig(60_000_000, 2, "last")])
-def test_stream_equals_batch(spark, tmp_path, config, parts):
-    """However the rows are cut into batches. The stream is stopped before its last batch and starts again from its checkpoint."""
-    rows = [("abc"[i * 7 % 3], 10**9 + i * 9_000_000, i) for i in range(24)]
-    for n in range(parts):  # out of order over the batches
-        part = [(k, t, i) for k, t, i in rows if i % parts == n]
-        spark.createDataFrame(part, SCHEMA).select("key", F.timestamp_micros("t").alias("ts"), "tie").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
-    schema = "key string, ts timestamp, tie long"
-
-    def run():
-        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
-        sink = admit_stream(src, config, "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        sink.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-
-    run()
-    last = [("z", 10**11, 99)]
-    spark.createDataFrame(last, SCHEMA).select("key", F.timestamp_micros("t").alias("ts"), "tie").coalesce(1).write.parquet(str(tmp_path / "in3"))
-    run()
-    got = {r.tie: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert {k: v for k, v in got.items() if k != 99} == simulate(rows, config)[0]
