@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from keyhold import operators as ops
 from keyhold.config import WindowConfig
 from keyhold.functions import epoch_micros, sightings
+from keyhold.plans.table_function import NAME, register
 from keyhold.plans.window import KeyWindow
 from keyhold.sources.state import delete, settled, shared_folder
+from keyhold.streaming.observe import PROVIDER, ROCKSDB, admit_stream, bucket_us
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 PAUSE = 1_706_400_000_000_000
@@ -106,6 +108,31 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("tie").alias("row_id"), "key", "distance", *(ops.admitted_at(c, DAY).alias(f"admitted_{c}") for c in CAPACITIES))
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of one batch: what its watermark has passed in the end."""
+    path = f"{sf_dir}/events.parquet"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace("events.parquet", "events*.parquet"))
+    rows = rows.select(F.col("user_id").cast("string").alias("key"), F.timestamp_micros(epoch_micros(rows, "ts")).alias("ts"), F.col("event_id").alias("tie"))
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        sink = admit_stream(rows, WindowConfig(HOUR)).writeStream.format("parquet").option("path", f"{at}/rows")
+        sink.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    out = settled(spark.read.parquet(f"{at}/rows").select(F.col("tie").alias("row_id"), "key", "admitted", "late"))
+    delete(spark, at)
+    return out
+
+
+def _in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    view = f"events_{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", F.col("user_id").cast("string").alias("key")).createTempView(view)
+    return spark.sql(f"SELECT event_id AS row_id, key, admitted FROM {NAME}(TABLE({view}), 'key', 'ts', 'event_id', {HOUR}, NULL, 'first')")
+
+
 def _resumed(spark: SparkSession, sf_dir: str) -> tuple[KeyWindow, DataFrame]:
     """Observe the events up to a moment, save, open what was saved, and observe the rest: the window and all marks."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -155,6 +182,8 @@ QUERIES: dict[str, Query] = {
     "seen_asof": _asof("last"),
     "seen_asof_first": _asof("first"),
     "reuse_distance": _distances,
+    "stream_first": _streamed,
+    "sql_observe": _in_sql,
 }
 
 EV = "ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) i, event_id row_id, epoch_us(ts) t, user_id::VARCHAR k FROM events)"
@@ -265,5 +294,8 @@ ORACLE |= {
     "seen_asof": asof_sql(2 * HOUR, "anchors AS (SELECT user_id::VARCHAR AS k, epoch_us(ts) AS t FROM events)"),
     "seen_asof_first": asof_sql(2 * HOUR, first_sql(EV, 2 * HOUR).removeprefix("WITH ").replace(MARK, "").rstrip() + ", anchors AS (SELECT ev.k, ev.t FROM ev JOIN adm USING (i))"),
     "reuse_distance": distances_sql(EV, DAY, CAPACITIES),
+    "sql_observe": _ADM1,
+    "stream_first": f"""SELECT row_id, key, admitted, false AS late FROM ({_ADM1.replace('ev.k AS key', 'ev.t, ev.k AS key')}) m
+ WHERE (t // {bucket_us(WindowConfig(HOUR))} + 1) * {bucket_us(WindowConfig(HOUR))} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)""",
 }
 ORACLE["window_resumed_stats"] = ORACLE["stats_span"]

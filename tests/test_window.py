@@ -20,8 +20,8 @@ from keyhold.functions import sightings
 from keyhold.operators import chunks, pieces
 from keyhold.plans import KeyWindow
 from keyhold.plans import queries as q
+from keyhold.plans.table_function import register
 from keyhold.sources import StaleWindowError
-from keyhold.streaming import admit_stream
 from tests.oracle import same
 
 SCHEMA = "key string, t long, tie long"
@@ -331,3 +331,17 @@ def test_stats_span_and_capacity(spark, tmp_path, policy):
     assert tuple(v.stats(spark).first()) == (5, 2, 0, 4, 3, 1, 1)
 
 
+
+
+def test_table_function(spark):
+    register(spark)
+    rows = [("ab"[i % 2], i * i % 37, i) for i in range(40)] + [(None, 1, 90), ("a", None, 91)]
+    spark.createDataFrame(rows, "`my key` string, t long, tie long").createOrReplaceTempView("some_rows")
+    for c in (WindowConfig(9), WindowConfig(9, None, "last"), WindowConfig(20, 1), WindowConfig(None, 1, "refuse"), WindowConfig(None)):
+        bounds = ", ".join("NULL" if x is None else str(x) for x in (c.span_us, c.capacity))
+        got = spark.sql(f"SELECT * FROM keyhold_observe(TABLE(some_rows), 'my key', 't', 'tie', {bounds}, '{c.policy}')")
+        assert {r.tie: r.admitted for r in got.collect()} == simulate([r for r in rows if r[2] < 90], c)[0]
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM keyhold_observe(TABLE(some_rows), 'k', 't', 'tie', 9, NULL, 'first')").collect()
+    with pytest.raises(Exception, match="capacity"):
+        spark.sql("SELECT * FROM keyhold_observe(TABLE(some_rows), 'my key', 't', 'tie', 9, 0, 'first')").collect()
