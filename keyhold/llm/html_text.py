@@ -188,13 +188,25 @@ def select(lines: list[Line], doubted: set[int] | frozenset[int] = frozenset())
     seeds = [i for i, x in enumerate(lines) if x.weight and ratios[i] > 0 and ratios[i] >= least and smooth[i] >= least]
     holds = {r for i in seeds for r in lines[i].path}
     fit = [x.weight > 0 and all(r in holds for r in x.path if r in doubted) for x in lines]
-    inside = sum(lines[i].weight * len(lines[i].text) for i in seeds if lines[i].article)
-    if inside and 2 * inside >= sum(lines[i].weight * len(lines[i].text) for i in seeds):
-        articles = {lines[i].article for i in seeds}
-        return [x.text for x, ok in zip(lines, fit) if ok and x.article and x.article in articles]
+    articles = {x.article for x, ok in zip(lines, fit) if ok and x.article and len(x.text) > x.linked}
+    if len(articles) > 1:  # teasers may be articles too
+        inside = sum(lines[i].weight * len(lines[i].text) for i in seeds if lines[i].article)
+        articles = {lines[i].article for i in seeds if lines[i].article} if 2 * inside >= sum(lines[i].weight * len(lines[i].text) for i in seeds) else set()
+    if articles:
+        return [lines[i].text for i in _undoubted([i for i, x in enumerate(lines) if fit[i] and x.article in articles], lines, doubted)]
     return [lines[i].text for i in sorted(_kept(lines, fit, {lines[i].region for i in seeds}, seeds))]
 
 
+def _undoubted(at: list[int], lines: list[Line], doubted: set[int] | frozenset[int]) -> list[int]:
+    """Positions of an article's lines but for the regions in it that their names speak against, unless one holds most of its text."""
+    chars = lambda some: sum(len(lines[i].text) for i in some)
+    for r in {r for i in at for r in lines[i].path if r in doubted}:
+        own = [i for i in at if r in lines[i].path]
+        if 2 * chars(own) < chars(at):
+            at = [i for i in at if r not in lines[i].path]
+    return at
+
+
 def _kept(lines: list[Line], fit: list[bool], regions: set[int], seeds: list[int]) -> set[int]:
     """Positions of the lines that fit and belong to the chosen regions; the threshold has no say any more.
 

@@ -520,6 +520,17 @@ def test_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_article_beside_long_boilerplate():
+    """A short article wins over long text outside; a long advert in one goes, and a region that holds all of it stays."""
+    long, advert = "What the site is for, and who writes it, and how to get in touch. " * 8, "Buy this thing now, it is really cheap today and only here. " * 8
+    text = html_text.main_text
+    assert text(f"<body><div>{long}</div><article><p>Short.</p></article></body>") == "Short."
+    assert "Buy" not in text(f"<body><article><h1>T</h1><p>{long}{long}</p><div class='advert'>{advert}</div><p>More of it.</p></article></body>")
+    assert text(f"<body><article><div class='widget'><p>{long}</p></div></article></body>") == long.strip()
+    teasers = "".join(f"<article><a href='/{i}'>Teaser {i}</a></article>" for i in range(4))
+    assert text(f"<body><div>{teasers}</div><div><p>{long}</p><p>{long}</p></div></body>") == f"{long.strip()}\n\n{long.strip()}"
+
+
 # 10: token files
 
 
