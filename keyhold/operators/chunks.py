@@ -2,10 +2,11 @@
 
 The table is range-partitioned by (t, tie) into chunks. A chunk's result depends on the state before it, which is guessed
 at first: empty. Where a gap of more than the span lies before a chunk, it is empty in fact. Then the chunks whose guess
-was wrong, and only these, are worked through again from what the chunk before now leaves, until no guess is wrong. Each
-round settles at least the first wrong chunk. A state that the chunk's own rows have displaced wholly no longer
-depends on what came before, and so a second round mostly ends it; the worst case, rows that never let a difference die
-out, takes as many rounds as there are chunks.
+was wrong, and only these, are worked through again from what the chunk before now leaves, until no guess is wrong. A
+state that the chunk's own rows have displaced wholly no longer depends on what came before: with refreshing, a second
+round ends it where a chunk has as many keys as the window has room. Where a round leaves more than half of the
+wrong chunks wrong, differences don't die out, and each stretch of wrong chunks is worked through by one task, from its
+first to its last; that is the worst case, with stretches between gaps still side by side.
 """
 
 from __future__ import annotations
@@ -169,8 +170,9 @@ def along_time(rows: DataFrame, make: Callable[[], Fold], kinds: dict[str, T.Dat
     before = {c: b for (b, _, _), (c, _, _) in zip(ends, ends[1:])}
     open_ = {c: b for (b, _, hi), (c, lo, _) in zip(ends, ends[1:]) if span is None or lo - hi <= span}  # without a gap
 
-    def left(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What each chunk leaves: its keys in order, and a row with its name."""
+    def left(batches: Iterable[pa.RecordBatch], heads: frozenset[int] | None = None) -> Iterator[pa.RecordBatch]:
+        """What each chunk leaves: its keys in order, and a row with its name. heads: the chunks that don't go on from the one
+        before, as it was just worked through; None: all."""
         fold, chunk = None, None
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,7 @@ def along_time(rows: DataFrame, make: Callable[[], Fold], kinds: dict[str, T.Dat
                 if at != chunk:
                     if fold is not None:
                         yield from told()
-                    fold, chunk = make(), at
+                    fold, chunk = make() if fold is None or heads is None or at in heads else fold, at
                 keys, times = b["key"].to_pylist(), b["t"].to_pylist()
                 if old:
                     for k, t in zip(keys, times):
@@ -193,26 +195,36 @@ def along_time(rows: DataFrame, make: Callable[[], Fold], kinds: dict[str, T.Dat
         if fold is not None:
             yield from told()
 
-    def dealt(chunks: list[int] | None, states: DataFrame | None) -> DataFrame:
-        """The rows of these chunks (None: all), in order, after the states before them."""
+    def dealt(chunks: list[int] | None, states: DataFrame | None, heads: list[int] | None = None) -> DataFrame:
+        """The rows of these chunks (None: all), in order, after the states before them; heads: chunks that begin a task and
+        have a state before them (None: all)."""
         some = placed if chunks is None else placed.filter(F.col("_chunk").isin(chunks))
         both = some.withColumns({"_old": F.lit(False), "_place": F.lit(0).cast("long")})
-        after = {b: c for c, b in before.items() if chunks is None or c in set(chunks)}
+        after = {before[c]: c for c in (heads or chunks or before) if c in before}
         if states is not None and after:
             to = spark.createDataFrame(list(after.items()), "chunk int, _chunk int")
             old = states.filter("place >= 0").join(F.broadcast(to), "chunk")
             both = both.unionByName(old.select("_chunk", "key", "t", F.col("place").alias("_place"), F.lit(True).alias("_old")), allowMissingColumns=True)
-        tasks = len(ends) if chunks is None else len(chunks)
-        return both.repartitionById(max(1, tasks), "_chunk").sortWithinPartitions("_chunk", F.desc("_old"), "_place", "t", "tie")
+        task, tasks = F.col("_chunk"), len(ends) if chunks is None else len(chunks)
+        if heads:
+            bounds = F.array(*(F.lit(h) for h in heads))
+            task, tasks = F.size(F.filter(bounds, lambda h: h <= F.col("_chunk"))) - 1, len(heads)
+        return both.repartitionById(max(1, tasks), task.cast("int")).sortWithinPartitions("_chunk", F.desc("_old"), "_place", "t", "tie")
 
     states = settled(dealt(None, None).select("_chunk", "_old", "key", "t").mapInArrow(left, STATE))
     leaves = _names(states)
-    taken = dict.fromkeys(open_, EMPTY)
+    taken, were = dict.fromkeys(open_, EMPTY), 0
     while wrong := sorted(c for c, b in open_.items() if taken[c] != leaves[b]):
-        taken |= {c: leaves[open_[c]] for c in wrong}
-        again = dealt(wrong, states).select("_chunk", "_old", "key", "t").mapInArrow(left, STATE)
+        heads = [c for c in wrong if open_[c] not in set(wrong)] if were and 2 * len(wrong) > were else None
+        of = left if heads is None else lambda batches, heads=frozenset(heads): left(batches, heads)
+        if heads is None:
+            taken |= {c: leaves[open_[c]] for c in wrong}
+        again = dealt(wrong, states, heads).select("_chunk", "_old", "key", "t").mapInArrow(of, STATE)
         states = settled(states.filter(~F.col("chunk").isin(wrong)).unionByName(again))
         leaves = _names(states)
+        if heads is not None:  # a stretch went on from what its chunks leave now
+            taken |= {c: leaves[open_[c]] for c in wrong}
+        were = len(wrong)
     # after a gap the state before tells what left by age
     return dealt(None, states).drop("_place").mapInArrow(folded, schema)
 
