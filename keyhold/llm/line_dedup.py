@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks.
 
 A text's lines are cut where a rolling hash over the last lines says so, and around each line of many words, so that
-a run of lines that texts share is cut the same way wherever it stands. Chunks of several lines, and those long lines, that
+a run of lines that texts share is cut the same way wherever it stands. Each text is cut in some ways, by hashes of their
+own, as a short run may hold a whole chunk of one and none of another. Chunks of several lines, and those long lines, that
 occur again anywhere are compared as bytes, and only the first one stays. What lies around a chunk that goes is then held
 against what lies around the one that stays, line by line, so that a shared run goes up to its edges.
 """
@@ -22,8 +23,9 @@ from keyhold.llm.shared import Scratch, free, written
 ROLL = 2  # lines under the rolling hash, and the fewest of a chunk that ends at a boundary
 EVERY = 2  # one place in so many is a boundary
 WORDS = 50  # a line of more words than these is a chunk of its own
-AROUND = 12  # lines on each side of a chunk that go with it
-LINE = 16  # bytes of a line's digest
+WAYS = 4  # in which a text is cut
+AROUND = 4  # lines on each side of a chunk that go with it
+LINE = 12  # bytes of a line's digest
 HOT_SHARE = 1000  # pieces with more than this share of all places are joined by broadcast: fewer than so many, none fills a task
 _ODD = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
@@ -33,25 +35,31 @@ def line_digests(lines: list[str]) -> list[bytes]:
     return [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=LINE).digest() for x in lines]
 
 
-def chunks(lines: list[str], roll: int = ROLL, every: int = EVERY, words: int = WORDS) -> list[tuple[int, int]]:
+def chunks(lines: list[str], roll: int = ROLL, every: int = EVERY, words: int = WORDS, ways: int = WAYS) -> list[tuple[int, int]]:
     """(first, end) of each chunk that may go, counted over lines with text: of several lines, or one of more than ``words`` words.
 
     A boundary follows a line if the hash of it and the lines before it, ``roll`` in all, is a multiple of ``every``, and if
-    it makes no chunk of fewer than ``roll`` lines. Long lines have boundaries on both sides.
+    it makes no chunk of fewer than ``roll`` lines. Long lines have boundaries on both sides. The ways of cutting look at
+    different bits of the hash.
     """
     h = [int.from_bytes(x[:8], "little") for x in line_digests(lines)]
-    top = pow(_ODD, roll, 1 << 64)
-    out, first, rolling = [], 0, 0
+    long = [len(x) > 2 * words and len(x.split()) > words for x in lines]
+    top, rolling, mixed = pow(_ODD, roll, 1 << 64), 0, []
     for i, x in enumerate(h):
         rolling = (rolling * _ODD + x - (h[i - roll] * top if i >= roll else 0)) & _ALL
-        if len(lines[i]) > 2 * words and len(lines[i].split()) > words:
-            out += [(first, i), (i, i + 1)]
-            first = i + 1
-        elif i + 1 - first >= roll and i + 1 >= roll and (rolling ^ rolling >> 29) * _ODD % (1 << 64) >> 40 & 0xFFFF < 0x10000 // every:
-            out.append((first, i + 1))
-            first = i + 1
-    out.append((first, len(lines)))
-    return [(lo, hi) for lo, hi in out if hi - lo > 1 or hi > lo and len(lines[lo].split()) > words]
+        mixed.append((rolling ^ rolling >> 29) * _ODD & _ALL)
+    out = {(i, i + 1) for i, x in enumerate(long) if x}
+    for way in range(ways):
+        first, shift, least = 0, 48 - 12 * way, 4096 // every
+        for i, x in enumerate(mixed):
+            if long[i]:
+                out.add((first, i))
+                first = i + 1
+            elif i + 1 - first >= roll and x >> shift & 4095 < least:
+                out.add((first, i + 1))
+                first = i + 1
+        out.add((first, len(lines)))
+    return sorted((lo, hi) for lo, hi in out if hi - lo > 1 or hi > lo and long[lo])
 
 
 def _digest(content: str) -> bytes:
@@ -189,14 +197,13 @@ def _cut(text: str | None, shared: set[bytes], other: dict[bytes, tuple[bytes, b
         return None, 0, 0, []
     if not shared:
         return text, text.count("\n") + 1, 0, []
-    of, seen, gone = _Text(text), set(), set()
+    of, seen, gone = _Text(text), {}, set()
     for d, lo, hi in of.chunks:
         if d not in shared:
             continue
         if d in other:
             lo, hi = of.shared(lo, hi, *other[d])
-        elif d not in seen:
-            seen.add(d)
+        elif seen.setdefault(d, hi) > lo:  # the first copy, or one that overlaps it
             continue
         gone.update(range(of.at[lo], of.at[hi - 1] + 1))
     spans: list[tuple[int, int]] = []

@@ -78,21 +78,23 @@ def brute_lines(rows):
     """The definition over whole texts in memory, in id order; it shares no code with the operator."""
 
     def number(x):
-        return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=16).digest()[:8], "little")
+        return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=12).digest()[:8], "little")
 
     def cut(full):
-        out, first = [], 0
-        for i in range(len(full)):
-            if len(full[i].split()) > 50:
-                out += [(first, i), (i, i + 1)]
-                first = i + 1
-            elif i - first >= 1:
-                h = (number(full[i - 1]) * 0x9E3779B97F4A7C15 + number(full[i])) % 2**64
-                if ((h ^ h >> 29) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 65536 < 32768:
-                    out.append((first, i + 1))
+        out = set()
+        for bit in (59, 47, 35, 23):
+            first = 0
+            for i in range(len(full)):
+                if len(full[i].split()) > 50:
+                    out |= {(first, i), (i, i + 1)}
                     first = i + 1
-        out.append((first, len(full)))
-        return [(lo, hi) for lo, hi in out if hi - lo > 1 or hi - lo == 1 and len(full[lo].split()) > 50]
+                elif i - first >= 1:
+                    h = (number(full[i - 1]) * 0x9E3779B97F4A7C15 + number(full[i])) % 2**64
+                    if not ((h ^ h >> 29) * 0x9E3779B97F4A7C15 % 2**64 >> bit) % 2:
+                        out.add((first, i + 1))
+                        first = i + 1
+            out.add((first, len(full)))
+        return sorted((lo, hi) for lo, hi in out if hi - lo > 1 or hi - lo == 1 and len(full[lo].split()) > 50)
 
     owner, out = {}, {}
     for i, text in sorted(rows):
@@ -105,11 +107,13 @@ def brute_lines(rows):
                 owner[content] = i, full, lo, hi
                 continue
             who, other, a, b = owner[content]
+            if who == i and lo < b:
+                continue
             x, y = lo, hi
             if who != i:
-                while x > 0 and a > 0 and lo - x < 12 and full[x - 1] == other[a - 1]:
+                while x > 0 and a > 0 and lo - x < 4 and full[x - 1] == other[a - 1]:
                     x, a = x - 1, a - 1
-                while y < len(full) and b < len(other) and y - hi < 12 and full[y] == other[b]:
+                while y < len(full) and b < len(other) and y - hi < 4 and full[y] == other[b]:
                     y, b = y + 1, b + 1
             gone.update(range(at[x], at[y - 1] + 1))
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
@@ -159,7 +163,7 @@ def test_lines_recall():
                     assert out[i] == own[i]
         found[length] = whole / copies
     print("recall by lines of a run", {k: round(v, 2) for k, v in found.items()})
-    assert found[8] > 0.85 and found[12] > 0.95 and found[2] < found[6]
+    assert found[4] > 0.75 and found[6] > 0.95 and found[8] > 0.98
 
 
 def test_lines_odd(spark):
