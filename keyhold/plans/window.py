@@ -22,7 +22,7 @@ class KeyWindow:
 
     def __init__(self, config: WindowConfig, held: DataFrame | None = None) -> None:
         self.config = config
-        self.held = SparkSession.active().createDataFrame([], HELD) if held is None else held
+        self.held = SparkSession.active().range(0).selectExpr(*HELD) if held is None else held
         self.clock: int | None = None
         self.counts = dict.fromkeys(COUNTS, 0)  # since the window began
         self.versions: dict[str, int] = {}  # of the directories that it was read from or saved to

@@ -20,7 +20,7 @@ from keyhold.config import WindowConfig
 
 COUNTS = ("admitted", "expired", "evicted", "repeats", "late")
 MANIFEST = "version long, span_us long, capacity long, policy string, retained long, checksum string, clock long, folder string, " + ", ".join(f"{c} long" for c in COUNTS)
-HELD = "key string, anchor long, tie long"
+HELD = ("CAST(id AS STRING) AS key", "id AS anchor", "id AS tie")  # of no rows: the optimizer knows that there are none
 SHARED = "spark.checkpoint.dir"
 
 

@@ -5,7 +5,8 @@ order of (time, tie), so the result doesn't depend on how the stream was cut int
 is written once and read once. A sighting whose bucket the watermark has passed already comes late: it is handed back as
 such, and changes nothing; so every row of the stream comes out, with a mark or as late, or still waits.
 
-Each bucket has one timer. The first watermark is 1970, so sightings of then or before come late.
+A group has one timer, for the bucket that ends first; when it fires, all buckets that the watermark has passed are handled. A
+group of few waiting sightings keeps them in one value. The first watermark is 1970, so sightings of then or before come late.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from keyhold.operators.snapshot import described, fresh
 
 OUT = "key string, t long, tie long, admitted boolean, late boolean"
 BUCKETS = 64  # in a span
+FEW = 256  # sightings that wait in one value
 BUCKET_US = 60_000_000  # of a window without a span
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -38,56 +40,78 @@ class _Observe(StatefulProcessor):
     """One group: a key, or all keys if there is a capacity. Times are epoch microseconds."""
 
     def __init__(self, config: WindowConfig) -> None:
-        self.config, self.width = config, bucket_us(config)
+        self.config, self.width, self.few = config, bucket_us(config), FEW
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "bucket long", "parts long")  # how often a bucket was added to
+        # some sightings wait here; when they are more, in parts by bucket, of which this tells how many there are
+        self.index = handle.getValueState("index", "few string, parts string, timer long")
         self.waiting = handle.getMapState("waiting", "bucket long, part long", "rows string")
         self.held = handle.getMapState("held", "key string", "anchor long, place long")  # place: the order of anchors
         self.counts = handle.getValueState("counts", "admitted long, repeats long, late long, evicted long, clock long, place long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        passed, new, late = timerValues.getCurrentWatermarkInMs() * 1000, defaultdict(list), []
+        passed, new, late = timerValues.getCurrentWatermarkInMs() * 1000, [], []
         for r in rows:
-            bucket = r.t // self.width
-            if (bucket + 1) * self.width <= passed:
+            if self._end(r.t) <= passed:
                 late.append(Row(key=r.key, t=r.t, tie=r.tie, admitted=None, late=True))
             else:
-                new[bucket].append((r.t, r.tie, r.key))
-        for bucket, some in new.items():
-            n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
-            self.waiting.updateValue((bucket, n), (json.dumps(some),))
-            self.parts.updateValue((bucket,), (n + 1,))
-            if not n:
-                self.handle.registerTimer((bucket + 1) * self.width // 1000)
+                new.append((r.t, r.tie, r.key))
+        if new:
+            few, parts, timer = self._indexed()
+            few += new
+            if len(few) > self.few:
+                by = defaultdict(list)
+                for r in few:
+                    by[r[0] // self.width].append(r)
+                for bucket, some in by.items():
+                    parts[bucket] = parts.get(bucket, 0) + 1
+                    self.waiting.updateValue((bucket, parts[bucket]), (json.dumps(some),))
+                few = []
+            self._keep(few, parts, timer)
         if late:
             c = self._counted()
             self.counts.update((*c[:2], c[2] + len(late), *c[3:]))
         return iter(late)
 
+    def _end(self, t: int) -> int:
+        return (t // self.width + 1) * self.width
+
+    def _indexed(self) -> tuple[list[tuple], dict[int, int], int]:
+        few, parts, timer = self.index.get() if self.index.exists() else ("[]", "{}", 0)
+        return [tuple(r) for r in json.loads(few)], {int(k): n for k, n in json.loads(parts).items()}, timer
+
+    def _keep(self, few: list[tuple], parts: dict[int, int], timer: int) -> None:
+        """What waits, with one timer for the bucket that ends first; timer: the one that is set, 0 for none."""
+        ends = [self._end(r[0]) for r in few] + [(b + 1) * self.width for b in parts]
+        wanted = min(ends) // 1000 if ends else 0
+        if wanted != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if wanted:
+                self.handle.registerTimer(wanted)
+        if ends:
+            self.index.update((json.dumps(few), json.dumps(parts), wanted))
+        elif self.index.exists():
+            self.index.clear()
+
     def _counted(self) -> tuple[int, ...]:
         return tuple(self.counts.get()) if self.counts.exists() else (0, 0, 0, 0, 0, 0)
 
     def _ready(self, upto: int) -> list[tuple[int, int, str]]:
         """The sightings of the buckets that end by then, in order; they no longer wait."""
-        out = []
-        for bucket, n in sorted((b[0], self.parts.getValue((b[0],))[0]) for b in self.parts.keys()):
-            if (bucket + 1) * self.width > upto:
-                break
-            rows = []
-            for part in range(n):
-                rows += map(tuple, json.loads(self.waiting.getValue((bucket, part))[0]))
+        few, parts, timer = self._indexed()
+        out = [r for r in few if self._end(r[0]) <= upto]
+        for bucket in [b for b in parts if (b + 1) * self.width <= upto]:
+            for part in range(1, parts.pop(bucket) + 1):
+                out += map(tuple, json.loads(self.waiting.getValue((bucket, part))[0]))
                 self.waiting.removeKey((bucket, part))
-            self.parts.removeKey((bucket,))
-            out += sorted(rows)
-        return out
+        self._keep([r for r in few if self._end(r[0]) > upto], parts, timer)
+        return sorted(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
-        ready = self._ready(upto)
-        if not ready:  # handled with an earlier bucket's
+        ready = self._ready(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000)
+        if not ready:
             return iter([])
         c, out = self.config, []
         admitted, repeats, late, evicted, clock, place = self._counted()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keyhold import WindowConfig
 from keyhold import operators as ops
-from keyhold.streaming import admit_stream, stream_held, stream_stats
+from keyhold.streaming import admit_stream, observe, stream_held, stream_stats
 from tests.test_window import SCHEMA, simulate
 
 SECOND = 1_000_000
@@ -41,8 +41,10 @@ class Run:
 
 
 @pytest.mark.parametrize("config,parts", [(WindowConfig(40 * SECOND), 1), (WindowConfig(40 * SECOND), 3), (WindowConfig(60 * SECOND, 2, "last"), 2), (WindowConfig(60 * SECOND, 2, "refuse"), 3)])
-def test_stream_equals_batch(spark, tmp_path, config, parts):
+@pytest.mark.parametrize("few", [256, 3])
+def test_stream_equals_batch(spark, tmp_path, monkeypatch, config, parts, few):
     """However the rows are cut into batches, and over a stop; and so is what is read back from its state."""
+    monkeypatch.setattr(observe, "FEW", few)
     rows = [("abc"[i * 7 % 3], 10**9 + i * 9 * SECOND, i) for i in range(24)]
     run = Run(spark, tmp_path, config, "10 minutes")
     for n in range(parts):  # out of order over the batches
