@@ -10,22 +10,26 @@ from keyhold.llm.shared import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; the others go."""
+    """Documents whose language is told; the others go: a null or empty text, or one without letters, too. Rows that repeat are
+    judged alike. An empty table gives no rows."""
     return language_id.keep_known(docs)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id."""
+    """Of equal texts, the one with the largest doc_id; null counts as empty, and a null id loses to any other. Of rows that
+    repeat both, one. An empty table gives no rows."""
     return exact_dedup.keep_one(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest doc_id."""
+    """Of each group of near copies, the one with the smallest doc_id. Texts without words, and rows without an id, link with
+    nothing and stay; rows that repeat an id are told apart by their texts. An empty table gives no rows."""
     return ngram_join.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, and where each lies in the training windows."""
+    """The pieces of all documents, and where each lies in the training windows. A null text is its end id alone; null and
+    repeated ids stay as they are. An empty table gives no rows."""
     return packing.pack_documents(docs, WORD_TOKENIZER, PACK_END)
 
 
@@ -41,7 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each over what the one before it kept."""
+    """All stages, each over what the one before it kept; odd rows as in the stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
