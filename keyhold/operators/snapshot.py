@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyhold.config import WindowConfig
 from keyhold.operators.admission import admit, departures
+from keyhold.sources.state import settled
+
+#: Most keys that one task takes to find the newest.
+TAKE_ROWS = 100_000
 
 
 def snapshot(sighted: DataFrame, config: WindowConfig, now: int | None = None) -> DataFrame:
@@ -27,7 +33,7 @@ def held_after(marked: DataFrame, config: WindowConfig, now: int | DataFrame | N
     latest = counts.groupBy("key").agg(F.max(F.struct("t", "tie")).alias("at")).select("key", F.col("at.t").alias("anchor"), F.col("at.tie").alias("tie"))
     if config.capacity is not None and config.policy != "refuse":
         # what was dropped for want of room is older than all that is held
-        latest = latest.orderBy(F.desc("anchor"), F.desc("tie")).limit(config.capacity)
+        latest = newest(latest, config.capacity)
     if config.span_us is None:
         return latest
     if isinstance(now, DataFrame):
@@ -35,6 +41,25 @@ def held_after(marked: DataFrame, config: WindowConfig, now: int | DataFrame | N
     return latest.filter(F.lit(now) - F.col("anchor") <= config.span_us)
 
 
+def newest(held: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows that come last by (anchor, tie).
+
+    Few meet in one task. Many are dealt to tasks by range and counted there: pieces before the one with the last place are
+    taken whole, and only that one is cut.
+    """
+    order = [F.desc("anchor"), F.desc("tie")]
+    if most <= TAKE_ROWS:
+        return held.orderBy(*order).limit(most)
+    pieces = settled(held.repartitionByRange(*order).withColumn("_piece", F.spark_partition_id()))
+    room = most
+    for piece, rows in sorted((r["_piece"], r["count"]) for r in pieces.groupBy("_piece").count().collect()):
+        if rows > room:
+            cut = pieces.filter(F.col("_piece") == piece).orderBy(*order).limit(room)
+            return pieces.filter(F.col("_piece") < piece).unionByName(cut).drop("_piece")
+        room -= rows
+    return pieces.drop("_piece")
+
+
 def _stale(config: WindowConfig, now: int | None) -> Column:
     return F.lit(False) if config.span_us is None or now is None else F.lit(now) - F.col("anchor") > config.span_us
 
@@ -51,18 +76,21 @@ def fresh(held: DataFrame, config: WindowConfig, now: int | None) -> DataFrame:
 
 def flag_seen(probe: DataFrame, held: DataFrame, key: str = "key") -> DataFrame:
     """The probe's rows with ``seen``; a null key is never seen. The window is left as it is."""
-    keys = held.select(F.col("key").alias("_held")).distinct()
-    return probe.join(keys, F.col(f"`{key}`").cast("string") == F.col("_held"), "left").withColumn("seen", F.col("_held").isNotNull()).drop("_held")
+    own = f"_{uuid.uuid4().hex}"
+    keys = held.select(F.col("key").alias(own)).distinct()
+    return probe.join(keys, F.col(f"`{key}`").cast("string") == F.col(own), "left").withColumn("seen", F.col(own).isNotNull()).drop(own)
 
 
 def seen_only(probe: DataFrame, held: DataFrame, key: str = "key") -> DataFrame:
     """The probe's rows whose key is held."""
-    return probe.join(held.select(F.col("key").alias("_held")), F.col(f"`{key}`").cast("string") == F.col("_held"), "left_semi")
+    own = f"_{uuid.uuid4().hex}"
+    return probe.join(held.select(F.col("key").alias(own)), F.col(f"`{key}`").cast("string") == F.col(own), "left_semi")
 
 
 def unseen_only(probe: DataFrame, held: DataFrame, key: str = "key") -> DataFrame:
     """The probe's rows whose key isn't held."""
-    return probe.join(held.select(F.col("key").alias("_held")), F.col(f"`{key}`").cast("string") == F.col("_held"), "left_anti")
+    own = f"_{uuid.uuid4().hex}"
+    return probe.join(held.select(F.col("key").alias(own)), F.col(f"`{key}`").cast("string") == F.col(own), "left_anti")
 
 
 def retained_keys(held: DataFrame) -> DataFrame:
