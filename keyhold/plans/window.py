@@ -67,9 +67,20 @@ class KeyWindow:
         self.held = settled(held.withColumn("tie", F.col("tie.tie")))
         return marked.filter("NOT _held").select("key", "t", F.col("tie.tie").alias("tie"), "admitted", "late")
 
-    def seen(self, probe: DataFrame, key: str, now: int | None = None) -> DataFrame:
-        """The probe's rows with ``seen``: whether the key is held and not too old at ``now``; None: at the window's clock."""
-        return ops.flag_seen(probe, ops.fresh(self.held, self.config, self.clock if now is None else now), key)
+    def seen(self, probe: DataFrame, key: str, now: int | None = None, sketch: ops.KeySketch | None = None) -> DataFrame:
+        """The probe's rows with ``seen``: whether the key is held and not too old at ``now``; None: at the window's clock.
+
+        sketch: from ``sketch``, made since the last observe or merged with what that added; it prunes the probe before the join.
+        """
+        now = self.clock if now is None else now
+        held = ops.fresh(self.held, self.config, now)
+        if sketch is None:
+            return ops.flag_seen(probe, held, key)
+        return ops.flag_seen_pruned(probe, held, sketch if now is None else sketch.fresh(now, self.config.span_us), key)
+
+    def sketch(self, bucket_us: int) -> ops.KeySketch:
+        """A sketch of what is held, with room for as many keys."""
+        return ops.KeySketch.of(self.held, self.held.count(), bucket_us)
 
     def advance(self, now: int) -> DataFrame:
         """Drop what is too old at ``now``; a row with ``dropped``. Sightings before ``now`` come late from here on."""
