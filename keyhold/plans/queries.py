@@ -14,6 +14,7 @@ from keyhold.config import WindowConfig
 from keyhold.functions import epoch_micros, sightings
 from keyhold.plans.table_function import NAME, register
 from keyhold.plans.window import KeyWindow
+from keyhold.sources import folder
 from keyhold.sources.state import delete, settled, shared_folder
 from keyhold.streaming.observe import PROVIDER, ROCKSDB, admit_stream, bucket_us
 
@@ -91,6 +92,29 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window.seen(_customers(spark, sf_dir), "c_custkey", window.clock + DAY // 2)
 
 
+def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose customer the window holds, half a day after its last sighting; a sketch by hours prunes them before the join."""
+    window = KeyWindow(HELD)
+    window.observe(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_id")
+    probe = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    return window.seen(probe, "o_custkey", window.clock + DAY // 2, window.sketch(HOUR))
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a window saved, read as a table, written as a table to another folder and opened from there: its contents."""
+    folder.register(spark)
+    one, two = (f"{shared_folder(spark)}/window-{uuid.uuid4().hex}" for _ in range(2))
+    window = KeyWindow(HELD)
+    window.observe(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "event_id")
+    window.save(one)
+    rows = spark.read.format(folder.NAME).load(one)
+    rows.write.format(folder.NAME).mode("overwrite").options(span_us=DAY, policy="last", clock=window.clock).save(two)
+    kept = settled(KeyWindow.open(spark, two).held)
+    delete(spark, one)
+    delete(spark, two)
+    return kept
+
+
 def _asof(policy: str) -> Query:
     """For each event, whether the window held the next user at that time."""
 
@@ -179,6 +203,8 @@ QUERIES: dict[str, Query] = {
     "window_late": _late,
     "window_fresh": _fresh,
     "seen_asked": _asked,
+    "seen_pruned": _pruned,
+    "window_folder": _folder,
     "seen_asof": _asof("last"),
     "seen_asof_first": _asof("first"),
     "reuse_distance": _distances,
@@ -291,6 +317,8 @@ ORACLE |= {
     "window_late": first_sql(_ON_TIME, HOUR).replace(MARK, f"{MARK.replace(' FROM', ', false AS late FROM')} UNION ALL SELECT event_id, user_id::VARCHAR, NULL, true FROM d WHERE late"),
     "window_fresh": ORACLE["keys_snapshot"],
     "seen_asked": f"WITH {_ALL_HELD} SELECT c_custkey, c_name, c_custkey::VARCHAR IN (SELECT key FROM l WHERE (SELECT max(epoch_us(ts)) FROM events) + {DAY // 2} - anchor <= {DAY}) AS seen FROM customer",
+    "seen_pruned": f"WITH {_ALL_HELD} SELECT o_orderkey, o_custkey, o_custkey::VARCHAR IN (SELECT key FROM l WHERE (SELECT max(epoch_us(ts)) FROM events) + {DAY // 2} - anchor <= {DAY}) AS seen FROM orders",
+    "window_folder": f"WITH {_NOW_HELD} SELECT key, anchor, tie FROM held",
     "seen_asof": asof_sql(2 * HOUR, "anchors AS (SELECT user_id::VARCHAR AS k, epoch_us(ts) AS t FROM events)"),
     "seen_asof_first": asof_sql(2 * HOUR, first_sql(EV, 2 * HOUR).removeprefix("WITH ").replace(MARK, "").rstrip() + ", anchors AS (SELECT ev.k, ev.t FROM ev JOIN adm USING (i))"),
     "reuse_distance": distances_sql(EV, DAY, CAPACITIES),
