@@ -2,6 +2,9 @@
 
 All blocks share one table of frequencies. A block holds up to BLOCK ids, which LANES interleaved states code in turn, and
 can be decoded by itself; so can each part of it between two checkpoints. Blocks of equal length are coded side by side.
+
+Where more ids occur than the table has room for, the rarest share its last entry, the escape; a block that has such ids
+carries them whole behind its words, in order.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ BLOCK = 1 << 16
 LANES = 32
 EVERY = 512  # steps between two checkpoints; a step codes one id a lane
 LOW = np.uint64(1 << 31)  # states lie from here to 2 ** 32 times this
-MAGIC = b"KHT1"
+MAGIC, MAGIC_RARE = b"KHT1", b"KHT2"  # without and with ids behind the words
 HEAD = struct.Struct("<4sIII")  # magic, ids, checkpoints, words
 U = np.uint64
 
@@ -42,8 +45,11 @@ def table(counts: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    def __init__(self, freq: np.ndarray) -> None:
+    """escapes: the last entry of ``freq`` is for all ids that have none of their own."""
+
+    def __init__(self, freq: np.ndarray, escapes: bool = False) -> None:
         self.freq = freq.astype(U)
+        self.escape = len(freq) - 1 if escapes else None
         self.below = (np.cumsum(freq) - freq).astype(U)
         self.of_slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
@@ -53,19 +59,33 @@ class Coder:
         for ids in blocks:
             if not 0 < len(ids) <= BLOCK:
                 raise ValueError(f"a block of {len(ids)} ids; 1 to {BLOCK} can be coded")
+        blocks, rare = self._known(blocks)
+        for ids in blocks:
             if int(ids.max()) >= len(self.freq) or not self.freq[ids].all():
                 raise ValueError("an id that the table hasn't")
         full = [i for i, ids in enumerate(blocks) if len(ids) == BLOCK]
         if full:
-            for i, data in zip(full, self._blocks(np.stack([blocks[i] for i in full]).astype(np.int64).reshape(len(full), -1, LANES), BLOCK)):
+            for i, data in zip(full, self._blocks(np.stack([blocks[i] for i in full]).astype(np.int64).reshape(len(full), -1, LANES), BLOCK, [rare[i] for i in full])):
                 out[i] = data
         for i, ids in enumerate(blocks):
             if len(ids) < BLOCK:
                 fill = np.full(-len(ids) % LANES, ids[0])  # the last step's idle lanes code an id that costs little
-                out[i] = self._blocks(np.concatenate((ids, fill)).astype(np.int64).reshape(1, -1, LANES), len(ids))[0]
+                out[i] = self._blocks(np.concatenate((ids, fill)).astype(np.int64).reshape(1, -1, LANES), len(ids), [rare[i]])[0]
         return out
 
-    def _blocks(self, ids: np.ndarray, size: int) -> list[bytes]:
+    def _known(self, blocks: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes]]:
+        """The blocks with the escape for each id without an entry, and these ids as bytes."""
+        if self.escape is None:
+            return blocks, [b""] * len(blocks)
+        out, rare = [], []
+        for ids in blocks:
+            own = ids < self.escape
+            own &= self.freq[np.where(own, ids, self.escape)] > 0
+            out.append(np.where(own, ids, self.escape))
+            rare.append(ids[~own].astype("<u4").tobytes())
+        return out, rare
+
+    def _blocks(self, ids: np.ndarray, size: int, rare: list[bytes]) -> list[bytes]:
         blocks, steps, _ = ids.shape
         x = np.full((blocks, LANES), LOW)
         out = np.zeros((blocks, steps, LANES), dtype=np.uint32)
@@ -89,23 +109,25 @@ class Coder:
             at = np.concatenate(([0], np.cumsum(sent[i].sum(axis=1))))[np.arange(0, steps, EVERY)]
             words = out[i][sent[i]]
             body = at.astype("<u4").tobytes() + states[i].astype("<u8").tobytes() + words.astype("<u4").tobytes()
-            head = HEAD.pack(MAGIC, size, len(at), len(words))
+            body += rare[i]
+            head = HEAD.pack(MAGIC_RARE if rare[i] else MAGIC, size, len(at), len(words))
             done.append(head + body + struct.pack("<I", zlib.crc32(head + body)))
         return done
 
     def decode(self, blocks: list[bytes]) -> list[np.ndarray]:
         """The ids of each block; parts between checkpoints are decoded side by side. A block that was changed: ValueError."""
-        states, words, starts, sizes, steps, offset = [], [], [], [], [], 0
+        states, words, starts, sizes, steps, offset, rare = [], [], [], [], [], 0, []
         for raw in blocks:
             if len(raw) < HEAD.size + 4 or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
                 raise ValueError("a block's checksum doesn't fit")
             magic, size, points, n = HEAD.unpack_from(raw)
-            if magic != MAGIC:
+            if magic not in (MAGIC, MAGIC_RARE):
                 raise ValueError("not a block of token ids")
             at = HEAD.size
             starts.append(np.frombuffer(raw, "<u4", points, at).astype(np.int64) + offset)
             states.append(np.frombuffer(raw, "<u8", points * LANES, at + 4 * points).reshape(points, LANES))
             words.append(np.frombuffer(raw, "<u4", n, at + points * (4 + 8 * LANES)))
+            rare.append(np.frombuffer(raw[:-4], "<u4", -1, at + points * (4 + 8 * LANES) + 4 * n) if magic == MAGIC_RARE else None)
             offset += n
             total = -(-size // LANES)
             steps.append(np.minimum(EVERY, total - np.arange(points) * EVERY))
@@ -137,10 +159,16 @@ class Coder:
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         found, first = [], 0
-        for size in sizes:
+        for size, whole in zip(sizes, rare):
             points = -(-(-(-size // LANES)) // EVERY)
             ids = out[back[first : first + points]].reshape(-1, LANES)
-            found.append(ids.reshape(-1)[:size])
+            ids = ids.reshape(-1)[:size]
+            if whole is not None:
+                escaped = np.flatnonzero(ids == self.escape) if self.escape is not None else whole[:0]
+                if len(escaped) != len(whole):
+                    raise ValueError("a block's rare ids don't fit its table")
+                ids[escaped] = whole
+            found.append(ids)
             first += points
         return found
 

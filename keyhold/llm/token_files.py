@@ -23,7 +23,7 @@ from keyhold.llm.shared import Scratch, delete, new_path, partitions, written
 from keyhold.llm.tokens import closed, encoder, slices
 
 AT_ONCE = 32  # blocks that a task codes side by side
-MAX_VOCAB = 1 << rans.SCALE
+MAX_VOCAB = 1 << rans.SCALE  # entries of a table; the ids beyond, the rarest, share one and are stored whole
 PIECE = [("ord", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("last", pa.bool_()), ("start", pa.int64()), ("n", pa.int64())]
 _DOCS = "docs array<struct<ord:bigint,doc_id:bigint,part:bigint,last:boolean,start:bigint,n:bigint>>"
 
@@ -38,9 +38,10 @@ class TokenFiles:
     def shards(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/shards")
 
-    def frequencies(self, spark: SparkSession) -> np.ndarray:
+    def frequencies(self, spark: SparkSession) -> tuple[np.ndarray, bool]:
+        """The table, and whether its last entry is the escape that rare ids share."""
         rows = spark.read.parquet(f"{self.path}/table").collect()  # one row
-        return np.frombuffer(rows[0].freq, dtype="<i8")
+        return np.frombuffer(rows[0].freq, dtype="<i8"), rows[0].escapes
 
 
 class _Blocks:
@@ -125,8 +126,11 @@ def _numbers(n: int, raw: pa.BinaryScalar) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data.size == 2 * n else "<u4")
 
 
-def counted(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs in all documents. The driver gets a row for each different id, at most MAX_VOCAB."""
+def counted(tokens: DataFrame) -> tuple[np.ndarray, bool]:
+    """How often each id occurs in all documents, and whether the last entry counts all those that have none.
+
+    The driver gets a row for each of the MAX_VOCAB most frequent ids at most; where there are more, the rest share an entry.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,20 +139,24 @@ def counted(tokens: DataFrame) -> np.ndarray:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    rows = tokens.select("counts").filter("counts IS NOT NULL").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).take(MAX_VOCAB + 1)
+    per_id = tokens.select("counts").filter("counts IS NOT NULL").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows, rest = per_id.take(MAX_VOCAB + 1), 0
     if len(rows) > MAX_VOCAB:
-        raise ValueError("more different ids than a table has room for")
-    out = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
+        rows = per_id.orderBy(F.desc("n"), "id").take(MAX_VOCAB - 1)
+        rest = per_id.agg(F.sum("n")).first()[0] - sum(r.n for r in rows)
+    out = np.zeros(max((r.id for r in rows), default=0) + 1 + (rest > 0), dtype=np.int64)
     for r in rows:
         out[r.id] = r.n
-    return out
+    if rest:
+        out[-1] = rest
+    return out, rest > 0
 
 
-def _coded(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
+def _coded(tokens: DataFrame, freq: np.ndarray, escapes: bool) -> DataFrame:
     """(shard, block, docs, data): the blocks in their own format."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = rans.Coder(freq)
+        coder = rans.Coder(freq, escapes)
         for b in batches:
             for lo in range(0, len(b), AT_ONCE):
                 some = b.slice(lo, AT_ONCE)
@@ -168,9 +176,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text_c
     spark, files = docs.sparkSession, TokenFiles(path)
     with Scratch(spark):
         tokens = written(tokenized(docs, tokenizer, end_id, text_col), "tokens")
-        freq = rans.table(counted(tokens))
-        spark.createDataFrame([(bytearray(freq.astype("<i8").tobytes()),)], "freq binary").write.parquet(f"{path}/table")
-        _coded(tokens.filter("n > 0"), freq).write.parquet(f"{path}/ids")
+        counts, escapes = counted(tokens)
+        freq = rans.table(counts)
+        spark.createDataFrame([(bytearray(freq.astype("<i8").tobytes()), escapes)], "freq binary, escapes boolean").write.parquet(f"{path}/table")
+        _coded(tokens.filter("n > 0"), freq, escapes).write.parquet(f"{path}/ids")
         size = tokens.groupBy("shard").agg(F.sum("n").alias("ids"))  # a row a shard
         before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         size.select("shard", "ids", before.alias("before")).coalesce(1).write.parquet(f"{path}/shards")
@@ -180,10 +189,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text_c
 def _read(spark: SparkSession, files: TokenFiles, of: pa.DataType, take) -> DataFrame:
     """(shard, ord, doc_id, part, last, start, n, ids) of every piece in the files; ids: what ``take`` makes of its bytes
     (little-endian, of 4 each)."""
-    freq, names = files.frequencies(spark), [k for k, _ in PIECE]
+    (freq, escapes), names = files.frequencies(spark), [k for k, _ in PIECE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = rans.Coder(freq)
+        coder = rans.Coder(freq, escapes)
         for b in batches:
             for lo in range(0, len(b), AT_ONCE):
                 some = b.slice(lo, AT_ONCE)
