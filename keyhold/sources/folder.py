@@ -11,8 +11,8 @@ Rows are (key string, anchor long, tie long or string). A write makes a new vers
 capacity, policy, clock, the counts (admitted, expired, evicted, repeats, late; without them the rows count as admitted), and
 ``version``, the one that this write follows (the newest by default): if another has been saved, the write fails.
 
-Where Spark pushes filters to such sources (``spark.sql.python.filterPushdown.enabled``), comparisons of key and anchor skip
-files' row groups. Folders lie in a file system that all machines mount, or in HDFS; elsewhere there is no way here to create
+With the option ``push_filters`` set to true, which needs ``spark.sql.python.filterPushdown.enabled`` in the session, comparisons of
+key and anchor skip files' row groups. Folders lie in a file system that all machines mount, or in HDFS; elsewhere there is no way here to create
 an entry that only one writer gets, and ``KeyWindow.save`` serves.
 """
 
@@ -94,7 +94,9 @@ class WindowFolder(D.DataSource):
         return T.StructType([T.StructField("key", T.StringType()), T.StructField("anchor", T.LongType()), T.StructField("tie", T.StringType() if pa.types.is_string(tie) else T.LongType())])
 
     def reader(self, schema: T.StructType) -> D.DataSourceReader:
-        return _Reader(self.options["path"], self._version()[2], schema)
+        # Spark refuses readers that take filters where its setting is off, and the setting can't be seen from here
+        kind = _FilteringReader if self.options.get("push_filters", "").lower() == "true" else _Reader
+        return kind(self.options["path"], self._version()[2], schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> D.DataSourceWriter:
         if not overwrite:
@@ -119,13 +121,6 @@ class _Reader(D.DataSourceReader):
     def __init__(self, path: str, entry: dict, schema: T.StructType) -> None:
         self.path, self.entry, self.schema, self.wanted = path, entry, schema, []
 
-    def pushFilters(self, filters: list[D.Filter]) -> Iterator[D.Filter]:  # noqa: N802
-        """Comparisons of key and anchor with a value; Spark judges all rows again, as its comparisons are what counts."""
-        for f in filters:
-            if type(f) in COMPARED and f.attribute in (("key",), ("anchor",)) and f.value is not None:
-                self.wanted.append((f.attribute[0], COMPARED[type(f)], f.value))
-            yield f
-
     def partitions(self) -> list[_Part]:
         files, path = _opened(self.path)
         parts = _parts(files, path, self.entry)
@@ -147,6 +142,15 @@ class _Reader(D.DataSourceReader):
             yield b.cast(kinds)
 
 
+class _FilteringReader(_Reader):
+    def pushFilters(self, filters: list[D.Filter]) -> Iterator[D.Filter]:  # noqa: N802
+        """Comparisons of key and anchor with a value; Spark judges all rows again, as its comparisons are what counts."""
+        for f in filters:
+            if type(f) in COMPARED and f.attribute in (("key",), ("anchor",)) and f.value is not None:
+                self.wanted.append((f.attribute[0], COMPARED[type(f)], f.value))
+            yield f
+
+
 @dataclass
 class _Done(D.WriterCommitMessage):
     name: str | None

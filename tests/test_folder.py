@@ -19,7 +19,6 @@ ROWS = [("a", 5, 1), ("", -3, 2), ("ä", 9, 3), ("b" * 5000, 7, -4)]
 @pytest.fixture(autouse=True)
 def registered(spark):
     folder.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
 
 
 def put(df, path, **options):
@@ -41,8 +40,13 @@ def test_read_what_was_saved(spark, tmp_path):
     w.save(path)
     assert sorted(map(tuple, get(spark, path).collect())) == [("b", 5, 2), ("c", 13, 4)]
     assert sorted(map(tuple, get(spark, path, version=2).collect())) == [("a", 1, 1), ("b", 5, 2)]
-    assert [r.key for r in get(spark, path).filter("key = 'c' AND anchor > 5").collect()] == ["c"]
-    assert get(spark, path).filter("anchor <= 5 AND key < 'b'").count() == 0
+    for push in (False, True):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", push)
+        try:
+            assert [r.key for r in get(spark, path, push_filters=push).filter("key = 'c' AND anchor > 5").collect()] == ["c"]
+            assert get(spark, path, push_filters=push).filter("anchor <= 5 AND key < 'b'").count() == 0
+        finally:
+            spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     assert [r.key for r in get(spark, path).filter("length(key) = 1").orderBy("anchor").select("key").collect()] == ["b", "c"]
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW held USING {folder.NAME} OPTIONS (path '{path}')")
     assert [r.key for r in spark.sql("SELECT key FROM held ORDER BY anchor DESC").collect()] == ["c", "b"]
