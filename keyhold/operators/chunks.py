@@ -5,14 +5,15 @@ at first: empty. Where a gap of more than the span lies before a chunk, it is em
 was wrong, and only these, are worked through again from what the chunk before now leaves, until no guess is wrong. A
 state that the chunk's own rows have displaced wholly no longer depends on what came before: with refreshing, a second
 round ends it where a chunk has as many keys as the window has room. Where a round leaves more than half of the
-wrong chunks wrong, differences don't die out, and each stretch of wrong chunks is worked through by one task, from its
-first to its last; that is the worst case, with stretches between gaps still side by side.
+wrong chunks wrong, differences don't die out, and a round takes the first chunk of each stretch of wrong ones only, a task
+each, so that no task holds more than a chunk; that is the worst case, with stretches between gaps still side by side.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from keyhold.config import WindowConfig
 from keyhold.operators.pieces import fits_a_task
-from keyhold.sources.state import settled
+from keyhold.sources.state import delete, settled, shared_folder
 
 #: Rows of a chunk, and how often they must outnumber the keys of a state.
 CHUNK_ROWS, CHUNK_SHARE = 1_000_000, 8
@@ -138,7 +139,7 @@ def along_time(rows: DataFrame, make: Callable[[], Fold], kinds: dict[str, T.Dat
     """``rows`` (with key, t, tie) and the columns that the fold gives, ``kinds``; columns of these names are replaced.
 
     room: keys that a state may hold. span: after a gap of more than this the state is empty; None: never. A table that
-    fits a task is one chunk. No column may be called _chunk, _old or _place. An empty table gives no rows.
+    fits a task and has no more rows than a chunk is one. No column may be called _chunk, _old or _place. An empty table gives no rows.
     """
     rows = rows.drop(*kinds)
     names = rows.columns
@@ -160,19 +161,17 @@ def along_time(rows: DataFrame, make: Callable[[], Fold], kinds: dict[str, T.Dat
                 yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *map(pa.array, out)], [*names, *kinds]).cast(_arrow(b, names, kinds))
 
     own = rows.withColumns({"_chunk": F.lit(0), "_old": F.lit(False)})
-    if fits_a_task(rows):
+    spark, count, size = rows.sparkSession, rows.count(), max(CHUNK_ROWS, CHUNK_SHARE * room)
+    if count <= size and fits_a_task(rows):  # few bytes in a file may be many rows
         return own.coalesce(1).sortWithinPartitions("t", "tie").mapInArrow(folded, schema)
 
-    spark, count = rows.sparkSession, rows.count()
-    size = max(CHUNK_ROWS, CHUNK_SHARE * room)
     placed = settled(rows.repartitionByRange(max(1, math.ceil(count / size)), "t", "tie").withColumn("_chunk", F.spark_partition_id()))
     ends = sorted(map(tuple, placed.groupBy("_chunk").agg(F.min("t"), F.max("t")).collect()))
     before = {c: b for (b, _, _), (c, _, _) in zip(ends, ends[1:])}
     open_ = {c: b for (b, _, hi), (c, lo, _) in zip(ends, ends[1:]) if span is None or lo - hi <= span}  # without a gap
 
-    def left(batches: Iterable[pa.RecordBatch], heads: frozenset[int] | None = None) -> Iterator[pa.RecordBatch]:
-        """What each chunk leaves: its keys in order, and a row with its name. heads: the chunks that don't go on from the one
-        before, as it was just worked through; None: all."""
+    def left(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each chunk leaves: its keys in order, and a row with its name."""
         fold, chunk = None, None
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -185,7 +184,7 @@ def along_time(rows: DataFrame, make: Callable[[], Fold], kinds: dict[str, T.Dat
                 if at != chunk:
                     if fold is not None:
                         yield from told()
-                    fold, chunk = make() if fold is None or heads is None or at in heads else fold, at
+                    fold, chunk = make(), at
                 keys, times = b["key"].to_pylist(), b["t"].to_pylist()
                 if old:
                     for k, t in zip(keys, times):
@@ -195,38 +194,41 @@ def along_time(rows: DataFrame, make: Callable[[], Fold], kinds: dict[str, T.Dat
         if fold is not None:
             yield from told()
 
-    def dealt(chunks: list[int] | None, states: DataFrame | None, heads: list[int] | None = None) -> DataFrame:
-        """The rows of these chunks (None: all), in order, after the states before them; heads: chunks that begin a task and
-        have a state before them (None: all)."""
-        some = placed if chunks is None else placed.filter(F.col("_chunk").isin(chunks))
+    def dealt(table: DataFrame, chunks: list[int] | None, states: DataFrame | None) -> DataFrame:
+        """The table's rows of these chunks (None: all), in order, after the states before them; a task a chunk."""
+        some = table if chunks is None else table.filter(F.col("_chunk").isin(chunks))
         both = some.withColumns({"_old": F.lit(False), "_place": F.lit(0).cast("long")})
-        after = {before[c]: c for c in (heads or chunks or before) if c in before}
+        after = {before[c]: c for c in (before if chunks is None else chunks) if c in before}
         if states is not None and after:
             to = spark.createDataFrame(list(after.items()), "chunk int, _chunk int")
             old = states.filter("place >= 0").join(F.broadcast(to), "chunk")
             both = both.unionByName(old.select("_chunk", "key", "t", F.col("place").alias("_place"), F.lit(True).alias("_old")), allowMissingColumns=True)
-        task, tasks = F.col("_chunk"), len(ends) if chunks is None else len(chunks)
-        if heads:
-            bounds = F.array(*(F.lit(h) for h in heads))
-            task, tasks = F.size(F.filter(bounds, lambda h: h <= F.col("_chunk"))) - 1, len(heads)
-        return both.repartitionById(max(1, tasks), task.cast("int")).sortWithinPartitions("_chunk", F.desc("_old"), "_place", "t", "tie")
+        tasks = len(ends) if chunks is None else len(chunks)
+        task = F.col("_chunk") if chunks is None else F.array_position(F.array(*map(F.lit, chunks)), F.col("_chunk")).cast("int") - 1
+        return both.repartitionById(max(1, tasks), task).sortWithinPartitions("_chunk", F.desc("_old"), "_place", "t", "tie")
 
-    states = settled(dealt(None, None).select("_chunk", "_old", "key", "t").mapInArrow(left, STATE))
+    states = settled(dealt(placed, None, None).select("_chunk", "_old", "key", "t").mapInArrow(left, STATE))
     leaves = _names(states)
-    taken, were = dict.fromkeys(open_, EMPTY), 0
-    while wrong := sorted(c for c, b in open_.items() if taken[c] != leaves[b]):
-        heads = [c for c in wrong if open_[c] not in set(wrong)] if were and 2 * len(wrong) > were else None
-        of = left if heads is None else lambda batches, heads=frozenset(heads): left(batches, heads)
-        if heads is None:
-            taken |= {c: leaves[open_[c]] for c in wrong}
-        again = dealt(wrong, states, heads).select("_chunk", "_old", "key", "t").mapInArrow(of, STATE)
-        states = settled(states.filter(~F.col("chunk").isin(wrong)).unionByName(again))
-        leaves = _names(states)
-        if heads is not None:  # a stretch went on from what its chunks leave now
-            taken |= {c: leaves[open_[c]] for c in wrong}
-        were = len(wrong)
+    taken, were, lean, path = dict.fromkeys(open_, EMPTY), 0, None, f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    try:
+        while wrong := sorted(c for c, b in open_.items() if taken[c] != leaves[b]):
+            now = wrong
+            if were and 2 * len(wrong) > were:
+                now = [c for c in wrong if open_[c] not in set(wrong)]
+                if lean is None:  # by chunk, so that a round reads its own chunks alone
+                    own = placed.select("key", "t", "tie", "_chunk")
+                    own.write.partitionBy("_chunk").parquet(path)
+                    lean = spark.read.schema(own.schema).parquet(path)
+            taken |= {c: leaves[open_[c]] for c in now}
+            again = dealt(placed if lean is None else lean, now, states).select("_chunk", "_old", "key", "t").mapInArrow(left, STATE)
+            states = settled(states.filter(~F.col("chunk").isin(now)).unionByName(again))
+            leaves = _names(states)
+            were = len(wrong)
+    finally:
+        if lean is not None:
+            delete(spark, path)
     # after a gap the state before tells what left by age
-    return dealt(None, states).drop("_place").mapInArrow(folded, schema)
+    return dealt(placed, None, states).drop("_place").mapInArrow(folded, schema)
 
 
 def _names(states: DataFrame) -> dict[int, str]:

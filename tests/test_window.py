@@ -105,6 +105,26 @@ def test_chunks_after_gaps_need_no_second_round(spark, large, monkeypatch):
     assert len(rounds) <= 4  # the rows, one round of states, and what the sampled bounds cut inside a run
 
 
+@pytest.mark.parametrize("policy", ["first", "last", "refuse"])
+def test_no_task_folds_more_than_a_chunk(spark, monkeypatch, policy):
+    """Of a table of few bytes but more rows than a chunk, too, and where differences between guesses never die out."""
+    monkeypatch.setattr(chunks, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(chunks, "CHUNK_SHARE", 1)
+    classic = type(spark.range(1))
+    tasks, whole = [], classic.mapInArrow
+
+    def counted(df, *args, **kwargs):
+        tasks.append(df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] or 0)
+        return whole(df, *args, **kwargs)
+
+    monkeypatch.setattr(classic, "mapInArrow", counted)
+    rows = [(f"k{i % 3}", i, i) for i in range(200)]  # without gaps, so that keys keep their phase
+    c = WindowConfig(7, 5, policy)
+    got = ops.admit(spark.createDataFrame(rows, SCHEMA), c).collect()
+    assert {r.tie: r.admitted for r in got} == simulate(rows, c)[0] and len(got) == len(rows)
+    assert max(tasks) <= 2 * 40 + 5  # bounds are sampled; and the state before a chunk
+
+
 @pytest.mark.parametrize("config", [WindowConfig(s, None, p) for s in (0, 5, 700, None) for p in ("first", "last")])
 @pytest.mark.parametrize("tasks", [4, 70])
 def test_hot_key_over_pieces(spark, large, config, tasks):
