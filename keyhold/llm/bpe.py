@@ -26,6 +26,7 @@ from keyhold.llm.tokens import _PLAIN, BYTE_LEVEL, Held, runs
 
 PORTION = 4096  # ids that go through the decoder at a time
 HELD_PAIRS = 500_000  # pairs of tokens that a task remembers before it starts anew
+HELD_STEPS = 200_000  # the same for steps along the starts of tokens
 
 
 def byte_chars() -> list[str]:
@@ -47,13 +48,10 @@ class Transducer:
         self.made = {a + b: (i, (a, b)) for i, (a, b) in enumerate(merges)}
         self.twofold = len(self.made) < len(merges)
         self.lookahead = max(self.size.values(), default=1)
-        lengths: dict[str, set[int]] = {}
-        for t in vocab:
-            end = suffix if suffix and t.endswith(suffix) and len(t) > len(suffix) else ""
-            body = t[: len(t) - len(end)]
-            if len(body) > 1:
-                lengths.setdefault(body[-2:] + end, set()).add(len(body))
-        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in lengths.items()}  # of tokens, by their last two symbols
+        self._names = {t: t for t in vocab}  # one string a token
+        bodies = {t[: len(t) - len(suffix)] if suffix and t.endswith(suffix) and len(t) > len(suffix) else t for t in vocab}
+        self._begins = {body[:n] for body in bodies for n in range(1, len(body) + 1)}
+        self._steps: dict[str, tuple[str, list[tuple[int, str]], list[tuple[int, str]]]] = {}
         self._fits: dict[tuple[str, str], bool] = {}
         self._own: dict[str, bool] = {}
 
@@ -88,6 +86,23 @@ class Transducer:
             known = self._own[token] = token in self.vocab and self.merged(self._symbols(token)) == [token]
         return known
 
+    def step(self, start: str) -> tuple[str, list[tuple[int, str]], list[tuple[int, str]]]:
+        """Of what was read, the longest end that some token begins with: start (of it and the next symbol) cut down to one;
+        and the tokens that end there, the longest first, with their symbols: within a word, and at its end."""
+        known = self._steps.get(start)
+        if known is None:
+            if len(self._steps) > HELD_STEPS:
+                self._steps.clear()
+            at = start
+            while at and at not in self._begins:
+                at = at[1:]
+            ends: list[list[tuple[int, str]]] = []
+            for end in ("", self.suffix):
+                tokens = ((n, at[len(at) - n :] + end) for n in range(len(at), 0, -1))
+                ends.append([(n, self._names[t]) for n, t in tokens if t in self.vocab and (end or self._width(t) == n) and self.own(t)])
+            known = self._steps[start] = (at, *ends)
+        return known
+
     def fits(self, left: str, right: str) -> bool:
         """Whether the two stay apart when their symbols are merged together.
 
@@ -122,29 +137,26 @@ class Transducer:
         """The tokens of one word that comes in character by character; what is held doesn't grow with the word."""
         held, last, ahead = "", [""], iter(chars)  # last[i]: last token of the first i held symbols
         left = ""  # what was emitted before them
-        vocab, lengths, own, fits = self.vocab, self.lengths, self._own, self._fits
+        steps, fits, at_start, many = self._steps, self._fits, "", 4 * self.lookahead
         now = next(ahead, None)
         while now is not None:
             nxt = next(ahead, None)
             held += now
-            end = self.suffix if nxt is None else ""
-            i = len(held)
-            for n in lengths.get(held[-2:] + end, (1,)):
+            i, start = len(held), at_start + now
+            at_start, inside, at_end = steps.get(start) or self.step(start)
+            for n, t in at_end if nxt is None else inside:
                 if n > i or (before := last[i - n]) is None:
                     continue
-                t = held[i - n :] + end
-                good = own.get(t)
-                if good or good is None and t in vocab and self.own(t):
-                    before = before or left
-                    if before and (apart := fits.get((before, t))) is None:
-                        apart = self.fits(before, t)
-                    if not before or apart:
-                        last.append(t)
-                        break
+                before = before or left
+                if before and (apart := fits.get((before, t))) is None:
+                    apart = self.fits(before, t)
+                if not before or apart:
+                    last.append(t)
+                    break
             else:
                 last.append(None)  # no token ends here; it can't be the end of the word either
             now = nxt
-            if i > 4 * self.lookahead:
+            if i > many:
                 at = self._shared(last)
                 done = self._chain(last, at)
                 if done:
@@ -260,10 +272,12 @@ class Decoder:
             raw = self.codec.raw
             return self.state.decode(b"".join([raw.get(i, b"") for i in ids]))
         strings = self.codec.strings
-        out = " ".join([s for i in ids if (s := strings.get(i)) is not None])
-        if not any(i in strings for i in ids):
+        found = list(map(strings.get, ids))
+        if None in found:
+            found = [s for s in found if s is not None]
+        if not found:
             return ""
-        out, self.first = out if self.first else " " + out, False
+        out, self.first = " ".join(found) if self.first else " " + " ".join(found), False
         return out
 
     def end(self) -> str:

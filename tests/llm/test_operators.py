@@ -345,6 +345,21 @@ def test_transducer(first, word, data):
     assert list(t.tokens(word)) == t.merged(list(word))
 
 
+def test_transducer_tries_only_tokens():
+    """At each place the tokens that end there are tried and no other strings; what is remembered is bounded."""
+    t = bpe.codec(queries.WORD_TOKENIZER).transducer
+    at, word = "", "internationalisations"
+    for i, c in enumerate(word, 1):
+        at, inside, at_end = t.step(at + c)
+        ends = [word[k:i] for k in range(i)]
+        assert [x for _, x in inside] == [x for x in ends if t.own(x)]
+        assert [x for _, x in at_end] == [x + t.suffix for x in ends if t.own(x + t.suffix)]
+    small = bpe.Transducer({x: i for i, x in enumerate(["a", "b", "ab"])}, [("a", "b")])
+    for i in range(300_000):
+        small.step(chr(0x10000 + i))
+    assert len(small._steps) <= bpe.HELD_STEPS + 1 and list(small.tokens("abba")) == ["ab", "b", "a"]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("ab'sRé0.- \n\tßЖ", max_size=30), max_size=6))
 def test_joined_words(texts):
