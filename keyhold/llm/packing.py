@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyhold.llm.shared import free, written
+from keyhold.llm.shared import free, released, written
 from keyhold.llm.tokens import Encoder, closed, encoder, slices
 
 CAPACITY = 4096
@@ -153,6 +153,7 @@ def cut(docs: DataFrame, tokenize: Callable[[], Encoder], end_id: int, capacity:
                 parts = [raw[i:j] for i, j in zip(first.tolist(), (first + 4 * length).tolist())]
                 cols = [b["doc_id"].slice(lo, hi - lo).take(pa.array(doc)), *map(pa.array, (start, length, size[doc])), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(list(map(bytes, parts)), pa.binary())] if ids else [])], names)
+        released()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids_crc32 long" + (", ids binary" if ids else ""))

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +114,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _write(df, name, _scopes()[-1] if _scopes() else None)
 
 
+def texts(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column one by one, so that a batch doesn't lie in memory twice."""
+    return (x.as_py() for x in column)
+
+
+def released() -> None:
+    """At the end of a task: give back what Arrow keeps for later, as Python workers live on and take other tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

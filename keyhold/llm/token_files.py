@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyhold.llm import rans
-from keyhold.llm.shared import Scratch, delete, new_path, partitions, written
+from keyhold.llm.shared import Scratch, delete, new_path, partitions, released, written
 from keyhold.llm.tokens import closed, encoder, slices
 
 AT_ONCE = 32  # blocks that a task codes side by side
@@ -117,6 +117,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "tex
                     yield out
         if (out := blocks.end()) is not None:
             yield out
+        released()
 
     return dealt.select("doc_id", "text").mapInArrow(run, f"shard long, block long, {_DOCS}, n long, ids binary, counts binary")
 

@@ -307,6 +307,20 @@ def test_keep_known(spark):
     assert language_id.keep_known(df.limit(0)).count() == 0
 
 
+def test_count_in_small_steps():
+    """What a task holds while it counts n-grams: some thousand words at a time; the counts are those of all words at once."""
+    import tracemalloc
+
+    words = ["abcdefgh"[i % 7 :] + "xyz"[: i % 3] for i in range(99_000)]
+    want = dict(zip(*(x.tolist() for x in np.unique(language_id.grams(words), return_counts=True))))
+    tracemalloc.start()
+    codes, counts = language_id.counted(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(codes.tolist(), counts.tolist())) == want
+    assert most < 24 << 20
+
+
 # 6: BPE
 
 
