@@ -1,7 +1,8 @@
 """Exact dedup by skew-safe combining.
 
 Copies are first combined within each input task, then within salted digest groups, then the salts' winners across
-salts. Digest and whole text are both grouping keys at every stage, so texts are equal only when all their content is.
+salts. A digest has several salts where its rows could fill a task, and else one, so that only texts of the former move twice.
+Digest and whole text are both grouping keys at every stage, so texts are equal only when all their content is.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`") if normalize is None else normalize
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("content"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.encode("content", "utf-8"), 256)))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
+    several = written(rows.groupBy("digest").count().filter(F.col("count") > max(1, docs.count() // HOT_SHARE)).select("digest", F.lit(salts).alias("salts")), "salts")
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.col("salts")))
     # each groupBy below combines in the map task first: a group of copies leaves a task as one row a salt
-    salted = rows.groupBy("digest", "content", salt.alias("salt")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("size"))
-    groups = salted.groupBy("digest", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("size").alias("group_size"))
+    salted = rows.join(F.broadcast(several), "digest", "left").groupBy("digest", "content", salt.alias("salt")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    across = salted.filter("salt > 0").groupBy("digest", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    groups = salted.filter("salt = 0").drop("salt").unionByName(across)
     by_digest = written(groups.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts")), "digests")
     out = _attach(rows.select("doc_id", "digest"), by_digest.filter("texts = 1").drop("texts"))
     if not by_digest.filter("texts > 1").isEmpty():  # different texts with one digest: told apart by their content

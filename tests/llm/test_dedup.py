@@ -41,6 +41,25 @@ def test_exact_odd_rows(spark):
     assert {(r.doc_id, r.keep_id) for r in low if r.doc_id in (1, 5)} == {(1, 5), (5, 5)}
 
 
+def test_exact_moves_a_text_once(spark):
+    """What is shuffled, apart from the texts of large groups: each text once, though it is a grouping key twice."""
+    text = F.concat_ws(" ", *(F.sha2(F.concat_ws(":", "id", F.lit(i)), 256) for i in range(60)))
+    df = spark.range(4_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "of one group").otherwise(text).alias("text"))
+    context = spark.sparkContext._jsc.sc()
+    none, quantiles = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled() -> int:
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(none, False, False, quantiles, none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    got = exact_dedup.exact_dedup(df).collect()
+    size = 3_000 * 60 * 65
+    assert len(got) == 4_000 and {(r.keep_id, r.group_size) for r in got if r.doc_id % 4 == 0} == {(3_996, 1_000)} and sum(r.kept for r in got) == 3_001
+    assert shuffled() - before < size  # hex digits take little more than half their size once packed
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
