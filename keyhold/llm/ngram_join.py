@@ -143,9 +143,10 @@ def signatures(sets: list[np.ndarray], band_of: np.ndarray, plans: dict[int, Ban
 
 
 def set_key(s: np.ndarray, text: str | None) -> tuple[int, int]:
-    """128 bits that name a set; of a single shingle, the second half comes from its words."""
+    """48 bits that signatures carry, and 64 more, that name a set; of a single shingle, the latter come from its words."""
     two = np.concatenate((mix(s + U(1)).sum(dtype=U, keepdims=True), mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U, keepdims=True))) + U(len(s))
     k0, k1 = mix(two).view(np.int64).tolist()
+    k0 &= (1 << 48) - 1
     if len(s) == 1:
         k1 = int.from_bytes(hashlib.blake2b(b" ".join(words(text)[:WIDTH]), digest_size=8).digest(), "little", signed=True)
     return k0, k1
@@ -261,15 +262,16 @@ def _told_apart(docs: DataFrame) -> DataFrame:
 
 
 def _indexed(docs: DataFrame, plans: dict[int, Band], parts: int) -> DataFrame:
-    """(p, entries, stars): signatures, packed by the partition they are dealt to.
+    """(p, entries, stars): signatures, packed by the partition they are dealt to, in 48 bits each: most of what the join
+    shuffles at once. Where two agree by chance, their sets become a candidate that verification rules out.
 
     A task combines what it holds first: a signature that several of its sets share goes on once, for the smallest key,
     and the others are told of by stars (signature, smallest key, key), dealt out by their own key.
     """
     def send(sigs: list[np.ndarray], keys: list[np.ndarray]) -> pd.DataFrame:
-        sig, key = np.concatenate(sigs), np.concatenate(keys)
+        sig, key = np.concatenate(sigs) >> U(16), np.concatenate(keys)
         sig, low, star = combine(sig, key)
-        entries = _packed(((sig >> U(32)) * U(parts) >> U(32)).astype(np.int64), sig, low)
+        entries = _packed(((sig >> U(16)) * U(parts) >> U(32)).astype(np.int64), sig, low)
         stars = _packed((mix(star[2].view(U)) % U(parts)).astype(np.int64), *star)
         at = sorted(entries.keys() | stars.keys())
         return pd.DataFrame({"p": at, "entries": [entries.get(x, b"") for x in at], "stars": [stars.get(x, b"") for x in at]})
@@ -312,13 +314,21 @@ def _indexed(docs: DataFrame, plans: dict[int, Band], parts: int) -> DataFrame:
 
 
 def _packed(p: np.ndarray, *cols: np.ndarray) -> dict[int, bytes]:
-    """By p, the bytes of each column's values, one column after the other."""
+    """By p, the low 48 bits of each column's values, one column after the other."""
     if not len(p):
         return {}
     order = np.argsort(p, kind="stable")
     p, cols = p[order], [c[order] for c in cols]
     cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))).tolist()
-    return {int(p[a]): b"".join(c[a:b].tobytes() for c in cols) for a, b in zip(cuts, [*cuts[1:], len(p)])}
+    return {int(p[a]): b"".join(c[a:b].view(np.uint16).reshape(-1, 4)[:, :3].tobytes() for c in cols) for a, b in zip(cuts, [*cuts[1:], len(p)])}
+
+
+def _unpacked(raw: bytes, cols: int) -> list[np.ndarray]:
+    """The columns that ``_packed`` put there."""
+    some = np.frombuffer(raw, np.uint16).reshape(cols, -1, 3)
+    out = np.zeros((*some.shape[:2], 4), dtype=np.uint16)
+    out[:, :, :3] = some
+    return list(out.view(np.int64)[:, :, 0])
 
 
 def _heads(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -344,16 +354,11 @@ def _stars(index: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        raw = [x for x in pdf["entries"] if x]
-        n = [len(x) // 16 for x in raw]
+        raw = [_unpacked(x, 2) for x in pdf["entries"] if x]
         if raw:
-            sig = np.concatenate([np.frombuffer(x, U, k) for x, k in zip(raw, n)])
-            key = np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in zip(raw, n)])
+            sig, key = (np.concatenate(c) for c in zip(*raw))
             out.append(combine(sig, key)[2])
-        for x in pdf["stars"]:
-            if x:
-                k = len(x) // 24
-                out.append(tuple(np.frombuffer(x, np.int64, k, 8 * k * i) for i in range(3)))
+        out += [tuple(_unpacked(x, 3)) for x in pdf["stars"] if x]
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 3
         return pd.DataFrame(dict(zip(("sig", "a", "b"), cols)))
 
@@ -487,9 +492,11 @@ def _rest(stars: DataFrame, nodes: DataFrame, where: DataFrame, forest: bool) ->
 def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, k0, k1, exact) of each row, and (n, k0, k1, exact, cluster, component_id) of each set; cluster: a component's own number."""
     spark = docs.sparkSession
-    found = scratch.keep(_told_apart(docs), "sets")
+    found = _told_apart(docs)
     nodes = found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k0", "k1", "exact").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    wide, found = found, written(found.drop("bits"), "sets")
+    scratch.drop(wide)  # bitmaps are a node's from now on
     edge = F.array([F.lit(int(e)) for e in EDGES])
     bands = nodes.filter("n >= 4").groupBy((F.array_size(F.filter(edge, lambda e: e <= F.col("n"))) - 1).alias("band")).count().collect()  # a row a band
     plans = {r.band: allocate(int(EDGES[r.band]), int(EDGES[r.band + 1]), r["count"]) for r in bands}

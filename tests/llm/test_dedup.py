@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import random
 import re
 
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keyhold.llm import exact_dedup, ngram_join, registry
+from keyhold.llm import exact_dedup, ngram_join, registry, shared
 from keyhold.llm import shingles as shingle_words
 from keyhold.llm.components import components
 from tests.oracle import same
@@ -142,6 +143,19 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_near_leaves_no_tables_of_its_own(spark):
+    """Only what the result is read from stays, and signatures go in 48 bits a number."""
+    at = f"{shared.shared_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file:")
+    before = set(glob.glob(f"{at}/*"))
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l"), (3, "x y z")], "doc_id long, text string")
+    assert sorted(r.component_id for r in ngram_join.near_components(df).collect()) == [1, 1, 3]
+    assert {p.rsplit("/", 1)[-1].split("-")[0] for p in set(glob.glob(f"{at}/*")) - before} == {"near"}
+    some = [np.array(x, dtype=np.int64) for x in ([5, 1 << 47, 7], [1, (1 << 48) - 1, 0])]
+    packed = ngram_join._packed(np.array([1, 0, 1]), *some)
+    assert {p: len(x) for p, x in packed.items()} == {0: 12, 1: 24}
+    assert [x.tolist() for x in ngram_join._unpacked(packed[1], 2)] == [[5, 7], [1, 0]] and [x.tolist() for x in ngram_join._unpacked(packed[0], 2)] == [[1 << 47], [(1 << 48) - 1]]
+
+
 def test_near_words(spark):
     """Different texts never link by their hashes: a word that a polynomial modulo 2^64 can't tell from its complement."""
     word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
